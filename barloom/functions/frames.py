@@ -69,6 +69,47 @@ class SessionFrames:
         return F.sum(weight * x * F.pow(F.lit(q), -k)).over(self.upto) * F.pow(F.lit(q), k)
 
 
+class FrameText(SessionFrames):
+    """The same frames as OVER clauses for SQL expression text."""
+
+    def over(self, first: str, last: str) -> str:
+        keys = ", ".join(self.keys)
+        return f"OVER (PARTITION BY {keys} ORDER BY {self.order} ROWS BETWEEN {first} AND {last})"
+
+    @property
+    def hist(self) -> str:
+        return self.over("UNBOUNDED PRECEDING", "1 PRECEDING")
+
+    @property
+    def upto(self) -> str:
+        return self.over("UNBOUNDED PRECEDING", "CURRENT ROW")
+
+    def rows(self, first: int, last: int) -> str:
+        def edge(n: int) -> str:
+            return f"{-n} PRECEDING" if n < 0 else f"{n} FOLLOWING" if n else "CURRENT ROW"
+
+        return self.over(edge(first), edge(last))
+
+    @property
+    def ordered(self) -> str:
+        return f"OVER (PARTITION BY {', '.join(self.keys)} ORDER BY {self.order})"
+
+    def lag(self, name: str, n: int = 1) -> str:
+        return f"lag({name}, {n}) {self.ordered}"
+
+    def index(self) -> str:
+        return f"row_number() {self.ordered} - 1"
+
+    def decayed_sum(self, x: str, k: str, alpha: float) -> str:
+        q = self._check_decay(alpha)
+        return f"sum({x} * power({q!r}D, -{k})) {self.upto} * power({q!r}D, {k}) * {alpha!r}D"
+
+    def ema(self, x: str, k: str, alpha: float) -> str:
+        q = self._check_decay(alpha)
+        weight = f"CASE WHEN {k} = 0 THEN 1D ELSE {alpha!r}D END"
+        return f"sum({weight} * {x} * power({q!r}D, -{k})) {self.upto} * power({q!r}D, {k})"
+
+
 def span_alpha(span: int) -> float:
     return 2.0 / (span + 1.0)
 

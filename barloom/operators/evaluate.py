@@ -2,30 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 1_000_000
-
-
-def with_slices(values: DataFrame, order: str) -> DataFrame:
-    """Adds _slice: consecutive value ranges of roughly equal size, for running sums over a whole table.
-
-    The cut points are approximate quantiles (at most a thousand numbers, held as literals so that every
-    use of the plan cuts alike). Inputs hold distinct values, so no slice can be filled by one value.
-    """
-    n = values.count()
-    slices = min(max(math.ceil(n / ROWS_PER_SLICE), 1), 1000)
-    if slices == 1:
-        return values.withColumn("_slice", F.lit(0.0))
-    shares = [i / slices for i in range(1, slices)]
-    cuts = values.agg(F.percentile_approx(order, shares, 10_000).alias("q")).first()["q"]
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_slice").transform(values)
-
+from barloom.operators.order_stats import one_row, with_slices
 
 def running_totals(values: DataFrame, group: str, order: str, sums: list[str]) -> DataFrame:
     """Adds cum_<name> for each sum: totals over the values up to and including the row, per group.
@@ -216,13 +196,11 @@ def importance_table(importances: DataFrame) -> DataFrame:
     )
     mean = F.col("mean_importance")
     out = out.withColumn("cv_importance", F.when(mean != 0, F.col("std_importance") / mean))
-    band = out.agg(F.avg("mean_importance").alias("_m"), F.stddev_samp("mean_importance").alias("_d"))
+    band = one_row(out.agg(F.avg("mean_importance").alias("m"), F.stddev_samp("mean_importance").alias("d")))
     impact = (
-        F.when(mean > F.col("_m") + F.col("_d"), "high")
-        .when(mean < F.col("_m") - F.col("_d"), "low")
-        .otherwise("medium")
+        F.when(mean > band["m"] + band["d"], "high").when(mean < band["m"] - band["d"], "low").otherwise("medium")
     )
-    return out.join(F.broadcast(band)).withColumn("impact", impact).drop("_m", "_d")
+    return out.withColumn("impact", impact)
 
 
 def metrics_summary(aucs: DataFrame, strategies: DataFrame, importances: DataFrame, group: str = "model") -> DataFrame:
@@ -237,7 +215,8 @@ def metrics_summary(aucs: DataFrame, strategies: DataFrame, importances: DataFra
         *[F.coalesce(F.get("r", i)["feature"], none).alias(f"top_feature_{i + 1}") for i in range(3)],
         F.when(F.size("low") > 0, F.array_join("low", ", ")).otherwise(none).alias("low_impact_features"),
     )
-    return best.join(strategies, group, "left").join(F.broadcast(tops))
+    tops_row = one_row(tops)
+    return best.join(strategies, group, "left").withColumns({c: tops_row[c] for c in tops.columns})
 
 
 # --- feature ranking ----------------------------------------------------------------------------
@@ -296,13 +275,15 @@ def mutual_information(df: DataFrame, target: str, features: list[str], cuts: di
 
 def ensemble_ranking(scores: DataFrame, measures: list[str], top: int | None = None) -> DataFrame:
     """Min-max normalise each measure over the features, average, best first."""
-    spans = scores.agg(
-        *[F.min(m).alias(f"_lo_{m}") for m in measures], *[F.max(m).alias(f"_hi_{m}") for m in measures]
+    spans = one_row(
+        scores.agg(*[F.min(m).alias(f"lo_{m}") for m in measures], *[F.max(m).alias(f"hi_{m}") for m in measures])
     )
-    df = scores.join(F.broadcast(spans))
+    df = scores
     total = F.lit(0.0)
     for m in measures:
-        norm = (F.coalesce(F.col(m), F.lit(0.0)) - F.col(f"_lo_{m}")) / (F.col(f"_hi_{m}") - F.col(f"_lo_{m}") + 1e-9)
+        norm = (F.coalesce(F.col(m), F.lit(0.0)) - spans[f"lo_{m}"]) / (
+            spans[f"hi_{m}"] - spans[f"lo_{m}"] + 1e-9
+        )
         df = df.withColumn(f"{m}_norm", norm)
         total = total + F.col(f"{m}_norm")
     df = df.withColumn("ensemble_score", total / len(measures))

@@ -2,124 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from barloom.functions import scalars as S
-from barloom.functions.frames import clip, gated
-from barloom.operators.session_series import has_quotes, has_sizes
-
-N = F.col
-PRICE = "close"
-
-
-def quote_features(df: DataFrame) -> dict[str, Column]:
-    quotes, sizes = has_quotes(df), has_sizes(df)
-    null = F.lit(None).cast("double")
-    spread_pct = S.bid_ask_spread_pct("bid_px", "ask_px") if quotes else null
-    return {
-        "Bid_Ask_Spread_Pct": spread_pct,
-        "Order_Book_Imbalance": S.order_book_imbalance("bid_sz", "ask_sz") if sizes else null,
-        "Price_Position_In_Spread": (
-            S.price_position_in_spread(PRICE, "bid_px", "ask_px") if quotes else F.lit(0.5)
-        ),
-        "Mid_Price_Momentum": mid_price_momentum(),
-        "Volume_Weighted_Order_Book_Imbalance": (
-            S.value_weighted_imbalance("bid_px", "ask_px", "bid_sz", "ask_sz")
-            if quotes and sizes
-            else F.lit(0.0)
-        ),
+from barloom.functions.text import clip, gated, pct_change
+from barloom.operators.session_series import Level, has_quotes, has_sizes
+
+
+def quote_features(columns) -> Level:
+    quotes, sizes = has_quotes(columns), has_sizes(columns)
+    null = "CAST(NULL AS DOUBLE)"
+    out = {
+        "Bid_Ask_Spread_Pct": null,
+        "Order_Book_Imbalance": null,
+        "Price_Position_In_Spread": "0.5D",
+        "Volume_Weighted_Order_Book_Imbalance": "0D",
+        "Mid_Price_Momentum":
+            f"CASE WHEN _n >= 5 AND _mid_count5 = 5 THEN {clip(pct_change('_mid1', '_mid5'), -2, 2)} END",
     }
-
-
-def spread_rank() -> dict[str, Column]:
-    """Follows ``quote_features``: reads the finished spread column, so it is not recomputed per element."""
-    return {"Spread_Percentile_20": spread_percentile(N("Bid_Ask_Spread_Pct"))}
-
-
-def mid_price_momentum() -> Column:
-    change = S.safe_percentage(N("_mid1"), N("_mid5"))
-    return F.when((N("_n") >= 5) & (N("_mid_count5") == 5), clip(change, -2, 2))
-
-
-def spread_percentile(current: Column) -> Column:
-    """Share of the positive spreads among 20 earlier bars that are at most the current spread."""
-    positive = N("_spreads20")
-    share = F.size(F.filter(positive, lambda x: x <= current)) / F.size(positive)
-    return (
-        F.when(
-            (N("_n") < 20) | (N("_spread_count20") < 5) | (current <= 0) | (F.size(positive) == 0), F.lit(0.5)
+    if quotes:
+        out["Bid_Ask_Spread_Pct"] = (
+            "CASE WHEN ask_px > 0 AND bid_px > 0 AND ask_px > bid_px "
+            "THEN (ask_px - bid_px) / ((ask_px + bid_px) / 2) * 100 END"
         )
-        .when(current.isNull(), F.lit(0.0))
-        .otherwise(share)
-    )
+        inside = clip("(close - bid_px) / (ask_px - bid_px)", 0, 1)
+        out["Price_Position_In_Spread"] = (
+            "coalesce(CASE WHEN ask_px <= bid_px OR close <= 0 THEN 0.5D WHEN close < bid_px THEN 0D "
+            f"WHEN close > ask_px THEN 1D WHEN ask_px > bid_px THEN {inside} END, 0.5D)"
+        )
+    if sizes:
+        out["Order_Book_Imbalance"] = (
+            "CASE WHEN bid_sz >= 0 AND ask_sz >= 0 AND bid_sz + ask_sz > 0 "
+            "THEN (bid_sz - ask_sz) / (bid_sz + ask_sz) END"
+        )
+    if quotes and sizes:
+        bid, ask = "bid_px * bid_sz", "ask_px * ask_sz"
+        out["Volume_Weighted_Order_Book_Imbalance"] = gated(
+            f"bid_px > 0 AND ask_px > 0 AND bid_sz >= 0 AND ask_sz >= 0 AND {bid} + {ask} > 0",
+            f"({bid} - {ask}) / ({bid} + {ask})", "0D",
+        )
+    return out
 
 
-def volume_features(df: DataFrame) -> dict[str, Column]:
+def spread_rank() -> Level:
+    """Share of the positive spreads among 20 earlier bars that are at most the current spread."""
     return {
-        "Trade_Count_Per_Minute_Log": trade_count_log("trade_count" in df.columns),
-        "Volume_Rate_of_Change": volume_rate_of_change(),
-        "Price_Impact_Normalized": price_impact(),
-        "Volume_vs_SMA10": volume_vs_sma10(),
-        "Normalized_Price_VWAP": price_over_vwap(),
-        "Volume_Percentile_Intraday": volume_percentile(),
-        "Volume_Zscore_Intraday": volume_zscore(),
-        "Order_Book_Stability": order_book_stability(),
+        "Spread_Percentile_20":
+            "CASE WHEN _n < 20 OR _spread_count20 < 5 OR Bid_Ask_Spread_Pct <= 0 OR size(_spreads20) = 0 THEN 0.5D "
+            "WHEN Bid_Ask_Spread_Pct IS NULL THEN 0D "
+            "ELSE size(filter(_spreads20, x -> x <= Bid_Ask_Spread_Pct)) / size(_spreads20) END"
     }
 
 
-def trade_count_log(counted: bool) -> Column:
-    """Trades in the last bar: the count itself where the feed has one, else an estimate from volume."""
-    if counted:
-        return gated(N("_n") >= 1, clip(N("_trade_count1"), 1, 100), 0.0)
-    v, p = N("_v1"), N(PRICE)
-    base = F.when(p > 200, F.lit(200.0)).when(p > 50, F.lit(300.0)).otherwise(F.lit(500.0))
-    size = F.when(v < 500, base * 0.5).when(v > 5000, base * 1.5).otherwise(base)
-    return gated(v > 0, clip(F.log1p(v / size), 0, 5), 0.0)
-
-
-def volume_rate_of_change() -> Column:
-    cur, prev = N("_v1"), N("_v2")
-    return F.when(
-        N("_n") >= 2,
-        F.when(prev > 0, clip((cur - prev) / prev * 100, -95, 500)).when(cur > 0, F.lit(500.0)),
+def volume_features(columns) -> Level:
+    counted = "trade_count" in columns
+    base = "CASE WHEN close > 200 THEN 200D WHEN close > 50 THEN 300D ELSE 500D END"
+    size = f"({base}) * CASE WHEN _v1 < 500 THEN 0.5D WHEN _v1 > 5000 THEN 1.5D ELSE 1D END"
+    median = (
+        "(get(sort_array(_impacts), (size(_impacts) - 1) div 2) + get(sort_array(_impacts), size(_impacts) div 2)) / 2"
     )
-
-
-def price_impact() -> Column:
-    """Median price change per share over the last bars, per $1000 traded and in basis points."""
-    a = F.sort_array("_impacts")
-    s = F.size(a)
-    lower = F.get(a, F.floor((s - 1) / 2).cast("int"))
-    upper = F.get(a, F.floor(s / 2).cast("int"))
-    p = N(PRICE)
-    impact = (lower + upper) / 2 * 1e7 / (p * p)
-    return gated((N("_n") >= 3) & (s >= 2) & (p > 0), clip(impact, 0, 5), 0.0)
-
-
-def volume_vs_sma10() -> Column:
-    avg = N("_vol_before9")
-    return gated((N("_n") >= 2) & (avg > 0), clip(N("_v1") / avg, 0, 50), 1.0)
-
-
-def price_over_vwap() -> Column:
-    vwap = F.when(N("_vpos_hist") > 0, N("_tpv_hist") / N("_vpos_hist"))
-    return gated((vwap > 0) & (N(PRICE) > 0), clip(N(PRICE) / vwap, 0.5, 2.0), 1.0)
-
-
-def volume_percentile() -> Column:
-    earlier = N("_vols_hist")
-    v = F.coalesce(N("volume"), F.lit(0.0))
-    at_most = F.size(F.filter(earlier, lambda x: x <= v))
-    return gated(F.size(earlier) > 0, (at_most + 1) / (F.size(earlier) + 1), 0.5)
-
-
-def volume_zscore() -> Column:
-    sd = N("_vol_sd_hist")
-    return gated((N("_n") > 2) & (sd > 0), (N("volume") - N("_vol_mean_hist")) / sd, 0.0)
-
-
-def order_book_stability() -> Column:
-    scale = N("_imb_abs10")
-    stable = clip(F.lit(1.0) - N("_imb_sd10") / scale, 0, 1)
-    return gated((N("_n") >= 3) & (N("_imb_count10") >= 2) & (scale > 0.01), stable, 0.5)
+    stable = clip("1 - _imb_sd10 / _imb_abs10", 0, 1)
+    return {
+        # trades in the last bar: the count itself where the feed has one, else an estimate from volume
+        "Trade_Count_Per_Minute_Log": (
+            gated("_n >= 1", clip("_trade_count1", 1, 100), "0D")
+            if counted
+            else gated("_v1 > 0", clip(f"log1p(_v1 / ({size}))", 0, 5), "0D")
+        ),
+        "Volume_Rate_of_Change":
+            f"CASE WHEN _n >= 2 THEN CASE WHEN _v2 > 0 THEN {clip('(_v1 - _v2) / _v2 * 100', -95, 500)} "
+            "WHEN _v1 > 0 THEN 500D END END",
+        # median price change per share, per $1000 traded and in basis points
+        "Price_Impact_Normalized": gated(
+            "_n >= 3 AND size(_impacts) >= 2 AND close > 0", clip(f"{median} * 1e7D / (close * close)", 0, 5), "0D"
+        ),
+        "Volume_vs_SMA10": gated("_n >= 2 AND _vol_before9 > 0", clip("_v1 / _vol_before9", 0, 50), "1D"),
+        "Normalized_Price_VWAP": gated(
+            "_vpos_hist > 0 AND _value_hist > 0 AND close > 0", clip("close / (_value_hist / _vpos_hist)", 0.5, 2), "1D"
+        ),
+        "Volume_Percentile_Intraday": gated(
+            "size(_vols_hist) > 0",
+            "(size(filter(_vols_hist, x -> x <= coalesce(volume, 0D))) + 1) / (size(_vols_hist) + 1)", "0.5D",
+        ),
+        "Volume_Zscore_Intraday": gated("_n > 2 AND _vol_sd_hist > 0", "(volume - _vol_mean_hist) / _vol_sd_hist", "0D"),
+        "Order_Book_Stability": gated("_n >= 3 AND _imb_count10 >= 2 AND _imb_abs10 > 0.01", stable, "0.5D"),
+    }

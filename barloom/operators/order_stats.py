@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,3 +202,39 @@ def within_thresholds(group: str | None, limits: dict, key: Column) -> Column:
         same = g.eqNullSafe(F.lit(value))
         keep = keep | (same if limit == float("inf") else (same & (key <= F.lit(limit))))
     return keep
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a struct column: a scalar subquery, evaluated once and shared by its uses."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
+ROWS_PER_SLICE = 1_000_000
+
+
+def with_slices(values: DataFrame, order: str) -> DataFrame:
+    """Adds _slice: consecutive value ranges of roughly equal size, for running sums over a whole table.
+
+    The cut points are approximate quantiles (at most a thousand numbers, held as literals so that every
+    use of the plan cuts alike). Inputs hold distinct values, so no slice can be filled by one value.
+    """
+    n = values.count()
+    slices = min(max(math.ceil(n / ROWS_PER_SLICE), 1), 1000)
+    if slices == 1:
+        return values.withColumn("_slice", F.lit(0.0))
+    shares = [i / slices for i in range(1, slices)]
+    cuts = values.agg(F.percentile_approx(order, shares, 10_000).alias("q")).first()["q"]
+    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    return Bucketizer(splits=splits, inputCol=order, outputCol="_slice").transform(values)
+
+
+def with_row_number(df: DataFrame, order: str, tiebreak: str, name: str = "row_number") -> DataFrame:
+    """Adds the 1-based position by (order, tiebreak) over the whole table without a global window."""
+    keyed = df.withColumn("_key", F.col(order).cast("double"))
+    sliced = with_slices(keyed, "_key")
+    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 1000 rows
+    offsets = sizes.select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(order, tiebreak))
+    joined = sliced.join(F.broadcast(offsets), "_slice")
+    return joined.withColumn(name, inside + F.col("_before")).drop("_slice", "_key", "_before")

@@ -5,133 +5,102 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barloom.functions import text as X
 from barloom.functions.frames import clip, gated
+from barloom.operators.session_series import Level
 
 N = F.col
-PRICE = "close"
 
 
-def position_in_day_range() -> Column:
-    lo, hi, p = N("_hist_low"), N("_hist_high"), N(PRICE)
-    return gated((N("_n") >= 1) & (hi > lo) & (p > 0), clip((p - lo) / (hi - lo), 0, 1), 0.5)
-
-
-def level_marks() -> dict[str, Column]:
-    """Thresholds used by ``support_resistance_proximity``, as columns so no element recomputes them."""
-    span = N("_top50") - N("_bottom50")
+def level_marks() -> Level:
+    """Thresholds used by the level search, as columns so that no array element recomputes them."""
     return {
-        "_level_gap": N(PRICE) * 0.001,
-        "_high_mark": F.when(span > 0, N("_top50") - span * 0.1),
-        "_low_mark": F.when(span > 0, N("_bottom50") + span * 0.1),
+        "_level_gap": "close * 0.001D",
+        "_high_mark": "CASE WHEN _top50 > _bottom50 THEN _top50 - (_top50 - _bottom50) * 0.1D END",
+        "_low_mark": "CASE WHEN _top50 > _bottom50 THEN _bottom50 + (_top50 - _bottom50) * 0.1D END",
     }
 
 
-def support_resistance_proximity() -> Column:
-    """Distance in percent to the nearest level above or below, from at most 50 earlier bars.
+def nearest_levels() -> Level:
+    """Nearest level above and below, from at most 50 earlier bars.
 
     Levels are swing extremes (marked per bar beforehand, so only the few marked bars are collected)
     and the bars in the outer tenth of the frame's range.
     """
-    p = N(PRICE)
-    highs, lows = N("_highs50"), N("_lows50")
-    gap = N("_level_gap")
-
-    def is_above(x: Column) -> Column:
-        return (x > p) & (x - p >= gap)
+    above = "x > close AND x - close >= _level_gap"
+    below = "x < close AND close - x >= _level_gap"
+    return {
+        "_above": f"least(array_min(filter(_levels_above, x -> {above})), "
+                  f"array_min(filter(_highs50, x -> x >= _high_mark AND {above})))",
+        "_below": f"greatest(array_max(filter(_levels_below, x -> {below})), "
+                  f"array_max(filter(_lows50, x -> x <= _low_mark AND {below})))",
+    }
 
-    def is_below(x: Column) -> Column:
-        return (x < p) & (p - x >= gap)
 
-    above = F.least(
-        F.array_min(F.filter(N("_levels_above"), is_above)),
-        F.array_min(F.filter(highs, lambda x: (x >= N("_high_mark")) & is_above(x))),
+def pattern_features() -> Level:
+    nearest = "least((_above - close) / close * 100, (close - _below) / close * 100)"
+    strength = (
+        "CASE WHEN _high_before19 > 0 THEN (close - _high_before19) / _high_before19 ELSE 0D END * 100 "
+        "+ (_v1 / _vol_before19 - 1) * 0.1D"
     )
-    below = F.greatest(
-        F.array_max(F.filter(N("_levels_below"), is_below)),
-        F.array_max(F.filter(lows, lambda x: (x <= N("_low_mark")) & is_below(x))),
+    fold = (
+        "aggregate(_closes30, named_struct('peak', CAST(NULL AS DOUBLE), 'worst', 0D), "
+        "(a, x) -> named_struct('peak', greatest(a.peak, x), "
+        "'worst', least(a.worst, (x - greatest(a.peak, x)) / greatest(a.peak, x) * 100)), a -> a.worst)"
     )
-    nearest = F.least((above - p) / p * 100, (p - below) / p * 100)
-    return gated((N("_n") >= 20) & (p > 0), F.greatest(nearest, F.when(nearest.isNotNull(), F.lit(0.1))), 5.0)
-
-
-def breakout_confirmation() -> Column:
-    p, top, avg, v = N(PRICE), N("_high_before19"), N("_vol_before19"), N("_v1")
-    strength = F.when(top > 0, (p - top) / top).otherwise(F.lit(0.0)) * 100 + (v / avg - 1) * 0.1
-    broke = (N("_n") >= 20) & (p > top) & (avg > 0) & (v > avg * 1.5)
-    return gated(broke, clip(strength, 0, 1), 0.0)
-
-
-def max_drawdown() -> Column:
-    """Deepest fall below the running peak of the last 30 closes, in percent (zero or negative)."""
-    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(acc: Column, x: Column) -> Column:
-        peak = F.greatest(acc["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(acc["worst"], (x - peak) / peak * 100).alias("worst"))
-
-    return gated(N("_n") >= 5, F.aggregate("_closes30", start, step, lambda acc: acc["worst"]), 0.0)
+    return {
+        "Position_In_Day_Range": X.gated(
+            "_n >= 1 AND _hist_high > _hist_low AND close > 0",
+            X.clip("(close - _hist_low) / (_hist_high - _hist_low)", 0, 1), "0.5D",
+        ),
+        "Support_Resistance_Proximity": X.gated(
+            "_n >= 20 AND close > 0 AND (_above IS NOT NULL OR _below IS NOT NULL)", f"greatest({nearest}, 0.1D)", "5D"
+        ),
+        "Breakout_Confirmation": X.gated(
+            "_n >= 20 AND close > _high_before19 AND _vol_before19 > 0 AND _v1 > _vol_before19 * 1.5D",
+            X.clip(strength, 0, 1), "0D",
+        ),
+        # deepest fall below the running peak of the last 30 closes, in percent (zero or negative)
+        "Max_Drawdown_30": X.gated("_n >= 5", fold, "0D"),
+    }
 
 
-def _edge(here: str, *others: str, pos: Column) -> Column:
-    x = N(here)
-    higher = F.lit(True)
-    lower = F.lit(True)
-    for other in others:
-        higher = higher & (x > N(other))
-        lower = lower & (x < N(other))
-    kind = F.when(higher, F.lit(1)).when(lower, F.lit(-1)).otherwise(F.lit(0))
-    return F.filter(
-        F.array(F.struct(pos.alias("pos"), x.alias("price"), kind.alias("kind"))), lambda t: t["kind"] != 0
-    )
+def _edge(here: str, others: tuple[str, ...], pos: str) -> str:
+    higher = " AND ".join(f"{here} > {o}" for o in others)
+    lower = " AND ".join(f"{here} < {o}" for o in others)
+    kind = f"CASE WHEN {higher} THEN 1 WHEN {lower} THEN -1 ELSE 0 END"
+    return f"filter(array(named_struct('pos', {pos}, 'price', {here}, 'kind', {kind})), t -> t.kind <> 0)"
 
 
-def turning_points() -> Column:
-    """Peaks (+1) and valleys (-1) of the last 30 mid-range prices, oldest first.
+def swing_levels() -> list[Level]:
+    """Steps to the newest change of direction among the last 30 mid-range prices.
 
-    Interior points were marked per bar. The second and the second-last bar of the frame see only one
-    neighbour on the frame's edge, so they are judged here.
+    Interior turning points were marked per bar. The second and the second-last bar of the frame see
+    only one neighbour on the frame's edge, so they are judged here. ``_change_at`` is the index of the
+    newest point whose predecessor is of the other kind.
     """
-    n = N("_n")
-    first = _edge("_hl2_29", "_hl2_30", "_hl2_28", "_hl2_27", pos=n - 29)
-    last = _edge("_hl2_2", "_hl2_4", "_hl2_3", "_hl2_1", pos=n - 2)
-    return F.concat(first, N("_turns"), last)
-
-
-def latest_change() -> Column:
-    """Index into ``_points`` of the newest point whose predecessor is of the other kind, else NULL."""
-    points = N("_points")
-    last = F.aggregate(
-        points,
-        F.struct(F.lit(0).alias("i"), F.lit(0).alias("kind"), F.lit(0).alias("at")),
-        lambda acc, t: F.struct(
-            (acc["i"] + 1).alias("i"),
-            t["kind"].alias("kind"),
-            F.when((acc["i"] > 0) & (t["kind"] != acc["kind"]), acc["i"]).otherwise(acc["at"]).alias("at"),
-        ),
-        lambda acc: acc["at"],
+    first = _edge("_hl2_29", ("_hl2_30", "_hl2_28", "_hl2_27"), "_n - 29")
+    last = _edge("_hl2_2", ("_hl2_4", "_hl2_3", "_hl2_1"), "_n - 2")
+    fold = (
+        "aggregate(_points, named_struct('i', 0, 'kind', 0, 'hit', 0), "
+        "(a, t) -> named_struct('i', a.i + 1, 'kind', t.kind, "
+        "'hit', CASE WHEN a.i > 0 AND t.kind <> a.kind THEN a.i ELSE a.hit END), a -> a.hit)"
     )
-    return F.when(last > 0, last)
-
-
-def swing_columns() -> list[dict[str, Column]]:
-    """Columns for ``impulse_vector``: the points, the newest change, then its two ends."""
     return [
-        {"_points": F.when(N("_n") >= 30, turning_points())},
-        {"_change_at": latest_change()},
-        {"_from": F.get("_points", N("_change_at") - 1), "_to": F.get("_points", N("_change_at"))},
+        {"_points": f"CASE WHEN _n >= 30 THEN concat({first}, _turns, {last}) END"},
+        {"_change_at": f"nullif({fold}, 0)"},
+        {"_from": "get(_points, _change_at - 1)", "_to": "get(_points, _change_at)"},
     ]
 
 
-def impulse_vector() -> dict[str, Column]:
-    a, b = N("_from"), N("_to")
-    duration = b["pos"] - a["pos"]
-    magnitude = F.when(a["price"] != 0, F.abs(b["price"] - a["price"]) / a["price"]).otherwise(F.lit(0.0))
-    known = N("_change_at").isNotNull()
+def impulse_vector() -> Level:
+    magnitude = "CASE WHEN _from.price <> 0 THEN abs(_to.price - _from.price) / _from.price ELSE 0D END"
+    known = "_change_at IS NOT NULL"
     return {
-        "Impulse_Vector_Magnitude": gated(known, F.bround(magnitude, 6), 0.0),
-        "Impulse_Vector_Direction": gated(known, F.when(b["price"] > a["price"], 1).otherwise(-1), 0),
-        "Impulse_Vector_Duration": gated(known, duration, 0),
-        "Impulse_Vector_Slope": gated(known, F.bround(magnitude / duration, 6), 0.0),
+        "Impulse_Vector_Magnitude": X.gated(known, f"bround({magnitude}, 6)", "0D"),
+        "Impulse_Vector_Direction": X.gated(known, "CASE WHEN _to.price > _from.price THEN 1 ELSE -1 END", "0"),
+        "Impulse_Vector_Duration": X.gated(known, "_to.pos - _from.pos", "0"),
+        "Impulse_Vector_Slope": X.gated(known, f"bround(({magnitude}) / (_to.pos - _from.pos), 6)", "0D"),
     }
 
 

@@ -15,6 +15,7 @@ from barloom.operators.order_stats import (
     exact_ranks,
     hash_rank_key,
     hash_thresholds,
+    one_row,
     within_thresholds,
 )
 
@@ -143,21 +144,19 @@ def drop_low_variance(df: DataFrame, cols: list[str], threshold: float = 0.001)
 
 
 def clip_to_sigmas(df: DataFrame, cols: list[str], sigmas: float = 3.0) -> DataFrame:
-    """Clip each column to mean +- 3 sample deviations. The one-row statistics are attached by a
-    broadcast of exactly one row, so the plan stays lazy and needs no window."""
+    """Clip each column to mean +- 3 sample deviations; the statistics are one scalar subquery."""
     if not cols:
         return df
-    stats = df.agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols]
+    stats = one_row(
+        df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols])
     )
-    wide = df.join(F.broadcast(stats))
     new = {}
     for c in cols:
-        x, m, s = F.col(c), F.col(f"_m_{c}"), F.col(f"_s_{c}")
+        x, m, s = F.col(c), stats[f"m_{c}"], stats[f"s_{c}"]
         new[c] = F.when(
             (s > 0) & x.isNotNull(), F.greatest(m - s * sigmas, F.least(m + s * sigmas, x))
         ).otherwise(x)
-    return wide.withColumns(new).select(*df.columns)
+    return df.withColumns(new)
 
 
 def column_report(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -1,55 +1,48 @@
 """Per-bar series shared by the features: lags, running sums, decayed averages, swing levels.
 
-Each ``stage_*`` function is one projection whose window expressions read only columns of its input,
-so Spark plans one Window operator per stage over a single exchange and sort.
+Each level is one projection whose windows read only columns of the levels before it, so Spark plans
+one Window operator per level over a single exchange and sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from barloom.functions.frames import SessionFrames, span_alpha
+from barloom.functions.frames import FrameText, span_alpha
 
 WILDER = 1.0 / 14.0
 
+Level = dict[str, str]
+
 
-def has_quotes(df: DataFrame) -> bool:
-    return {"bid_px", "ask_px"} <= set(df.columns)
+def has_quotes(columns) -> bool:
+    return {"bid_px", "ask_px"} <= set(columns)
 
 
-def has_sizes(df: DataFrame) -> bool:
-    return {"bid_sz", "ask_sz"} <= set(df.columns)
+def has_sizes(columns) -> bool:
+    return {"bid_sz", "ask_sz"} <= set(columns)
 
 
-def row_values(df: DataFrame) -> dict[str, Column]:
+def row_values(columns) -> Level:
     """Values that need only the bar itself."""
-    c, h, l, v = (F.col(x) for x in ("close", "high", "low", "volume"))
-    if has_quotes(df):
-        bid, ask = F.col("bid_px"), F.col("ask_px")
-        mid = (bid + ask) / 2
-        spread = F.when(mid.isNotNull(), F.coalesce(F.when(mid != 0, (ask - bid) / mid * 100), F.lit(0.0)))
-    else:
-        mid = (h + l) / 2
-        spread = F.coalesce(F.when(c != 0, (h - l) / c * 100), F.lit(0.0))
-    out = {
-        "_mid": mid,
-        "_spread": spread,
-        "_hl": h - l,
-        "_hl2": (h + l) / 2,
-        "_tpv": F.when(v > 0, (h + l + c) / 3 * v),
-        "_vpos": F.when(v > 0, v),
-    }
-    if has_sizes(df):
-        bs, as_ = F.col("bid_sz"), F.col("ask_sz")
-        out["_imb"] = F.when(bs + as_ > 0, (bs - as_) / (bs + as_))
+    out = {"_hl": "high - low", "_hl2": "(high + low) / 2"}
+    if has_quotes(columns):
+        out["_mid"] = "(bid_px + ask_px) / 2"
+        mid = out["_mid"]
+        out["_spread"] = (
+            f"CASE WHEN {mid} IS NOT NULL THEN coalesce(CASE WHEN {mid} <> 0 THEN (ask_px - bid_px) / ({mid}) * 100 END, 0D) END"
+        )
     else:
-        out["_imb"] = F.lit(None).cast("double")
+        out["_mid"] = "(high + low) / 2"
+        out["_spread"] = "coalesce(CASE WHEN close <> 0 THEN (high - low) / close * 100 END, 0D)"
+    out["_imb"] = (
+        "CASE WHEN bid_sz + ask_sz > 0 THEN (bid_sz - ask_sz) / (bid_sz + ask_sz) END"
+        if has_sizes(columns)
+        else "CAST(NULL AS DOUBLE)"
+    )
     return out
 
 
-def stage_lags(fr: SessionFrames) -> dict[str, Column]:
-    """Windows over raw bar columns."""
+def bar_windows(fr: FrameText, columns) -> Level:
+    """Windows over bar columns."""
     out = {"_n": fr.index()}
     for i in (*range(1, 7), 10):
         out[f"_c{i}"] = fr.lag("close", i)
@@ -57,128 +50,108 @@ def stage_lags(fr: SessionFrames) -> dict[str, Column]:
         out[f"_v{i}"] = fr.lag("volume", i)
     for i in (1, 5):
         out[f"_mid{i}"] = fr.lag("_mid", i)
-    out["_mid_count5"] = F.count("_mid").over(fr.past(5))
-    out["_spread_count20"] = F.count("_spread").over(fr.past(20))
-    out["_spreads20"] = F.collect_list(F.when(F.col("_spread") > 0, F.col("_spread"))).over(fr.past(20))
-    out["_vol_before9"] = F.avg("volume").over(fr.rows(-10, -2))
-    out["_tpv_hist"] = F.sum("_tpv").over(fr.hist)
-    out["_vpos_hist"] = F.sum("_vpos").over(fr.hist)
-    out["_mean20"] = F.avg("close").over(fr.past(20))
-    out["_sd20"] = F.stddev_samp("close").over(fr.past(20))
-    out["_mean50"] = F.avg("close").over(fr.past(50))
-    out["_hist_high"] = F.max("high").over(fr.hist)
-    out["_hist_low"] = F.min("low").over(fr.hist)
-    out["_hist_cmax"] = F.max("close").over(fr.hist)
-    out["_hist_cmin"] = F.min("close").over(fr.hist)
-    out["_high_before19"] = F.max("high").over(fr.rows(-20, -2))
-    out["_vol_before19"] = F.avg("volume").over(fr.rows(-20, -2))
-    out["_closes30"] = F.collect_list("close").over(fr.past(30))
-    out["_highs50"] = F.collect_list("high").over(fr.past(50))
-    out["_lows50"] = F.collect_list("low").over(fr.past(50))
-    out["_top50"] = F.max("high").over(fr.past(50))
-    out["_bottom50"] = F.min("low").over(fr.past(50))
-    out["_vols_hist"] = F.collect_list("volume").over(fr.hist)
-    out["_vol_mean_hist"] = F.avg("volume").over(fr.hist)
-    out["_vol_sd_hist"] = F.stddev_samp("volume").over(fr.hist)
-    out["_imb_sd10"] = F.stddev_pop("_imb").over(fr.past(10))
-    out["_imb_abs10"] = F.avg(F.abs("_imb")).over(fr.past(10))
-    out["_imb_count10"] = F.count("_imb").over(fr.past(10))
-    out["_hl_first"] = F.first("_hl").over(fr.hist)
-    out["_hl30"] = fr.lag("_hl", 30)
+    if "trade_count" in columns:
+        out["_trade_count1"] = fr.lag("trade_count")
+    out |= {
+        "_mid_count5": f"count(_mid) {fr.past(5)}",
+        "_spread_count20": f"count(_spread) {fr.past(20)}",
+        "_spreads20": f"collect_list(CASE WHEN _spread > 0 THEN _spread END) {fr.past(20)}",
+        "_vol_before9": f"avg(volume) {fr.rows(-10, -2)}",
+        "_value_hist": f"sum(CASE WHEN volume > 0 THEN (high + low + close) / 3 * volume END) {fr.hist}",
+        "_vpos_hist": f"sum(CASE WHEN volume > 0 THEN volume END) {fr.hist}",
+        "_mean20": f"avg(close) {fr.past(20)}",
+        "_sd20": f"stddev_samp(close) {fr.past(20)}",
+        "_mean50": f"avg(close) {fr.past(50)}",
+        "_hist_high": f"max(high) {fr.hist}",
+        "_hist_low": f"min(low) {fr.hist}",
+        "_hist_cmax": f"max(close) {fr.hist}",
+        "_hist_cmin": f"min(close) {fr.hist}",
+        "_high_before19": f"max(high) {fr.rows(-20, -2)}",
+        "_vol_before19": f"avg(volume) {fr.rows(-20, -2)}",
+        "_closes30": f"collect_list(close) {fr.past(30)}",
+        "_highs50": f"collect_list(high) {fr.past(50)}",
+        "_lows50": f"collect_list(low) {fr.past(50)}",
+        "_top50": f"max(high) {fr.past(50)}",
+        "_bottom50": f"min(low) {fr.past(50)}",
+        "_vols_hist": f"collect_list(volume) {fr.hist}",
+        "_vol_mean_hist": f"avg(volume) {fr.hist}",
+        "_vol_sd_hist": f"stddev_samp(volume) {fr.hist}",
+        "_imb_sd10": f"stddev_pop(_imb) {fr.past(10)}",
+        "_imb_abs10": f"avg(abs(_imb)) {fr.past(10)}",
+        "_imb_count10": f"count(_imb) {fr.past(10)}",
+        "_hl_first": f"first(_hl) {fr.hist}",
+        "_hl30": fr.lag("_hl", 30),
+    }
     # swing levels: a bar whose high (low) is the extreme of a full centred frame of 10 or 20 bars
     for size, (before, after) in {10: (-5, 4), 20: (-10, 9)}.items():
-        frame = fr.rows(before, after)
-        full = F.count("high").over(frame) == size
-        out[f"_top{size}"] = F.when(full & (F.col("high") == F.max("high").over(frame)), F.col("high"))
-        out[f"_bottom{size}"] = F.when(full & (F.col("low") == F.min("low").over(frame)), F.col("low"))
+        over = fr.rows(before, after)
+        out[f"_top{size}"] = f"CASE WHEN count(high) {over} = {size} AND high = max(high) {over} THEN high END"
+        out[f"_bottom{size}"] = f"CASE WHEN count(low) {over} = {size} AND low = min(low) {over} THEN low END"
     # mid-range turning points with two complete neighbours on each side
-    x = F.col("_hl2")
-    around, left, right = fr.rows(-2, 2), fr.rows(-2, -1), fr.rows(1, 2)
-    full = F.count("_hl2").over(around) == 5
+    left, right = fr.rows(-2, -1), fr.rows(1, 2)
     out["_turn"] = (
-        F.when(full & (x > F.max("_hl2").over(left)) & (x > F.max("_hl2").over(right)), F.lit(1))
-        .when(full & (x < F.min("_hl2").over(left)) & (x < F.min("_hl2").over(right)), F.lit(-1))
-        .otherwise(F.lit(0))
+        f"CASE WHEN count(_hl2) {fr.rows(-2, 2)} < 5 THEN 0 "
+        f"WHEN _hl2 > max(_hl2) {left} AND _hl2 > max(_hl2) {right} THEN 1 "
+        f"WHEN _hl2 < min(_hl2) {left} AND _hl2 < min(_hl2) {right} THEN -1 ELSE 0 END"
     )
     for i in (1, 2, 3, 4, 27, 28, 29, 30):
         out[f"_hl2_{i}"] = fr.lag("_hl2", i)
     return out
 
 
-def changes() -> dict[str, Column]:
+def changes() -> Level:
     """Bar-to-bar changes; the first bar of a session has no change."""
-    c, p = F.col("close"), F.col("_c1")
-    delta = c - p
     return {
-        "_gain": F.when(delta > 0, delta).otherwise(F.lit(0.0)),
-        "_loss": F.when(delta < 0, -delta).otherwise(F.lit(0.0)),
-        "_absd": F.abs(delta),
-        "_ret": F.when(p != 0, delta / p),
-        "_tr": F.greatest(
-            F.col("_hl"), F.abs(F.col("high") - p), F.abs(F.col("low") - p)
-        ),  # greatest skips the missing previous close
+        "_gain": "CASE WHEN close > _c1 THEN close - _c1 ELSE 0D END",
+        "_loss": "CASE WHEN close < _c1 THEN _c1 - close ELSE 0D END",
+        "_absd": "abs(close - _c1)",
+        "_ret": "CASE WHEN _c1 <> 0 THEN (close - _c1) / _c1 END",
+        # greatest skips the missing previous close of the first bar
+        "_tr": "greatest(_hl, abs(high - _c1), abs(low - _c1))",
     }
 
 
-def stage_series(fr: SessionFrames) -> dict[str, Column]:
+def change_windows(fr: FrameText) -> Level:
     """Windows over the changes: decayed averages and change statistics."""
-    k = F.col("_n")
-    absd, v = F.col("_absd"), F.col("volume")
     return {
-        "_ema12": fr.ema(F.col("close"), k, span_alpha(12)),
-        "_ema26": fr.ema(F.col("close"), k, span_alpha(26)),
-        "_avg_gain": fr.ema(F.col("_gain"), k, WILDER),
-        "_avg_loss": fr.ema(F.col("_loss"), k, WILDER),
-        "_tr_decayed": fr.decayed_sum(F.col("_tr"), k, WILDER),
-        "_tr_ema14": fr.ema(F.col("_tr"), k, span_alpha(14)),
+        "_ema12": fr.ema("close", "_n", span_alpha(12)),
+        "_ema26": fr.ema("close", "_n", span_alpha(26)),
+        "_avg_gain": fr.ema("_gain", "_n", WILDER),
+        "_avg_loss": fr.ema("_loss", "_n", WILDER),
+        "_tr_decayed": fr.decayed_sum("_tr", "_n", WILDER),
+        "_tr_ema14": fr.ema("_tr", "_n", span_alpha(14)),
         "_tr30": fr.lag("_tr", 30),
-        "_early_trs": F.collect_list(F.when(k < 41, F.col("_tr"))).over(fr.past(41)),
-        "_ret_sd10": F.stddev_samp("_ret").over(fr.past(10)),
-        "_ret_sd_prior20": F.stddev_samp("_ret").over(fr.rows(-30, -11)),
-        "_impacts": F.collect_list(F.when((v >= 100) & (absd > 0), absd / v)).over(fr.rows(-4, -1)),
-        "_path9": F.sum("_absd").over(fr.past(9)),
-        "_trend_corr10": F.corr(k.cast("double"), F.col("close")).over(fr.past(10)),
-        "_levels_above": F.concat(
-            F.collect_list("_top10").over(fr.rows(-45, -5)), F.collect_list("_top20").over(fr.rows(-40, -10))
+        "_early_trs": f"collect_list(CASE WHEN _n < 41 THEN _tr END) {fr.past(41)}",
+        "_ret_sd10": f"stddev_samp(_ret) {fr.past(10)}",
+        "_ret_sd_prior20": f"stddev_samp(_ret) {fr.rows(-30, -11)}",
+        "_impacts": f"collect_list(CASE WHEN volume >= 100 AND _absd > 0 THEN _absd / volume END) {fr.past(4)}",
+        "_path9": f"sum(_absd) {fr.past(9)}",
+        "_trend_corr10": f"corr(CAST(_n AS DOUBLE), close) {fr.past(10)}",
+        "_levels_above": f"concat(collect_list(_top10) {fr.rows(-45, -5)}, collect_list(_top20) {fr.rows(-40, -10)})",
+        "_levels_below": (
+            f"concat(collect_list(_bottom10) {fr.rows(-45, -5)}, collect_list(_bottom20) {fr.rows(-40, -10)})"
         ),
-        "_levels_below": F.concat(
-            F.collect_list("_bottom10").over(fr.rows(-45, -5)), F.collect_list("_bottom20").over(fr.rows(-40, -10))
+        "_turns": (
+            "collect_list(CASE WHEN _turn <> 0 THEN named_struct('pos', _n, 'price', _hl2, 'kind', _turn) END) "
+            + fr.rows(-28, -3)
         ),
-        "_turns": F.collect_list(
-            F.when(
-                F.col("_turn") != 0,
-                F.struct(k.alias("pos"), F.col("_hl2").alias("price"), F.col("_turn").alias("kind")),
-            )
-        ).over(fr.rows(-28, -3)),
     }
 
 
-def stage_signal(fr: SessionFrames) -> dict[str, Column]:
+def average_windows(fr: FrameText) -> Level:
     """Windows over the averages: the signal line and the last values before the current bar."""
-    k = F.col("_n")
-    macd = F.col("_ema12") - F.col("_ema26")
     return {
-        "_macd_hist": macd - fr.ema(macd, k, span_alpha(9)),
+        "_macd_hist": f"_ema12 - _ema26 - {fr.ema('(_ema12 - _ema26)', '_n', span_alpha(9))}",
         "_gain1": fr.lag("_avg_gain"),
         "_loss1": fr.lag("_avg_loss"),
         "_trd1": fr.lag("_tr_decayed"),
         "_trd31": fr.lag("_tr_decayed", 31),
-        "_tr_ema1": fr.lag("_tr_ema14"),
-        "_tr_emas100": F.collect_list("_tr_ema14").over(fr.past(100)),
+        "_tr_emas100": f"collect_list(_tr_ema14) {fr.past(100)}",
     }
 
 
-def stage_last(fr: SessionFrames) -> dict[str, Column]:
-    return {"_macd_hist1": fr.lag("_macd_hist")}
-
-
-def with_session_series(bars: DataFrame, fr: SessionFrames) -> DataFrame:
-    df = bars.withColumns(row_values(bars))
-    lags = stage_lags(fr)
-    if "trade_count" in bars.columns:
-        lags["_trade_count1"] = fr.lag("trade_count")
-    df = df.withColumns(lags)
-    df = df.withColumns(changes())
-    df = df.withColumns(stage_series(fr))
-    df = df.withColumns(stage_signal(fr))
-    return df.withColumns(stage_last(fr))
+def series_levels(fr: FrameText, columns) -> list[Level]:
+    return [
+        row_values(columns), bar_windows(fr, columns), changes(), change_windows(fr), average_windows(fr),
+        {"_macd_hist1": fr.lag("_macd_hist")},
+    ]

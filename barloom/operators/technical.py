@@ -2,227 +2,180 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from barloom.functions.text import clip, gated, pct_change
+from barloom.operators.session_series import WILDER, Level
 
-from barloom.functions.frames import clip, gated, span_alpha
-from barloom.functions.scalars import safe_percentage
-from barloom.operators.session_series import WILDER
-
-N = F.col
-PRICE = "close"
 TIE = 1e-12  # relative slack when comparing decayed averages that should be equal
 
-
-def macd_histogram() -> Column:
-    p = N(PRICE)
-    return gated((N("_n") >= 35) & (p > 0), clip(N("_macd_hist1") / p * 100, -2, 2), 0.0)
-
-
-def rsi() -> Column:
-    gain, loss = N("_gain1"), N("_loss1")
-    value = F.when(loss == 0, F.lit(100.0)).otherwise(clip(100 - 100 / (1 + gain / loss), 0, 100))
-    return gated(N("_n") >= 15, value, 50.0)
-
-
-def bollinger_width() -> Column:
-    return gated((N("_n") >= 20) & (N("_sd20") > 0) & (N("_mean20") > 0), 4 * N("_sd20") / N("_mean20"), 0.0)
-
-
-def bollinger_upper() -> Column:
-    ok = (N("_n") >= 20) & (N("_sd20") > 0) & (N("_mean20") > 0)
-    return gated(ok, N("_mean20") + 2 * N("_sd20"), N(PRICE))
-
-
-def bollinger_lower() -> Column:
-    ok = (N("_n") >= 20) & (N("_sd20") > 0) & (N("_mean20") > 0)
-    return gated(ok, N("_mean20") - 2 * N("_sd20"), N(PRICE))
-
-
-def price_vs_sma50(daily_mean: Column) -> Column:
-    mean = F.when(N("_n") >= 50, N("_mean50")).otherwise(daily_mean)
-    return gated(mean > 0, safe_percentage(N(PRICE), mean), 0.0)
-
-
-def return_5min() -> Column:
-    return gated((N("_n") >= 6) & (N("_c6") > 0), clip(safe_percentage(N(PRICE), N("_c6")), -5, 5), 0.0)
+# fixed values: target column name for each risk multiple
+TARGETS = {1.0: "1R_Target", 1.5: "1_5R_Target", 2.0: "2R_Target", 3.0: "3R_Target", 4.0: "4R_Target"}
 
 
-def return_since_open(day_open: Column) -> Column:
-    ok = (day_open > 0) & (N(PRICE) > 0)
-    return gated(ok, clip(safe_percentage(N(PRICE), day_open), -20, 20), 0.0)
+def bollinger_bands() -> Level:
+    ok = "_n >= 20 AND _sd20 > 0 AND _mean20 > 0"
+    return {
+        "Bollinger_Bands_Upper": gated(ok, "_mean20 + 2 * _sd20", "close"),
+        "Bollinger_Bands_Lower": gated(ok, "_mean20 - 2 * _sd20", "close"),
+        "Bollinger_Band_Width": gated(ok, "4 * _sd20 / _mean20", "0D"),
+    }
 
 
-def return_since_open_enhanced(day_open: Column) -> Column:
-    return gated(N("_n") >= 1, return_since_open(day_open), 0.0)
+def trend_features() -> Level:
+    sma = "CASE WHEN _n >= 50 THEN _mean50 ELSE daily_mean50 END"
+    moved = " + ".join(f"CAST(_c{i} <> _c{i + 1} AS INT)" for i in range(1, 6))
+    agree = " + ".join(
+        f"CAST(signum(_c{i} - _c{i + 1}) * signum(_c{i + 1}) = CASE WHEN _c1 > _c6 THEN 1 ELSE -1 END AS INT)"
+        for i in range(1, 6)
+    )
+    recent = "coalesce(CASE WHEN _c3 <> 0 THEN (_c1 - _c3) / _c3 END, 0D)"
+    earlier = "coalesce(CASE WHEN _c6 <> 0 THEN (_c3 - _c6) / _c6 END, 0D)"
+    fit = "coalesce(nanvl(power(_trend_corr10, 2D), 0D), 0D)"
+    direct = "coalesce(CASE WHEN _path9 > 0 THEN abs(_c1 - _c10) / _path9 END, 0D)"
+    since_open = clip(pct_change("close", "day_open"), -20, 20)
+    return {
+        "MACD_12_26_9": gated("_n >= 35 AND close > 0", clip("_macd_hist1 / close * 100", -2, 2), "0D"),
+        "RSI_14": gated(
+            "_n >= 15",
+            f"CASE WHEN _loss1 = 0 THEN 100D ELSE {clip('100 - 100 / (1 + _gain1 / _loss1)', 0, 100)} END", "50D",
+        ),
+        "Price_vs_SMA50": gated(f"({sma}) > 0", pct_change("close", f"({sma})"), "0D"),
+        "Return_5min": gated("_n >= 6 AND _c6 > 0", clip(pct_change("close", "_c6"), -5, 5), "0D"),
+        "Return_Since_Open": gated("day_open > 0 AND close > 0", since_open, "0D"),
+        "Return_Since_Open_Enhanced": gated("_n >= 1 AND day_open > 0 AND close > 0", since_open, "0D"),
+        "Intraday_Performance_Percentile": gated(
+            "_n > 10 AND close > 0 AND day_open > 0 AND _hist_cmax > _hist_cmin",
+            clip("(close - _hist_cmin) / (_hist_cmax - _hist_cmin)", 0, 1), "0.5D",
+        ),
+        "Price_Acceleration": gated("_n >= 3 AND close > 0", clip("(_c1 - 2 * _c2 + _c3) / close * 100", -10, 10), "0D"),
+        "Momentum_Acceleration": gated("_n >= 6", f"{recent} - {earlier}", "0D"),
+        "Momentum_Consistency": gated(f"_n >= 6 AND {moved} > 0", f"({agree}) / ({moved})", "0.5D"),
+        "Price_Action_Quality": gated("_n >= 10", f"({fit} + {direct}) / 2", "0.5D"),
+    }
 
 
-def intraday_performance(day_open: Column) -> Column:
-    lo, hi, p = N("_hist_cmin"), N("_hist_cmax"), N(PRICE)
-    ok = (N("_n") > 10) & (p > 0) & (day_open > 0) & (hi > lo)
-    return gated(ok, clip((p - lo) / (hi - lo), 0, 1), 0.5)
+def time_features() -> Level:
+    angle = "2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440"
+    return {
+        "Time_Of_Day_Cyclical_Sin": f"coalesce(sin({angle}), 0D)",
+        "Time_Of_Day_Cyclical_Cos": f"coalesce(cos({angle}), 1D)",
+    }
 
 
-def atr_pct() -> Column:
+def atr() -> Level:
     """Wilder average of the true range over at most 30 earlier bars, restarted at the first of them.
 
     The restarted recursion is the session's decayed sum minus the part older than the frame, with the
     frame's first bar re-weighted as the seed; so it needs three lagged values and no array.
     """
     q, a = 1.0 - WILDER, WILDER
-    n = N("_n")
-    m = F.least(n, F.lit(30))
-    seed_weight = F.pow(F.lit(q), m - 1)
-    first_hl = F.when(n >= 30, N("_hl30")).otherwise(N("_hl_first"))
-    first_tr = F.when(n >= 30, N("_tr30")).otherwise(N("_hl_first"))
-    older = F.coalesce(F.when(n > 30, N("_trd31")), F.lit(0.0)) * F.pow(F.lit(q), m)
-    value = N("_trd1") - older - seed_weight * a * first_tr + seed_weight * first_hl
-    p = N(PRICE)
-    # the differences above leave noise of the size of rounding when every range in the frame is zero
-    value = F.when(F.abs(value) > p * 1e-13, value).otherwise(F.lit(0.0))
-    return gated((n >= 15) & (p > 0), value / p * 100, 0.0)
-
-
-def volatility_regime_shift() -> Column:
-    recent, prior = N("_ret_sd10"), N("_ret_sd_prior20")
-    r = recent / prior
-    shift = F.tanh(F.abs(r - 1) / 2)
-    return gated((N("_n") >= 31) & (prior != 0), F.when(r > 1, shift).otherwise(-shift), 0.0)
-
-
-def short_session_ranges() -> Column:
-    """Smoothed ranges of a session of 20 to 41 earlier bars; the span is a third of their number."""
-    n = N("_n")
-    alpha = N("_short_alpha")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        return F.concat(acc, F.array(F.coalesce(last + alpha * (x - last), x)))
-
-    smoothed = F.aggregate(N("_early_trs"), F.array().cast("array<double>"), step)
-    return F.when((n >= 20) & (n < 42), smoothed)
-
-
-def range_series() -> list[dict[str, Column]]:
-    """Columns for ``volatility_percentile``: one projection each, so nothing is rebuilt per element."""
-    n = N("_n")
+    m = "least(_n, 30)"
+    older = f"coalesce(CASE WHEN _n > 30 THEN _trd31 END, 0D) * power({q!r}D, {m})"
+    seed_weight = f"power({q!r}D, {m} - 1)"
+    first_tr = "CASE WHEN _n >= 30 THEN _tr30 ELSE _hl_first END"
+    first_hl = "CASE WHEN _n >= 30 THEN _hl30 ELSE _hl_first END"
+    return {"_atr": f"_trd1 - {older} + {seed_weight} * (({first_hl}) - {a!r}D * ({first_tr}))"}
+
+
+def atr_features() -> Level:
+    # the differences leave noise of the size of rounding when every range in the frame is zero
+    return {
+        "ATR_Pct": gated("_n >= 15 AND close > 0 AND abs(_atr) > close * 1e-13D", "_atr / close * 100", "0D"),
+        "Volatility_Regime_Shift_Norm": gated(
+            "_n >= 31 AND _ret_sd_prior20 <> 0",
+            "signum(_ret_sd10 / _ret_sd_prior20 - 1) * tanh(abs(_ret_sd10 / _ret_sd_prior20 - 1) / 2)", "0D",
+        ),
+    }
+
+
+def range_levels() -> list[Level]:
+    """Steps to the smoothed ranges ranked by ``volatility_percentile``; one projection each, so that
+    nothing is rebuilt per array element. Sessions of 20 to 41 earlier bars use a third of their number
+    as the span."""
+    step = "concat(acc, array(coalesce(try_element_at(acc, -1) + _short_alpha * (x - try_element_at(acc, -1)), x)))"
+    short = f"aggregate(_early_trs, CAST(array() AS ARRAY<DOUBLE>), (acc, x) -> {step})"
     return [
-        {"_short_alpha": F.lit(2.0) / (F.floor(n / 3).cast("double") + 1.0)},
-        {"_ranges": F.coalesce(short_session_ranges(), N("_tr_emas100"))},
-        {"_range_last": F.try_element_at(N("_ranges"), F.lit(-1)), "_range_max": F.array_max("_ranges")},
+        {"_short_alpha": "2D / (_n div 3 + 1)"},
+        {"_ranges": f"CASE WHEN _n >= 20 AND _n < 42 THEN {short} ELSE _tr_emas100 END"},
+        {
+            "_range_limit": f"try_element_at(_ranges, -1) * {1 + TIE!r}D",
+            "_range_max": "array_max(_ranges)",
+            "_range_min": "array_min(_ranges)",
+        },
     ]
 
 
-def volatility_percentile() -> Column:
+def volatility_percentile() -> Level:
     """Rank of the latest smoothed range among the last 100, in percent."""
-    ranges, last, top = N("_ranges"), N("_range_last"), N("_range_max")
-    limit = last * (1 + TIE)
-    at_most = F.size(F.filter(ranges, lambda x: x <= limit))
-    flat = top - F.array_min(ranges) <= top * TIE
-    return F.when((N("_n") < 20) | flat, F.lit(50.0)).otherwise(at_most / F.size(ranges) * 100)
-
-
-def atr_stop_risk_pct(atr: Column) -> Column:
-    p = N(PRICE)
-    return gated((p > 0) & (atr > 0), clip(2 * atr / p * 100, 0, 50), 0.0)
-
-
-def price_acceleration() -> Column:
-    p = N(PRICE)
-    bend = N("_c1") - 2 * N("_c2") + N("_c3")
-    return gated((N("_n") >= 3) & (p > 0), clip(bend / p * 100, -10, 10), 0.0)
-
-
-def momentum_acceleration() -> Column:
-    recent = F.coalesce(F.when(N("_c3") != 0, (N("_c1") - N("_c3")) / N("_c3")), F.lit(0.0))
-    earlier = F.coalesce(F.when(N("_c6") != 0, (N("_c3") - N("_c6")) / N("_c6")), F.lit(0.0))
-    return gated(N("_n") >= 6, recent - earlier, 0.0)
-
-
-def momentum_consistency() -> Column:
-    trend = F.when(N("_c1") > N("_c6"), F.lit(1)).otherwise(F.lit(-1))
-    moved, agree = F.lit(0), F.lit(0)
-    for i in range(1, 6):
-        sign = F.signum(N(f"_c{i}") - N(f"_c{i + 1}")) * F.signum(N(f"_c{i + 1}"))
-        moved = moved + (sign != 0).cast("int")
-        agree = agree + (sign == trend).cast("int")
-    return gated((N("_n") >= 6) & (moved > 0), agree / moved, 0.5)
-
-
-def price_action_quality() -> Column:
-    corr = F.coalesce(F.nanvl(N("_trend_corr10"), F.lit(0.0)), F.lit(0.0))
-    path = N("_path9")
-    directness = F.coalesce(F.when(path > 0, F.abs(N("_c1") - N("_c10")) / path), F.lit(0.0))
-    return gated(N("_n") >= 10, (corr * corr + directness) / 2, 0.5)
-
-
-def rsi_regime(r: Column) -> Column:
-    return (
-        F.when(r >= 70, "overbought")
-        .when(r <= 30, "oversold")
-        .when(r >= 60, "bullish")
-        .when(r <= 40, "bearish")
-        .otherwise("neutral")
-    )
-
-
-def rsi_regime_numeric(r: Column) -> Column:
-    return F.when(r >= 70, 1.0).when(r <= 30, -1.0).when(r >= 60, 0.5).when(r <= 40, -0.5).otherwise(0.0)
-
+    return {
+        "Volatility_Percentile_100":
+            f"CASE WHEN _n < 20 OR _range_max - _range_min <= _range_max * {TIE!r}D THEN 50D "
+            "ELSE size(filter(_ranges, x -> x <= _range_limit)) / size(_ranges) * 100 END"
+    }
 
-def market_regime_score(r: Column, volume_share: Column, acceleration: Column, since_open: Column) -> Column:
-    def vote(x: Column, lo: float, hi: float, weight: float) -> Column:
-        return F.when(x > hi, F.lit(weight)).when(x < lo, F.lit(-weight)).otherwise(F.lit(0.0))
 
-    return (
-        vote(r, 30, 70, 1.0)
-        + vote(volume_share, 0.2, 0.8, 0.5)
-        + vote(acceleration, -0.001, 0.001, 0.5)
-        + vote(since_open, -2.0, 2.0, 0.5)
-    )
+def oscillator_words() -> Level:
+    r = "RSI_14"
+    return {
+        "RSI_Regime":
+            f"CASE WHEN {r} >= 70 THEN 'overbought' WHEN {r} <= 30 THEN 'oversold' WHEN {r} >= 60 THEN 'bullish' "
+            f"WHEN {r} <= 40 THEN 'bearish' ELSE 'neutral' END",
+        "RSI_Regime_Numeric":
+            f"CASE WHEN {r} >= 70 THEN 1D WHEN {r} <= 30 THEN -1D WHEN {r} >= 60 THEN 0.5D "
+            f"WHEN {r} <= 40 THEN -0.5D ELSE 0D END",
+        "RSI_Distance_From_50": f"abs({r} - 50) / 50",
+    }
 
 
-def market_regime_numeric(score: Column) -> Column:
-    return (
-        F.when(score >= 1.5, 2).when(score >= 0.5, 1).when(score <= -1.5, -2).when(score <= -0.5, -1).otherwise(0)
-    )
+def market_regime() -> list[Level]:
+    """Score from four votes, then its band."""
 
+    def vote(x: str, lo: float, hi: float, weight: float) -> str:
+        return f"CASE WHEN {x} > {hi} THEN {weight}D WHEN {x} < {lo} THEN -{weight}D ELSE 0D END"
 
-def market_regime(score: Column) -> Column:
-    return (
-        F.when(score >= 1.5, "strong_bullish")
-        .when(score >= 0.5, "bullish")
-        .when(score <= -1.5, "strong_bearish")
-        .when(score <= -0.5, "bearish")
-        .otherwise("neutral")
+    score = " + ".join(
+        [
+            vote("RSI_14", 30, 70, 1.0), vote("Volume_Percentile_Intraday", 0.2, 0.8, 0.5),
+            vote("Momentum_Acceleration", -0.001, 0.001, 0.5), vote("Return_Since_Open_Enhanced", -2.0, 2.0, 0.5),
+        ]
     )
+    s = "_regime_score"
+    return [
+        {s: score},
+        {
+            "Market_Regime":
+                f"CASE WHEN {s} >= 1.5 THEN 'strong_bullish' WHEN {s} >= 0.5 THEN 'bullish' "
+                f"WHEN {s} <= -1.5 THEN 'strong_bearish' WHEN {s} <= -0.5 THEN 'bearish' ELSE 'neutral' END",
+            "Market_Regime_Numeric":
+                f"CASE WHEN {s} >= 1.5 THEN 2 WHEN {s} >= 0.5 THEN 1 WHEN {s} <= -1.5 THEN -2 "
+                f"WHEN {s} <= -0.5 THEN -1 ELSE 0 END",
+        },
+    ]
 
 
-# fixed values: target column name for each risk multiple
-TARGETS = {1.0: "1R_Target", 1.5: "1_5R_Target", 2.0: "2R_Target", 3.0: "3R_Target", 4.0: "4R_Target"}
-
-
-def risk_levels(atr: Column, multiplier: float = 1.0, max_risk_pct: float | None = None) -> dict[str, Column]:
+def risk_levels(multiplier: float = 1.0, max_risk_pct: float | None = None) -> list[Level]:
     """Stop, targets and position size from price and ATR; all NULL (size 0) without a usable ATR.
 
     ``max_risk_pct`` caps the risk distance at that share of price (an older variant used 0.6).
     """
-    p = N(PRICE)
-    ok = (p > 0) & (atr > 0)
-    atr_abs = atr / 100 * p
-    risk = atr_abs * multiplier
+    risk = f"(ATR_Pct / 100 * close) * {float(multiplier)}D"
     if max_risk_pct is not None:
-        risk = F.least(risk, p * (max_risk_pct / 100.0))
-    reward = F.greatest(p * 0.0020, risk)
-    risk_pct = F.when(ok, F.bround(risk / p * 100, 2))
-    out = {
-        "Current_Price": F.when(ok, F.bround(p, 2)),
-        "1R_Stop_Loss": F.when(ok, F.bround(p - risk, 2)),
-        "Risk_Amount_Pct": risk_pct,
-        "ATR_Distance": F.when(ok, F.bround(atr_abs, 3)),
-        "ATR_Multiplier_Used": F.when(ok, F.lit(float(multiplier))),
+        risk = f"least({risk}, close * {max_risk_pct / 100.0}D)"
+    first = {
+        "ATR_Stop_Risk_Pct": gated("close > 0 AND ATR_Pct > 0", clip("2 * ATR_Pct / close * 100", 0, 50), "0D"),
+        "_risk": f"CASE WHEN close > 0 AND ATR_Pct > 0 THEN {risk} END",
+    }
+    known = "_risk IS NOT NULL"
+    second = {
+        "Current_Price": f"CASE WHEN {known} THEN bround(close, 2) END",
+        "1R_Stop_Loss": "bround(close - _risk, 2)",
+        "Risk_Amount_Pct": f"CASE WHEN {known} THEN bround(_risk / close * 100, 2) END",
+        "ATR_Distance": f"CASE WHEN {known} THEN bround(ATR_Pct / 100 * close, 3) END",
+        "ATR_Multiplier_Used": f"CASE WHEN {known} THEN {float(multiplier)}D END",
     }
+    reward = "greatest(close * 0.0020D, _risk)"
     for multiple, name in TARGETS.items():
-        out[name] = F.when(ok, F.bround(p + reward * multiple, 2))
-    out["Position_Size_1pct_Risk"] = gated(risk_pct > 0, F.bround(F.lit(100.0) / risk_pct, 2), 0.0)
-    return out
+        second[name] = f"CASE WHEN {known} THEN bround(close + {reward} * {multiple}D, 2) END"
+    third = {
+        "Position_Size_1pct_Risk": gated("Risk_Amount_Pct > 0", "bround(100D / Risk_Amount_Pct, 2)", "0D"),
+    }
+    return [first, second, third]

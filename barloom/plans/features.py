@@ -2,84 +2,51 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from barloom.functions import scalars as S
-from barloom.functions.frames import SessionFrames
+from barloom.functions.frames import FrameText
+from barloom.functions.text import apply_levels, needed_levels
 from barloom.operators import microstructure as M
 from barloom.operators import patterns as P
 from barloom.operators import technical as T
 from barloom.operators.daily_context import join_daily
-from barloom.operators.session_series import with_session_series
+from barloom.operators.session_series import Level, series_levels
 
 MIN_HISTORY = 15
+DAILY_COLUMNS = {"day_open", "daily_mean50"}
 
 
-def zip_steps(*series: list[dict]) -> list[dict]:
-    """Merge parallel step lists so that step i of each lands in the same projection."""
-    return [{name: c for part in parts for name, c in part.items()} for parts in zip(*series, strict=True)]
-
-
-def feature_columns(df: DataFrame) -> DataFrame:
-    """All features from the session series; later groups read earlier ones by name."""
-    day_open = F.when(F.col("day_open") > 0, F.col("day_open"))
-    for step in (P.level_marks(), *zip_steps(T.range_series(), P.swing_columns())):
-        df = df.withColumns(step)
-    df = df.withColumns(
-        {
-            "n_hist": F.col("_n"),
-            **M.quote_features(df),
-            **M.volume_features(df),
-            "MACD_12_26_9": T.macd_histogram(),
-            "RSI_14": T.rsi(),
-            "Bollinger_Band_Width": T.bollinger_width(),
-            "Price_vs_SMA50": T.price_vs_sma50(F.col("daily_mean50")),
-            "Return_5min": T.return_5min(),
-            "Return_Since_Open": T.return_since_open(day_open),
-            "ATR_Pct": T.atr_pct(),
-            "Volatility_Regime_Shift_Norm": T.volatility_regime_shift(),
-            "Volatility_Percentile_100": T.volatility_percentile(),
-            "Position_In_Day_Range": P.position_in_day_range(),
-            "Support_Resistance_Proximity": P.support_resistance_proximity(),
-            "Breakout_Confirmation": P.breakout_confirmation(),
-            "Price_Acceleration": T.price_acceleration(),
-            "Max_Drawdown_30": P.max_drawdown(),
-            "Time_Of_Day_Cyclical_Sin": S.time_of_day_sin("ts"),
-            "Time_Of_Day_Cyclical_Cos": S.time_of_day_cos("ts"),
-            "Momentum_Acceleration": T.momentum_acceleration(),
-            "Momentum_Consistency": T.momentum_consistency(),
-            "Price_Action_Quality": T.price_action_quality(),
-            "Return_Since_Open_Enhanced": T.return_since_open_enhanced(day_open),
-            "Intraday_Performance_Percentile": T.intraday_performance(day_open),
-        }
-    )
-    rsi = F.col("RSI_14")
-    df = df.withColumns(
-        {
-            "ATR_Stop_Risk_Pct": T.atr_stop_risk_pct(F.col("ATR_Pct")),
-            **T.risk_levels(F.col("ATR_Pct")),
-            "RSI_Regime": T.rsi_regime(rsi),
-            "RSI_Regime_Numeric": T.rsi_regime_numeric(rsi),
-            "RSI_Distance_From_50": F.abs(rsi - 50) / 50,
-            **P.impulse_vector(),
-            **M.spread_rank(),
-        }
-    )
-    return df
+def _merge(*series: list[Level]) -> list[Level]:
+    """Level i of every series in one projection."""
+    return [{k: v for part in parts for k, v in part.items()} for parts in zip_longest(*series, fillvalue={})]
 
 
-def with_market_regime(df: DataFrame) -> DataFrame:
-    """Optional regime columns; the live and batch feature paths do not add them by default."""
-    score = T.market_regime_score(
-        F.col("RSI_14"),
-        F.col("Volume_Percentile_Intraday"),
-        F.col("Momentum_Acceleration"),
-        F.col("Return_Since_Open_Enhanced"),
-    )
-    return df.withColumns(
-        {"Market_Regime": T.market_regime(score), "Market_Regime_Numeric": T.market_regime_numeric(score)}
+def feature_levels(fr: FrameText, columns, multiplier: float = 1.0, max_risk_pct: float | None = None) -> list[Level]:
+    """All projections in order; a level reads only columns of the levels before it."""
+    main = (
+        {"n_hist": "_n"} | M.quote_features(columns) | M.volume_features(columns) | T.bollinger_bands()
+        | T.trend_features() | T.time_features() | T.atr_features() | T.volatility_percentile() | P.pattern_features()
+        | P.impulse_vector()
     )
+    return [
+        *series_levels(fr, columns),
+        *_merge([T.atr() | P.level_marks(), P.nearest_levels()], T.range_levels(), P.swing_levels()),
+        main,
+        *_merge(
+            T.risk_levels(multiplier, max_risk_pct), [T.oscillator_words() | M.spread_rank()], T.market_regime()
+        ),
+    ]
+
+
+OPTIONAL = ("Market_Regime", "Market_Regime_Numeric", "Bollinger_Bands_Upper", "Bollinger_Bands_Lower")
+
+
+def feature_names(columns) -> list[str]:
+    """Features of the default projection, in order."""
+    levels = feature_levels(FrameText(), columns)
+    return [n for level in levels for n in level if not n.startswith("_") and n not in OPTIONAL]
 
 
 def spread_sessions(bars: DataFrame) -> DataFrame:
@@ -93,17 +60,22 @@ def spread_sessions(bars: DataFrame) -> DataFrame:
 
 
 def feature_table(
-    bars: DataFrame, daily: DataFrame | None = None, max_bars: int = 1440, min_history: int | None = None
+    bars: DataFrame, daily: DataFrame | None = None, max_bars: int = 1440, min_history: int | None = None,
+    columns: list[str] | None = None, atr_multiplier: float = 1.0, max_risk_pct: float | None = None,
 ) -> DataFrame:
     """Features for every bar.
 
     ``bars`` has one row per (symbol, session, ts) with open, high, low, close, volume, trade_date and
-    optionally bid_px, ask_px, bid_sz, ask_sz, trade_count. Only columns a caller selects are computed.
+    optionally bid_px, ask_px, bid_sz, ask_sz, trade_count. ``columns`` names the wanted features, optional
+    ones included; by default all but the optional ones. Only what they depend on is planned.
     """
-    fr = SessionFrames(max_bars=max_bars)
-    joined = spread_sessions(join_daily(bars, daily))
-    df = feature_columns(with_session_series(joined, fr))
-    df = df.drop(*[c for c in df.columns if c.startswith("_")])
+    fr = FrameText(max_bars=max_bars)
+    names = columns if columns is not None else feature_names(bars.columns)
+    wanted = list(names) + ([] if min_history is None or "n_hist" in names else ["n_hist"])
+    levels = needed_levels(feature_levels(fr, bars.columns, atr_multiplier, max_risk_pct), wanted)
+    reads_daily = any(c in text for level in levels for text in level.values() for c in DAILY_COLUMNS)
+    joined = join_daily(bars, daily) if reads_daily else bars
+    df = apply_levels(spread_sessions(joined), levels)
     if min_history is not None:
-        df = df.filter(F.col("n_hist") >= min_history)
-    return df
+        df = df.filter(f"n_hist >= {int(min_history)}")
+    return df.select(*bars.columns, *names)

@@ -17,6 +17,8 @@ MAX_BARS = 336  # half-hour bars in a week
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One checking table. Its times carry no zone, so the session reads them as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
