@@ -232,14 +232,14 @@ def anova_f(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     )
     n, m = F.col("n"), F.col("m")
     total = per_class.groupBy("feature").agg(
-        F.sum("n").alias("N"), F.count("*").alias("k"),
+        F.sum("n").alias("rows"), F.count("*").alias("k"),
         (F.sum(n * m) / F.sum("n")).alias("mean"), F.sum(n * F.col("v")).alias("within"),
         F.collect_list(F.struct("n", "m")).alias("classes"),
     )
     between = F.aggregate(
         "classes", F.lit(0.0), lambda a, c: a + c["n"] * (c["m"] - F.col("mean")) * (c["m"] - F.col("mean"))
     )
-    df_b, df_w = F.col("k") - 1, F.col("N") - F.col("k")
+    df_b, df_w = F.col("k") - 1, F.col("rows") - F.col("k")
     score = F.when(
         (F.col("within") > 0) & (df_b > 0) & (df_w > 0), (between / df_b) / (F.col("within") / df_w)
     )
@@ -263,12 +263,12 @@ def mutual_information(df: DataFrame, target: str, features: list[str], cuts: di
     by_feature = Window.partitionBy("feature")
     cells = cells.withColumns(
         {
-            "N": F.sum("n").over(by_feature),
+            "total": F.sum("n").over(by_feature),
             "nb": F.sum("n").over(Window.partitionBy("feature", "bin")),
             "ny": F.sum("n").over(Window.partitionBy("feature", "_y")),
         }
     )
-    n, total = F.col("n").cast("double"), F.col("N").cast("double")
+    n, total = F.col("n").cast("double"), F.col("total").cast("double")
     part = n / total * F.ln(n * total / (F.col("nb").cast("double") * F.col("ny")))
     return cells.groupBy("feature").agg(F.sum(part).alias("mi_score"))
 

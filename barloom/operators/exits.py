@@ -48,7 +48,7 @@ def _first_hit(ranges: str, after: Column, key: str) -> Column:
 
 
 def first_exits(entries: DataFrame, bars: DataFrame, block_seconds: int = 1800) -> DataFrame:
-    """(entry_id, exit_ts, exit_price, exit_reason) for entries that find an exit.
+    """Entries with exit_ts, exit_price and exit_reason, all NULL where no exit is found.
 
     Searched coarse to fine: a symbol's days, a day's blocks, a block's bars. Each level keeps the
     lowest and highest close and whether the close buffer falls inside, so an entry is matched with the
@@ -73,8 +73,8 @@ def first_exits(entries: DataFrame, bars: DataFrame, block_seconds: int = 1800)
     day_blocks = by_day.select("symbol", "day", "day_blocks")
 
     asked = entries.select(
-        "entry_id", "symbol", F.col("ts").alias("entry_ts"), day.alias("day"), block.alias("own_block"),
-        "stop_loss_price", "take_profit_price",
+        "entry_id", "symbol", day.alias("day"), block.alias("own_block"), "stop_loss_price", "take_profit_price",
+        F.struct(*[c for c in entries.columns if c not in ("entry_id", "symbol")]).alias("entry"),
     )
     asked = asked.join(day_blocks, ["symbol", "day"], "left").join(days, "symbol", "left")
     asked = asked.withColumns(
@@ -93,30 +93,30 @@ def first_exits(entries: DataFrame, bars: DataFrame, block_seconds: int = 1800)
         ),
     )
     looks = asked.select(
-        "entry_id", "symbol", "entry_ts", "stop_loss_price", "take_profit_price",
-        F.explode(F.filter(here, lambda x: x["block"].isNotNull())).alias("look"),
-    ).select("*", "look.day", "look.block").drop("look")
+        "entry_id", "symbol", "entry", F.inline(F.filter(here, lambda x: x["block"].isNotNull()))
+    )
 
+    # an outer join keeps entries without any exit, so they need no second pass over the entries
+    found = looks.join(series, ["symbol", "day", "block"], "left")
     price = F.col("bar_close")
-    rank = (
-        F.when(price <= F.col("stop_loss_price"), 1)
-        .when(price >= F.col("take_profit_price"), 2)
-        .when(F.col("closing"), 3)
-    )
-    found = (
-        looks.join(series, ["symbol", "day", "block"])
-        .filter(F.col("bar_ts") >= F.col("entry_ts"))
-        .withColumn("rank", rank)
-        .filter("rank IS NOT NULL")
-    )
-    at = F.unix_micros("bar_ts") * 4 + F.col("rank")
-    best = found.groupBy("entry_id").agg(
+    rank = F.when(
+        F.col("bar_ts") >= F.col("entry.ts"),
+        F.when(price <= F.col("entry.stop_loss_price"), 1)
+        .when(price >= F.col("entry.take_profit_price"), 2)
+        .when(F.col("closing"), 3),
+    )
+    found = found.withColumn("rank", rank)
+    at = F.when(F.col("rank").isNotNull(), F.unix_micros("bar_ts") * 4 + F.col("rank"))
+    best = found.groupBy("entry_id", "symbol").agg(
+        F.any_value("entry").alias("entry"),
         F.min_by("bar_ts", at).alias("exit_ts"),
         F.min_by("bar_close", at).alias("exit_price"),
         F.min_by("rank", at).alias("rank"),
     )
-    reason = F.when(F.col("rank") == 1, "STOP_LOSS").when(F.col("rank") == 2, "TAKE_PROFIT").otherwise("MARKET_CLOSE")
-    return best.withColumn("exit_reason", reason).drop("rank")
+    reason = F.when(F.col("rank") == 1, "STOP_LOSS").when(F.col("rank") == 2, "TAKE_PROFIT").when(
+        F.col("rank") == 3, "MARKET_CLOSE"
+    )
+    return best.select("entry_id", "symbol", "entry.*", "exit_ts", "exit_price", reason.alias("exit_reason"))
 
 
 def bracket_exits(
@@ -129,8 +129,7 @@ def bracket_exits(
     take_profit_price. Positions that meet no exit stay OPEN.
     """
     held = open_positions(entries, slippage, commission)
-    exits = first_exits(held, bars, block_seconds)
-    df = held.join(exits, "entry_id", "left")
+    df = first_exits(held, bars, block_seconds)
     sell = F.col("exit_price") * (1 - slippage)
     df = df.withColumns(
         {
