@@ -1 +1,215 @@
-"""To be filled."""
+"""Streaming jobs, run to completion over the event table, and the live screening path."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
+
+from barloom.catalog import register
+from barloom.catalog.features import R_LEVELS, features
+from barloom.catalog.signals import (
+    CANDIDATES_SQL,
+    LEVELS_SQL,
+    SCREEN_SQL,
+    LEVEL_COLUMNS,
+    candidates,
+    level_rows,
+)
+from barloom.catalog.sql_parts import BARS, DAILY, TICKS, WINDOWS, level, r6
+from barloom.operators import labels
+from barloom.session import scratch_path
+from barloom.sources import driver_tables as D
+from barloom.streaming import live as L
+from barloom.streaming import quotes as Q
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a file stream."""
+    schema = D.table(spark, sf_dir, "events").schema
+    return Q.stream_table(spark, f"{sf_dir}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drain(writer: DataStreamWriter, spark: SparkSession) -> str:
+    """Run a streaming query over all present input into a Parquet folder; its path."""
+    out = scratch_path(spark, "stream")
+    q = (
+        writer.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "progress"))
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return out
+
+
+def _message() -> Column:
+    """A snapshot message as the vendor sends it, from one event."""
+    price = F.format_string("%.2f", "value")
+    return F.to_json(
+        F.struct(
+            F.col("user_id").alias("conid"), F.lit("smd").alias("topic"), F.unix_millis("ts").alias("_updated"),
+            F.concat(F.lit("C"), price).alias("31"), price.alias("84"), price.alias("86"),
+            F.concat(F.col("user_id").cast("string"), F.lit("K")).alias("85"), F.lit("1,200").alias("88"),
+            F.concat(F.col("user_id").cast("string"), F.lit("M")).alias("87"),
+        )
+    )
+
+
+@register(
+    "stream_quotes",
+    """SELECT event_type AS symbol, user_id AS contract_id, epoch_us(ts) // 1000 AS ts_ms, value AS last_price, value AS bid_price,
+  user_id * 1000 AS bid_size, CAST(1200 AS BIGINT) AS ask_size, user_id * 1000000 AS volume FROM events""",
+)
+def stream_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON snapshots decoded on the stream."""
+    messages = event_stream(spark, sf_dir).select("event_type", _message().alias("value"))
+    rows = Q.decode_quotes(messages, symbol=F.col("event_type"), topic="smd")
+    df = spark.read.schema(rows.schema).parquet(drain(rows.writeStream, spark))
+    return df.select(
+        "symbol", "contract_id", F.unix_millis("ts").alias("ts_ms"), "last_price", "bid_price", "bid_size", "ask_size", "volume"
+    )
+
+
+@register(
+    "stream_latest",
+    "SELECT event_type AS symbol, epoch_us(max(ts)) // 1000 AS ts_ms, arg_max(value, ts) AS value FROM events GROUP BY 1",
+)
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest snapshot per symbol: each batch replaces the stored state, one row per symbol."""
+    out = scratch_path(spark, "latest")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{batch_id}")
+
+    rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", "value")
+    q = (
+        Q.latest_quotes(rows).writeStream.outputMode("complete").foreachBatch(keep)
+        .option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    df = spark.read.parquet(f"{out}/{last}")
+    return df.select("symbol", F.unix_millis("ts").alias("ts_ms"), "value")
+
+
+@register(
+    "stream_dedupe",
+    "SELECT user_id, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS minute_s, count(*) > 0 AS seen FROM events GROUP BY 1, 2",
+)
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar arrives twice; the first per key survives."""
+    e = event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("symbol"), F.date_trunc("minute", "ts").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("poll")
+    )
+    df = spark.read.parquet(drain(Q.first_bars(e, "31 days").writeStream, spark))
+    return df.select(F.col("symbol").alias("user_id"), F.unix_seconds("ts").alias("minute_s"), F.lit(True).alias("seen"))
+
+
+@register(
+    "stream_minute_bars",
+    f"""WITH {TICKS} SELECT symbol, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS ts_s, {r6('arg_min(price, ts)')} AS open,
+  {r6('max(price)')} AS high, {r6('min(price)')} AS low, {r6('arg_max(price, ts)')} AS close, {r6('sum(size)')} AS volume
+FROM ticks GROUP BY 1, 2 HAVING ts_s + 60 <= (SELECT max(epoch(ts)) FROM ticks) - 120""",
+)
+def stream_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-minute bars from the tick stream; bars younger than the watermark are not final yet."""
+    e = event_stream(spark, sf_dir)
+    ticks = e.select(
+        F.col("event_type").alias("symbol"), "ts", (F.lit(100.0) + F.col("value") * 0.02).alias("price"),
+        ((F.col("user_id") + 1) * 10).cast("double").alias("size"),
+    )
+    df = spark.read.parquet(drain(Q.tick_bars(ticks).writeStream.outputMode("append"), spark))
+    return df.select(
+        "symbol", F.unix_seconds("ts").alias("ts_s"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close", "volume")]
+    )
+
+
+@register(
+    "freshness",
+    f"""WITH {BARS}, {DAILY}, a AS (SELECT 'ticks' AS source, max(ts) AS t FROM events UNION ALL SELECT 'bars', max(ts) FROM bars
+  UNION ALL SELECT 'daily', CAST(max(date) AS TIMESTAMP) FROM daily)
+SELECT source, CAST(epoch(t) AS BIGINT) AS latest_s, {r6("epoch(TIMESTAMP '2024-02-01') - epoch(t)")} AS latency_seconds FROM a""",
+)
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    sources = {
+        "ticks": (D.event_ticks(spark, sf_dir), "ts"), "bars": (D.event_bars(spark, sf_dir), "ts"),
+        "daily": (D.event_daily(spark, sf_dir), "date"),
+    }
+    f = Q.freshness(sources, now)
+    return f.select("source", F.unix_seconds("latest").alias("latest_s"), F.round("latency_seconds", 6).alias("latency_seconds"))
+
+
+def _score(df: DataFrame) -> DataFrame:
+    """Stand-in scorer: the position of the price in its day's range."""
+    p = F.coalesce(F.col("Position_In_Day_Range"), F.lit(0.0))
+    return df.withColumns({"probability": p, "prediction": (p >= 0.5).cast("int")})
+
+
+@register("live_screen")
+def live_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest bar of every symbol: features from its last 60 bars, screened and scored."""
+    rows = L.latest_feature_rows(D.event_bars(spark, sf_dir), D.event_daily(spark, sf_dir), D.MAX_BARS)
+    out = L.assess(rows, _score)
+    return out.select("symbol", F.unix_seconds("ts").alias("ts_s"), "screen_pass", "screen_reason", "prediction", F.round("probability", 6).alias("probability"))
+
+
+@register("stream_screen")
+def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live path as a stream: every micro-batch of new bars is screened and appended."""
+    bars_path, out = scratch_path(spark, "bars"), scratch_path(spark, "screened")
+    D.event_bars(spark, sf_dir).write.parquet(bars_path)
+    schema = spark.read.parquet(bars_path).schema
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        # the history store holds earlier batches too, so each batch sees the symbol's last bars
+        touched = batch.select("symbol").distinct()
+        known = batch.sparkSession.read.parquet(bars_path).join(touched, "symbol", "left_semi")
+        rows = L.assess(L.latest_feature_rows(known, None, D.MAX_BARS), _score)
+        rows.select("symbol", "ts", "screen_pass", "screen_reason", "prediction", "probability").write.mode("append").parquet(out)
+
+    q = L.run_live(Q.stream_table(spark, bars_path, schema), on_batch, scratch_path(spark, "progress"), availableNow=True)
+    q.awaitTermination()
+    df = spark.read.parquet(out)
+    return df.select("symbol", F.unix_seconds("ts").alias("ts_s"), "screen_pass", "screen_reason", "prediction")
+
+
+_GATE = ", ".join(
+    [CANDIDATES_SQL] + [level(f"q{i}", "s" if i == 0 else f"q{i - 1}", c) for i, c in enumerate([*R_LEVELS, LEVELS_SQL, {"why": SCREEN_SQL}])]
+)
+_LAST_LEVEL = f"q{len(R_LEVELS) + 1}"
+
+
+@register(
+    "swing_gate",
+    f"""WITH {_GATE}, g AS (SELECT symbol, ts, why, EXISTS (SELECT 1 FROM candidates c WHERE c.symbol = e.symbol
+  AND abs(epoch(c.ts) - epoch(e.ts)) <= 60) AS low FROM {_LAST_LEVEL} e)
+SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, low AS is_swing_low, low AND why = 'conditions_met' AS gate_pass,
+  CASE WHEN why = 'conditions_met' THEN CASE WHEN low THEN why || '_at_swing_low' ELSE 'rejected_not_at_swing_low' END
+       WHEN low THEN 'at_swing_low_but_' || why ELSE 'no_swing_low_and_' || why END AS gate_reason FROM g""",
+)
+def swing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    screened = labels.screen(level_rows(spark, sf_dir)).select("symbol", "ts", "screen_pass", "screen_reason")
+    gated = L.swing_gate(screened, candidates(spark, sf_dir))
+    return gated.select("symbol", F.unix_seconds("ts").alias("ts_s"), "is_swing_low", "gate_pass", "gate_reason")
+
+
+@register(
+    "replay_asof",
+    f"""WITH {BARS} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s FROM bars
+WHERE trade_date = DATE '2024-01-17' AND ts <= TIMESTAMP '2024-01-17 15:00:00' - INTERVAL 1 MINUTE""",
+)
+def replay_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.lit("2024-01-17 15:00:00").cast("timestamp")
+    return L.replay_asof(D.event_bars(spark, sf_dir), at).select("symbol", F.unix_seconds("ts").alias("ts_s"))
+
+
+@register(
+    "entry_signals",
+    f"""WITH {_GATE}, p AS (SELECT *, min(low) OVER hist AS lo, max(high) OVER hist AS hi FROM {_LAST_LEVEL} WINDOW {WINDOWS}),
+z AS (SELECT symbol, ts, why, CASE WHEN hi > lo THEN greatest(0, least(1, (close - lo) / (hi - lo))) ELSE 0.5 END AS p FROM p)
+SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, {r6('p')} AS probability FROM z WHERE why = 'conditions_met' AND p > 0.7""",
+)
+def entry_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screened rows whose score asks for an entry."""
+    rows = labels.screen(features(spark, sf_dir, [*LEVEL_COLUMNS, "Position_In_Day_Range"]))
+    return L.entry_signals(_score(rows)).select("symbol", F.unix_seconds("ts").alias("ts_s"), F.round("probability", 6).alias("probability"))

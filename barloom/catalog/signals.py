@@ -111,7 +111,7 @@ register("adaptive_swing_lows", f"WITH {BARS}, {SERIES}, {_VWAP}, {_ADAPTIVE} {_
     _low_query("is_adaptive_low", swings.flag_adaptive_lows)
 )
 
-_CANDIDATES = f"""{_STRICT}, {_ADAPTIVE}, candidates AS (
+CANDIDATES_SQL = f"""{_STRICT}, {_ADAPTIVE}, candidates AS (
   SELECT symbol, ts, string_agg(DISTINCT m, '+' ORDER BY m) AS methods, max(close) AS close FROM (
     SELECT *, 'strict' AS m FROM strict_lows UNION ALL SELECT *, 'adaptive' AS m FROM adaptive_lows) GROUP BY 1, 2)"""
 
@@ -122,7 +122,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "swing_candidates",
-    f"WITH {_CANDIDATES} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, methods, round(close, 6) AS close FROM candidates",
+    f"WITH {CANDIDATES_SQL} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, methods, round(close, 6) AS close FROM candidates",
 )
 def swing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(candidates(spark, sf_dir).withColumnRenamed("minute", "ts"), ["methods", "close"])
@@ -144,7 +144,7 @@ def union_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "nearest_minute",
-    f"""WITH {_CANDIDATES}, m AS (SELECT DISTINCT symbol, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS m FROM ticks),
+    f"""WITH {CANDIDATES_SQL}, m AS (SELECT DISTINCT symbol, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS m FROM ticks),
 c AS (SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s FROM candidates)
 SELECT c.symbol, c.ts_s, arg_min(m.m, abs(m.m - c.ts_s) * 100000000000 + m.m) AS minute_s,
        min(abs(m.m - c.ts_s)) AS gap_seconds
@@ -159,7 +159,7 @@ def nearest_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- screening and labels -----------------------------------------------------------------------
 
-_LEVELS_SQL = {
+LEVELS_SQL = {
     "cur": "CASE WHEN atr_pct > 0 THEN round_even(close, 2) END",
     "stop": "CASE WHEN atr_pct > 0 THEN round_even(close - atr, 2) END",
     "dist": "CASE WHEN atr_pct > 0 THEN round_even(atr, 3) END",
@@ -168,7 +168,7 @@ _LEVELS_SQL = {
     "r3": "CASE WHEN atr_pct > 0 THEN round_even(close + 3 * reward, 2) END",
     "r4": "CASE WHEN atr_pct > 0 THEN round_even(close + 4 * reward, 2) END",
 }
-_SCREEN = (
+SCREEN_SQL = (
     "CASE WHEN cur IS NULL OR cur <= 0 THEN 'missing_or_invalid_current_price' "
     "WHEN stop IS NULL OR stop <= 0 THEN 'missing_or_invalid_1r_stop_loss' "
     "WHEN r1 IS NULL OR r1 <= 0 THEN 'missing_or_invalid_1r_target' "
@@ -185,7 +185,7 @@ def level_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "screen",
-    over_series([*R_LEVELS, _LEVELS_SQL], {"screen_pass": f"({_SCREEN}) = 'conditions_met'", "screen_reason": _SCREEN}),
+    over_series([*R_LEVELS, LEVELS_SQL], {"screen_pass": f"({SCREEN_SQL}) = 'conditions_met'", "screen_reason": SCREEN_SQL}),
 )
 def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(labels.screen(level_rows(spark, sf_dir)), "screen_pass", "screen_reason")
@@ -194,7 +194,7 @@ def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_sql() -> str:
     ctes = [BARS, SERIES]
     source = "s"
-    for i, columns in enumerate([*R_LEVELS, _LEVELS_SQL, {"why": _SCREEN}]):
+    for i, columns in enumerate([*R_LEVELS, LEVELS_SQL, {"why": SCREEN_SQL}]):
         ctes.append(level(f"s{i}", source, columns))
         source = f"s{i}"
     ctes.append(f"""ahead AS (
@@ -252,7 +252,7 @@ def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- exits --------------------------------------------------------------------------------------
 
 _ENTRY_SQL = f"""{BARS}, {SERIES}, {", ".join(
-    level(f"s{i}", "s" if i == 0 else f"s{i - 1}", c) for i, c in enumerate([*R_LEVELS, _LEVELS_SQL, {"why": _SCREEN}])
+    level(f"s{i}", "s" if i == 0 else f"s{i - 1}", c) for i, c in enumerate([*R_LEVELS, LEVELS_SQL, {"why": SCREEN_SQL}])
 )}, entries AS (
   SELECT symbol, ts, close AS price, stop, r2, close * 1.001 AS buy FROM s{len(R_LEVELS) + 1} WHERE why = 'conditions_met'),
 held AS (SELECT *, CAST(floor({BUDGET} / buy) AS BIGINT) AS qty FROM entries),
@@ -318,9 +318,19 @@ def trade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in doubles})
 
 
-@register("one_position_at_a_time")
+@register(
+    "one_position_at_a_time",
+    f"""WITH RECURSIVE {_ENTRY_SQL}, t AS (SELECT symbol, CAST(ts AS DATE) AS d, ts, exit_reason, net_pnl,
+  coalesce(bts, TIMESTAMP '9999-01-01') AS until FROM trades),
+kept AS (
+  SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.symbol = t.symbol AND x.d = t.d AND x.ts < t.ts)
+  UNION ALL
+  SELECT n.* FROM kept k JOIN t n ON n.symbol = k.symbol AND n.d = k.d AND n.ts >= k.until AND n.ts > k.ts
+    AND NOT EXISTS (SELECT 1 FROM t x WHERE x.symbol = k.symbol AND x.d = k.d AND x.ts >= k.until AND x.ts > k.ts AND x.ts < n.ts))
+SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, exit_reason, {r6('net_pnl')} AS net_pnl FROM kept""",
+)
 def one_position_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entry rule: at most one open position per symbol; a sequential fold, checked against brute force in tests."""
+    """Entry rule: at most one open position per symbol."""
     kept = exits.one_position_at_a_time(trade_rows(spark, sf_dir))
     return _keys(kept, "exit_reason", F.round("net_pnl", 6).alias("net_pnl"))
 

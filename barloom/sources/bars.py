@@ -132,9 +132,8 @@ def read_monthly_csv(
     m = f"{month:02d}" if month is not None else "*"
     names = [f"{folder.rstrip('/')}/monthly_{s}_{y}-{m}.csv" for s in (symbols or ["*"])]
     df = spark.read.option("header", True).csv(names)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"monthly_(.+)_(\d{4}-\d{2})\.csv", 1)
-    ym = F.regexp_extract(F.col("_metadata.file_name"), r"monthly_(.+)_(\d{4}-\d{2})\.csv", 2)
-    return df.withColumns({"file_symbol": stem, "file_ym": ym})
+    path, shape = F.col("_metadata.file_path"), r"monthly_([^/]+)_(\d{4}-\d{2})\.csv"
+    return df.withColumns({"file_symbol": F.regexp_extract(path, shape, 1), "file_ym": F.regexp_extract(path, shape, 2)})
 
 
 def concat_tables(tables: list[DataFrame]) -> DataFrame:
@@ -147,7 +146,7 @@ def tick_order(ts: Column, seq: Column | None) -> Column:
     micros = F.unix_micros(ts)
     if seq is None:
         return micros
-    return micros.cast("decimal(38,0)") * F.lit(10**19).cast("decimal(20,0)") + seq.cast("decimal(19,0)")
+    return micros.cast("decimal(18,0)") * F.expr("CAST(10000000000000000000 AS DECIMAL(20,0))") + seq.cast("decimal(19,0)")
 
 
 def floor_seconds(ts: Column, seconds: int) -> Column:

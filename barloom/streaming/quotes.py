@@ -41,9 +41,13 @@ def decode_quotes(messages: DataFrame, json: str = "value", symbol: Column | Non
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    """File stream over a folder; a path naming one file streams that file of its folder."""
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).load(p.getParent().toString())
     return reader.load(path)
 
 

@@ -32,7 +32,7 @@ def norm(v):
 
 
 def key(row):
-    return tuple(("" if v is None else repr(round(v, 3) if isinstance(v, float) else v)) for v in row)
+    return tuple(("" if v is None else repr(v)) for v in row)
 
 
 def compare(spark_rows, spark_cols, duck_rows, duck_cols):
