@@ -56,12 +56,6 @@ class SessionFrames:
             )
         return q
 
-    def decayed_sum(self, x: Column, k: Column, alpha: float) -> Column:
-        """Sum of alpha * q^(k-i) * x_i over the session so far, q = 1 - alpha, k the 0-based index."""
-        q = self._check_decay(alpha)
-        grown = F.sum(x * F.pow(F.lit(q), -k)).over(self.upto)
-        return grown * F.pow(F.lit(q), k) * F.lit(alpha)
-
     def ema(self, x: Column, k: Column, alpha: float) -> Column:
         """Recursive average e_k = alpha*x_k + (1-alpha)*e_(k-1), e_0 = x_0, as one running sum."""
         q = self._check_decay(alpha)
@@ -100,14 +94,20 @@ class FrameText(SessionFrames):
     def index(self) -> str:
         return f"row_number() {self.ordered} - 1"
 
-    def decayed_sum(self, x: str, k: str, alpha: float) -> str:
-        q = self._check_decay(alpha)
-        return f"sum({x} * power({q!r}D, -{k})) {self.upto} * power({q!r}D, {k}) * {alpha!r}D"
+    def ema(self, x: str, k: str, alpha: float, before: bool = False) -> str:
+        """Recursive average up to the current row, or up to the row before it.
 
-    def ema(self, x: str, k: str, alpha: float) -> str:
+        ``k`` numbers the values from 0 within the session, on the current row.
+        """
         q = self._check_decay(alpha)
         weight = f"CASE WHEN {k} = 0 THEN 1D ELSE {alpha!r}D END"
-        return f"sum({weight} * {x} * power({q!r}D, -{k})) {self.upto} * power({q!r}D, {k})"
+        over, last = (self.hist, f"{k} - 1") if before else (self.upto, k)
+        return f"sum({weight} * {x} * power({q!r}D, -({k}))) {over} * power({q!r}D, {last})"
+
+    def decayed_sum_before(self, x: str, k: str, alpha: float, n: int) -> str:
+        """Sum of alpha * q^age * x over the n rows before the current one; the newest has age 0."""
+        q = self._check_decay(alpha)
+        return f"sum({x} * power({q!r}D, -{k})) {self.past(n)} * power({q!r}D, {k} - 1) * {alpha!r}D"
 
 
 def span_alpha(span: int) -> float:
@@ -115,14 +115,13 @@ def span_alpha(span: int) -> float:
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    """Bound x to [lo, hi]; NULL stays NULL (greatest/least alone would skip it)."""
-    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
+    """Bound x to [lo, hi]; NULL stays NULL because no comparison with it holds."""
+    return F.when(x < lo, F.lit(float(lo))).when(x > hi, F.lit(float(hi))).otherwise(x)
 
 
 def no_nan(x: Column) -> Column:
     """NaN and infinities become NULL, so comparisons on them are never true."""
-    bad = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    return F.when(~bad, x)
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def ratio(n: Column, d: Column) -> Column:

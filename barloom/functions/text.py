@@ -11,19 +11,19 @@ import re
 from pyspark.sql import DataFrame
 
 
-def clip(x: str, lo: float, hi: float) -> str:
-    """Bound to [lo, hi]; NULL stays NULL."""
-    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest({float(lo)}D, least({float(hi)}D, {x})) END"
+def bound(x: str, lo: float, hi: float) -> str:
+    """Clip to [lo, hi]. x must not be NULL here: callers gate on what makes it defined."""
+    return f"greatest({float(lo)}D, least({float(hi)}D, {x}))"
 
 
 def gated(gate: str, value: str, default: str) -> str:
-    """value where the gate holds and it is defined, else the default."""
-    return f"coalesce(CASE WHEN {gate} THEN {value} END, {default})"
+    """value where the gate holds, else the default (also when the gate is unknown)."""
+    return f"CASE WHEN {gate} THEN {value} ELSE {default} END"
 
 
-def pct_change(new: str, old: str) -> str:
-    """Change in percent; 0 when the base is missing or zero."""
-    return f"coalesce(CASE WHEN {old} <> 0 THEN ({new} - {old}) / {old} END, 0D) * 100"
+def pct(new: str, old: str) -> str:
+    """Change in percent; the caller's gate excludes a zero base."""
+    return f"({new} - {old}) / {old} * 100"
 
 
 def needed_levels(levels: list[dict[str, str]], wanted) -> list[dict[str, str]]:

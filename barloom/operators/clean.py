@@ -114,8 +114,11 @@ def numeric_columns(df: DataFrame, skip=()) -> list[str]:
 
 
 def bounded_or_null(x: Column, lo: float, hi: float) -> Column:
-    """Reject beyond twice the range, else clip into it; with lo = 0 any negative value is rejected."""
-    return F.when((x < 2 * lo) | (x > 2 * hi), None).otherwise(clip(x, lo, hi))
+    """Reject beyond twice the range, else clip into it; with lo = 0 any negative value is rejected.
+
+    NaN, infinities and NULL are not between anything, so they are rejected too.
+    """
+    return F.when(x.between(2.0 * lo, 2.0 * hi), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def feature_names(df: DataFrame) -> list[str]:
@@ -136,11 +139,10 @@ def clean_features(df: DataFrame, report: bool = False) -> DataFrame:
     changed = {}
     for name in numeric_columns(df, NOT_FEATURES):
         x = F.col(name)
-        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            x = no_nan(x)
         if name in RANGES:
-            x = bounded_or_null(x.cast("double"), *RANGES[name])
-        changed[name] = x
+            changed[name] = bounded_or_null(x.cast("double"), *RANGES[name])
+        elif isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            changed[name] = no_nan(x)
     df = df.withColumns(changed)
     drops = {
         weak: F.when(F.col(keep).isNull(), F.col(weak))

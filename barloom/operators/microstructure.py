@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.functions.text import clip, gated, pct_change
+from barloom.functions.text import bound, gated, pct
 from barloom.operators.session_series import Level, has_quotes, has_sizes
 
 
@@ -15,17 +15,17 @@ def quote_features(columns) -> Level:
         "Price_Position_In_Spread": "0.5D",
         "Volume_Weighted_Order_Book_Imbalance": "0D",
         "Mid_Price_Momentum":
-            f"CASE WHEN _n >= 5 AND _mid_count5 = 5 THEN {clip(pct_change('_mid1', '_mid5'), -2, 2)} END",
+            "CASE WHEN size(_mids5) = 5 THEN "
+            f"CASE WHEN _mid5 = 0 THEN 0D ELSE {bound(pct('_mid1', '_mid5'), -2, 2)} END END",
     }
     if quotes:
         out["Bid_Ask_Spread_Pct"] = (
             "CASE WHEN ask_px > 0 AND bid_px > 0 AND ask_px > bid_px "
             "THEN (ask_px - bid_px) / ((ask_px + bid_px) / 2) * 100 END"
         )
-        inside = clip("(close - bid_px) / (ask_px - bid_px)", 0, 1)
         out["Price_Position_In_Spread"] = (
-            "coalesce(CASE WHEN ask_px <= bid_px OR close <= 0 THEN 0.5D WHEN close < bid_px THEN 0D "
-            f"WHEN close > ask_px THEN 1D WHEN ask_px > bid_px THEN {inside} END, 0.5D)"
+            "CASE WHEN ask_px <= bid_px OR close <= 0 THEN 0.5D WHEN close < bid_px THEN 0D "
+            "WHEN close > ask_px THEN 1D WHEN ask_px > bid_px THEN (close - bid_px) / (ask_px - bid_px) ELSE 0.5D END"
         )
     if sizes:
         out["Order_Book_Imbalance"] = (
@@ -58,24 +58,24 @@ def volume_features(columns) -> Level:
     median = (
         "(get(sort_array(_impacts), (size(_impacts) - 1) div 2) + get(sort_array(_impacts), size(_impacts) div 2)) / 2"
     )
-    stable = clip("1 - _imb_sd10 / _imb_abs10", 0, 1)
+    stable = bound("1 - _imb_sd10 / _imb_abs10", 0, 1)
     return {
         # trades in the last bar: the count itself where the feed has one, else an estimate from volume
         "Trade_Count_Per_Minute_Log": (
-            gated("_n >= 1", clip("_trade_count1", 1, 100), "0D")
+            gated("_n >= 1", bound("_trade_count1", 1, 100), "0D")
             if counted
-            else gated("_v1 > 0", clip(f"log1p(_v1 / ({size}))", 0, 5), "0D")
+            else gated("_v1 > 0", bound(f"log1p(_v1 / ({size}))", 0, 5), "0D")
         ),
         "Volume_Rate_of_Change":
-            f"CASE WHEN _n >= 2 THEN CASE WHEN _v2 > 0 THEN {clip('(_v1 - _v2) / _v2 * 100', -95, 500)} "
+            f"CASE WHEN _n >= 2 THEN CASE WHEN _v2 > 0 THEN {bound('(_v1 - _v2) / _v2 * 100', -95, 500)} "
             "WHEN _v1 > 0 THEN 500D END END",
         # median price change per share, per $1000 traded and in basis points
         "Price_Impact_Normalized": gated(
-            "_n >= 3 AND size(_impacts) >= 2 AND close > 0", clip(f"{median} * 1e7D / (close * close)", 0, 5), "0D"
+            "_n >= 3 AND size(_impacts) >= 2 AND close > 0", bound(f"{median} * 1e7D / (close * close)", 0, 5), "0D"
         ),
-        "Volume_vs_SMA10": gated("_n >= 2 AND _vol_before9 > 0", clip("_v1 / _vol_before9", 0, 50), "1D"),
+        "Volume_vs_SMA10": gated("_n >= 2 AND _vol_before9 > 0", bound("_v1 / _vol_before9", 0, 50), "1D"),
         "Normalized_Price_VWAP": gated(
-            "_vpos_hist > 0 AND _value_hist > 0 AND close > 0", clip("close / (_value_hist / _vpos_hist)", 0.5, 2), "1D"
+            "_vpos_hist > 0 AND _value_hist > 0 AND close > 0", bound("close / (_value_hist / _vpos_hist)", 0.5, 2), "1D"
         ),
         "Volume_Percentile_Intraday": gated(
             "size(_vols_hist) > 0",

@@ -51,14 +51,14 @@ def pattern_features() -> Level:
     return {
         "Position_In_Day_Range": X.gated(
             "_n >= 1 AND _hist_high > _hist_low AND close > 0",
-            X.clip("(close - _hist_low) / (_hist_high - _hist_low)", 0, 1), "0.5D",
+            X.bound("(close - _hist_low) / (_hist_high - _hist_low)", 0, 1), "0.5D",
         ),
         "Support_Resistance_Proximity": X.gated(
             "_n >= 20 AND close > 0 AND (_above IS NOT NULL OR _below IS NOT NULL)", f"greatest({nearest}, 0.1D)", "5D"
         ),
         "Breakout_Confirmation": X.gated(
             "_n >= 20 AND close > _high_before19 AND _vol_before19 > 0 AND _v1 > _vol_before19 * 1.5D",
-            X.clip(strength, 0, 1), "0D",
+            X.bound(strength, 0, 1), "0D",
         ),
         # deepest fall below the running peak of the last 30 closes, in percent (zero or negative)
         "Max_Drawdown_30": X.gated("_n >= 5", fold, "0D"),

@@ -44,16 +44,10 @@ def row_values(columns) -> Level:
 def bar_windows(fr: FrameText, columns) -> Level:
     """Windows over bar columns."""
     out = {"_n": fr.index()}
-    for i in (*range(1, 7), 10):
-        out[f"_c{i}"] = fr.lag("close", i)
-    for i in (1, 2):
-        out[f"_v{i}"] = fr.lag("volume", i)
-    for i in (1, 5):
-        out[f"_mid{i}"] = fr.lag("_mid", i)
     if "trade_count" in columns:
         out["_trade_count1"] = fr.lag("trade_count")
     out |= {
-        "_mid_count5": f"count(_mid) {fr.past(5)}",
+        "_mids5": f"collect_list(_mid) {fr.past(5)}",
         "_spread_count20": f"count(_spread) {fr.past(20)}",
         "_spreads20": f"collect_list(CASE WHEN _spread > 0 THEN _spread END) {fr.past(20)}",
         "_vol_before9": f"avg(volume) {fr.rows(-10, -2)}",
@@ -68,6 +62,8 @@ def bar_windows(fr: FrameText, columns) -> Level:
         "_hist_cmin": f"min(close) {fr.hist}",
         "_high_before19": f"max(high) {fr.rows(-20, -2)}",
         "_vol_before19": f"avg(volume) {fr.rows(-20, -2)}",
+        "_hl2s30": f"collect_list(_hl2) {fr.past(30)}",
+        "_vols10": f"collect_list(volume) {fr.past(10)}",
         "_closes30": f"collect_list(close) {fr.past(30)}",
         "_highs50": f"collect_list(high) {fr.past(50)}",
         "_lows50": f"collect_list(low) {fr.past(50)}",
@@ -79,8 +75,6 @@ def bar_windows(fr: FrameText, columns) -> Level:
         "_imb_sd10": f"stddev_pop(_imb) {fr.past(10)}",
         "_imb_abs10": f"avg(abs(_imb)) {fr.past(10)}",
         "_imb_count10": f"count(_imb) {fr.past(10)}",
-        "_hl_first": f"first(_hl) {fr.hist}",
-        "_hl30": fr.lag("_hl", 30),
     }
     # swing levels: a bar whose high (low) is the extreme of a full centred frame of 10 or 20 bars
     for size, (before, after) in {10: (-5, 4), 20: (-10, 9)}.items():
@@ -94,8 +88,15 @@ def bar_windows(fr: FrameText, columns) -> Level:
         f"WHEN _hl2 > max(_hl2) {left} AND _hl2 > max(_hl2) {right} THEN 1 "
         f"WHEN _hl2 < min(_hl2) {left} AND _hl2 < min(_hl2) {right} THEN -1 ELSE 0 END"
     )
-    for i in (1, 2, 3, 4, 27, 28, 29, 30):
-        out[f"_hl2_{i}"] = fr.lag("_hl2", i)
+    return out
+
+
+def single_bars() -> Level:
+    """Values of single earlier bars, read from the lists: a lag would be one more frame each."""
+    out = {f"_c{i}": f"try_element_at(_closes30, -{i})" for i in (*range(1, 7), 10)}
+    out |= {f"_v{i}": f"try_element_at(_vols10, -{i})" for i in (1, 2)}
+    out |= {f"_mid{i}": f"try_element_at(_mids5, -{i})" for i in (1, 5)}
+    out |= {f"_hl2_{i}": f"try_element_at(_hl2s30, -{i})" for i in (1, 2, 3, 4, 27, 28, 29, 30)}
     return out
 
 
@@ -114,13 +115,14 @@ def changes() -> Level:
 def change_windows(fr: FrameText) -> Level:
     """Windows over the changes: decayed averages and change statistics."""
     return {
-        "_ema12": fr.ema("close", "_n", span_alpha(12)),
-        "_ema26": fr.ema("close", "_n", span_alpha(26)),
-        "_avg_gain": fr.ema("_gain", "_n", WILDER),
-        "_avg_loss": fr.ema("_loss", "_n", WILDER),
-        "_tr_decayed": fr.decayed_sum("_tr", "_n", WILDER),
-        "_tr_ema14": fr.ema("_tr", "_n", span_alpha(14)),
-        "_tr30": fr.lag("_tr", 30),
+        "_ema12": fr.ema("close", "_n", span_alpha(12), before=True),
+        "_ema26": fr.ema("close", "_n", span_alpha(26), before=True),
+        "_gain1": fr.ema("_gain", "_n", WILDER, before=True),
+        "_loss1": fr.ema("_loss", "_n", WILDER, before=True),
+        "_tr_ema1": fr.ema("_tr", "_n", span_alpha(14), before=True),
+        "_tr_decayed30": fr.decayed_sum_before("_tr", "_n", WILDER, 30),
+        "_tr_first30": f"first(_tr) {fr.past(30)}",
+        "_hl_first30": f"first(_hl) {fr.past(30)}",
         "_early_trs": f"collect_list(CASE WHEN _n < 41 THEN _tr END) {fr.past(41)}",
         "_ret_sd10": f"stddev_samp(_ret) {fr.past(10)}",
         "_ret_sd_prior20": f"stddev_samp(_ret) {fr.rows(-30, -11)}",
@@ -139,19 +141,15 @@ def change_windows(fr: FrameText) -> Level:
 
 
 def average_windows(fr: FrameText) -> Level:
-    """Windows over the averages: the signal line and the last values before the current bar."""
+    """Windows over the averages, which already describe the bar before the current one."""
     return {
-        "_macd_hist": f"_ema12 - _ema26 - {fr.ema('(_ema12 - _ema26)', '_n', span_alpha(9))}",
-        "_gain1": fr.lag("_avg_gain"),
-        "_loss1": fr.lag("_avg_loss"),
-        "_trd1": fr.lag("_tr_decayed"),
-        "_trd31": fr.lag("_tr_decayed", 31),
-        "_tr_emas100": f"collect_list(_tr_ema14) {fr.past(100)}",
+        # the line has its first value on the second bar, so its positions count from there
+        "_signal1": fr.ema("(_ema12 - _ema26)", "(_n - 1)", span_alpha(9)),
+        "_tr_emas100": f"collect_list(_tr_ema1) {fr.rows(-99, 0)}",
     }
 
 
 def series_levels(fr: FrameText, columns) -> list[Level]:
     return [
-        row_values(columns), bar_windows(fr, columns), changes(), change_windows(fr), average_windows(fr),
-        {"_macd_hist1": fr.lag("_macd_hist")},
+        row_values(columns), bar_windows(fr, columns), single_bars(), changes(), change_windows(fr), average_windows(fr),
     ]

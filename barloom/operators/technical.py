@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.functions.text import clip, gated, pct_change
+from barloom.functions.text import bound, gated, pct
 from barloom.operators.session_series import WILDER, Level
 
 TIE = 1e-12  # relative slack when comparing decayed averages that should be equal
@@ -21,7 +21,6 @@ def bollinger_bands() -> Level:
 
 
 def trend_features() -> Level:
-    sma = "CASE WHEN _n >= 50 THEN _mean50 ELSE daily_mean50 END"
     moved = " + ".join(f"CAST(_c{i} <> _c{i + 1} AS INT)" for i in range(1, 6))
     agree = " + ".join(
         f"CAST(signum(_c{i} - _c{i + 1}) * signum(_c{i + 1}) = CASE WHEN _c1 > _c6 THEN 1 ELSE -1 END AS INT)"
@@ -31,22 +30,24 @@ def trend_features() -> Level:
     earlier = "coalesce(CASE WHEN _c6 <> 0 THEN (_c3 - _c6) / _c6 END, 0D)"
     fit = "coalesce(nanvl(power(_trend_corr10, 2D), 0D), 0D)"
     direct = "coalesce(CASE WHEN _path9 > 0 THEN abs(_c1 - _c10) / _path9 END, 0D)"
-    since_open = clip(pct_change("close", "day_open"), -20, 20)
+    since_open = bound(pct("close", "day_open"), -20, 20)
     return {
-        "MACD_12_26_9": gated("_n >= 35 AND close > 0", clip("_macd_hist1 / close * 100", -2, 2), "0D"),
+        "MACD_12_26_9": gated("_n >= 35 AND close > 0", bound("(_ema12 - _ema26 - _signal1) / close * 100", -2, 2), "0D"),
         "RSI_14": gated(
             "_n >= 15",
-            f"CASE WHEN _loss1 = 0 THEN 100D ELSE {clip('100 - 100 / (1 + _gain1 / _loss1)', 0, 100)} END", "50D",
+            f"CASE WHEN _loss1 = 0 THEN 100D ELSE {bound('100 - 100 / (1 + _gain1 / _loss1)', 0, 100)} END", "50D",
         ),
-        "Price_vs_SMA50": gated(f"({sma}) > 0", pct_change("close", f"({sma})"), "0D"),
-        "Return_5min": gated("_n >= 6 AND _c6 > 0", clip(pct_change("close", "_c6"), -5, 5), "0D"),
+        "Price_vs_SMA50":
+            f"CASE WHEN _n >= 50 THEN CASE WHEN _mean50 > 0 THEN {pct('close', '_mean50')} ELSE 0D END "
+            f"WHEN daily_mean50 > 0 THEN {pct('close', 'daily_mean50')} ELSE 0D END",
+        "Return_5min": gated("_n >= 6 AND _c6 > 0", bound(pct("close", "_c6"), -5, 5), "0D"),
         "Return_Since_Open": gated("day_open > 0 AND close > 0", since_open, "0D"),
         "Return_Since_Open_Enhanced": gated("_n >= 1 AND day_open > 0 AND close > 0", since_open, "0D"),
         "Intraday_Performance_Percentile": gated(
             "_n > 10 AND close > 0 AND day_open > 0 AND _hist_cmax > _hist_cmin",
-            clip("(close - _hist_cmin) / (_hist_cmax - _hist_cmin)", 0, 1), "0.5D",
+            bound("(close - _hist_cmin) / (_hist_cmax - _hist_cmin)", 0, 1), "0.5D",
         ),
-        "Price_Acceleration": gated("_n >= 3 AND close > 0", clip("(_c1 - 2 * _c2 + _c3) / close * 100", -10, 10), "0D"),
+        "Price_Acceleration": gated("_n >= 3 AND close > 0", bound("(_c1 - 2 * _c2 + _c3) / close * 100", -10, 10), "0D"),
         "Momentum_Acceleration": gated("_n >= 6", f"{recent} - {earlier}", "0D"),
         "Momentum_Consistency": gated(f"_n >= 6 AND {moved} > 0", f"({agree}) / ({moved})", "0.5D"),
         "Price_Action_Quality": gated("_n >= 10", f"({fit} + {direct}) / 2", "0.5D"),
@@ -64,16 +65,12 @@ def time_features() -> Level:
 def atr() -> Level:
     """Wilder average of the true range over at most 30 earlier bars, restarted at the first of them.
 
-    The restarted recursion is the session's decayed sum minus the part older than the frame, with the
-    frame's first bar re-weighted as the seed; so it needs three lagged values and no array.
+    The first bar of the frame is the seed: it weighs as the whole start value, and its range is its own
+    high minus low because the frame has no close before it.
     """
     q, a = 1.0 - WILDER, WILDER
-    m = "least(_n, 30)"
-    older = f"coalesce(CASE WHEN _n > 30 THEN _trd31 END, 0D) * power({q!r}D, {m})"
-    seed_weight = f"power({q!r}D, {m} - 1)"
-    first_tr = "CASE WHEN _n >= 30 THEN _tr30 ELSE _hl_first END"
-    first_hl = "CASE WHEN _n >= 30 THEN _hl30 ELSE _hl_first END"
-    return {"_atr": f"_trd1 - {older} + {seed_weight} * (({first_hl}) - {a!r}D * ({first_tr}))"}
+    seed = f"power({q!r}D, least(_n, 30) - 1) * (_hl_first30 - {a!r}D * _tr_first30)"
+    return {"_atr": f"_tr_decayed30 + {seed}"}
 
 
 def atr_features() -> Level:
@@ -161,7 +158,7 @@ def risk_levels(multiplier: float = 1.0, max_risk_pct: float | None = None) -> l
     if max_risk_pct is not None:
         risk = f"least({risk}, close * {max_risk_pct / 100.0}D)"
     first = {
-        "ATR_Stop_Risk_Pct": gated("close > 0 AND ATR_Pct > 0", clip("2 * ATR_Pct / close * 100", 0, 50), "0D"),
+        "ATR_Stop_Risk_Pct": gated("close > 0 AND ATR_Pct > 0", bound("2 * ATR_Pct / close * 100", 0, 50), "0D"),
         "_risk": f"CASE WHEN close > 0 AND ATR_Pct > 0 THEN {risk} END",
     }
     known = "_risk IS NOT NULL"

@@ -19,6 +19,10 @@ def build_session(app_name: str = "barloom", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # the full projection has many window frames, each with its own small generated classes; the default
+        # cache of 100 entries would recompile them in every task
+        "spark.sql.codegen.cache.maxEntries": "2000",
+        "spark.sql.codegen.maxFields": "300",
     }
     settings.update(conf)
     for key, value in settings.items():
