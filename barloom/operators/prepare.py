@@ -56,7 +56,14 @@ def drop_leakage(df: DataFrame) -> DataFrame:
 def leakage_report(df: DataFrame, target: str, features: list[str], threshold: float = 0.999) -> DataFrame:
     """feature, correlation of every feature with the target, and whether it leaks; one pass."""
     y = F.col(target).cast("double")
-    row = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(c) for c in features])
+
+    def correlation(c: str) -> Column:
+        x = F.col(c).cast("double")
+        xx, yy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        spread = F.stddev_pop(xx) * F.stddev_pop(yy)  # zero for a constant column, which has no correlation
+        return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+    row = df.agg(*[correlation(c).alias(c) for c in features])
     long = row.unpivot([], features, "feature", "correlation")
     return long.withColumn("leaks", F.coalesce(F.abs("correlation") >= threshold, F.lit(False)))
 

@@ -128,7 +128,9 @@ def change_windows(fr: FrameText) -> Level:
         "_ret_sd_prior20": f"stddev_samp(_ret) {fr.rows(-30, -11)}",
         "_impacts": f"collect_list(CASE WHEN volume >= 100 AND _absd > 0 THEN _absd / volume END) {fr.past(4)}",
         "_path9": f"sum(_absd) {fr.past(9)}",
-        "_trend_corr10": f"corr(CAST(_n AS DOUBLE), close) {fr.past(10)}",
+        # not corr(): it divides by the deviations, which a flat frame makes zero
+        "_trend_cov10": f"covar_pop(CAST(_n AS DOUBLE), close) {fr.past(10)}",
+        "_close_var10": f"var_pop(close) {fr.past(10)}",
         "_levels_above": f"concat(collect_list(_top10) {fr.rows(-45, -5)}, collect_list(_top20) {fr.rows(-40, -10)})",
         "_levels_below": (
             f"concat(collect_list(_bottom10) {fr.rows(-45, -5)}, collect_list(_bottom20) {fr.rows(-40, -10)})"

@@ -28,7 +28,8 @@ def trend_features() -> Level:
     )
     recent = "coalesce(CASE WHEN _c3 <> 0 THEN (_c1 - _c3) / _c3 END, 0D)"
     earlier = "coalesce(CASE WHEN _c6 <> 0 THEN (_c3 - _c6) / _c6 END, 0D)"
-    fit = "coalesce(nanvl(power(_trend_corr10, 2D), 0D), 0D)"
+    # squared correlation of ten consecutive positions (variance 8.25) with their closes
+    fit = "CASE WHEN _close_var10 > 0 THEN power(_trend_cov10, 2D) / (8.25D * _close_var10) ELSE 0D END"
     direct = "coalesce(CASE WHEN _path9 > 0 THEN abs(_c1 - _c10) / _path9 END, 0D)"
     since_open = bound(pct("close", "day_open"), -20, 20)
     return {
