@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.catalog import register
-from barloom.catalog.sql_parts import r6
+from barloom.catalog.sql_parts import r6, to6
 from barloom.operators import clean, evaluate, prepare
 from barloom.operators import patterns as P
 from barloom.operators.order_stats import exact_medians
@@ -56,7 +56,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def six(df: DataFrame, names, keys=KEYS) -> DataFrame:
-    return df.select(*keys, *[F.round(n, 6).alias(n) for n in names])
+    return df.select(*keys, *[to6(n).alias(n) for n in names])
 
 
 def _bounded(name: str) -> str:
@@ -435,7 +435,7 @@ SELECT CAST(sum(n) AS BIGINT) AS total_samples, min(n) AS minority_class_count,
 )
 def size_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prepare.size_recommendation(orders_with_class(spark, sf_dir), "buy")
-    return df.withColumn("imbalance_ratio", F.round("imbalance_ratio", 6))
+    return df.withColumn("imbalance_ratio", to6("imbalance_ratio"))
 
 
 @register(
@@ -448,7 +448,7 @@ UNION ALL SELECT 'l_discount', round(corr(d, q), 6), abs(corr(d, q)) >= 0.999 FR
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = D.table(spark, sf_dir, "lineitem").withColumn("leak", F.col("l_quantity") * 2 + 1)
     out = prepare.leakage_report(df, "l_quantity", ["l_extendedprice", "leak", "l_discount"])
-    return out.withColumn("correlation", F.round("correlation", 6))
+    return out.withColumn("correlation", to6("correlation"))
 
 
 _F_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -481,7 +481,7 @@ _MI_SQL = " UNION ALL ".join(
 @register("mutual_information", _MI_SQL)
 def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = evaluate.mutual_information(D.table(spark, sf_dir, "lineitem"), "l_returnflag", list(_CUTS), _CUTS)
-    return df.withColumn("mi_score", F.round("mi_score", 6))
+    return df.withColumn("mi_score", to6("mi_score"))
 
 
 @register(

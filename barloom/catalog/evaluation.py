@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.catalog import register
-from barloom.catalog.sql_parts import r6
+from barloom.catalog.sql_parts import r6, to6
 from barloom.operators import evaluate as E
 from barloom.operators import models as M
 from barloom.operators import prepare
@@ -29,7 +29,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def six(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: to6(n) for n in names})
 
 
 _AUC = """auc AS (
@@ -252,7 +252,7 @@ def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_rows(spark, sf_dir).persist()
     model = M.train_models(rows.filter("split <> 'test'"), FEATURES, "buy", {"m": small()})["m"]
-    return M.score(model, rows, FEATURES, 0.6).select("doc_id", "split", "prediction", F.round("probability", 6).alias("probability"), "threshold")
+    return M.score(model, rows, FEATURES, 0.6).select("doc_id", "split", "prediction", to6("probability").alias("probability"), "threshold")
 
 
 @register("model_importances")
@@ -285,7 +285,7 @@ def train_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampling_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_rows(spark, sf_dir).persist()
     out = M.sampling_benchmark(rows, FEATURES, "buy", ["doc_id"], ["balanced", "stratified"], [200], small)
-    return out.select("strategy", "size", F.round("auc", 6).alias("auc"))
+    return out.select("strategy", "size", to6("auc").alias("auc"))
 
 
 @register("ensemble_ranking")

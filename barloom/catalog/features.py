@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.catalog import register
 from barloom.catalog.sql_parts import BARS, DAILY, SERIES, WINDOWS, clip, ema, over_series, r6
@@ -22,10 +21,11 @@ def features(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
 
 def rounded(df: DataFrame, names: list[str]) -> DataFrame:
     """Keys plus the named columns; doubles to six places."""
+    kinds = dict(df.dtypes)
     cols = [
-        F.round(n, 6).alias(n) if isinstance(df.schema[n].dataType, T.DoubleType) else F.col(n) for n in names
+        f"floor(`{n}` * 1e6D + 0.5D) / 1e6D AS `{n}`" if kinds[n] == "double" else f"`{n}`" for n in names
     ]
-    return df.select("symbol", F.unix_seconds("ts").alias("ts_s"), *cols)
+    return df.selectExpr("symbol", "unix_seconds(ts) AS ts_s", *cols)
 
 
 def feature_query(name: str, columns: list[str], sql: str | None, daily: bool = False):

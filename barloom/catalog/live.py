@@ -16,7 +16,7 @@ from barloom.catalog.signals import (
     candidates,
     level_rows,
 )
-from barloom.catalog.sql_parts import BARS, DAILY, TICKS, WINDOWS, level, r6
+from barloom.catalog.sql_parts import BARS, DAILY, TICKS, WINDOWS, level, r6, to6
 from barloom.operators import labels
 from barloom.session import scratch_path
 from barloom.sources import driver_tables as D
@@ -119,7 +119,7 @@ def stream_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     df = spark.read.parquet(drain(Q.tick_bars(ticks).writeStream.outputMode("append"), spark))
     return df.select(
-        "symbol", F.unix_seconds("ts").alias("ts_s"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close", "volume")]
+        "symbol", F.unix_seconds("ts").alias("ts_s"), *[to6(c).alias(c) for c in ("open", "high", "low", "close", "volume")]
     )
 
 
@@ -136,7 +136,7 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
         "daily": (D.event_daily(spark, sf_dir), "date"),
     }
     f = Q.freshness(sources, now)
-    return f.select("source", F.unix_seconds("latest").alias("latest_s"), F.round("latency_seconds", 6).alias("latency_seconds"))
+    return f.select("source", F.unix_seconds("latest").alias("latest_s"), to6("latency_seconds").alias("latency_seconds"))
 
 
 def _score(df: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def live_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest bar of every symbol: features from its last 60 bars, screened and scored."""
     rows = L.latest_feature_rows(D.event_bars(spark, sf_dir), D.event_daily(spark, sf_dir), D.MAX_BARS)
     out = L.assess(rows, _score)
-    return out.select("symbol", F.unix_seconds("ts").alias("ts_s"), "screen_pass", "screen_reason", "prediction", F.round("probability", 6).alias("probability"))
+    return out.select("symbol", F.unix_seconds("ts").alias("ts_s"), "screen_pass", "screen_reason", "prediction", to6("probability").alias("probability"))
 
 
 @register("stream_screen")
@@ -212,4 +212,4 @@ SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, {r6('p')} AS probability FROM
 def entry_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screened rows whose score asks for an entry."""
     rows = labels.screen(features(spark, sf_dir, [*LEVEL_COLUMNS, "Position_In_Day_Range"]))
-    return L.entry_signals(_score(rows)).select("symbol", F.unix_seconds("ts").alias("ts_s"), F.round("probability", 6).alias("probability"))
+    return L.entry_signals(_score(rows)).select("symbol", F.unix_seconds("ts").alias("ts_s"), to6("probability").alias("probability"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.catalog import register
-from barloom.catalog.sql_parts import BARS, TICKS, r6
+from barloom.catalog.sql_parts import BARS, TICKS, r6, to6
 from barloom.operators import reports as R
 from barloom.sources import driver_tables as D
 
@@ -57,7 +57,7 @@ WHERE symbol = 'click' AND trade_date = DATE '2024-01-05'""",
 )
 def symbol_date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = R.filter_symbol_date(D.event_bars(spark, sf_dir), "click", "2024-01-05")
-    return df.select(F.unix_seconds("ts").alias("ts_s"), F.round("close", 6).alias("close"))
+    return df.select(F.unix_seconds("ts").alias("ts_s"), to6("close").alias("close"))
 
 
 @register(
@@ -69,7 +69,7 @@ WHERE symbol = 'view' AND trade_date BETWEEN DATE '2024-01-10' AND DATE '2024-01
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["open", "high", "low", "close", "volume"]
     df = R.date_range(D.event_bars(spark, sf_dir), "view", "2024-01-10", "2024-01-20", ["ts", *cols])
-    return df.select(F.unix_seconds("ts").alias("ts_s"), *[F.round(c, 6).alias(c) for c in cols])
+    return df.select(F.unix_seconds("ts").alias("ts_s"), *[to6(c).alias(c) for c in cols])
 
 
 @register(
@@ -151,7 +151,7 @@ QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 60""",
 )
 def last_n_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = R.last_n_per_key(D.event_bars(spark, sf_dir), ["symbol"], "ts", 60)
-    return df.select("symbol", F.unix_seconds("ts").alias("ts_s"), F.round("close", 6).alias("close"))
+    return df.select("symbol", F.unix_seconds("ts").alias("ts_s"), to6("close").alias("close"))
 
 
 @register(
@@ -284,7 +284,7 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {RUNS} SELECT "Run_Id", {r6('"Test_AUC"')} AS "Test_AUC" FROM runs WHERE "Status" = 'Success' ORDER BY runs."Test_AUC" DESC, "Run_Id" LIMIT 5""",
 )
 def top_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_runs(runs(spark, sf_dir)).select("Run_Id", F.round("Test_AUC", 6).alias("Test_AUC"))
+    return R.top_runs(runs(spark, sf_dir)).select("Run_Id", to6("Test_AUC").alias("Test_AUC"))
 
 
 # --- model index --------------------------------------------------------------------------------

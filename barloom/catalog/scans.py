@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.catalog import register
-from barloom.catalog.sql_parts import BARS, DAILY, TICKS, over_series, r6
+from barloom.catalog.sql_parts import BARS, DAILY, TICKS, over_series, r6, to6
 from barloom.functions import scalars as S
 from barloom.operators import reports
 from barloom.session import scratch_path
@@ -20,7 +20,7 @@ _BARS_OUT = f"WITH {BARS} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, {_OH
 
 
 def bars_out(df: DataFrame) -> DataFrame:
-    return df.select("symbol", F.unix_seconds("ts").alias("ts_s"), *[F.round(c, 6).alias(c) for c in OHLCV])
+    return df.select("symbol", F.unix_seconds("ts").alias("ts_s"), *[to6(c).alias(c) for c in OHLCV])
 
 
 def vendor_names(df: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def minute_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.event_daily(spark, sf_dir)
-    return d.select("symbol", F.col("date").cast("string").alias("day"), *[F.round(c, 6).alias(c) for c in OHLCV])
+    return d.select("symbol", F.col("date").cast("string").alias("day"), *[to6(c).alias(c) for c in OHLCV])
 
 
 @register("read_bars_csv", _BARS_OUT)
@@ -322,8 +322,8 @@ def synthetic_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = F.when(F.col("volume") > 503, F.col("volume") - 503).otherwise(0)
     return bars.select(
         "symbol", F.unix_seconds("ts").alias("ts_s"), F.round(S.synthetic_bid("close"), 8).alias("bid"),
-        F.round(S.synthetic_ask("close"), 8).alias("ask"), F.round(S.safe_divide("close", over, 7.0), 6).alias("edge"),
-        F.round(S.safe_percentage("close", "c1"), 6).alias("pct"),
+        F.round(S.synthetic_ask("close"), 8).alias("ask"), to6(S.safe_divide("close", over, 7.0)).alias("edge"),
+        to6(S.safe_percentage("close", "c1")).alias("pct"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import register
 from barloom.catalog.features import R_LEVELS, features, rounded
-from barloom.catalog.sql_parts import BARS, SERIES, level, over_series, r6
+from barloom.catalog.sql_parts import BARS, SERIES, level, over_series, r6, to6
 from barloom.operators import exits, labels, reports, swings
 from barloom.sources import driver_tables as D
 
@@ -298,7 +298,7 @@ def bracket_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["total_cost", "total_proceeds", "net_pnl", "commission_paid", "minutes"]
     return _keys(
         t, "quantity", "exit_reason", "status", F.unix_seconds("exit_ts").alias("exit_s"),
-        *[F.round(n, 6).alias(n) for n in names],
+        *[to6(n).alias(n) for n in names],
     )
 
 
@@ -315,7 +315,7 @@ FROM trades GROUP BY 1""",
 def trade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = reports.trade_summary(trade_rows(spark, sf_dir), ["symbol"])
     doubles = ["total_pnl", "avg_duration_minutes", "total_commissions", "win_rate"]
-    return s.withColumns({c: F.round(c, 6) for c in doubles})
+    return s.withColumns({c: to6(c) for c in doubles})
 
 
 @register(
@@ -332,7 +332,7 @@ SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, exit_reason, {r6('net_pnl')} A
 def one_position_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry rule: at most one open position per symbol."""
     kept = exits.one_position_at_a_time(trade_rows(spark, sf_dir))
-    return _keys(kept, "exit_reason", F.round("net_pnl", 6).alias("net_pnl"))
+    return _keys(kept, "exit_reason", to6("net_pnl").alias("net_pnl"))
 
 
 @register(

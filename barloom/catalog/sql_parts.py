@@ -1,5 +1,10 @@
 """Shared pieces of the checking SQL (DuckDB): the same stand-in inputs as ``sources.driver_tables``."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 TICKS = """ticks AS (
   SELECT event_type AS symbol, ts, 100.0 + value * 0.02 AS price,
          CAST((user_id + 1) * 10 AS DOUBLE) AS size, event_id
@@ -67,7 +72,14 @@ def over_series(levels: list[dict[str, str]], out: dict[str, str], where: str =
 
 
 def r6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"
+    """Six decimal places by the same arithmetic as ``to6``."""
+    return f"floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5) / 1e6"
+
+
+def to6(c: str | Column) -> Column:
+    """Six decimal places; plain double arithmetic, far cheaper than round() and equal in both engines."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.floor(x * 1e6 + 0.5) / 1e6
 
 
 def ema(values: str, alpha: str) -> str:

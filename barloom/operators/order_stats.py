@@ -13,118 +13,124 @@ BRACKET_ROWS = 200_000  # distinct values one column may leave for the final exa
 
 
 @dataclass(frozen=True)
-class _Bracket:
-    lo: float
-    hi: float
+class _Search:
+    """Where one wanted rank may lie: values in [lo, hi] (None is open), ``below`` smaller values before it."""
+
+    lo: float | None
+    hi: float | None
+    below: int
+    size: int
+
+
+def _inside(c: str, s: _Search) -> Column:
+    x = F.col(c)
+    keep = x.isNotNull()
+    if s.lo is not None:
+        keep = keep & (x >= s.lo)
+    if s.hi is not None:
+        keep = keep & (x <= s.hi)
+    return keep
 
 
-def exact_ranks(df: DataFrame, targets: dict[str, list[int]], accuracy: int = 10_000) -> dict[str, dict[int, float]]:
+def exact_ranks(
+    df: DataFrame, targets: dict[str, list[int]], counts: dict[str, int] | None = None, accuracy: int = 10_000
+) -> dict[str, dict[int, float]]:
     """Exact k-th smallest non-null values (1-based ranks) for several numeric columns.
 
-    Each round brackets every wanted rank with two approximate quantiles, then one job counts the values
-    below each bracket and the distinct values inside. Brackets shrink by about ``accuracy`` per round
-    until their distinct values fit a small final ranking, so nothing is ever collected or sorted whole;
-    equal values collapse before they are ranked. Only counts and brackets reach the driver.
+    A wanted rank is bracketed by two approximate quantiles. Brackets expected to hold few values are
+    ranked exactly in one job; larger ones are counted and bracketed again, each round shrinking them by
+    about ``accuracy``. So nothing is collected or sorted whole, and equal values collapse before they are
+    ranked. Only counts, brackets and results reach the driver.
     """
     wanted = [(c, r) for c, ranks in targets.items() for r in sorted(set(ranks))]
-    if not wanted:
-        return {}
-    cols = sorted({c for c, _ in wanted})
-    totals = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-        *[F.min(c).cast("double").alias(f"lo_{i}") for i, c in enumerate(cols)],
-        *[F.max(c).cast("double").alias(f"hi_{i}") for i, c in enumerate(cols)],
-    ).first()
-    counts = {c: totals[f"n_{i}"] for i, c in enumerate(cols)}
-    brackets = {}
-    for c, r in wanted:
-        if 1 <= r <= counts[c]:
-            i = cols.index(c)
-            brackets[(c, r)] = _Bracket(totals[f"lo_{i}"], totals[f"hi_{i}"])
-    sizes = {key: counts[key[0]] for key in brackets}
-    below = dict.fromkeys(brackets, 0)
-    while any(sizes[k] > BRACKET_ROWS and brackets[k].lo < brackets[k].hi for k in brackets):
-        brackets, below, sizes = _narrow(df, brackets, below, sizes, accuracy)
     out: dict[str, dict[int, float]] = {c: {} for c in targets}
-    for (c, r), value in _rank_inside(df, brackets, below).items():
-        out[c][r] = value
+    if not wanted:
+        return out
+    if counts is None:
+        cols = sorted({c for c, _ in wanted})
+        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    searches = {(c, r): _Search(None, None, 0, counts[c]) for c, r in wanted if 1 <= r <= counts[c]}
+    step = 2.0 / accuracy
+    while searches:
+        wide = {k: s for k, s in searches.items() if s.size > BRACKET_ROWS}
+        ready = {k: s for k, s in searches.items() if k not in wide}
+        if wide:
+            tried = _bracket(df, wide, step, accuracy)
+            stuck = {k for k in wide if (tried[k].lo, tried[k].hi) == (wide[k].lo, wide[k].hi)}
+            small = {k for k in wide if wide[k].size * 2 * step <= BRACKET_ROWS or k in stuck}
+            ready |= {k: tried[k] for k in small}
+            searches |= _recount(df, {k: wide[k] for k in wide if k not in small}, tried)
+        for (c, r), value in _rank_inside(df, ready).items():
+            out[c][r] = value
+            del searches[(c, r)]
+        step *= 8  # a rank the quantiles missed is looked for in a wider bracket
     return out
 
 
-def _inside(c: str, b: _Bracket) -> Column:
-    return F.col(c).between(b.lo, b.hi)
+def _bracket(df: DataFrame, searches: dict, step: float, accuracy: int) -> dict:
+    aggs = []
+    for i, ((c, r), s) in enumerate(searches.items()):
+        share = (r - s.below) / s.size
+        inside = F.when(_inside(c, s), F.col(c).cast("double"))
+        shares = [max(share - step, 0.0), min(share + step, 1.0)]
+        aggs.append(F.percentile_approx(inside, shares, accuracy).alias(f"q_{i}"))
+    row = df.agg(*aggs).first()
+    return {
+        k: _Search(row[f"q_{i}"][0], row[f"q_{i}"][1], s.below, s.size) for i, (k, s) in enumerate(searches.items())
+    }
 
 
-def _narrow(df: DataFrame, brackets, below, sizes, accuracy: int):
-    keys = list(brackets)
+def _recount(df: DataFrame, searches: dict, tried: dict) -> dict:
+    """The part of each search that holds its rank, with exact counts: before, inside or behind the try."""
+    if not searches:
+        return {}
     aggs = []
-    for i, key in enumerate(keys):
-        c, r = key
-        inside = F.when(_inside(c, brackets[key]), F.col(c).cast("double"))
-        share = (r - below[key]) / max(sizes[key], 1)
-        step = 2.0 / accuracy
-        aggs.append(
-            F.percentile_approx(inside, [max(share - step, 0.0), min(share + step, 1.0)], accuracy).alias(f"q_{i}")
-        )
+    for i, ((c, r), s) in enumerate(searches.items()):
+        t = tried[(c, r)]
+        aggs.append(F.count(F.when(F.col(c) < t.lo, 1)).alias(f"lo_{i}"))
+        aggs.append(F.count(F.when(F.col(c) <= t.hi, 1)).alias(f"hi_{i}"))
+        aggs.append(F.count(F.when(F.col(c) < t.hi, 1)).alias(f"to_{i}"))
     row = df.agg(*aggs).first()
-    tried = {key: _Bracket(row[f"q_{i}"][0], row[f"q_{i}"][1]) for i, key in enumerate(keys)}
-    checks = []
-    for i, key in enumerate(keys):
-        c = key[0]
-        checks.append(F.count(F.when(F.col(c) < tried[key].lo, 1)).alias(f"b_{i}"))
-        checks.append(F.count(F.when(_inside(c, tried[key]), 1)).alias(f"s_{i}"))
-        checks.append(F.count(F.when(F.col(c) < tried[key].hi, 1)).alias(f"h_{i}"))
-        checks.append(F.count(F.when(F.col(c) < brackets[key].lo, 1)).alias(f"p_{i}"))
-    seen = df.agg(*checks).first()
-    new_brackets, new_below, new_sizes = {}, {}, {}
-    for i, key in enumerate(keys):
-        b, s, r = seen[f"b_{i}"], seen[f"s_{i}"], key[1]
-        if b < r <= b + s:
-            new_brackets[key], new_below[key] = tried[key], b
-            new_sizes[key] = s if s < sizes[key] else 0
-        elif r <= b:  # the estimate overshot: keep the part below it
-            new_brackets[key] = _Bracket(brackets[key].lo, tried[key].lo)
-            new_below[key], new_sizes[key] = seen[f"p_{i}"], b - seen[f"p_{i}"]
-        else:  # undershot: keep the part from its upper end on
-            new_brackets[key] = _Bracket(tried[key].hi, brackets[key].hi)
-            new_below[key] = seen[f"h_{i}"]
-            new_sizes[key] = sizes[key] - (seen[f"h_{i}"] - seen[f"p_{i}"])
-    return new_brackets, new_below, new_sizes
-
-
-def _rank_inside(df: DataFrame, brackets, below) -> dict:
-    if not brackets:
+    found = {}
+    for i, ((c, r), s) in enumerate(searches.items()):
+        t, lo, hi, to = tried[(c, r)], row[f"lo_{i}"], row[f"hi_{i}"], row[f"to_{i}"]
+        if r <= lo:
+            found[(c, r)] = _Search(s.lo, t.lo, s.below, lo - s.below)
+        elif r <= hi:
+            found[(c, r)] = _Search(t.lo, t.hi, lo, hi - lo)
+        else:
+            found[(c, r)] = _Search(t.hi, s.hi, to, s.below + s.size - to)
+    return found
+
+
+def _rank_inside(df: DataFrame, searches: dict) -> dict:
+    """One job: values below a bracket collapse to one counted row, those inside are counted per value."""
+    if not searches:
         return {}
-    keys = list(brackets)
-    items = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    _inside(key[0], brackets[key]),
-                    F.struct(F.lit(i).alias("i"), F.col(key[0]).cast("double").alias("x")),
-                )
-                for i, key in enumerate(keys)
-            ]
-        )
-    )
-    values = df.select(F.explode(items).alias("t")).groupBy("t.i", "t.x").agg(F.count("*").alias("n"))
-    lows = values.sparkSession.createDataFrame(
-        [(i, int(key[1] - below[key])) for i, key in enumerate(keys)], "i int, target long"
+    keys = list(searches)
+    items = []
+    for i, (c, r) in enumerate(keys):
+        s, x = searches[(c, r)], F.col(c).cast("double")
+        value = F.when(_inside(c, s), x)
+        reach = x.isNotNull() if s.hi is None else (F.col(c) <= s.hi)
+        items.append(F.when(reach, F.struct(F.lit(i).alias("i"), F.lit(r).cast("long").alias("r"), value.alias("x"))))
+    values = (
+        df.select(F.explode(F.array_compact(F.array(*items))).alias("t"))
+        .groupBy("t.i", "t.r", "t.x").agg(F.count("*").alias("n"))
     )
-    # below[] is measured against the bracket that was accepted last, so ranks inside start at 1
-    order = Window.partitionBy("i").orderBy("x")
-    ranked = values.withColumn("upto", F.sum("n").over(order)).join(F.broadcast(lows), "i")
-    hit = ranked.filter((F.col("upto") >= F.col("target")) & (F.col("upto") - F.col("n") < F.col("target")))
+    order = Window.partitionBy("i").orderBy(F.asc_nulls_first("x"))
+    ranked = values.withColumn("upto", F.sum("n").over(order))
+    hit = ranked.filter((F.col("upto") >= F.col("r")) & (F.col("upto") - F.col("n") < F.col("r")) & F.col("x").isNotNull())
     return {keys[row["i"]]: row["x"] for row in hit.collect()}
 
 
-def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, cols: list[str], accuracy: int = 10_000) -> dict[str, float | None]:
     """Medians with the two middle values averaged, ignoring NULLs; None for an empty column."""
     if not cols:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     ranks = {c: [(counts[c] + 1) // 2, counts[c] // 2 + 1] for c in cols if counts[c]}
-    values = exact_ranks(df, ranks)
+    values = exact_ranks(df, ranks, counts, accuracy)
     return {
         c: (values[c][ranks[c][0]] + values[c][ranks[c][1]]) / 2 if c in ranks else None for c in cols
     }

@@ -133,7 +133,7 @@ def winsorize(df: DataFrame, cols: list[str], share: float = 0.005, z: float = 4
         cut = math.floor(share * n)
         if extreme[c] > min_extreme and cut > 0:
             ranks[c] = [cut + 1, n - cut]
-    limits = exact_ranks(df, ranks)
+    limits = exact_ranks(df, ranks, {c: stats[f"n_{c}"] for c in ranks})
     new = {}
     for c, (lo, hi) in ranks.items():
         low, high = limits[c][lo], limits[c][hi]
