@@ -115,8 +115,8 @@ def span_alpha(span: int) -> float:
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    """Bound x to [lo, hi]; NULL stays NULL because no comparison with it holds."""
-    return F.when(x < lo, F.lit(float(lo))).when(x > hi, F.lit(float(hi))).otherwise(x)
+    """Bound x to [lo, hi]; infinities are bounded too, NaN and NULL give NULL."""
+    return F.when(x <= float("inf"), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def no_nan(x: Column) -> Column:

@@ -191,32 +191,31 @@ def add_interactions(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def scale_percentages(df: DataFrame) -> DataFrame:
-    """Values in [0, 100] are divided by 100 (those already in [0, 1] too), others clipped to [0, 1]."""
-    new = {}
-    for name in PERCENT_COLUMNS:
-        if name in df.columns:
-            x = F.col(name)
-            new[name] = F.when((x >= 0) & (x <= 100), x / 100).otherwise(clip(x, 0, 1))
-    return df.withColumns(new) if new else df
-
-
-def drop_invalid_values(df: DataFrame) -> DataFrame:
-    doubles = [
-        c for c in df.columns
-        if c not in NOT_FEATURES and isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-    ]
-    return df.withColumns({c: no_nan(F.col(c)) for c in doubles})
+def percent_share(x: Column) -> Column:
+    """Values in [0, 100] are divided by 100 (those already in [0, 1] too), others go to 0 or 1."""
+    return F.when(x.between(0, 100), x / 100).when(x < 0, 0.0).when(x <= float("inf"), 1.0)
 
 
 def optimize_base(df: DataFrame, normalize: bool = True, interactions: bool = True) -> DataFrame:
+    """Bounded, scaled features with pair products; invalid values become NULL.
+
+    A column with a final bound skips the wider first one. Products use the values between the two.
+    """
     df = df.drop(*[c for c in OPTIMISER_REMOVED if c in df.columns])
-    df = apply_bounds(df, OUTLIER_BOUNDS)
+    df = apply_bounds(df, {c: b for c, b in OUTLIER_BOUNDS.items() if c not in FINAL_BOUNDS})
     if interactions:
         df = add_interactions(df)
-    if normalize:
-        df = scale_percentages(df)
-    return drop_invalid_values(apply_bounds(df, FINAL_BOUNDS))
+    last: dict[str, Column] = {}
+    for c in df.columns:
+        if c in NOT_FEATURES or not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            continue
+        if c in FINAL_BOUNDS:
+            last[c] = clip(F.col(c), *FINAL_BOUNDS[c])
+        elif normalize and c in PERCENT_COLUMNS:
+            last[c] = percent_share(F.col(c))
+        elif c not in OUTLIER_BOUNDS:
+            last[c] = no_nan(F.col(c))
+    return df.withColumns(last) if last else df
 
 
 def optimize_features(

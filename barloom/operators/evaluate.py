@@ -13,13 +13,15 @@ def running_totals(values: DataFrame, group: str, order: str, sums: list[str]) -
     Two levels: totals per slice, then a running sum inside each slice plus the slices before it. No
     window ever covers a whole group.
     """
-    sliced = with_slices(values, order)
+    sliced, slices = with_slices(values, order)
+    inside = Window.partitionBy(group, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if slices == 1:
+        return sliced.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums}).drop("_slice")
     per_slice = sliced.groupBy(group, "_slice").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         group, "_slice", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums]
     )
-    inside = Window.partitionBy(group, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     joined = sliced.join(offsets, [group, "_slice"])
     for s in sums:
         joined = joined.withColumn(f"cum_{s}", F.sum(s).over(inside) + F.col(f"_o_{s}"))

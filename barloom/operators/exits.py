@@ -77,12 +77,10 @@ def first_exits(entries: DataFrame, bars: DataFrame, block_seconds: int = 1800)
         F.struct(*[c for c in entries.columns if c not in ("entry_id", "symbol")]).alias("entry"),
     )
     asked = asked.join(day_blocks, ["symbol", "day"], "left").join(days, "symbol", "left")
-    asked = asked.withColumns(
-        {
-            "later_block": _first_hit("day_blocks", F.col("own_block"), "block"),
-            "later_day": _first_hit("days", F.col("day"), "day"),
-        }
-    ).drop("day_blocks", "days")
+    asked = asked.withColumn("later_block", _first_hit("day_blocks", F.col("own_block"), "block"))
+    # days after the own one are searched only when the own day cannot end the position for sure
+    later_day = F.when(F.col("later_block").isNull(), _first_hit("days", F.col("day"), "day"))
+    asked = asked.withColumn("later_day", later_day).drop("day_blocks", "days")
     later = day_blocks.select("symbol", F.col("day").alias("later_day"), F.col("day_blocks").alias("later_blocks"))
     asked = asked.join(later, ["symbol", "later_day"], "left")
     here = F.array(

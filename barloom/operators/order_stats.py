@@ -218,26 +218,31 @@ def one_row(df: DataFrame) -> Column:
 ROWS_PER_SLICE = 1_000_000
 
 
-def with_slices(values: DataFrame, order: str) -> DataFrame:
-    """Adds _slice: consecutive value ranges of roughly equal size, for running sums over a whole table.
+def with_slices(values: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """Adds _slice, consecutive value ranges of roughly equal size, and returns their number.
 
-    The cut points are approximate quantiles (at most a thousand numbers, held as literals so that every
-    use of the plan cuts alike). Inputs hold distinct values, so no slice can be filled by one value.
+    Running sums over a whole table are taken slice by slice. The cut points are approximate quantiles (at
+    most a thousand numbers, held as literals so that every use of the plan cuts alike). Inputs hold
+    distinct values, so no slice can be filled by one value.
     """
     n = values.count()
     slices = min(max(math.ceil(n / ROWS_PER_SLICE), 1), 1000)
     if slices == 1:
-        return values.withColumn("_slice", F.lit(0.0))
+        return values.withColumn("_slice", F.lit(0.0)), 1
     shares = [i / slices for i in range(1, slices)]
     cuts = values.agg(F.percentile_approx(order, shares, 10_000).alias("q")).first()["q"]
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_slice").transform(values)
+    return Bucketizer(splits=splits, inputCol=order, outputCol="_slice").transform(values), len(splits) - 1
 
 
 def with_row_number(df: DataFrame, order: str, tiebreak: str, name: str = "row_number") -> DataFrame:
-    """Adds the 1-based position by (order, tiebreak) over the whole table without a global window."""
-    keyed = df.withColumn("_key", F.col(order).cast("double"))
-    sliced = with_slices(keyed, "_key")
+    """Adds the 1-based position by (order, tiebreak) over the whole table without a global window.
+
+    Only a table that fits one slice (ROWS_PER_SLICE rows) is numbered in one piece.
+    """
+    sliced, slices = with_slices(df.withColumn("_key", F.col(order).cast("double")), "_key")
+    if slices == 1:
+        return sliced.withColumn(name, F.row_number().over(Window.orderBy(order, tiebreak))).drop("_slice", "_key")
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 1000 rows
     offsets = sizes.select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))

@@ -62,20 +62,28 @@ def spread_sessions(bars: DataFrame) -> DataFrame:
 def feature_table(
     bars: DataFrame, daily: DataFrame | None = None, max_bars: int = 1440, min_history: int | None = None,
     columns: list[str] | None = None, atr_multiplier: float = 1.0, max_risk_pct: float | None = None,
+    day_sessions: bool = False,
 ) -> DataFrame:
     """Features for every bar.
 
     ``bars`` has one row per (symbol, session, ts) with open, high, low, close, volume, trade_date and
     optionally bid_px, ask_px, bid_sz, ask_sz, trade_count. ``columns`` names the wanted features, optional
     ones included; by default all but the optional ones. Only what they depend on is planned.
+    With ``day_sessions`` the session is the trade date, so the daily join uses the partitioning of the
+    windows and the bars are exchanged once instead of twice.
     """
     fr = FrameText(max_bars=max_bars)
     names = columns if columns is not None else feature_names(bars.columns)
     wanted = list(names) + ([] if min_history is None or "n_hist" in names else ["n_hist"])
     levels = needed_levels(feature_levels(fr, bars.columns, atr_multiplier, max_risk_pct), wanted)
     reads_daily = any(c in text for level in levels for text in level.values() for c in DAILY_COLUMNS)
-    joined = join_daily(bars, daily) if reads_daily else bars
-    df = apply_levels(spread_sessions(joined), levels)
+    if not reads_daily:
+        spread = spread_sessions(bars)
+    elif day_sessions:
+        spread = join_daily(spread_sessions(bars), daily, "session")
+    else:
+        spread = spread_sessions(join_daily(bars, daily))
+    df = apply_levels(spread, levels)
     if min_history is not None:
         df = df.filter(f"n_hist >= {int(min_history)}")
     return df.select(*bars.columns, *names)

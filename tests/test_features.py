@@ -96,3 +96,20 @@ def test_long_sessions_are_refused():
         feature_levels(FrameText(max_bars=100_000), [])
     with pytest.raises(ValueError):
         SessionFrames(max_bars=100_000).ema(F.lit(1), F.lit(1), 0.2)
+
+
+def test_day_sessions_share_one_exchange(spark, daily_rows):
+    bars = to_spark(spark, fixture_frames())
+    daily = spark.createDataFrame(daily_rows, DAILY)
+    names = ["Return_Since_Open", "Price_vs_SMA50", "RSI_14"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shared = feature_table(bars, daily, columns=names, day_sessions=True)
+        split = feature_table(bars, daily, columns=names)
+        keys = ["symbol", "ts", *names]
+        assert shared.select(keys).exceptAll(split.select(keys)).count() == 0
+        plan = shared._jdf.queryExecution().executedPlan().toString()
+        top = plan.split("SortMergeJoin")[0]
+        assert "Exchange" not in top  # the windows sit on the join's own partitioning
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -176,3 +176,10 @@ def test_live_rows_equal_batch_rows(spark):
     got = live.latest_feature_rows(bars).select("symbol", "RSI_14", "2R_Target").collect()
     assert [r["symbol"] for r in got] == ["walk"] and got[0]["RSI_14"] == pytest.approx(want[0]["RSI_14"])
     assert got[0]["2R_Target"] == want[0]["2R_Target"]
+
+
+def test_optimizer_removes_nan_and_bounds_infinities(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(nan, nan, nan, nan), (inf, inf, inf, inf)], "MACD_12_26_9 double, Volume_vs_SMA10 double, Volatility_Percentile_100 double, Other double")
+    got = [tuple(r) for r in clean.optimize_base(df).collect()]
+    assert got == [(None, None, None, None), (2.0, 50.0, 1.0, None)]
