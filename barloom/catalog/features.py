@@ -28,7 +28,12 @@ def rounded(df: DataFrame, names: list[str]) -> DataFrame:
     return df.selectExpr("symbol", "unix_seconds(ts) AS ts_s", *cols)
 
 
-def feature_query(name: str, columns: list[str], sql: str | None, daily: bool = False):
+FEATURE_SQL: dict[str, str] = {}  # the parts that together state the full projection
+
+
+def feature_query(name: str, columns: list[str], sql: str, daily: bool = False):
+    FEATURE_SQL[name] = sql
+
     @register(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(features(spark, sf_dir, columns, daily), columns)
@@ -442,11 +447,24 @@ def ema_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@register("feature_table")
+_BAR_COLUMNS = ("open", "high", "low", "close", "volume", "bid_px", "ask_px", "bid_sz", "ask_sz")
+_BASE_SQL = over_series(
+    _ATR,
+    {"n_hist": "CAST(n AS INTEGER)", **{c: r6(c) for c in _BAR_COLUMNS},
+     "ATR_Multiplier_Used": r6("CASE WHEN atr_pct > 0 THEN 1.0 END")},
+    where=f"n >= {MIN_HISTORY}",
+)
+
+
+@register(
+    "feature_table",
+    f"SELECT * FROM ({_BASE_SQL}) base "
+    + " ".join(f"JOIN ({sql}) {name} USING (symbol, ts_s)" for name, sql in FEATURE_SQL.items()),
+)
 def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature of every bar with enough history, in one projection."""
     df = features(spark, sf_dir, None, True, min_history=MIN_HISTORY)
-    skip = ("symbol", "ts", "session", "trade_date")
+    skip = ("symbol", "ts", "session", "trade_date", "day_open", "daily_mean50")
     return rounded(df, [c for c in df.columns if c not in skip])
 
 

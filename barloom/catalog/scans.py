@@ -192,7 +192,7 @@ def load_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("l_orderkey * 10000000000 + l_partkey * 100 + l_linenumber").alias("k"),
     )
     first, second = rows.filter("l_linenumber <= 3"), rows.filter("l_linenumber > 3")
-    stores.load_history(second.limit(10), path, "vendor", "k")
+    stores.load_history(first, path, "vendor", "k")
     stores.load_history(first, path, "local", "k")
     done = stores.load_history(second, path, "vendor", "k")
     return done.groupBy(F.col("data_source").cast("string").alias("data_source")).agg(F.count("*").alias("n"), F.sum("p").alias("p"))
