@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import licenses, pii, quality_rules
+from barloom.llm import licenses, ngram_join, pii, quality_rules
 from barloom.llm.text import listed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and near-copy component of every document."""
+    return ngram_join.near_copies(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts, base failure and final verdict of every document."""
     rows = quality_rules.judged(_read(spark, sf_dir, "documents"), carry=("doc_id",))
@@ -41,6 +46,7 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scans": op8_license_scans,
 }

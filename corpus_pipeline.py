@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import pii, quality_rules
+from barloom.llm import ngram_join, pii, quality_rules
 from barloom.llm.text import written
 
 
@@ -13,12 +13,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose personal data and disclosing terms are labelled or cut out."""
     return pii.sanitised(docs)
 
 
-STAGES = [("quality rules", quality), ("pii", private)]
+STAGES = [("quality rules", quality), ("n-gram join", distinct), ("pii", private)]
 ORACLE_SQL = None
 
 
