@@ -146,10 +146,10 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text: str = "text", rule:
     # one row per document and candidate, then its document frequency
     df = each.join(small_side(terms), "term").groupBy("term", "rid").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     entities = seen.groupBy("entity", "rid").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    total = base.agg(F.count(F.lit(1)).alias("n"))
-    scored = pairs.join(df, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # total: one row
-    information = F.log2(F.col("n") / F.col("entity_docs"))
-    pmi = F.log2(F.col("n") * F.col("together") / (F.col("term_docs") * F.col("entity_docs")))
+    total = F.lit(base.count()).cast("double")
+    scored = pairs.join(df, "term").join(entities, "entity")
+    information = F.log2(total / F.col("entity_docs"))
+    pmi = F.log2(total * F.col("together") / (F.col("term_docs") * F.col("entity_docs")))
     scored = scored.withColumn("strength", F.when(information > 0, pmi / information))
     return scored.filter(F.col("strength") * rule.alpha >= 1).select("entity", "term", "strength")
 

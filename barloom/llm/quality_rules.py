@@ -94,13 +94,12 @@ def host_verdicts(failed: DataFrame, host: str = "host") -> DataFrame:
     )
     hosts = written(hosts, "hosts")
     rate = F.col("failed") / F.col("docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    weight = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(PRIOR_WEIGHT[1])
-    prior = prior.select("m", F.least(F.lit(PRIOR_WEIGHT[1]), F.greatest(F.lit(PRIOR_WEIGHT[0]), weight)).alias("s"))
-    # one row: the mean and the weight of the prior
-    hosts = hosts.crossJoin(F.broadcast(prior))
-    shrunk = (F.col("failed") + F.col("m") * F.col("s")) / (F.col("docs") + F.col("s"))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_refused", shrunk >= HOST_LIMIT).drop("m", "s")
+    mean, variance = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    mean = mean or 0.0
+    weight = mean * (1 - mean) / variance - 1 if variance else PRIOR_WEIGHT[1]
+    weight = min(PRIOR_WEIGHT[1], max(PRIOR_WEIGHT[0], weight))
+    shrunk = (F.col("failed") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight))
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_refused", shrunk >= HOST_LIMIT)
 
 
 def judged(docs: DataFrame, text: str = "text", host: str = "source", carry: tuple[str, ...] | None = None) -> DataFrame:
