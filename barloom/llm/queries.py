@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import licenses, ngram_join, pii, quality_rules
+from barloom.llm import licenses, ngram_join, pieces, pii, quality_rules, warc
 from barloom.llm.text import listed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the archives give it back."""
+    found = warc.archived(_read(spark, sf_dir, "pages"), least_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and near-copy component of every document."""
     return ngram_join.near_copies(_read(spark, sf_dir, "documents"))
@@ -44,9 +50,24 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(_read(spark, sf_dir, "documents")).select("row.doc_id", "sentence_ids", "licenses")
 
 
+def piece_model() -> str:
+    """The public vocabulary that the registered queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to it."""
+    found = pieces.encoded(_read(spark, sf_dir, "documents"), piece_model())
+    return found.select("row.doc_id", "n_tokens", "ids", "exact")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_warc": op2_warc,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scans": op8_license_scans,
+    "op9_sentencepiece": op9_sentencepiece,
 }
