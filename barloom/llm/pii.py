@@ -140,11 +140,10 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text: str = "text", rule:
     )
     pairs = written(pairs, "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
-    listed_words = docs.select(F.monotonically_increasing_id().alias("rid"), ascii_lower(whole(text)).alias("_t"))
-    each = listed_words.select("rid", F.explode(F.array_distinct(F.split("_t", SPACE_RUN))).alias("w"))
-    each = each.select("rid", F.btrim("w", F.lit(EDGE)).alias("term"))
-    # one row per document and candidate, then its document frequency
-    df = each.join(small_side(terms), "term").groupBy("term", "rid").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    # document frequency of every word, summed map-side; only the counts meet the terms
+    bare = F.transform(F.split(ascii_lower(whole(text)), SPACE_RUN), lambda w: F.btrim(w, F.lit(EDGE)))
+    each = docs.select(F.explode(F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 4))).alias("term"))
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")).join(small_side(terms), "term")
     entities = seen.groupBy("entity", "rid").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
     total = F.lit(base.count()).cast("double")
     scored = pairs.join(df, "term").join(entities, "entity")
