@@ -44,10 +44,30 @@ def _prefix(tokens: np.ndarray, frequent: np.ndarray, seed: int, threshold: int)
     return tokens[keys <= np.partition(keys, k - 1)[k - 1]]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Tokens counted by their leading bits, about eight to a bucket. The sum of the lesser counts of two sketches is
+    never below the overlap of their sets. Empty where a count does not fit a byte: then nothing is known."""
+    bits = max(4, math.ceil(math.log2(max(1, len(tokens) / 8))))
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_shared(s: bytes, t: bytes, n: int) -> int:
+    """Bound of the overlap of two sets from their sketches, ``n`` where there is none."""
+    if not s or not t:
+        return n
+    a, b = np.frombuffer(s, np.uint8).astype(np.int64), np.frombuffer(t, np.uint8).astype(np.int64)
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(axis=1)
+    elif len(b) > len(a):
+        b = b.reshape(len(a), -1).sum(axis=1)
+    return int(np.minimum(a, b).sum())
+
+
 def _sets(size: int):
-    """doc_id, n, node for every document; token, count for tokens that many sets of a chunk hold."""
-    names = ["doc_id", "n", "node", "token", "count"]
-    schema = pa.schema([(c, pa.int64()) for c in names])
+    """doc_id, n, node, sketch for every document; token, count for tokens that many sets of a chunk hold."""
+    names = ["doc_id", "n", "node", "sketch", "token", "count"]
+    schema = pa.schema([(c, pa.binary() if c == "sketch" else pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, total = [], set(), 0
@@ -58,28 +78,31 @@ def _sets(size: int):
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= LOCAL_FREQUENT
             none = pa.nulls(int(many.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], schema=schema)
+            empty = pa.nulls(len(none), pa.binary())
+            return pa.RecordBatch.from_arrays([none, none, none, empty, pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], schema=schema)
 
         for batch in batches:
-            ids, sizes, nodes = batch.column(0), [], []
+            ids, sizes, nodes, sketches = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, size)
                 node = set_id(tokens)
                 sizes.append(len(tokens))
                 nodes.append(node)
-                if len(tokens) and node not in seen:
+                new = len(tokens) > 0 and node not in seen
+                sketches.append(sketch(tokens) if new else None)
+                if new:
                     seen.add(node)
                     held.append(tokens)
                     total += len(tokens)
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), none, none], schema=schema)
             if total >= CHUNK:
                 yield frequent()
                 held, seen, total = [], set(), 0
         if held:
             yield frequent()
 
-    return run, ", ".join(f"{c} long" for c in names)
+    return run, ", ".join(f"{c} {'binary' if c == 'sketch' else 'long'}" for c in names)
 
 
 def _posts(size: int, threshold: int, frequent, groups: int):
@@ -167,6 +190,22 @@ def _node_sets(size: int):
     return run, "node long, tokens binary"
 
 
+def _possible(threshold: int):
+    """The pairs that the sizes and sketches of both sets leave possible."""
+    names = ["a", "b", "rep_a", "rep_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b, rep_a, rep_b, n, m, s, t in rows([batch]):
+                most = most_shared(s, t, min(n, m))
+                if 100 * most >= threshold * (n + m - most):
+                    kept.append((a, b, rep_a, rep_b))
+            yield long_batch(names, *np.array(kept, np.int64).reshape(-1, 4).T)
+
+    return run, ", ".join(f"{c} long" for c in names)
+
+
 def _verified(threshold: int, frequent):
     """a, b for pairs that pass the prefix filter of every further order and then the exact overlap."""
 
@@ -205,10 +244,9 @@ class _Join:
         # at most MOST_FREQUENT numbers, whatever the input
         tokens = np.array([r[0] for r in many.select("token").collect()], np.int64)
         self.frequent = self.spark.sparkContext.broadcast(np.sort(tokens.view(np.uint64)))
-        # one row per different set: its size and a document that has it
-        self.nodes = written(
-            self.members.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes"
-        )
+        # one row per different set: its size, its sketch and a document that has it
+        own = found.filter("n > 0 and doc_id is not null")
+        self.nodes = written(own.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("sketch").alias("sketch")), "nodes")
 
     def posts(self) -> DataFrame:
         tokens = self.nodes.agg(F.sum("n")).first()[0] or 0
@@ -218,19 +256,23 @@ class _Join:
         return written(spread.groupBy("part").applyInArrow(_shared, "token long, node long, leader long"), "posts")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough."""
-        bound = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.threshold
+        """The pairs (a, b) whose sets are similar enough. Sizes and sketches leave few others for the exact overlap,
+        for which the texts of those documents alone are read again."""
         for side in ("a", "b"):
-            pairs = pairs.join(self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("rep").alias(f"rep_{side}")), side)
-        pairs = written(pairs.filter(bound), "pairs")
+            own = self.nodes.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in self.nodes.columns])
+            pairs = pairs.join(own, side)
+        near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.threshold
+        pairs = pairs.filter(near).select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b")
+        pairs = written(pairs.mapInArrow(*_possible(self.threshold)), "pairs")
         used = written(pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select(F.col("rep_b").alias("doc_id"))).distinct(), "pair-docs")
-        run, schema = _node_sets(self.size)
-        sets = self.docs.join(small_side(used), "doc_id", "left_semi").select("t").mapInArrow(run, schema)
-        sets = written(sets, "pair-sets").dropDuplicates(["node"])
-        rows_ = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a")
-        rows_ = rows_.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
-        run, schema = _verified(self.threshold, self.frequent)
-        return written(rows_.mapInArrow(run, schema), "links")
+        n = used.count()
+        texts = self.docs.join(small_side(used, n), "doc_id", "left_semi")
+        sets = texts.select("t").mapInArrow(*_node_sets(self.size))
+        if self.members.join(used, "doc_id", "left_semi").count() > n:  # a doc_id that stands in several rows
+            sets = sets.dropDuplicates(["node"])
+        pairs = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("s")), "a")
+        pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
+        return written(pairs.mapInArrow(*_verified(self.threshold, self.frequent)), "links")
 
     def labels(self) -> DataFrame:
         """node, label. First every set is compared with the least set that shares a token; then, where a token still

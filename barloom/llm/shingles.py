@@ -36,10 +36,14 @@ def shingle_set(text: bytes, size: int = SIZE) -> np.ndarray:
         return h
     if n < size:
         return mixed(np.array([xxh3_64_intdigest(h.tobytes())], dtype=np.uint64), seed=n)
-    acc = h[: n - size + 1] * _ODD[0]
+    m = n - size + 1
+    acc = h[:m] * _ODD[0]
     for k in range(1, size):
-        acc = mixed(acc) + h[k : n - size + 1 + k] * _ODD[k % len(_ODD)]
-    return np.unique(mixed(acc))
+        # each place has its own odd factor; a sixth word on meets a scramble first
+        acc = (acc if k % len(_ODD) else mixed(acc)) + h[k : m + k] * _ODD[k % len(_ODD)]
+    acc = mixed(acc)
+    acc.sort()
+    return acc[np.r_[True, acc[1:] != acc[:-1]]]
 
 
 def set_id(tokens: np.ndarray) -> int:
