@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import licenses, ngram_join, pieces, pii, quality_rules, warc
+from barloom.llm import lattice, licenses, ngram_join, pieces, pii, quality_rules, secrets, warc
 from barloom.llm.text import listed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,29 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice likelihood and word baseline of every document."""
+    return lattice.scored(_read(spark, sf_dir, "documents"), piece_model())
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = secrets.find_secrets(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind))
+
+    def text(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "row.doc_id",
+        *[count(k).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and near-copy component of every document."""
     return ngram_join.near_copies(_read(spark, sf_dir, "documents"))
@@ -66,6 +89,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
+    "op3_lattice": op3_lattice,
+    "op4_secrets": op4_secrets,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scans": op8_license_scans,
