@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import lattice, licenses, ngram_join, pieces, pii, quality_rules, secrets, warc
+from barloom.llm import decontaminate, lattice, licenses, ngram_join, pieces, pii, quality_rules, secret_scan, warc
 from barloom.llm.text import listed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,8 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
-    found = secrets.find_secrets(_read(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    found = secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind))
@@ -50,7 +50,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select(
         "row.doc_id",
-        *[count(k).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        *[count(k).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
         F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
     )
 
@@ -86,6 +86,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_tokens", "ids", "exact")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
@@ -95,4 +100,5 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scans": op8_license_scans,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_decontamination": op10_decontamination,
 }
