@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, lattice, licenses, ngram_join, pieces, pii, quality_rules, secret_scan, warc
+from barloom.llm import decontaminate, lattice, licenses, ngram_join, pieces, pii, quality_pu, quality_rules, secret_scan, warc
 from barloom.llm.text import listed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_pu.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of every document."""
     return licenses.find_licenses(_read(spark, sf_dir, "documents")).select("row.doc_id", "sentence_ids", "licenses")
@@ -98,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op4_secrets": op4_secrets,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_license_scans": op8_license_scans,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
