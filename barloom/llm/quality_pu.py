@@ -132,7 +132,7 @@ def class_prior(trusted: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from histograms of scores (counts per bin, best bin last).
 
     For every cut the share of unlabelled above it, over that of trusted above it, bounds the prior from above if the
-    top is pure; the least bound that allows for the error of both counts is taken.
+    top is pure; of the least bound, half of what it allows for the error of both counts is kept.
     """
     p, u = trusted[::-1].cumsum(), unlabelled[::-1].cumsum()
     if not p[-1] or not u[-1]:
@@ -142,7 +142,7 @@ def class_prior(trusted: np.ndarray, unlabelled: np.ndarray) -> float:
     ok = qp > 2 * error if (qp > 2 * error).any() else qp > 0
     bound = (qu[ok] + error) / qp[ok]
     best = int(np.argmin(bound))
-    return float(np.clip(bound[best], 0.01, 0.99))
+    return float(np.clip((bound[best] + qu[ok][best] / qp[ok][best]) / 2, 0.01, 0.99))
 
 
 def _histogram(x: DataFrame, model: Model) -> np.ndarray:
