@@ -216,6 +216,19 @@ def fitted(counts: DataFrame, pieces: list[tuple[str, float, str]]) -> list[floa
         return [*np.log(n / total).tolist(), math.log((ends + 1) / total)]
 
 
+def hot_count(table: DataFrame) -> int:
+    """The count from which at most HOT_WORDS words on have it, from the numbers of words by steps of the count."""
+    step = F.floor(F.log2("c") * 16)
+    sums = table.filter((F.col("c") > 0) & (F.octet_length("word") <= HOT_BYTES)).groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"))
+    bound, total = 2**62, 0
+    for row in sorted(sums.collect(), key=lambda r: -r.s):  # a few hundred steps
+        total += row.n
+        if total > HOT_WORDS:
+            break
+        bound = row.least
+    return bound
+
+
 def scored(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, subword_score for every row of ``docs``.
 
@@ -250,7 +263,7 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(score / LN10), pa.array(subword / LN10)], names=["word", "c", *SUMS])
 
     table = written(counts.mapInArrow(word_scores, "word binary, c long, base double, score double, subword double"), "word-scores")
-    top = table.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()
+    top = table.filter((F.octet_length("word") <= HOT_BYTES) & (F.col("c") >= hot_count(table))).collect()
     hot = spark.sparkContext.broadcast({bytes(r[0]): (int(r[1] > 0), r[2], r[3], r[4]) for r in top})
     kinds = [("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), *[(c, pa.float64()) for c in SUMS], ("word", pa.binary()), ("times", pa.int64())]
     schema = pa.schema(kinds)
