@@ -24,6 +24,8 @@ CHUNK = 2_000_000
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 4, 32, 500_000
 #: Prefix tokens that one reducing group holds.
 GROUP = 1_000_000
+#: Sets with one token from which their sketches are compared inside a task, block by block, before a pair is a row.
+MANY, BLOCK = 64, 2000
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -31,23 +33,26 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - math.ceil(n * threshold / 100) + 1
 
 
-def _prefix(tokens: np.ndarray, frequent: np.ndarray, seed: int, threshold: int) -> np.ndarray:
-    """The first tokens under (frequent, scrambled by the seed)."""
+def _among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(tokens), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+
+
+def _prefix(tokens: np.ndarray, common: np.ndarray, seed: int, threshold: int) -> np.ndarray:
+    """The first tokens under (``common`` or not, scrambled by the seed)."""
     k = prefix_length(len(tokens), threshold)
     if k >= len(tokens):
         return tokens
-    keys = mixed(tokens, seed) >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        keys |= (frequent[at] == tokens).astype(np.uint64) << np.uint64(63)
+    keys = (mixed(tokens, seed) >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
     # equal keys cannot tell tokens apart, so all tokens up to the k-th key belong to the prefix
     return tokens[keys <= np.partition(keys, k - 1)[k - 1]]
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Tokens counted by their leading bits, about eight to a bucket. The sum of the lesser counts of two sketches is
+    """Tokens counted by their leading bits, one or two to a bucket. The sum of the lesser counts of two sketches is
     never below the overlap of their sets. Empty where a count does not fit a byte: then nothing is known."""
-    bits = max(4, math.ceil(math.log2(max(1, len(tokens) / 8))))
+    bits = max(4, math.ceil(math.log2(max(1, len(tokens) / 2))))
     counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
@@ -106,13 +111,17 @@ def _sets(size: int):
 
 
 def _posts(size: int, threshold: int, frequent, groups: int):
-    """Prefix tokens by reducing group, each with the least set of the chunk that has it; sets of one chunk that share
-    a token are linked to that least set at once, so a common token costs one entry per chunk."""
-    schema = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("leaders", pa.binary())])
+    """Prefix tokens by reducing group, each with the leading set of the chunk that has it; sets of one chunk that
+    share a token are linked to that leader at once, so a common token costs one entry per chunk.
+
+    A set leads before others if more of its tokens are frequent ones (``ranks`` from 0 on): of many copies of a text
+    the one nearest to all of them.
+    """
+    schema = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("others", pa.binary())])
 
-    def packed(tokens: np.ndarray, nodes: np.ndarray) -> Iterator[tuple]:
-        order = np.lexsort((nodes, tokens))
-        tokens, nodes = tokens[order], nodes[order]
+    def packed(tokens: np.ndarray, nodes: np.ndarray, ranks: np.ndarray) -> Iterator[tuple]:
+        order = np.lexsort((nodes, ranks, tokens))
+        tokens, nodes, ranks = tokens[order], nodes[order], ranks[order]
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         counts = np.diff(np.r_[first, len(tokens)])
         leaders = np.repeat(nodes[first], counts)
@@ -121,19 +130,19 @@ def _posts(size: int, threshold: int, frequent, groups: int):
         for i in range(0, len(t), 50_000):
             cut = slice(i, i + 50_000)
             yield int(t[i] % np.uint64(groups)), 1, t[cut].tobytes(), n[cut].tobytes(), lead[cut].tobytes()
-        t, n = tokens[first], nodes[first]
+        t, n, r = tokens[first], nodes[first], ranks[first]
         part = (t % np.uint64(groups)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        part, t, n = part[order], t[order], n[order]
+        part, t, n, r = part[order], t[order], n[order], r[order]
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(t)], strict=True):
-            yield int(part[a]), 0, t[a:b].tobytes(), n[a:b].tobytes(), b""
+            yield int(part[a]), 0, t[a:b].tobytes(), n[a:b].tobytes(), r[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, nodes, seen, total = [], [], set(), 0
+        tokens, nodes, ranks, seen, total = [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
-            columns = zip(*packed(np.concatenate(tokens), np.concatenate(nodes)), strict=True)
+            columns = zip(*packed(np.concatenate(tokens), np.concatenate(nodes), np.concatenate(ranks)), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for (text,) in rows(batches):
@@ -142,33 +151,36 @@ def _posts(size: int, threshold: int, frequent, groups: int):
             if not len(found) or node in seen:
                 continue
             seen.add(node)
-            first = _prefix(found, frequent.value, ORDERS[0], threshold)
+            common = _among(found, frequent.value)
+            first = _prefix(found, common, ORDERS[0], threshold)
             tokens.append(first)
+            ranks.append(np.full(len(first), round(65535 * (1 - common.mean())), np.uint16))
             nodes.append(np.full(len(first), node, np.int64))
             total += len(first)
             if total >= CHUNK:
                 yield flush()
-                tokens, nodes, seen, total = [], [], set(), 0
+                tokens, nodes, ranks, seen, total = [], [], [], set(), 0
         if tokens:
             yield flush()
 
-    return run, "part long, kind long, tokens binary, nodes binary, leaders binary"
+    return run, "part long, kind long, tokens binary, nodes binary, others binary"
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of one reducing group: token, node, leader for tokens that more than one set has."""
     out = [[], [], []]
-    tokens, nodes = [], []
-    for kind, t, n, lead in rows(table.select(["kind", "tokens", "nodes", "leaders"]).to_batches()):
+    tokens, nodes, ranks = [], [], []
+    for kind, t, n, other in rows(table.select(["kind", "tokens", "nodes", "others"]).to_batches()):
         if kind:
-            for into, blob in zip(out, (t, n, lead), strict=True):
+            for into, blob in zip(out, (t, n, other), strict=True):
                 into.append(np.frombuffer(blob, np.int64))
         else:
             tokens.append(np.frombuffer(t, np.uint64))
             nodes.append(np.frombuffer(n, np.int64))
+            ranks.append(np.frombuffer(other, np.uint16))
     if tokens:
         t, n = np.concatenate(tokens), np.concatenate(nodes)
-        order = np.lexsort((n, t))
+        order = np.lexsort((n, np.concatenate(ranks), t))
         t, n = t[order], n[order]
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         counts = np.diff(np.r_[first, len(t)])
@@ -190,6 +202,44 @@ def _node_sets(size: int):
     return run, "node long, tokens binary"
 
 
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    return sketches.reshape(len(sketches), width, -1).sum(axis=2, dtype=np.uint16)
+
+
+def _block_pairs(threshold: int):
+    """Of one block of a token's sets, or of two, the pairs of different labels that sizes and sketches leave possible.
+
+    The sets of the label with most sets are not held against each other: they have the same label.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
+        sketches = table.column("sketch").to_pylist()
+        lengths = np.array([len(x or b"") for x in sketches])
+        classes = {w: (at := np.flatnonzero(lengths == w), np.array([np.frombuffer(sketches[i], np.uint8) for i in at]) if w else None) for w in np.unique(lengths).tolist()}
+        labels, counts = np.unique(label, return_counts=True)
+        few = label != labels[counts.argmax()]
+        two = block.min() != block.max()
+        a, b = [], []
+        for i in np.flatnonzero(few).tolist():
+            for width, (at, matrix) in classes.items():
+                own = lengths[i]
+                if width and own:
+                    w = int(min(width, own))
+                    mine = _folded(np.frombuffer(sketches[i], np.uint8)[None], w)[0]
+                    most = np.minimum(mine, matrix if width == w else _folded(matrix, w)).sum(axis=1, dtype=np.int64)
+                else:
+                    most = np.minimum(n[i], n[at])
+                ok = (label[at] != label[i]) & (100 * most >= threshold * (n[i] + n[at] - most)) & (~few[at] | (node[at] > node[i]))
+                if two:
+                    ok &= block[at] != block[i]
+                a += [node[i]] * int(ok.sum())
+                b += node[at[ok]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _possible(threshold: int):
     """The pairs that the sizes and sketches of both sets leave possible."""
     names = ["a", "b", "rep_a", "rep_b"]
@@ -214,10 +264,8 @@ def _verified(threshold: int, frequent):
             a, b = [], []
             for x, y, s, t in rows([batch]):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                if any(
-                    not len(np.intersect1d(_prefix(s, frequent.value, k, threshold), _prefix(t, frequent.value, k, threshold), assume_unique=True))
-                    for k in ORDERS[1:]
-                ):
+                cs, ct = _among(s, frequent.value), _among(t, frequent.value)
+                if any(not len(np.intersect1d(_prefix(s, cs, k, threshold), _prefix(t, ct, k, threshold), assume_unique=True)) for k in ORDERS[1:]):
                     continue
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= threshold * (len(s) + len(t) - both):
@@ -274,8 +322,23 @@ class _Join:
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
         return written(pairs.mapInArrow(*_verified(self.threshold, self.frequent)), "links")
 
+    def across(self, posts: DataFrame) -> DataFrame:
+        """a, b: different sets of different labels that share a token of ``posts`` (token, node, label, sets)."""
+        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.threshold
+        few = posts.filter(F.col("sets") <= MANY).join(self.nodes.select("node", "n"), "node")
+        x = few.select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+        y = few.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+        pairs = x.join(y, "token").filter((F.col("la") < F.col("lb")) & near).select("a", "b")
+        many = posts.filter(F.col("sets") > MANY).join(self.nodes.select("node", "n", "sketch"), "node")
+        blocks = F.ceil(F.col("sets") / BLOCK)
+        many = many.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        many = many.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        found = many.select("token", "lo", "hi", "node", "label", "n", "sketch", "block").groupBy("token", "lo", "hi").applyInArrow(_block_pairs(self.threshold), "a long, b long")
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(found).distinct()
+
     def labels(self) -> DataFrame:
-        """node, label. First every set is compared with the least set that shares a token; then, where a token still
+        """node, label. First every set is compared with the leading set that shares a token; then, where a token still
         joins sets of different labels, those sets with each other. Sets already joined need no further look."""
         posts = self.posts()
         stars = posts.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
@@ -283,15 +346,12 @@ class _Join:
         first = components(links)
         named = posts.select("token", "node").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = written(named, "named-posts")
-        live = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-        rest = written(named.join(live, "token", "left_semi").distinct(), "live-posts")
+        sums = F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("sets")
+        live = named.groupBy("token").agg(*sums).filter("lo != hi").select("token", "sets")
+        rest = written(named.join(live, "token").distinct(), "live-posts")
         if rest.isEmpty():
             return first
-        rest = rest.join(self.nodes.select("node", "n"), "node")
-        x = rest.select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-        y = rest.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.threshold
-        cross = x.join(y, "token").filter((F.col("la") < F.col("lb")) & near).select("a", "b").distinct()
+        cross = written(self.across(rest), "cross-pairs")
         done = stars.union(stars.select("b", "a"))
         more = self.links(cross.join(done, ["a", "b"], "left_anti"))
         if more.isEmpty():
