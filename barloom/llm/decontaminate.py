@@ -23,6 +23,9 @@ RANK, OVERSAMPLE = 256, 32
 WINDOW, STRIDE = 48, 24
 #: A term in more than this share of the items (and in more than three) says nothing about one of them.
 COMMON_SHARE, COMMON_ITEMS = 0.05, 3
+#: Of an item's terms, those in at most this share of the documents are searched for, and its rarest ones in any case:
+#: a passage copied into a third of all documents has no rare words, yet none rarer.
+FREQUENT_SHARE, RAREST = 0.01, 12
 #: Terms that a passage must hold to be looked at, and the cosine from which it is a candidate for an item.
 LEAST_TERMS, COSINE = 3, 0.4
 #: Share of an item's words found in order: a leak, or with the item's answer in place a paraphrase.
@@ -278,11 +281,16 @@ def _one_pass(docs: DataFrame, found: list[tuple[int, bytes]], n_docs: int) -> D
         df[term] = n
     idf = np.log((n_docs + 1) / (df + 0.5)).clip(0.1)
     hits = hits.filter("doc_id is not null")
+    sought = set()
+    for item in items:
+        own = sorted((df[terms[w]], terms[w]) for w in item.masks if w in terms)
+        sought.update(t for i, (n, t) in enumerate(own) if i < RAREST or n <= FREQUENT_SHARE * n_docs)
+    terms = {w: t for w, t in terms.items() if t in sought}
     near = None
     for at in range(0, len(items), SPACE_ITEMS):
         block = items[at : at + SPACE_ITEMS]
         mine = sorted({terms[w] for item in block for w in item.masks if w in terms})
-        of_block = np.full(len(terms), -1, np.int32)
+        of_block = np.full(len(df), -1, np.int32)
         of_block[mine] = np.arange(len(mine), dtype=np.int32)
         weights = idf[mine].astype(np.float32)
         matrix = np.zeros((len(block), len(mine)))
