@@ -53,15 +53,22 @@ def in_order(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
 
 
 class Item:
-    """An item's words, their places, and its answer: the words of its last sentence."""
+    """An item's words, their places, and its answer: telling words of its last sentences, at least three of them."""
 
     def __init__(self, text: bytes):
         self.words = tokens(text)
         self.masks: dict[bytes, int] = {}
         for i, w in enumerate(self.words):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
-        sentences = [s for s in map(tokens, re.split(rb"(?<=[.!?])\s+", text)) if s]
-        self.answer = set(sentences[-1]) if sentences else set()
+        self.sentences = [tokens(s) for s in re.split(rb"(?<=[.!?])\s+", text)]
+        self.answer: set[bytes] = set()
+
+    def know(self, telling) -> None:
+        """Take the answer from the words that tell items apart."""
+        for sentence in reversed(self.sentences):
+            if len(self.answer) >= LEAST_TERMS:
+                break
+            self.answer.update(w for w in sentence if w in telling)
 
     def found(self, words: list[bytes]) -> tuple[int, str | None]:
         """Words in order, and what that makes of the passage."""
@@ -69,7 +76,7 @@ class Item:
         both = in_order(self.masks, n, words)
         if both >= max(math.ceil(COPY * n), min(n, SHORT)):
             return both, "copy"
-        if n >= SHORT and both >= PARAPHRASE * n and len(self.answer & set(words)) >= ANSWER * len(self.answer):
+        if n >= SHORT and self.answer and both >= PARAPHRASE * n and len(self.answer & set(words)) >= ANSWER * len(self.answer):
             return both, "paraphrase"
         return both, None
 
@@ -286,6 +293,8 @@ def _one_pass(docs: DataFrame, found: list[tuple[int, bytes]], n_docs: int) -> D
         own = sorted((df[terms[w]], terms[w]) for w in item.masks if w in terms)
         sought.update(t for i, (n, t) in enumerate(own) if i < RAREST or n <= FREQUENT_SHARE * n_docs)
     terms = {w: t for w, t in terms.items() if t in sought}
+    for item in items:
+        item.know(terms)
     near = None
     for at in range(0, len(items), SPACE_ITEMS):
         block = items[at : at + SPACE_ITEMS]
@@ -316,7 +325,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``benchmark`` (item_id, text) is the query set, searched in blocks against every passage of every document. A copy
     has at least half of the item's words in order near a candidate passage; a paraphrase has a third of them and the
-    words of the item's last sentence. Null, empty and blank texts hold nothing and are in nothing; a short item must
+    telling words of the item's last sentences. Null, empty and blank texts hold nothing and are in nothing; a short item must
     be there whole. Rows without doc_id are not searched; equal rows give one result; items that are equal are all
     named. Other columns are not read.
     """
