@@ -126,18 +126,14 @@ def mentions(base: DataFrame, rule: Disclosure = DISCLOSURE) -> DataFrame:
 def disclosing_terms(base: DataFrame, docs: DataFrame, text: str = "text", rule: Disclosure = DISCLOSURE) -> DataFrame:
     """entity, term, strength: PMI(term, entity) / information(entity), where at least 1 / alpha.
 
-    Co-occurrence is counted over all mentions, document frequency over all words of all documents. Pairs are summed
-    step by step (document, surroundings, pair), each step map-side first. A value in every document has no
+    Co-occurrence is counted over all mentions, document frequency over all words of all documents. All sums are
+    map-side first. A value in every document has no
     information and reveals nothing.
     """
     seen = written(mentions(base, rule), "pii-mentions")
     near = seen.select("rid", "entity", F.xxhash64("context").alias("ctx"), F.explode(_tokens(F.col("context"))).alias("term"))
-    pairs = (
-        near.groupBy("entity", "term", "rid").agg(F.min("ctx").alias("ctx"))
-        .groupBy("entity", "term", "ctx").agg(F.count(F.lit(1)).alias("docs"))
-        .groupBy("entity", "term").agg(F.sum("docs").alias("together"), F.count(F.lit(1)).alias("contexts"))
-        .filter(F.col("contexts") >= rule.contexts)
-    )
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("rid").alias("together"), F.count_distinct("ctx").alias("contexts"))
+    pairs = pairs.filter(F.col("contexts") >= rule.contexts)
     pairs = written(pairs, "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
     # document frequency of every word, summed map-side; only the counts meet the terms
