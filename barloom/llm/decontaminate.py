@@ -132,7 +132,7 @@ def _passages(batch: pa.RecordBatch, of_block: np.ndarray) -> tuple[np.ndarray,
             starts.append((w - back)[ok])
             terms.append(ids[ok])
             docs.append(np.full(int(ok.sum()), i, np.int64))
-    if not docs:
+    if not sum(map(len, docs)):
         return (np.empty(0, np.int64),) * 4
     doc, start, term = np.concatenate(docs), np.concatenate(starts).astype(np.int64), np.concatenate(terms).astype(np.int64)
     order = np.lexsort((term, start, doc))
@@ -140,7 +140,7 @@ def _passages(batch: pa.RecordBatch, of_block: np.ndarray) -> tuple[np.ndarray,
     same = np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])]
     distinct = ~(same & np.r_[False, term[1:] == term[:-1]])
     doc, start, term, same = doc[distinct], start[distinct], term[distinct], same[distinct]
-    first = np.flatnonzero(~np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])]) if len(doc) else np.empty(0, np.int64)
+    first = np.flatnonzero(~np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
     counts = np.diff(np.r_[first, len(doc)])
     enough = np.repeat(counts >= LEAST_TERMS, counts)
     keep = first[counts >= LEAST_TERMS]

@@ -171,9 +171,9 @@ def normalise(archives: DataFrame) -> DataFrame:
 
 def offsets(members: DataFrame) -> DataFrame:
     """The sidecar as a table: archive and the fields of each line."""
-    line = F.explode(F.filter(F.split("index", "\n"), lambda x: x != ""))
-    fields = F.from_json(line, "offset long, length long, type string, id string, digest string, url string")
-    return members.select("archive", fields.alias("r")).select("archive", "r.*")
+    lines = members.select("archive", F.explode(F.filter(F.split("index", "\n"), lambda x: x != "")).alias("line"))
+    fields = F.from_json("line", "offset long, length long, type string, id string, digest string, url string")
+    return lines.select("archive", fields.alias("r")).select("archive", "r.*")
 
 
 def _number(urn: str | None) -> int | None:
