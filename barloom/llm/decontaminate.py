@@ -23,11 +23,12 @@ RANK, OVERSAMPLE = 256, 32
 WINDOW, STRIDE = 48, 24
 #: A term in more than this share of the items (and in more than three) says nothing about one of them.
 COMMON_SHARE, COMMON_ITEMS = 0.05, 3
-#: Of an item's terms, those in at most this share of the documents are searched for, and its rarest ones in any case:
-#: a passage copied into a third of all documents has no rare words, yet none rarer.
+#: Of an item's terms, those in at most this share of the documents are searched for, and in any case those in at most
+#: twice as many documents as its rarest dozen: a passage copied into a third of all documents has no rare words.
 FREQUENT_SHARE, RAREST = 0.01, 12
-#: Terms that a passage must hold to be looked at, and the cosine from which it is a candidate for an item.
-LEAST_TERMS, COSINE = 3, 0.4
+#: Terms that a passage must hold to be looked at; the cosine from which it is a candidate for an item, if it also covers
+#: so much of the item's length along its direction.
+LEAST_TERMS, COSINE, COVER = 3, 0.4, 0.2
 #: Share of an item's words found in order: a leak, or with the item's answer in place a paraphrase.
 COPY, PARAPHRASE, ANSWER = 0.5, 0.35, 0.8
 #: Items of fewer words must be found whole.
@@ -227,11 +228,12 @@ def latent_space(hits: DataFrame, of_block: np.ndarray, weights: np.ndarray, ite
 def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items: np.ndarray) -> DataFrame:
     """doc_id, item (place in the block), start, cosine of passages near an item in the latent space."""
     z = items @ space[0]
-    z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    shared = hits.sparkSession.sparkContext.broadcast((of_block, (space[0] * space[1][:, None]).astype(np.float32), z.astype(np.float32)))
+    size = np.maximum(np.linalg.norm(z, axis=1), 1e-12)
+    z = z / size[:, None]
+    shared = hits.sparkSession.sparkContext.broadcast((of_block, (space[0] * space[1][:, None]).astype(np.float32), z.astype(np.float32), size.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, vectors, near = shared.value
+        block, vectors, near, lengths = shared.value
         for whole in batches:
             for i in range(0, whole.num_rows, 100):
                 batch = whole.slice(i, 100)
@@ -239,9 +241,9 @@ def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items:
                 if not len(bounds):
                     continue
                 x = _summed(vectors[term], bounds)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                cosine = x @ near.T
-                p, item = np.nonzero(cosine >= COSINE)
+                along = x @ near.T
+                cosine = along / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                p, item = np.nonzero((cosine >= COSINE) & (along >= COVER * lengths))
                 ids = batch.column(0).to_numpy()
                 yield long_batch(["doc_id", "item", "start", "cosine"], ids[doc[p]], item.astype(np.int64), start[p], cosine[p, item].astype(np.float64))
 
@@ -290,8 +292,9 @@ def _one_pass(docs: DataFrame, found: list[tuple[int, bytes]], n_docs: int) -> D
     hits = hits.filter("doc_id is not null")
     sought = set()
     for item in items:
-        own = sorted((df[terms[w]], terms[w]) for w in item.masks if w in terms)
-        sought.update(t for i, (n, t) in enumerate(own) if i < RAREST or n <= FREQUENT_SHARE * n_docs)
+        own = {t: df[t] for t in (terms[w] for w in item.masks if w in terms) if df[t]}
+        rare = 2 * sorted(own.values())[min(RAREST, len(own)) - 1] if own else 0
+        sought.update(t for t, n in own.items() if n <= max(rare, FREQUENT_SHARE * n_docs))
     terms = {w: t for w, t in terms.items() if t in sought}
     for item in items:
         item.know(terms)
