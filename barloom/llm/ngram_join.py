@@ -119,6 +119,9 @@ def _posts(size: int, threshold: int, frequent, groups: int):
     """
     schema = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("others", pa.binary())])
 
+    def part_of(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (t % np.uint64(groups)).astype(np.int64), (t // np.uint64(groups)).astype(np.uint32)
+
     def packed(tokens: np.ndarray, nodes: np.ndarray, ranks: np.ndarray) -> Iterator[tuple]:
         order = np.lexsort((nodes, ranks, tokens))
         tokens, nodes, ranks = tokens[order], nodes[order], ranks[order]
@@ -129,9 +132,10 @@ def _posts(size: int, threshold: int, frequent, groups: int):
         t, n, lead = tokens[shared], nodes[shared], leaders[shared]
         for i in range(0, len(t), 50_000):
             cut = slice(i, i + 50_000)
-            yield int(t[i] % np.uint64(groups)), 1, t[cut].tobytes(), n[cut].tobytes(), lead[cut].tobytes()
+            part, low = part_of(t[cut])
+            yield int(part[0]), 1, _named(part, low).tobytes(), n[cut].tobytes(), lead[cut].tobytes()
         t, n, r = tokens[first], nodes[first], ranks[first]
-        part = (t % np.uint64(groups)).astype(np.int64)
+        part, t = part_of(t)
         order = np.argsort(part, kind="stable")
         part, t, n, r = part[order], t[order], n[order], r[order]
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -154,7 +158,7 @@ def _posts(size: int, threshold: int, frequent, groups: int):
             common = _among(found, frequent.value)
             first = _prefix(found, common, ORDERS[0], threshold)
             tokens.append(first)
-            ranks.append(np.full(len(first), round(65535 * (1 - common.mean())), np.uint16))
+            ranks.append(np.full(len(first), round(255 * (1 - common.mean())), np.uint8))
             nodes.append(np.full(len(first), node, np.int64))
             total += len(first)
             if total >= CHUNK:
@@ -166,18 +170,22 @@ def _posts(size: int, threshold: int, frequent, groups: int):
     return run, "part long, kind long, tokens binary, nodes binary, others binary"
 
 
+def _named(part: np.ndarray | int, low: np.ndarray) -> np.ndarray:
+    return part << 32 | low.astype(np.int64)
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """Of one reducing group: token, node, leader for tokens that more than one set has."""
     out = [[], [], []]
-    tokens, nodes, ranks = [], [], []
+    tokens, nodes, ranks, part = [], [], [], table.column("part")[0].as_py()
     for kind, t, n, other in rows(table.select(["kind", "tokens", "nodes", "others"]).to_batches()):
         if kind:
             for into, blob in zip(out, (t, n, other), strict=True):
                 into.append(np.frombuffer(blob, np.int64))
         else:
-            tokens.append(np.frombuffer(t, np.uint64))
+            tokens.append(_named(part, np.frombuffer(t, np.uint32)))
             nodes.append(np.frombuffer(n, np.int64))
-            ranks.append(np.frombuffer(other, np.uint16))
+            ranks.append(np.frombuffer(other, np.uint8))
     if tokens:
         t, n = np.concatenate(tokens), np.concatenate(nodes)
         order = np.lexsort((n, np.concatenate(ranks), t))
@@ -185,7 +193,7 @@ def _shared(table: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         counts = np.diff(np.r_[first, len(t)])
         lead, several = np.repeat(n[first], counts), np.repeat(n[first] != n[first + counts - 1], counts)
-        for into, values in zip(out, (t[several].view(np.int64), n[several], lead[several]), strict=True):
+        for into, values in zip(out, (t[several], n[several], lead[several]), strict=True):
             into.append(values)
     names = ["token", "node", "leader"]
     return pa.table({c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in zip(names, out, strict=True)})
