@@ -52,6 +52,28 @@ def auc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(E.auc_by_model(scored(spark, sf_dir)), "auc")
 
 
+@register(
+    "auc_missing_scores",
+    f"""WITH seen AS (
+  SELECT 'coarse' AS model, {_A} AS p, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders WHERE o_orderkey % 5 <> 0
+  UNION ALL SELECT 'fine', {_B}, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END FROM orders WHERE o_orderkey % 5 <> 0),
+ranked AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS r FROM seen)
+SELECT model, {r6('''(sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+    / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0))''')} AS auc,
+  count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM ranked GROUP BY 1""",
+)
+def auc_missing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every fifth order are missing, of every tenth not a number; both have no rank."""
+    lost = F.when(F.col("o_orderkey") % 10 == 0, F.lit(float("nan")))
+    orders = D.table(spark, sf_dir, "orders")
+    label = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label")
+    both = [
+        orders.select(F.lit(name).alias("model"), F.when(F.col("o_orderkey") % 5 == 0, lost).otherwise(F.expr(score)).alias("probability"), label)
+        for name, score in (("coarse", _A), ("fine", _B))
+    ]
+    return six(E.auc_by_model(both[0].unionByName(both[1])), "auc")
+
+
 @register(
     "best_model",
     f"WITH {SCORED}, {_AUC} SELECT model, {r6('auc')} AS auc FROM auc ORDER BY auc.auc DESC, model DESC LIMIT 1",

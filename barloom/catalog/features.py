@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import register
 from barloom.catalog.sql_parts import BARS, DAILY, SERIES, WINDOWS, clip, ema, over_series, r6
-from barloom.functions.frames import SessionFrames, span_alpha
+from barloom.functions.frames import FrameText, span_alpha
+from barloom.functions.text import apply_levels
+from barloom.operators.session_series import ema_sums
 from barloom.plans.features import MIN_HISTORY, feature_table
 from barloom.sources import driver_tables as D
 
 
 def features(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, daily: bool = False, **more) -> DataFrame:
     bars = D.event_bars(spark, sf_dir)
-    return feature_table(
-        bars, D.event_daily(spark, sf_dir) if daily else None, D.MAX_BARS, columns=columns, **more
-    )
+    return feature_table(bars, D.event_daily(spark, sf_dir) if daily else None, columns=columns, **more)
 
 
 def rounded(df: DataFrame, names: list[str]) -> DataFrame:
@@ -436,15 +436,32 @@ def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ema12": r6(ema("l", "2.0/13")), "ema26": r6(ema("l", "2.0/27")), "wilder14": r6(ema("l", "1.0/14"))}),
 )
 def ema_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fr = SessionFrames(max_bars=D.MAX_BARS)
-    df = D.event_bars(spark, sf_dir).withColumn("k", fr.index())
-    x, k = F.col("close"), F.col("k")
-    df = df.withColumns(
-        {"ema12": fr.ema(x, k, span_alpha(12)), "ema26": fr.ema(x, k, span_alpha(26)), "wilder14": fr.ema(x, k, 1 / 14)}
-    )
-    return rounded(df, ["ema12", "ema26", "wilder14"])
+    return rounded(recursive_averages(D.event_bars(spark, sf_dir)), ["ema12", "ema26", "wilder14"])
 
 
+def recursive_averages(bars: DataFrame) -> DataFrame:
+    fr = FrameText()
+    kinds = {"ema12": ("close", span_alpha(12)), "ema26": ("close", span_alpha(26)), "wilder14": ("close", 1 / 14)}
+    sums, now = ema_sums(fr, kinds, "k"), {name: fr.ema_of(name, "k", alpha) for name, (_, alpha) in kinds.items()}
+    return apply_levels(bars, [{"k": fr.index()}, sums, now])
+
+
+@register(
+    "ema_long_sessions",
+    """WITH RECURSIVE t AS (SELECT 'orders' AS symbol, o_totalprice / 1000 AS x, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders),
+e AS (SELECT symbol, k, x, x AS ema12, x AS ema26, x AS wilder14 FROM t WHERE k = 0
+  UNION ALL SELECT t.symbol, t.k, t.x, e.ema12 + 2.0 / 13 * (t.x - e.ema12), e.ema26 + 2.0 / 27 * (t.x - e.ema26), e.wilder14 + 1.0 / 14 * (t.x - e.wilder14)
+  FROM e JOIN t ON t.symbol = e.symbol AND t.k = e.k + 1)
+SELECT symbol, CAST(k AS BIGINT) AS k, round_even(CAST(ema12 AS DOUBLE), 6) AS ema12, round_even(CAST(ema26 AS DOUBLE), 6) AS ema26,
+  round_even(CAST(wilder14 AS DOUBLE), 6) AS wilder14 FROM e""",
+)
+def ema_long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session of all orders: its length grows with the table, and the averages stay recursive."""
+    df = recursive_averages(D.table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("symbol"), F.lit("all").alias("session"), F.col("o_orderkey").alias("ts"),
+        (F.col("o_totalprice") / 1000).alias("close"),
+    ))
+    return df.select("symbol", F.col("k").cast("long").alias("k"), *[F.bround(c, 6).alias(c) for c in ("ema12", "ema26", "wilder14")])
 
 
 _BAR_COLUMNS = ("open", "high", "low", "close", "volume", "bid_px", "ask_px", "bid_sz", "ask_sz")

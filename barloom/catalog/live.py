@@ -148,7 +148,7 @@ def _score(df: DataFrame) -> DataFrame:
 @register("live_screen")
 def live_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest bar of every symbol: features from its last 60 bars, screened and scored."""
-    rows = L.latest_feature_rows(D.event_bars(spark, sf_dir), D.event_daily(spark, sf_dir), D.MAX_BARS)
+    rows = L.latest_feature_rows(D.event_bars(spark, sf_dir), D.event_daily(spark, sf_dir))
     out = L.assess(rows, _score)
     return out.select("symbol", F.unix_seconds("ts").alias("ts_s"), "screen_pass", "screen_reason", "prediction", to6("probability").alias("probability"))
 
@@ -164,7 +164,7 @@ def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
         # the history store holds earlier batches too, so each batch sees the symbol's last bars
         touched = batch.select("symbol").distinct()
         known = batch.sparkSession.read.parquet(bars_path).join(touched, "symbol", "left_semi")
-        rows = L.assess(L.latest_feature_rows(known, None, D.MAX_BARS), _score)
+        rows = L.assess(L.latest_feature_rows(known), _score)
         rows.select("symbol", "ts", "screen_pass", "screen_reason", "prediction", "probability").write.mode("append").parquet(out)
 
     q = L.run_live(Q.stream_table(spark, bars_path, schema), on_batch, scratch_path(spark, "progress"), availableNow=True)

@@ -244,6 +244,17 @@ def numbered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.numbered_runs(runs(spark, sf_dir)).select("Run_Id", F.col("Run_Number").cast("long").alias("Run_Number"))
 
 
+@register(
+    "numbered_undated_runs",
+    f"""WITH {RUNS}, dated AS (SELECT "Run_Id", CASE WHEN "Run_Id" % 3 <> 0 THEN "Date_Start" END AS d FROM runs)
+SELECT "Run_Id", row_number() OVER (ORDER BY d NULLS FIRST, "Run_Id") AS "Run_Number" FROM dated""",
+)
+def numbered_undated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs without a date come first and are all numbered."""
+    df = runs(spark, sf_dir).withColumn("Date_Start", F.when(F.col("Run_Id") % 3 != 0, F.col("Date_Start")))
+    return R.numbered_runs(df).select("Run_Id", F.col("Run_Number").cast("long").alias("Run_Number"))
+
+
 @register(
     "best_and_worst",
     f"""WITH {RUNS}, ok AS (SELECT * FROM runs WHERE "Status" = 'Success')

@@ -1,7 +1,7 @@
 """Window frames over one trading session.
 
 A session is one (symbol, session) group ordered by bar time. It is bounded by the calendar and the
-bar width, never by the size of the table: one-minute bars give at most 1440 rows a day. Every frame
+bar width, never by the size of the table. Every frame
 below shares the same partitioning and ordering, so any number of them costs one exchange and one sort.
 
 ``past(n)`` and ``hist`` stop at the row *before* the current one: features at minute t see only
@@ -16,13 +16,14 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SESSION_KEYS = ("symbol", "session")
+#: Values whose weights of a recursive average share one origin.
+BLOCK = 640
 
 
 class SessionFrames:
-    def __init__(self, keys=SESSION_KEYS, order: str = "ts", max_bars: int = 1440):
+    def __init__(self, keys=SESSION_KEYS, order: str = "ts"):
         self.keys = tuple(keys)
         self.order = order
-        self.max_bars = max_bars
         self.spec: WindowSpec = Window.partitionBy(*self.keys).orderBy(order)
         self.whole: WindowSpec = Window.partitionBy(*self.keys)
 
@@ -47,21 +48,6 @@ class SessionFrames:
         """0-based position in the session, which is also the number of earlier bars."""
         return F.row_number().over(self.spec) - F.lit(1)
 
-    def _check_decay(self, alpha: float) -> float:
-        q = 1.0 - alpha
-        if self.max_bars * abs(math.log(q)) > 650.0:
-            raise ValueError(
-                f"alpha={alpha} over {self.max_bars} bars would overflow the closed-form average; "
-                "use shorter sessions or wider bars"
-            )
-        return q
-
-    def ema(self, x: Column, k: Column, alpha: float) -> Column:
-        """Recursive average e_k = alpha*x_k + (1-alpha)*e_(k-1), e_0 = x_0, as one running sum."""
-        q = self._check_decay(alpha)
-        weight = F.when(k == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        return F.sum(weight * x * F.pow(F.lit(q), -k)).over(self.upto) * F.pow(F.lit(q), k)
-
 
 class FrameText(SessionFrames):
     """The same frames as OVER clauses for SQL expression text."""
@@ -94,20 +80,43 @@ class FrameText(SessionFrames):
     def index(self) -> str:
         return f"row_number() {self.ordered} - 1"
 
-    def ema(self, x: str, k: str, alpha: float, before: bool = False) -> str:
-        """Recursive average up to the current row, or up to the row before it.
+    def ema_sums(self, x: str, k: str, alpha: float) -> tuple[str, str]:
+        """Weighted sums of a recursive average, over the current block of BLOCK values and over the block before.
 
-        ``k`` numbers the values from 0 within the session, on the current row.
+        ``k`` numbers the values from 0 within the session. Exponents count from the start of a block, so they stay
+        below BLOCK whatever the length of the session; what lies two blocks back has a weight below 1e-20.
         """
-        q = self._check_decay(alpha)
+        q = 1.0 - alpha
+        if BLOCK * math.log(q) > -46:
+            raise ValueError(f"alpha={alpha} fades too slowly for blocks of {BLOCK}")
         weight = f"CASE WHEN {k} = 0 THEN 1D ELSE {alpha!r}D END"
-        over, last = (self.hist, f"{k} - 1") if before else (self.upto, k)
-        return f"sum({weight} * {x} * power({q!r}D, -({k}))) {over} * power({q!r}D, {last})"
+        term = f"{weight} * {x} * power({q!r}D, -pmod({k}, {BLOCK}))"
+        keys = ", ".join(self.keys)
+        inside = (
+            f"sum({term}) OVER (PARTITION BY {keys}, ({k}) div {BLOCK} ORDER BY {self.order} "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        )
+        before = f"sum({term}) OVER (PARTITION BY {keys} ORDER BY ({k}) div {BLOCK} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+        return inside, before
+
+    def ema_of(self, sums: str, k: str, alpha: float) -> str:
+        """The average e_k = alpha * x_k + (1 - alpha) * e_(k-1), e_0 = x_0, from columns <sums>_in and <sums>_old."""
+        q, at = 1.0 - alpha, f"pmod({k}, {BLOCK})"
+        return f"power({q!r}D, {at}) * ({sums}_in + power({q!r}D, {BLOCK}D) * coalesce({sums}_old, 0D))"
 
     def decayed_sum_before(self, x: str, k: str, alpha: float, n: int) -> str:
-        """Sum of alpha * q^age * x over the n rows before the current one; the newest has age 0."""
-        q = self._check_decay(alpha)
-        return f"sum({x} * power({q!r}D, -{k})) {self.past(n)} * power({q!r}D, {k} - 1) * {alpha!r}D"
+        """Sum of alpha * q^age * x over the n rows before the current one; the newest has age 0.
+
+        Rows of one block and of the next have their own sum, so no exponent exceeds BLOCK.
+        """
+        q, last = 1.0 - alpha, f"({k} - 1)"
+
+        def side(parity: int) -> str:
+            term = f"CASE WHEN pmod({k} div {BLOCK}, 2) = {parity} THEN {x} * power({q!r}D, -pmod({k}, {BLOCK})) END"
+            older = f"CASE WHEN pmod({last} div {BLOCK}, 2) = {parity} THEN 1D ELSE power({q!r}D, {BLOCK}D) END"
+            return f"coalesce(sum({term}) {self.past(n)} * {older}, 0D)"
+
+        return f"({side(0)} + {side(1)}) * power({q!r}D, pmod({last}, {BLOCK})) * {alpha!r}D"
 
 
 def span_alpha(span: int) -> float:

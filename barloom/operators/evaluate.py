@@ -7,31 +7,36 @@ from pyspark.sql import functions as F
 
 from barloom.operators.order_stats import one_row, with_slices
 
+
 def running_totals(values: DataFrame, group: str, order: str, sums: list[str]) -> DataFrame:
     """Adds cum_<name> for each sum: totals over the values up to and including the row, per group.
 
     Two levels: totals per slice, then a running sum inside each slice plus the slices before it. No
-    window ever covers a whole group.
+    window ever covers a whole group. NULL comes before and NaN after every other value, in any number of slices.
     """
-    sliced, slices = with_slices(values, order)
+    sliced, slices = with_slices(values, group, order)
     inside = Window.partitionBy(group, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     if slices == 1:
         return sliced.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums}).drop("_slice")
     per_slice = sliced.groupBy(group, "_slice").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
-        group, "_slice", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums]
+        F.col(group).alias("_g"), F.col("_slice").alias("_s"),
+        *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
     )
-    joined = sliced.join(offsets, [group, "_slice"])
+    joined = sliced.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slice") == F.col("_s")))
     for s in sums:
         joined = joined.withColumn(f"cum_{s}", F.sum(s).over(inside) + F.col(f"_o_{s}"))
-    return joined.drop("_slice", *[f"_o_{s}" for s in sums])
+    return joined.drop("_slice", "_g", "_s", *[f"_o_{s}" for s in sums])
 
 
 def score_counts(scored: DataFrame, group: str = "model") -> DataFrame:
-    """Positives and negatives per distinct score; copies of a score collapse before any ordering."""
-    y = F.col("label").cast("int")
-    return scored.groupBy(group, "probability").agg(
+    """Positives and negatives per distinct score; copies of a score collapse before any ordering.
+
+    A row without a score (NULL or NaN) has no place in a ranking and is left out.
+    """
+    y, p = F.col("label").cast("int"), F.col("probability")
+    return scored.filter(p.isNotNull() & ~F.isnan(p)).groupBy(group, "probability").agg(
         F.count(F.when(y == 1, 1)).alias("pos"), F.count(F.when(y == 0, 1)).alias("neg")
     )
 
@@ -55,7 +60,8 @@ def best_by_auc(aucs: DataFrame, group: str = "model") -> DataFrame:
 def roc_curve(scored: DataFrame, group: str = "model") -> DataFrame:
     """One point per distinct score: rates of the rows at or above it."""
     cum = running_totals(score_counts(scored, group), group, "probability", ["pos", "neg"])
-    totals = score_counts(scored, group).groupBy(group).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    # the totals are the largest running totals
+    totals = cum.groupBy(group).agg(F.max("cum_pos").alias("_p"), F.max("cum_neg").alias("_n"))
     df = cum.join(totals, group)
     return df.select(
         group,

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import written_table
+
 BRACKET_ROWS = 200_000  # distinct values one column may leave for the final exact ranking
 
 
@@ -32,6 +33,12 @@ def _inside(c: str, s: _Search) -> Column:
     return keep
 
 
+def _kind(df: DataFrame, c: str) -> str:
+    """The type in which a column is ranked: doubles hold every smaller number type, others keep their own."""
+    kind = df.schema[c].dataType.simpleString()
+    return "double" if kind in ("tinyint", "smallint", "int", "float", "double") else kind
+
+
 def exact_ranks(
     df: DataFrame, targets: dict[str, list[int]], counts: dict[str, int] | None = None, accuracy: int = 10_000
 ) -> dict[str, dict[int, float]]:
@@ -42,8 +49,12 @@ def exact_ranks(
     about ``accuracy``. So nothing is collected or sorted whole, and equal values collapse before they are
     ranked. Only counts, brackets and results reach the driver.
     """
-    wanted = [(c, r) for c, ranks in targets.items() for r in sorted(set(ranks))]
     out: dict[str, dict[int, float]] = {c: {} for c in targets}
+    if len(kinds := {_kind(df, c) for c in targets}) > 1:
+        for kind in sorted(kinds):
+            out |= exact_ranks(df, {c: r for c, r in targets.items() if _kind(df, c) == kind}, counts, accuracy)
+        return out
+    wanted = [(c, r) for c, ranks in targets.items() for r in sorted(set(ranks))]
     if not wanted:
         return out
     if counts is None:
@@ -71,7 +82,7 @@ def _bracket(df: DataFrame, searches: dict, step: float, accuracy: int) -> dict:
     aggs = []
     for i, ((c, r), s) in enumerate(searches.items()):
         share = (r - s.below) / s.size
-        inside = F.when(_inside(c, s), F.col(c).cast("double"))
+        inside = F.when(_inside(c, s), F.col(c).cast(_kind(df, c)))
         shares = [max(share - step, 0.0), min(share + step, 1.0)]
         aggs.append(F.percentile_approx(inside, shares, accuracy).alias(f"q_{i}"))
     row = df.agg(*aggs).first()
@@ -110,7 +121,7 @@ def _rank_inside(df: DataFrame, searches: dict) -> dict:
     keys = list(searches)
     items = []
     for i, (c, r) in enumerate(keys):
-        s, x = searches[(c, r)], F.col(c).cast("double")
+        s, x = searches[(c, r)], F.col(c).cast(_kind(df, c))
         value = F.when(_inside(c, s), x)
         reach = x.isNotNull() if s.hi is None else (F.col(c) <= s.hi)
         items.append(F.when(reach, F.struct(F.lit(i).alias("i"), F.lit(r).cast("long").alias("r"), value.alias("x"))))
@@ -132,7 +143,7 @@ def exact_medians(df: DataFrame, cols: list[str], accuracy: int = 10_000) -> dic
     ranks = {c: [(counts[c] + 1) // 2, counts[c] // 2 + 1] for c in cols if counts[c]}
     values = exact_ranks(df, ranks, counts, accuracy)
     return {
-        c: (values[c][ranks[c][0]] + values[c][ranks[c][1]]) / 2 if c in ranks else None for c in cols
+        c: float(values[c][ranks[c][0]] + values[c][ranks[c][1]]) / 2 if c in ranks else None for c in cols
     }
 
 
@@ -218,34 +229,30 @@ def one_row(df: DataFrame) -> Column:
 ROWS_PER_SLICE = 1_000_000
 
 
-def with_slices(values: DataFrame, order: str) -> tuple[DataFrame, int]:
-    """Adds _slice, consecutive value ranges of roughly equal size, and returns their number.
+def with_slices(values: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """Adds _slice, consecutive ranges of roughly equal size in the order of the columns, and their number.
 
-    Running sums over a whole table are taken slice by slice. The cut points are approximate quantiles (at
-    most a thousand numbers, held as literals so that every use of the plan cuts alike). Inputs hold
-    distinct values, so no slice can be filled by one value.
+    Running sums over a whole table are taken slice by slice. Spark's range partitioning cuts by all order
+    columns, so equal leading values part on the later ones; NULL comes first and NaN last, as in a window. The
+    number of slices follows the rows without a bound. Cut tables are written, so that every use sees one cut.
     """
-    n = values.count()
-    slices = min(max(math.ceil(n / ROWS_PER_SLICE), 1), 1000)
+    slices = max(math.ceil(values.count() / ROWS_PER_SLICE), 1)
     if slices == 1:
-        return values.withColumn("_slice", F.lit(0.0)), 1
-    shares = [i / slices for i in range(1, slices)]
-    cuts = values.agg(F.percentile_approx(order, shares, 10_000).alias("q")).first()["q"]
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_slice").transform(values), len(splits) - 1
+        return values.withColumn("_slice", F.lit(0)), 1
+    cut = values.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
+    return written_table(cut, "slices"), slices
 
 
 def with_row_number(df: DataFrame, order: str, tiebreak: str, name: str = "row_number") -> DataFrame:
-    """Adds the 1-based position by (order, tiebreak) over the whole table without a global window.
+    """Adds the 1-based position by (order, tiebreak), NULL first, over the whole table without a global window.
 
-    Only a table that fits one slice (ROWS_PER_SLICE rows) is numbered in one piece.
+    Only a table that fits one slice (ROWS_PER_SLICE rows) is numbered in one piece. Every row is kept.
     """
-    sliced, slices = with_slices(df.withColumn("_key", F.col(order).cast("double")), "_key")
+    sliced, slices = with_slices(df, order, tiebreak)
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(order, tiebreak))
     if slices == 1:
-        return sliced.withColumn(name, F.row_number().over(Window.orderBy(order, tiebreak))).drop("_slice", "_key")
+        return sliced.withColumn(name, inside).drop("_slice")
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 1000 rows
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     offsets = sizes.select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(order, tiebreak))
-    joined = sliced.join(F.broadcast(offsets), "_slice")
-    return joined.withColumn(name, inside + F.col("_before")).drop("_slice", "_key", "_before")
+    return sliced.join(offsets, "_slice").withColumn(name, inside + F.col("_before")).drop("_slice", "_before")

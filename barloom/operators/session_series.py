@@ -115,11 +115,7 @@ def changes() -> Level:
 def change_windows(fr: FrameText) -> Level:
     """Windows over the changes: decayed averages and change statistics."""
     return {
-        "_ema12": fr.ema("close", "_n", span_alpha(12), before=True),
-        "_ema26": fr.ema("close", "_n", span_alpha(26), before=True),
-        "_gain1": fr.ema("_gain", "_n", WILDER, before=True),
-        "_loss1": fr.ema("_loss", "_n", WILDER, before=True),
-        "_tr_ema1": fr.ema("_tr", "_n", span_alpha(14), before=True),
+        **ema_sums(fr, AVERAGES, "_n"),
         "_tr_decayed30": fr.decayed_sum_before("_tr", "_n", WILDER, 30),
         "_tr_first30": f"first(_tr) {fr.past(30)}",
         "_hl_first30": f"first(_hl) {fr.past(30)}",
@@ -142,16 +138,46 @@ def change_windows(fr: FrameText) -> Level:
     }
 
 
-def average_windows(fr: FrameText) -> Level:
-    """Windows over the averages, which already describe the bar before the current one."""
+# recursive averages: name, input column, weight of the newest value
+AVERAGES = {
+    "_ema12": ("close", span_alpha(12)), "_ema26": ("close", span_alpha(26)), "_gain1": ("_gain", WILDER),
+    "_loss1": ("_loss", WILDER), "_tr_ema1": ("_tr", span_alpha(14)),
+}
+SIGNAL = {"_signal1": ("_ema12 - _ema26", span_alpha(9))}
+
+
+def ema_sums(fr: FrameText, averages: dict[str, tuple[str, float]], k: str) -> Level:
+    out: Level = {}
+    for name, (x, alpha) in averages.items():
+        out[f"{name}_in"], out[f"{name}_old"] = fr.ema_sums(f"({x})", k, alpha)
+    return out
+
+
+def averages_now(fr: FrameText) -> Level:
+    """The averages up to and including the bar."""
+    return {f"{name}_now": fr.ema_of(name, "_n", alpha) for name, (_, alpha) in AVERAGES.items()}
+
+
+def averages_before(fr: FrameText) -> Level:
+    """The averages as they stood one bar earlier, which describe the bar before the current one."""
+    return {name: fr.lag(f"{name}_now") for name in AVERAGES}
+
+
+def signal_windows(fr: FrameText) -> Level:
+    """Windows over the averages."""
     return {
         # the line has its first value on the second bar, so its positions count from there
-        "_signal1": fr.ema("(_ema12 - _ema26)", "(_n - 1)", span_alpha(9)),
+        **ema_sums(fr, SIGNAL, "(_n - 1)"),
         "_tr_emas100": f"collect_list(_tr_ema1) {fr.rows(-99, 0)}",
     }
 
 
+def signal_line(fr: FrameText) -> Level:
+    return {name: fr.ema_of(name, "(_n - 1)", alpha) for name, (_, alpha) in SIGNAL.items()}
+
+
 def series_levels(fr: FrameText, columns) -> list[Level]:
     return [
-        row_values(columns), bar_windows(fr, columns), single_bars(), changes(), change_windows(fr), average_windows(fr),
+        row_values(columns), bar_windows(fr, columns), single_bars(), changes(), change_windows(fr), averages_now(fr),
+        averages_before(fr), signal_windows(fr), signal_line(fr),
     ]

@@ -60,7 +60,7 @@ def spread_sessions(bars: DataFrame) -> DataFrame:
 
 
 def feature_table(
-    bars: DataFrame, daily: DataFrame | None = None, max_bars: int = 1440, min_history: int | None = None,
+    bars: DataFrame, daily: DataFrame | None = None, min_history: int | None = None,
     columns: list[str] | None = None, atr_multiplier: float = 1.0, max_risk_pct: float | None = None,
     day_sessions: bool = False,
 ) -> DataFrame:
@@ -72,7 +72,7 @@ def feature_table(
     With ``day_sessions`` the session is the trade date, so the daily join uses the partitioning of the
     windows and the bars are exchanged once instead of twice.
     """
-    fr = FrameText(max_bars=max_bars)
+    fr = FrameText()
     names = columns if columns is not None else feature_names(bars.columns)
     wanted = list(names) + ([] if min_history is None or "n_hist" in names else ["n_hist"])
     levels = needed_levels(feature_levels(fr, bars.columns, atr_multiplier, max_risk_pct), wanted)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "barloom", master: str | None = None, **conf) -> SparkSession:
@@ -33,11 +35,15 @@ def build_session(app_name: str = "barloom", master: str | None = None, **conf)
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests on one machine) is a local folder made and recorded.
+    Only on one machine (a local master) may the setting be absent: then a local folder is made and recorded.
+    Elsewhere executors would each write to their own disk, so its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="barloom-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -47,3 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and the same for every later reader."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from barloom.sources.bars import daily_from_bars, ticks_to_bars, with_week_session
 
 BAR_SECONDS = 1800
-MAX_BARS = 336  # half-hour bars in a week
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

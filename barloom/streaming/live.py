@@ -16,10 +16,10 @@ from barloom.plans.features import feature_table
 LIVE_BARS = 60
 
 
-def latest_feature_rows(bars: DataFrame, daily: DataFrame | None = None, max_bars: int = 1440, last: int = LIVE_BARS) -> DataFrame:
+def latest_feature_rows(bars: DataFrame, daily: DataFrame | None = None, last: int = LIVE_BARS) -> DataFrame:
     """Features of the newest bar per symbol, computed from its last ``last`` bars."""
     recent = last_n_per_key(bars, ["symbol"], "ts", last)
-    rows = feature_table(recent, daily, max_bars)
+    rows = feature_table(recent, daily)
     return last_n_per_key(rows, ["symbol"], "ts", 1)
 
 

@@ -36,7 +36,7 @@ def full_projection(spark, sf_dir: str) -> tuple[int, float]:
     daily = daily_from_bars(bars)
     n = bars.count()
     began = time.perf_counter()
-    timed(feature_table(bars, daily, max_bars=288, day_sessions=True))
+    timed(feature_table(bars, daily, day_sessions=True))
     return n, time.perf_counter() - began
 
 

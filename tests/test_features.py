@@ -7,9 +7,11 @@ from bars_fixture import fixture_frames, session_frame, to_spark
 from loop_features import features as loop_features
 from pyspark.sql import functions as F
 
-from barloom.functions.frames import FrameText, SessionFrames
+from barloom.functions.frames import BLOCK, FrameText
+from barloom.functions.text import apply_levels
 from barloom.operators.daily_context import daily_context
-from barloom.plans.features import feature_levels, feature_names, feature_table
+from barloom.operators.session_series import ema_sums
+from barloom.plans.features import feature_names, feature_table
 
 DAILY = "symbol string, date date, open double, high double, low double, close double, volume double"
 
@@ -91,11 +93,24 @@ def test_daily_context_falls_back_to_earlier_days(spark):
     assert got == {("a", 0): (10.0, None), ("a", 1): (10.0, 11.0), ("a", 2): (20.0, 11.0), ("a", 3): (20.0, 16.0), ("b", 0): (None, None)}
 
 
-def test_long_sessions_are_refused():
+def test_averages_of_long_sessions(spark):
+    """Sessions of several blocks: recursive averages equal a loop, however long the session."""
+    n = 3 * BLOCK + 17
+    rows = [("a", "s", i, 100 + (i * 37 % 101) / 7) for i in range(n)]
+    fr = FrameText()
+    df = apply_levels(
+        spark.createDataFrame(rows, "symbol string, session string, ts long, close double"),
+        [{"k": fr.index()}, ema_sums(fr, {"e": ("close", 1 / 14)}, "k") | {"d": fr.decayed_sum_before("close", "k", 1 / 14, 30)},
+         {"e": fr.ema_of("e", "k", 1 / 14)}],
+    )
+    got = {r.ts: (r.e, r.d) for r in df.collect()}
+    e = rows[0][3]
+    for i, (_, _, _, x) in enumerate(rows):
+        e = e if i == 0 else e + (x - e) / 14
+        past = sum(rows[j][3] * (13 / 14) ** (i - 1 - j) for j in range(max(0, i - 30), i)) / 14
+        assert got[i][0] == pytest.approx(e, rel=1e-12) and (i == 0 or got[i][1] == pytest.approx(past, rel=1e-12))
     with pytest.raises(ValueError):
-        feature_levels(FrameText(max_bars=100_000), [])
-    with pytest.raises(ValueError):
-        SessionFrames(max_bars=100_000).ema(F.lit(1), F.lit(1), 0.2)
+        fr.ema_sums("close", "k", 0.001)
 
 
 def test_day_sessions_share_one_exchange(spark, daily_rows):
