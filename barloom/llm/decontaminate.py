@@ -34,6 +34,7 @@ COPY, PARAPHRASE, ANSWER = 0.5, 0.35, 0.8
 #: Items of fewer words must be found whole.
 SHORT = 8
 _PARTS = 64
+AT_ONCE = 20  # documents whose passages are dense vectors in a task at one time
 _PLAIN = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(), (string.ascii_lowercase + " " * len(string.punctuation)).encode())
 
 
@@ -175,8 +176,8 @@ def latent_space(hits: DataFrame, of_block: np.ndarray, weights: np.ndarray, ite
         r = _random(n, k) * w[:, None]
         gram, cross, energy = np.zeros((k, k)), np.zeros((n, k), np.float32), 0.0
         for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                *_, bounds, term = _passages(batch.slice(i, 100), block)
+            for i in range(0, batch.num_rows, AT_ONCE):
+                *_, bounds, term = _passages(batch.slice(i, AT_ONCE), block)
                 if not len(bounds):
                     continue
                 y = _summed(r[term], bounds)
@@ -235,8 +236,8 @@ def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, vectors, near, lengths = shared.value
         for whole in batches:
-            for i in range(0, whole.num_rows, 100):
-                batch = whole.slice(i, 100)
+            for i in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(i, AT_ONCE)
                 doc, start, bounds, term = _passages(batch.select(["positions", "terms"]), block)
                 if not len(bounds):
                     continue

@@ -18,12 +18,12 @@ THRESHOLD = 75
 #: Token orders: each puts frequent tokens last and scrambles the rest by its own seed. The first makes candidates.
 ORDERS = (1, 2, 3)
 #: Tokens gathered in a task before they are sorted and sent on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: A token counts as frequent from so many sets of one chunk and of all chunks; only that many are sent to last place.
 #: Any choice gives the same links; it spares candidates that share nothing but a common passage.
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 4, 32, 500_000
 #: Prefix tokens that one reducing group holds.
-GROUP = 1_000_000
+GROUP = 250_000
 #: Sets with one token from which their sketches are compared inside a task, block by block, before a pair is a row.
 MANY, BLOCK = 64, 2000
 
@@ -115,7 +115,8 @@ def _posts(size: int, threshold: int, frequent, groups: int):
     share a token are linked to that leader at once, so a common token costs one entry per chunk.
 
     A set leads before others if more of its tokens are frequent ones (``ranks`` from 0 on): of many copies of a text
-    the one nearest to all of them.
+    the one nearest to all of them. Within its group (about GROUP tokens) a token goes by 32 bits: two that share them
+    become one, which costs a vain comparison and loses nothing.
     """
     schema = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("others", pa.binary())])
 

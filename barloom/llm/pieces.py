@@ -18,7 +18,7 @@ from barloom.llm.text import whole
 #: Fixed values of the format: the mark that stands for a space, and the penalty of a character without a piece.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Encoded chunks that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
