@@ -218,14 +218,14 @@ def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
 def _block_pairs(threshold: int):
     """Of one block of a token's sets, or of two, the pairs of different labels that sizes and sketches leave possible.
 
-    The sets of the label with most sets are not held against each other: they have the same label. A pair is given
-    for the first of the tokens that both sets have (``common``: those that many sets have), so once in all.
+    The sets of the label with most sets are not held against each other: they have the same label. A pair that shares
+    a smaller token, too (``smaller``: of those that many sets have), is left to that one, so it is given once in all.
     """
 
     def run(table: pa.Table) -> pa.Table:
         node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
-        sketches, token = table.column("sketch").to_pylist(), table.column("token")[0].as_py()
-        common = [set(x) for x in table.column("common").to_pylist()]
+        sketches = table.column("sketch").to_pylist()
+        smaller = [set(x) for x in table.column("smaller").to_pylist()]
         lengths = np.array([len(x or b"") for x in sketches])
         classes = {w: (at := np.flatnonzero(lengths == w), np.array([np.frombuffer(sketches[i], np.uint8) for i in at]) if w else None) for w in np.unique(lengths).tolist()}
         labels, counts = np.unique(label, return_counts=True)
@@ -244,7 +244,7 @@ def _block_pairs(threshold: int):
                 ok = (label[at] != label[i]) & (100 * most >= threshold * (n[i] + n[at] - most)) & (~few[at] | (node[at] > node[i]))
                 if two:
                     ok &= block[at] != block[i]
-                other = [j for j in at[ok].tolist() if min(common[i] & common[j]) == token]
+                other = [j for j in at[ok].tolist() if smaller[i].isdisjoint(smaller[j])]
                 a += [node[i]] * len(other)
                 b += node[other].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -344,10 +344,11 @@ class _Join:
         many = posts.filter(F.col("sets") > MANY)
         own = many.groupBy("node").agg(F.collect_list("token").alias("common"))  # within a set's own prefix
         many = many.join(own, "node").join(self.nodes.select("node", "n", "sketch"), "node")
+        many = many.withColumn("smaller", F.filter("common", lambda t: t < F.col("token")))
         blocks = F.ceil(F.col("sets") / BLOCK)
         many = many.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         many = many.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        found = many.select("token", "lo", "hi", "node", "label", "n", "sketch", "common", "block").groupBy("token", "lo", "hi").applyInArrow(_block_pairs(self.threshold), "a long, b long")
+        found = many.select("token", "lo", "hi", "node", "label", "n", "sketch", "smaller", "block").groupBy("token", "lo", "hi").applyInArrow(_block_pairs(self.threshold), "a long, b long")
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(found).distinct()
 
