@@ -320,13 +320,13 @@ def trade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "one_position_at_a_time",
-    f"""WITH RECURSIVE {_ENTRY_SQL}, t AS (SELECT symbol, CAST(ts AS DATE) AS d, ts, exit_reason, net_pnl,
+    f"""WITH RECURSIVE {_ENTRY_SQL}, t AS (SELECT symbol, ts, exit_reason, net_pnl,
   coalesce(bts, TIMESTAMP '9999-01-01') AS until FROM trades),
 kept AS (
-  SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.symbol = t.symbol AND x.d = t.d AND x.ts < t.ts)
+  SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.symbol = t.symbol AND x.ts < t.ts)
   UNION ALL
-  SELECT n.* FROM kept k JOIN t n ON n.symbol = k.symbol AND n.d = k.d AND n.ts >= k.until AND n.ts > k.ts
-    AND NOT EXISTS (SELECT 1 FROM t x WHERE x.symbol = k.symbol AND x.d = k.d AND x.ts >= k.until AND x.ts > k.ts AND x.ts < n.ts))
+  SELECT n.* FROM kept k JOIN t n ON n.symbol = k.symbol AND n.ts = (
+    SELECT min(x.ts) FROM t x WHERE x.symbol = k.symbol AND x.ts >= k.until AND x.ts > k.ts))
 SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, exit_reason, {r6('net_pnl')} AS net_pnl FROM kept""",
 )
 def one_position_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,20 +104,6 @@ class FrameText(SessionFrames):
         q, at = 1.0 - alpha, f"pmod({k}, {BLOCK})"
         return f"power({q!r}D, {at}) * ({sums}_in + power({q!r}D, {BLOCK}D) * coalesce({sums}_old, 0D))"
 
-    def decayed_sum_before(self, x: str, k: str, alpha: float, n: int) -> str:
-        """Sum of alpha * q^age * x over the n rows before the current one; the newest has age 0.
-
-        Rows of one block and of the next have their own sum, so no exponent exceeds BLOCK.
-        """
-        q, last = 1.0 - alpha, f"({k} - 1)"
-
-        def side(parity: int) -> str:
-            term = f"CASE WHEN pmod({k} div {BLOCK}, 2) = {parity} THEN {x} * power({q!r}D, -pmod({k}, {BLOCK})) END"
-            older = f"CASE WHEN pmod({last} div {BLOCK}, 2) = {parity} THEN 1D ELSE power({q!r}D, {BLOCK}D) END"
-            return f"coalesce(sum({term}) {self.past(n)} * {older}, 0D)"
-
-        return f"({side(0)} + {side(1)}) * power({q!r}D, pmod({last}, {BLOCK})) * {alpha!r}D"
-
 
 def span_alpha(span: int) -> float:
     return 2.0 / (span + 1.0)

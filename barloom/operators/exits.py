@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import is_near_close
+from barloom.session import written_table
 
 # fixed values: trading costs and default brackets
 SLIPPAGE = 0.001
@@ -37,84 +38,81 @@ def open_positions(entries: DataFrame, slippage: float = SLIPPAGE, commission: f
     return df.withColumn("total_cost", F.col("quantity") * F.col("buy_price") + commission)
 
 
-def _first_hit(ranges: str, after: Column, key: str) -> Column:
-    """First range with a key beyond ``after`` that may hold an exit for the current entry."""
-    stop, target = F.col("stop_loss_price"), F.col("take_profit_price")
-    hits = F.filter(
-        F.col(ranges),
-        lambda r: (r[key] > after) & ((r["lo"] <= stop) | (r["hi"] >= target) | r["closing"]),
-    )
-    return F.get(hits, 0)[key]
+_DAY = ["symbol", "day"]
 
 
-def first_exits(entries: DataFrame, bars: DataFrame, block_seconds: int = 1800) -> DataFrame:
-    """Entries with exit_ts, exit_price and exit_reason, all NULL where no exit is found.
+def _days(bars: DataFrame, block_seconds: int) -> DataFrame:
+    """One row per symbol and day: its blocks in order, each with its bars and what they can end.
 
-    Searched coarse to fine: a symbol's days, a day's blocks, a block's bars. Each level keeps the
-    lowest and highest close and whether the close buffer falls inside, so an entry is matched with the
-    bars of at most three blocks however long it stays open. Days per symbol and blocks per day are
-    bounded by the calendar.
+    Bars are dealt by (symbol, day) once; the blocks and the days are summed where they lie. A day is bounded by the
+    calendar and the bar width.
     """
-    day, block = F.to_date("ts"), F.floor(F.unix_seconds("ts") / block_seconds)
     series = bars.select(
-        "symbol", F.col("ts").alias("bar_ts"), F.col("close").alias("bar_close"),
-        day.alias("day"), block.alias("block"), F.coalesce(is_near_close("ts"), F.lit(False)).alias("closing"),
-    )
-    blocks = series.groupBy("symbol", "day", "block").agg(
-        F.min("bar_close").alias("lo"), F.max("bar_close").alias("hi"), F.bool_or("closing").alias("closing")
+        "symbol", F.to_date("ts").alias("day"), F.floor(F.unix_seconds("ts") / block_seconds).alias("block"),
+        F.unix_micros("ts").alias("at"), F.col("close").alias("price"), F.coalesce(is_near_close("ts"), F.lit(False)).alias("closing"),
+    ).repartition(*_DAY)
+    blocks = series.groupBy(*_DAY, "block").agg(
+        F.min("price").alias("lo"), F.max("price").alias("hi"), F.bool_or("closing").alias("closing"),
+        F.array_sort(F.collect_list(F.struct("at", "price", "closing"))).alias("bars"),
     )
-    by_day = blocks.groupBy("symbol", "day").agg(
-        F.array_sort(F.collect_list(F.struct("block", "lo", "hi", "closing"))).alias("day_blocks"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("closing").alias("closing"),
+    return blocks.groupBy(*_DAY).agg(
+        F.array_sort(F.collect_list(F.struct("block", "lo", "hi", "closing", "bars"))).alias("blocks"),
+        F.bool_or("closing").alias("closing"),
     )
-    days = by_day.groupBy("symbol").agg(
-        F.array_sort(F.collect_list(F.struct("day", "lo", "hi", "closing"))).alias("days")
-    )
-    day_blocks = by_day.select("symbol", "day", "day_blocks")
 
-    asked = entries.select(
-        "entry_id", "symbol", day.alias("day"), block.alias("own_block"), "stop_loss_price", "take_profit_price",
-        F.struct(*[c for c in entries.columns if c not in ("entry_id", "symbol")]).alias("entry"),
-    )
-    asked = asked.join(day_blocks, ["symbol", "day"], "left").join(days, "symbol", "left")
-    asked = asked.withColumn("later_block", _first_hit("day_blocks", F.col("own_block"), "block"))
-    # days after the own one are searched only when the own day cannot end the position for sure
-    later_day = F.when(F.col("later_block").isNull(), _first_hit("days", F.col("day"), "day"))
-    asked = asked.withColumn("later_day", later_day).drop("day_blocks", "days")
-    later = day_blocks.select("symbol", F.col("day").alias("later_day"), F.col("day_blocks").alias("later_blocks"))
-    asked = asked.join(later, ["symbol", "later_day"], "left")
-    here = F.array(
-        F.struct(F.col("day").alias("day"), F.col("own_block").alias("block")),
-        F.struct(F.col("day").alias("day"), F.col("later_block").alias("block")),
-        F.struct(
-            F.col("later_day").alias("day"), _first_hit("later_blocks", F.lit(-(2**62)), "block").alias("block")
-        ),
-    )
-    looks = asked.select(
-        "entry_id", "symbol", "entry", F.inline(F.filter(here, lambda x: x["block"].isNotNull()))
-    )
 
-    # an outer join keeps entries without any exit, so they need no second pass over the entries
-    found = looks.join(series, ["symbol", "day", "block"], "left")
-    price = F.col("bar_close")
-    rank = F.when(
-        F.col("bar_ts") >= F.col("entry.ts"),
-        F.when(price <= F.col("entry.stop_loss_price"), 1)
-        .when(price >= F.col("entry.take_profit_price"), 2)
-        .when(F.col("closing"), 3),
-    )
-    found = found.withColumn("rank", rank)
-    at = F.when(F.col("rank").isNotNull(), F.unix_micros("bar_ts") * 4 + F.col("rank"))
-    best = found.groupBy("entry_id", "symbol").agg(
-        F.any_value("entry").alias("entry"),
-        F.min_by("bar_ts", at).alias("exit_ts"),
-        F.min_by("bar_close", at).alias("exit_price"),
-        F.min_by("rank", at).alias("rank"),
-    )
-    reason = F.when(F.col("rank") == 1, "STOP_LOSS").when(F.col("rank") == 2, "TAKE_PROFIT").when(
-        F.col("rank") == 3, "MARKET_CLOSE"
+def _ends(x: Column, price: str = "price") -> Column:
+    """Why a bar ends the position: 1 stop, 2 target, 3 close buffer, else NULL."""
+    return F.when(x[price] <= F.col("stop_loss_price"), 1).when(x[price] >= F.col("take_profit_price"), 2).when(x["closing"], 3)
+
+
+def _with_exit(df: DataFrame) -> DataFrame:
+    """Add exit, the first bar of the day's blocks at or after ``after`` (micros) that ends the position, or NULL.
+
+    Blocks that cannot end it are passed over, so beside the block of ``after`` only one block's bars are read.
+    """
+    after, stop, target = F.col("after"), F.col("stop_loss_price"), F.col("take_profit_price")
+    may = F.filter(
+        "blocks",
+        lambda b: (F.element_at(b["bars"], -1)["at"] >= after) & ((b["lo"] <= stop) | (b["hi"] >= target) | b["closing"]),
     )
-    return best.select("entry_id", "symbol", "entry.*", "exit_ts", "exit_price", reason.alias("exit_reason"))
+    near = F.flatten(F.transform(F.slice(may, 1, 2), lambda b: b["bars"]))
+    df = df.withColumn("_near", near).drop("blocks")
+    hits = F.filter("_near", lambda x: (x["at"] >= after) & ((x["price"] <= stop) | (x["price"] >= target) | x["closing"]))
+    return df.withColumn("exit", F.get(hits, 0)).drop("_near")
+
+
+def first_exits(entries: DataFrame, bars: DataFrame, block_seconds: int = 1800) -> DataFrame:
+    """Entries with exit_ts, exit_price and exit_reason, all NULL where no exit is found.
+
+    Entries meet the bars of their own (symbol, day). Only those that find no exit there go on, to the later days up
+    to the first one whose close buffer ends every position: one or two rows each, again by (symbol, day).
+    """
+    days = _days(bars, block_seconds)
+    own = entries.withColumns({"day": F.to_date("ts"), "after": F.unix_micros("ts")})
+    looked = _with_exit(own.join(days.select(*_DAY, "blocks"), _DAY, "left"))
+    names = [c for c in looked.columns if c not in ("exit", "day", "after")]
+    done = looked.filter("exit IS NOT NULL").select(*names, "exit")
+
+    # the last day on which a position held overnight can end: the next one with a close buffer, or the last stored
+    marks = days.select(*_DAY, "closing").unionByName(own.select(*_DAY, F.lit(False).alias("closing")))
+    marks = marks.groupBy(*_DAY).agg(F.bool_or("closing").alias("closing"))
+    later = Window.partitionBy("symbol").orderBy("day").rowsBetween(1, Window.unboundedFollowing)  # days of the calendar
+    until = F.coalesce(F.min(F.when(F.col("closing"), F.col("day"))).over(later), F.max("day").over(later))
+    left = looked.filter("exit IS NULL").drop("exit").join(marks.select(*_DAY, until.alias("until")), _DAY)
+    next_days = F.when(F.col("until") > F.col("day"), F.sequence(F.date_add("day", 1), F.col("until")))
+    left = _with_exit(left.withColumn("day", F.explode_outer(next_days)).join(days.select(*_DAY, "blocks"), _DAY, "left"))
+    found = left.groupBy("entry_id").agg(
+        F.any_value(F.struct(*[c for c in names if c != "entry_id"])).alias("entry"), F.min("exit").alias("exit")
+    )
+    overnight = found.select("entry_id", "entry.*", "exit").select(*names, "exit")
+
+    df = done.unionByName(overnight)
+    why = _ends(F.col("exit"))
+    reason = F.when(why == 1, "STOP_LOSS").when(why == 2, "TAKE_PROFIT").when(why == 3, "MARKET_CLOSE")
+    return df.withColumns(
+        {"exit_ts": F.timestamp_micros("exit.at"), "exit_price": F.col("exit.price"), "exit_reason": reason}
+    ).drop("exit")
 
 
 def bracket_exits(
@@ -144,30 +142,55 @@ def bracket_exits(
     )
 
 
+_OPEN = 2**62
+
+
+def _step_back(chains: Column, x: Column) -> Column:
+    """Prepend an entry to the chains of the later ones of its day: (last start, when the chain's last trade ends)."""
+    later = F.get(F.filter(chains, lambda c: c["last"] >= x["end"]), 0)
+    out = F.coalesce(later["out"], x["end"])
+    same = F.get(chains, 0)["out"] == out
+    return F.when(F.coalesce(same, F.lit(False)), chains).otherwise(
+        F.concat(F.array(F.struct(x["start"].alias("last"), out.alias("out"))), chains)
+    )
+
+
 def one_position_at_a_time(trades: DataFrame) -> DataFrame:
-    """Drop entries made while an earlier kept trade of the symbol is still open.
+    """Drop entries made while an earlier kept trade of the symbol is still open, on whatever day that began.
 
-    A run covers one trading day, so the fold is over one (symbol, day): entries in time order, keeping
-    one when it is not before the exit of the last kept one. With at most one entry per bar the group
-    is bounded by the bars of a day.
+    Per (symbol, day) the trades are reduced to chains: for each start, when the chain of trades kept from there on
+    ends. Chains meet soon, so a day leaves few. Along the days of a symbol only the time until which a position is
+    held is carried; with it every day keeps its own trades. Entries of a day are bounded by its bars, days by the
+    calendar. With equal times the smaller entry_id comes first.
     """
     item = F.struct(
-        F.unix_micros("ts").alias("start"),
-        F.col("entry_id").alias("id"),
-        F.coalesce(F.unix_micros("exit_ts"), F.lit(2**62)).alias("end"),
-    )
-    per_day = trades.groupBy("symbol", F.to_date("ts").alias("_day")).agg(
-        F.array_sort(F.collect_list(item)).alias("_items")
-    )
-    kind = trades.schema["entry_id"].dataType.simpleString()
-    start = F.struct(F.lit(-(2**62)).alias("until"), F.array().cast(f"array<{kind}>").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = x["start"] >= acc["until"]
+        F.unix_micros("ts").alias("start"), F.col("entry_id").alias("id"),
+        F.coalesce(F.unix_micros("exit_ts"), F.lit(_OPEN)).alias("end"), F.struct(*trades.columns).alias("row"),
+    )
+    day = F.to_date("ts").alias("day")
+    per_day = trades.groupBy("symbol", day).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    per_day = written_table(per_day, "trades-by-day")  # read twice below
+    chains = F.aggregate(F.reverse("items"), F.array().cast("array<struct<last:bigint,out:bigint>>"), _step_back)
+    days = per_day.select("symbol", F.struct("day", chains.alias("chains")).alias("d"))
+    days = days.groupBy("symbol").agg(F.array_sort(F.collect_list("d")).alias("days"))
+
+    def carry(acc: Column, d: Column) -> Column:
+        out = F.get(F.filter(d["chains"], lambda c: c["last"] >= acc["until"]), 0)["out"]
         return F.struct(
-            F.when(free, x["end"]).otherwise(acc["until"]).alias("until"),
-            F.when(free, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"),
+            F.coalesce(out, acc["until"]).alias("until"),
+            F.concat(acc["held"], F.array(F.struct(d["day"].alias("day"), acc["until"].alias("until")))).alias("held"),
         )
 
-    kept = per_day.select(F.explode(F.aggregate("_items", start, step, lambda a: a["ids"])).alias("entry_id"))
-    return trades.join(kept, "entry_id", "left_semi")
+    begin = F.struct(F.lit(-_OPEN).alias("until"), F.array().cast("array<struct<day:date,until:bigint>>").alias("held"))
+    held = days.select("symbol", F.inline(F.aggregate("days", begin, carry, lambda a: a["held"])))
+
+    def keep(acc: Column, x: Column) -> Column:
+        free = x["start"] >= acc["until"]
+        return F.when(
+            free, F.struct(x["end"].alias("until"), F.concat(acc["rows"], F.array(x["row"])).alias("rows"))
+        ).otherwise(acc)
+
+    kept = per_day.join(held, ["symbol", "day"])
+    none = F.slice(F.transform("items", lambda x: x["row"]), 1, 0)
+    rows = F.aggregate("items", F.struct(F.col("until").alias("until"), none.alias("rows")), keep, lambda a: a["rows"])
+    return kept.select(F.inline(rows))

@@ -116,7 +116,7 @@ def change_windows(fr: FrameText) -> Level:
     """Windows over the changes: decayed averages and change statistics."""
     return {
         **ema_sums(fr, AVERAGES, "_n"),
-        "_tr_decayed30": fr.decayed_sum_before("_tr", "_n", WILDER, 30),
+        "_trs30": f"collect_list(_tr) {fr.past(30)}",
         "_tr_first30": f"first(_tr) {fr.past(30)}",
         "_hl_first30": f"first(_hl) {fr.past(30)}",
         "_early_trs": f"collect_list(CASE WHEN _n < 41 THEN _tr END) {fr.past(41)}",
@@ -154,8 +154,9 @@ def ema_sums(fr: FrameText, averages: dict[str, tuple[str, float]], k: str) -> L
 
 
 def averages_now(fr: FrameText) -> Level:
-    """The averages up to and including the bar."""
-    return {f"{name}_now": fr.ema_of(name, "_n", alpha) for name, (_, alpha) in AVERAGES.items()}
+    """The averages up to and including the bar, and the decayed sum of the 30 true ranges before it."""
+    decayed = f"aggregate(_trs30, 0D, (e, x) -> e * {1 - WILDER!r}D + {WILDER!r}D * x)"
+    return {f"{name}_now": fr.ema_of(name, "_n", alpha) for name, (_, alpha) in AVERAGES.items()} | {"_tr_decayed30": decayed}
 
 
 def averages_before(fr: FrameText) -> Level:

@@ -209,3 +209,22 @@ def test_one_position_at_a_time(spark):
     df = spark.createDataFrame(rows, "entry_id long, symbol string, ts timestamp, exit_ts timestamp")
     assert sorted(r["entry_id"] for r in exits.one_position_at_a_time(df).collect()) == [1, 3, 5]
     assert df.filter(F.col("entry_id").isNull()).count() == 0
+
+def test_positions_across_days_equal_a_loop(spark):
+    rnd = random.Random(8)
+    rows, i = [], 0
+    for symbol in "ab":
+        for day in range(12):
+            for minute in sorted(rnd.sample(range(400), rnd.randint(0, 9))):
+                start = T0 + dt.timedelta(days=day, minutes=minute)
+                length = rnd.choice([0, 5, 60, 300, 1500, 3000, 6000])
+                rows.append((i, symbol, start, start + dt.timedelta(minutes=length) if rnd.random() > 0.02 else None))
+                i += 1
+    df = spark.createDataFrame(rows, "entry_id long, symbol string, ts timestamp, exit_ts timestamp")
+    kept, until = [], {}
+    for i, symbol, start, end in rows:
+        if symbol not in until or (until[symbol] is not None and start >= until[symbol]):
+            kept.append(i)
+            until[symbol] = end
+    found = exits.one_position_at_a_time(df)
+    assert found.columns == df.columns and sorted(r["entry_id"] for r in found.collect()) == kept
