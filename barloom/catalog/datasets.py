@@ -399,22 +399,35 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "recent_sample",
-    """SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT min(d) FROM
-  (SELECT o_orderdate AS d FROM orders ORDER BY 1 DESC LIMIT 1000))""",
+    f"WITH {_CLASSED} SELECT o_orderkey FROM (SELECT o_orderkey FROM o ORDER BY o_orderdate DESC, h LIMIT 1000)",
 )
 def recent_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = orders_with_class(spark, sf_dir).withColumn("ts", F.col("o_orderdate").cast("timestamp"))
-    return prepare.recent_sample(df, 1000).select("o_orderkey")
+    return prepare.recent_sample(df, 1000, "ts", ["o_orderkey"]).select("o_orderkey")
+
+
+# a class of few orders, to be repeated
+_RARE = "o_orderkey % 20 = 0"
 
 
 @register(
     "upsample_minority",
-    f"""WITH {_RANKED} SELECT o_orderkey, buy, CAST(unnest(range(0, (20000 // n) + CASE WHEN r <= 20000 % n THEN 1 ELSE 0 END)) AS INTEGER) AS copy
-FROM k""",
+    f"""WITH {_CLASSED}, k AS (SELECT o_orderkey, h, {_RARE} AS rare FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY rare ORDER BY h) AS r, count(*) OVER (PARTITION BY rare) AS n FROM k)
+SELECT o_orderkey, rare, CAST(unnest(range(0, CASE WHEN rare AND n < 3000 THEN (3000 // n) + CASE WHEN r <= 3000 % n THEN 1 ELSE 0 END
+  WHEN r <= 3000 THEN 1 ELSE 0 END)) AS INTEGER) AS copy FROM r""",
 )
 def upsample_minority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = prepare.upsample_minority(orders_with_class(spark, sf_dir), "buy", 40000, ["o_orderkey"])
-    return df.select("o_orderkey", "buy", "copy")
+    """Six thousand rows: the rare class repeated, the others drawn once."""
+    df = orders_with_class(spark, sf_dir).withColumn("rare", F.expr(_RARE))
+    return prepare.upsample_minority(df, "rare", 6000, ["o_orderkey"]).select("o_orderkey", "rare", "copy")
+
+
+@register("upsample_small_table", f"SELECT o_orderkey, {_RARE} AS rare, 0 AS copy FROM orders")
+def upsample_small_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table within the target comes back as it is."""
+    df = orders_with_class(spark, sf_dir).withColumn("rare", F.expr(_RARE))
+    return prepare.upsample_minority(df, "rare", 10**9, ["o_orderkey"]).select("o_orderkey", "rare", "copy")
 
 
 @register(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -135,11 +136,14 @@ def _rank_inside(df: DataFrame, searches: dict) -> dict:
     return {keys[row["i"]]: row["x"] for row in hit.collect()}
 
 
-def exact_medians(df: DataFrame, cols: list[str], accuracy: int = 10_000) -> dict[str, float | None]:
+def exact_medians(
+    df: DataFrame, cols: list[str], accuracy: int = 10_000, counts: dict[str, int] | None = None
+) -> dict[str, float | None]:
     """Medians with the two middle values averaged, ignoring NULLs; None for an empty column."""
     if not cols:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    if counts is None:
+        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     ranks = {c: [(counts[c] + 1) // 2, counts[c] // 2 + 1] for c in cols if counts[c]}
     values = exact_ranks(df, ranks, counts, accuracy)
     return {
@@ -156,59 +160,62 @@ def hash_rank_key(keys: list[str], seed: int = 42) -> Column:
 HASH_SPACE = float(1 << 60)
 
 
-def hash_thresholds(df: DataFrame, group: str | None, take: dict, key: Column) -> dict:
-    """Per group the largest hash among its ``take[g]`` smallest; None keeps no row, inf keeps all.
+#: Groups whose cuts are held as literals of one expression: classes of a label, not keys of a table.
+MOST_GROUPS = 1000
+
+
+def hash_cuts(df: DataFrame, group: str | None, wanted: Callable[[object, int], list[int]], key: Column) -> dict:
+    """Per group, for every number in ``wanted(group, rows)``, the largest hash among so many smallest ones.
 
-    Hashes spread evenly, so the wanted rank lies in a narrow known interval: one job counts below it and
-    inside it, and only that interval is ranked. The interval is widened if the count shows a miss.
+    None keeps no row, inf keeps all. Hashes spread evenly, so each rank lies in a narrow known interval: one job
+    counts the groups, a second counts below all intervals and ranks inside them. An interval is widened if the
+    count shows a miss.
     """
     tagged = df.select((F.col(group) if group else F.lit(0)).alias("_g"), key.alias("_h"))
-    totals = {row["_g"]: row["n"] for row in tagged.groupBy("_g").agg(F.count("*").alias("n")).collect()}
+    counted = tagged.groupBy("_g").agg(F.count("*").alias("n")).limit(MOST_GROUPS + 1).collect()
+    if len(counted) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} classes in {group}")
     limits: dict = {}
-    open_groups = {}
-    for g, total in totals.items():
-        n = take.get(g, 0)
-        if n <= 0:
-            limits[g] = None
-        elif n >= total:
-            limits[g] = float("inf")
-        else:
-            open_groups[g] = (n, total)
+    open_cuts = {}
+    for g, total in counted:
+        limits[g] = [None] * len(ranks := wanted(g, total))
+        for j, n in enumerate(ranks):
+            if n >= total:
+                limits[g][j] = float("inf")
+            elif n > 0:
+                open_cuts[(g, j)] = (n, total)
     width = 6.0
-    while open_groups:
+    while open_cuts:
         spans = []
-        for g, (n, total) in open_groups.items():
+        for (g, j), (n, total) in open_cuts.items():
             share = n / total
             slack = width * (share * (1 - share) / total) ** 0.5 + 2.0 / total
-            spans.append((g, n, int(max(share - slack, 0) * HASH_SPACE), int(min(share + slack, 1) * HASH_SPACE)))
-        bounds = df.sparkSession.createDataFrame(
-            [(i, lo, hi) for i, (_, _, lo, hi) in enumerate(spans)], "_i int, lo long, hi long"
-        )
-        index = F.lit(None).cast("int")
-        for i, (g, *_rest) in enumerate(spans):
-            index = F.when(F.col("_g").eqNullSafe(F.lit(g)), F.lit(i)).otherwise(index)
-        near = tagged.withColumn("_i", index).join(F.broadcast(bounds), "_i").filter(F.col("_h") <= F.col("hi"))
-        merged = near.select("_i", F.when(F.col("_h") < F.col("lo"), F.lit(-1)).otherwise(F.col("_h")).alias("_h"))
-        ranked = merged.groupBy("_i", "_h").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("_i").orderBy("_h")
-        upto = ranked.withColumn("upto", F.sum("n").over(order))
-        wanted = F.lit(0)
-        for i, (_, n, *_rest) in enumerate(spans):
-            wanted = F.when(F.col("_i") == i, F.lit(n)).otherwise(wanted)
-        hits = (
-            upto.withColumn("wanted", wanted)
-            .filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-            .collect()
-        )
+            spans.append((g, j, n, int(max(share - slack, 0) * HASH_SPACE), int(min(share + slack, 1) * HASH_SPACE)))
+        mine = F.array().cast("array<struct<i:int,lo:bigint,hi:bigint,n:bigint>>")
+        for value in {g: None for g, *_ in spans}:
+            cuts = [F.struct(F.lit(i).alias("i"), F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"), F.lit(n).cast("long").alias("n"))
+                    for i, (g, _, n, lo, hi) in enumerate(spans) if g == value]
+            mine = F.when(F.col("_g").eqNullSafe(F.lit(value)), F.array(*cuts)).otherwise(mine)
+        near = tagged.select("_h", F.inline(mine)).filter(F.col("_h") <= F.col("hi"))
+        merged = near.select("i", "n", F.when(F.col("_h") < F.col("lo"), F.lit(-1)).otherwise(F.col("_h")).alias("_h"))
+        ranked = merged.groupBy("i", "n", "_h").agg(F.count("*").alias("rows"))
+        upto = ranked.withColumn("upto", F.sum("rows").over(Window.partitionBy("i").orderBy("_h")))
+        hits = upto.filter((F.col("upto") >= F.col("n")) & (F.col("upto") - F.col("rows") < F.col("n"))).collect()
         for row in hits:
             if row["_h"] >= 0:
-                g = spans[row["_i"]][0]
-                limits[g] = row["_h"]
-                open_groups.pop(g)
+                g, j, *_ = spans[row["i"]]
+                limits[g][j] = row["_h"]
+                open_cuts.pop((g, j))
         width *= 4
     return limits
 
 
+def hash_thresholds(df: DataFrame, group: str | None, take: Callable[[object, int], int], key: Column) -> dict:
+    """Per group the largest hash among the ``take(group, rows)`` smallest."""
+    cuts = hash_cuts(df, group, lambda g, n: [take(g, n)], key)
+    return {g: c[0] for g, c in cuts.items()}
+
+
 def within_thresholds(group: str | None, limits: dict, key: Column) -> Column:
     """True for the rows whose hash is within their group's threshold."""
     g = F.col(group) if group else F.lit(0)

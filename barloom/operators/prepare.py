@@ -13,6 +13,7 @@ from barloom.operators.clean import REMOVED, is_numeric, numeric_columns
 from barloom.operators.order_stats import (
     exact_medians,
     exact_ranks,
+    hash_cuts,
     hash_rank_key,
     hash_thresholds,
     one_row,
@@ -74,20 +75,24 @@ def numbers_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: no_nan(F.col(c)) for c in doubles}) if doubles else df
 
 
-def fill_values(df: DataFrame, cols: list[str] | None = None) -> dict:
+def modes(df: DataFrame, cols: list[str]) -> dict:
+    """Most frequent value of each text or boolean column (smallest on ties), all from one pass."""
+    if not cols:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
+    counts = df.select(F.inline(pairs)).filter("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    top = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
+    flags = {c for c in cols if isinstance(df.schema[c].dataType, T.BooleanType)}
+    return {r["c"]: r["v"] == "true" if r["c"] in flags else r["v"] for r in top}
+
+
+def fill_values(df: DataFrame, cols: list[str] | None = None, counts: dict[str, int] | None = None) -> dict:
     """Median of each numeric column and most frequent value of the others (smallest on ties)."""
     cols = cols or df.columns
     numeric = [c for c in cols if is_numeric(df, c)]
-    values: dict = dict(exact_medians(numbers_to_null(df.select(*numeric), numeric), numeric))
-    for c in cols:
-        if c in numeric or not isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType)):
-            continue
-        top = (
-            df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-            .agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias("v")).first()
-        )
-        values[c] = top["v"]
-    return values
+    known = {c: counts[c] for c in numeric} if counts else None
+    values: dict = dict(exact_medians(numbers_to_null(df.select(*numeric), numeric), numeric, counts=known))
+    return values | modes(df, [c for c in cols if c not in numeric and isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType))])
 
 
 def impute(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -95,9 +100,10 @@ def impute(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
     numeric = [c for c in cols if is_numeric(df, c)]
     df = numbers_to_null(df, numeric)
-    gaps = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
-    todo = [c for c in cols if gaps[c]]
-    values = fill_values(df, todo) if todo else {}
+    total, *filled = df.agg(F.count(F.lit(1)), *[F.count(c) for c in cols]).first()
+    counts = dict(zip(cols, filled, strict=True))
+    todo = [c for c in cols if counts[c] < total]
+    values = fill_values(df, todo, counts) if todo else {}
     new = {}
     for c in todo:
         if values.get(c) is not None:
@@ -215,44 +221,43 @@ def narrow_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 # --- samples and splits -------------------------------------------------------------------------
 
 
-def class_counts(df: DataFrame, target: str) -> dict:
-    return {r[target]: r["n"] for r in df.groupBy(target).agg(F.count("*").alias("n")).collect()}
-
-
 def balanced_sample(df: DataFrame, target: str, size: int, keys: list[str], seed: int = 42) -> DataFrame:
     """Up to size/2 rows of each class, chosen by hash of the key: exact and repeatable."""
-    counts = class_counts(df, target)
-    take = {g: min(size // 2, n) for g, n in counts.items()}
     key = hash_rank_key(keys, seed)
-    return df.filter(within_thresholds(target, hash_thresholds(df, target, take, key), key))
+    return df.filter(within_thresholds(target, hash_thresholds(df, target, lambda g, n: size // 2, key), key))
 
 
 def stratified_sample(df: DataFrame, target: str, size: int, keys: list[str], seed: int = 42) -> DataFrame:
     """``size`` rows with every class in proportion."""
-    counts = class_counts(df, target)
-    total = sum(counts.values())
-    share = min(1.0, size / total) if total else 0.0
-    take = {g: round(n * share) for g, n in counts.items()}
+    share = min(1.0, size / max(df.count(), 1))
     key = hash_rank_key(keys, seed)
-    return df.filter(within_thresholds(target, hash_thresholds(df, target, take, key), key))
+    return df.filter(within_thresholds(target, hash_thresholds(df, target, lambda g, n: round(n * share), key), key))
 
 
 def random_sample(df: DataFrame, size: int, keys: list[str], seed: int = 42) -> DataFrame:
     key = hash_rank_key(keys, seed)
-    return df.filter(within_thresholds(None, hash_thresholds(df, None, {0: size}, key), key))
+    return df.filter(within_thresholds(None, hash_thresholds(df, None, lambda g, n: size, key), key))
 
 
-def recent_sample(df: DataFrame, size: int, order: str = "ts") -> DataFrame:
-    """The last ``size`` rows in time; rows sharing the boundary time all stay."""
-    n = df.count()
-    if n <= size:
+def recent_sample(df: DataFrame, size: int, order: str, keys: list[str], seed: int = 42) -> DataFrame:
+    """The last ``size`` rows in time, exactly: of rows at the boundary time those with the smallest hashes.
+
+    Rows without a time are the oldest.
+    """
+    time = F.unix_micros(order) if isinstance(df.schema[order].dataType, T.TimestampType) else F.col(order)
+    rows, timed = df.agg(F.count(F.lit(1)), F.count(order)).first()
+    if rows <= size:
         return df
-    micros = df.select(F.unix_micros(order).alias("t")) if isinstance(
-        df.schema[order].dataType, T.TimestampType
-    ) else df.select(F.col(order).alias("t"))
-    cut = exact_ranks(micros, {"t": [n - size + 1]})["t"][n - size + 1]
-    value = F.unix_micros(order) if isinstance(df.schema[order].dataType, T.TimestampType) else F.col(order)
-    return df.filter(value >= F.lit(cut))
+    key = hash_rank_key(keys, seed)
+    if timed <= size:
+        edge, after = F.col(order).isNull(), F.col(order).isNotNull()
+        room = size - timed
+    else:
+        cut = exact_ranks(df.select(time.alias("t")), {"t": [timed - size + 1]}, {"t": timed})["t"][timed - size + 1]
+        edge, after = time == F.lit(cut), time > F.lit(cut)
+        room = size - df.filter(after).count()
+    chosen = within_thresholds(None, hash_thresholds(df.filter(edge), None, lambda g, n: room, key), key)
+    return df.filter(after | (edge & chosen))
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
@@ -260,24 +265,29 @@ def shuffled(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
 
 
 def upsample_minority(df: DataFrame, target: str, size: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """size/2 rows per class; a class with fewer rows is repeated, the remainder chosen by hash.
+    """size/2 rows with the target true and size/2 others, the true ones repeated where there are fewer.
 
-    Adds ``copy``, 0 for the first use of a row.
+    A table not larger than ``size`` comes back as it is. Others are never repeated. Of a repeated class every row
+    is used equally often, the remainder chosen by hash. Adds ``copy``, 0 for the first use of a row.
     """
     half = size // 2
-    counts = class_counts(df, target)
     key = hash_rank_key(keys, seed)
-    extra = {g: half % n for g, n in counts.items() if 0 < n}
-    chosen = within_thresholds(target, hash_thresholds(df, target, extra, key), key)
-    whole = F.lit(0)
-    for g, n in counts.items():
-        whole = F.when(F.col(target).eqNullSafe(F.lit(g)), F.lit(half // n if n else 0)).otherwise(whole)
-    copies = whole + chosen.cast("int")
+    hit = F.coalesce(F.col(target).cast("boolean"), F.lit(False))
+    marked = df.withColumn("_hit", hit)
+    seen: dict = {}
+
+    def wanted(g: object, n: int) -> int:
+        seen[g] = n
+        return half % n if g and n < half else half
+
+    limits = hash_thresholds(marked, "_hit", wanted, key)
+    if sum(seen.values()) <= size:
+        return df.withColumn("copy", F.lit(0))
+    whole = half // seen[True] if 0 < seen.get(True, 0) < half else 0
+    copies = F.when(F.col("_hit"), F.lit(whole)).otherwise(0) + within_thresholds("_hit", limits, key).cast("int")
     return (
-        df.withColumn("_copies", copies)
-        .filter("_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-        .drop("_copies")
+        marked.withColumn("_copies", copies).filter("_copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_hit")
     )
 
 
@@ -285,27 +295,28 @@ def stratified_split(
     df: DataFrame, target: str, keys: list[str], test: float = 0.15, validation: float = 0.15, seed: int = 42
 ) -> DataFrame:
     """Adds split: 'test' 15% of each class, 'val' 15% of the rest, else 'train'."""
-    counts = class_counts(df, target)
-    n_test = {g: math.ceil(n * test) for g, n in counts.items()}
-    n_val = {g: math.ceil((n - n_test[g]) * validation) for g, n in counts.items()}
+
+    def wanted(g: object, n: int) -> list[int]:
+        first = math.ceil(n * test)
+        return [first, first + math.ceil((n - first) * validation)]
+
     key = hash_rank_key(keys, seed)
-    in_test = within_thresholds(target, hash_thresholds(df, target, n_test, key), key)
-    upto_val = {g: n_test[g] + n_val[g] for g in counts}
-    in_val = within_thresholds(target, hash_thresholds(df, target, upto_val, key), key)
-    return df.withColumn("split", F.when(in_test, "test").when(in_val, "val").otherwise("train"))
+    cuts = hash_cuts(df, target, wanted, key)
+    in_test, upto_val = (within_thresholds(target, {g: c[j] for g, c in cuts.items()}, key) for j in (0, 1))
+    return df.withColumn("split", F.when(in_test, "test").when(upto_val, "val").otherwise("train"))
 
 
 SAMPLERS = {
     "balanced": balanced_sample,
     "stratified": stratified_sample,
     "diverse": lambda df, target, size, keys, seed=42: random_sample(df, size, keys, seed),
-    "recent": lambda df, target, size, keys, seed=42: recent_sample(df, size),
+    "recent": lambda df, target, size, keys, seed=42: recent_sample(df, size, "ts", keys, seed),
 }
 
 
 def take_sample(df: DataFrame, target: str, size: int, keys: list[str], strategy: str = "balanced", seed: int = 42):
-    """One of the sampling strategies; an unknown name samples at random."""
-    return SAMPLERS.get(strategy, SAMPLERS["diverse"])(df, target, size, keys, seed)
+    """One of the sampling strategies, shuffled by the key's hash; an unknown name samples at random."""
+    return shuffled(SAMPLERS.get(strategy, SAMPLERS["diverse"])(df, target, size, keys, seed), keys, seed)
 
 
 def size_recommendation(df: DataFrame, target: str) -> DataFrame:

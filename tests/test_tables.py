@@ -41,6 +41,10 @@ def test_samples_are_exact_under_skew(spark):
     assert {r["buy"]: r["count"] for r in got} == {True: 500, False: 500}
     up = prepare.upsample_minority(df, "buy", 4000, ["id"]).groupBy("buy").count().collect()
     assert {r["buy"]: r["count"] for r in up} == {True: 2000, False: 2000}
+    assert prepare.upsample_minority(df, "buy", 30_000, ["id"]).filter("copy > 0").count() == 0  # within the target: as it is
+    tied = spark.range(100).select("id", (F.col("id") / 10).cast("int").alias("day"), F.lit(None).cast("string").alias("x"))
+    recent = [r["day"] for r in prepare.recent_sample(tied, 25, "day", ["id"]).collect()]
+    assert len(recent) == 25 and sorted(recent) == [7] * 5 + [8] * 10 + [9] * 10
     again = prepare.balanced_sample(df, "buy", 1000, ["id"]).exceptAll(prepare.balanced_sample(df, "buy", 1000, ["id"]))
     assert again.count() == 0
     splits = {r["split"]: r["count"] for r in prepare.stratified_split(df, "buy", ["id"]).groupBy("split").count().collect()}
