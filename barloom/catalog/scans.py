@@ -127,19 +127,25 @@ def write_monthly_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "read_monthly_csv",
-    """SELECT l_returnflag AS file_symbol, strftime(l_shipdate, '%Y-%m') AS file_ym, count(*) AS n FROM lineitem
-WHERE l_returnflag = 'R' AND year(l_shipdate) = 1996 AND month(l_shipdate) = 7 GROUP BY 1, 2""",
+    """SELECT l_returnflag AS file_symbol, strftime(l_shipdate, '%Y-%m') AS file_ym, count(*) AS n, sum(l_quantity) AS q,
+  CAST(sum(CASE WHEN l_returnflag <> 'A' THEN CAST(round(l_tax * 100) AS BIGINT) END) AS BIGINT) AS tax
+FROM lineitem WHERE l_returnflag IN ('A', 'R') AND year(l_shipdate) = 1996 GROUP BY 1, 2""",
 )
 def read_monthly_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legacy file names: every file is one symbol and month, known only from its name."""
+    """Legacy files of all symbols and months: one symbol lacks a column, another has them in another order, and a
+    symbol asked for has no files. One year of two symbols is read back by name."""
     folder = scratch_path(spark, "legacy")
-    rows = monthly_source(spark, sf_dir).withColumn("ym", F.date_format("timestamp", "yyyy-MM"))
-    for symbol in ("A", "R"):
-        rows.filter((F.col("symbol") == symbol) & (F.col("ym") == "1996-07")).write.option("header", True).csv(
-            f"{folder}/monthly_{symbol}_1996-07.csv"
-        )
-    df = B.read_monthly_csv(spark, folder, ["R"], 1996, 7)
-    return df.groupBy("file_symbol", "file_ym").agg(F.count("*").alias("n"))
+    rows = monthly_source(spark, sf_dir).withColumns(
+        {"ym": F.date_format("timestamp", "yyyy-MM"), "file": F.concat_ws("_", "symbol", F.date_format("timestamp", "yyyy-MM"))}
+    )
+    layouts = {"A": ["timestamp", "k", "RSI_14"], "R": ["bidPrice", "RSI_14", "k", "timestamp"], "N": ["RSI_14", "timestamp", "k", "bidPrice"]}
+    for symbol, columns in layouts.items():
+        out = rows.filter(F.col("symbol") == symbol).select("file", *columns).repartition("file")
+        out.write.option("header", True).partitionBy("file").csv(f"{folder}-{symbol}")
+        stores.rename_parts(spark, f"{folder}-{symbol}", "file", folder, "monthly_{}.csv")
+    df = B.read_monthly_csv(spark, folder, ["A", "R", "ABSENT"], 1996)
+    tax = F.sum(F.round(F.col("bidPrice") * 100).cast("long")).alias("tax")
+    return df.groupBy("file_symbol", "file_ym").agg(F.count("*").alias("n"), F.sum("RSI_14").alias("q"), tax)
 
 
 @register(
@@ -176,6 +182,46 @@ def save_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_COPIES = """c AS (SELECT l_suppkey, l_shipdate, l_linenumber <= 3 AS early, CAST(round(l_extendedprice * 100) AS BIGINT) AS p,
+  l_orderkey * 10000000000 + l_partkey * 100 + l_linenumber AS k FROM lineitem)"""
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Two batches of rows that repeat (supplier, time) with different prices."""
+    rows = D.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("timestamp").alias("ts"), "l_linenumber",
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("p"),
+        F.expr("l_orderkey * 10000000000 + l_partkey * 100 + l_linenumber").alias("k"),
+    )
+    return [rows.filter("l_linenumber <= 3").drop("l_linenumber"), rows.filter("l_linenumber > 3").drop("l_linenumber")]
+
+
+def _stored(spark: SparkSession, sf_dir: str, latest: bool) -> DataFrame:
+    path = scratch_path(spark, "keyed-store")
+    for batch in _copies(spark, sf_dir):
+        done = stores.store_keyed(batch, path, ["supplier", "ts"], "k", "ts", latest)
+    return done.select("supplier", F.unix_seconds("ts").alias("ts_s"), "p")
+
+
+@register(
+    "store_latest_wins",
+    f"WITH {_COPIES} SELECT l_suppkey AS supplier, CAST(epoch(l_shipdate) AS BIGINT) AS ts_s, arg_max(p, k) AS p FROM c GROUP BY 1, 2",
+)
+def store_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real-time rows merged into the store and read back: the latest copy of a key stays."""
+    return _stored(spark, sf_dir, True)
+
+
+@register(
+    "store_first_wins",
+    f"""WITH {_COPIES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY early DESC, k) AS i FROM c)
+SELECT l_suppkey AS supplier, CAST(epoch(l_shipdate) AS BIGINT) AS ts_s, p FROM r WHERE i = 1""",
+)
+def store_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intraday rows: a stored key is never replaced, of new copies the first comes in."""
+    return _stored(spark, sf_dir, False)
+
+
 @register(
     "load_history",
     """SELECT data_source, count(*) AS n, sum(p) AS p FROM (

@@ -111,8 +111,14 @@ def read_essential(df: DataFrame) -> DataFrame:
 def read_monthly(
     spark: SparkSession, path: str, symbols=None, year: int | None = None, month: int | None = None
 ) -> DataFrame:
-    """Monthly feature files partitioned by symbol and ym ('YYYY-MM'); the filters prune folders."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    """Monthly feature files partitioned by symbol and ym ('YYYY-MM'); the filters prune folders.
+
+    The schema is the one that the writer keeps beside the data; no file is opened to find it.
+    """
+    from barloom.sources.stores import load_schema
+
+    schema = load_schema(spark, path)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if symbols:
         df = df.filter(F.col("symbol").isin(list(symbols)))
     if year is not None and month is not None:
@@ -124,16 +130,51 @@ def read_monthly(
     return df
 
 
+#: Columns of monthly files that are not numbers.
+TEXT_COLUMNS = ("symbol", "RSI_Regime", "Market_Regime", "reason")
+TIME_COLUMNS = ("timestamp", "ts", "ts_event", "ts_event_clean")
+
+
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """The first line of every file: one pass over the files as text, one row per file to the driver."""
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("i"),
+    )
+    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "i").alias("header"))
+    return {r["path"]: r["header"] for r in first.collect()}
+
+
 def read_monthly_csv(
     spark: SparkSession, folder: str, symbols=None, year: int | None = None, month: int | None = None
 ) -> DataFrame:
-    """Legacy layout: files named monthly_<SYMBOL>_<YYYY-MM>.csv; the name supplies symbol and ym."""
+    """Legacy layout: files named monthly_<SYMBOL>_<YYYY-MM>.csv; the name supplies symbol and ym.
+
+    Every file is read by its own header: files of one header together, then all united by column name; a column
+    that a file lacks is NULL in its rows. Symbols without files and patterns without a match add nothing. Numbers
+    become doubles and times timestamps; what cannot be read is NULL.
+    """
+    from barloom.sources.stores import list_paths
+
     y = f"{year:04d}" if year is not None else "*"
     m = f"{month:02d}" if month is not None else "*"
     names = [f"{folder.rstrip('/')}/monthly_{s}_{y}-{m}.csv" for s in (symbols or ["*"])]
-    df = spark.read.option("header", True).csv(names)
+    found = [f for n in names for f in list_paths(spark, n)]
+    files = [g for f in found for g in (list_paths(spark, f"{f}/part-*") or [f])]  # a file, or a folder of parts
     path, shape = F.col("_metadata.file_path"), r"monthly_([^/]+)_(\d{4}-\d{2})\.csv"
-    return df.withColumns({"file_symbol": F.regexp_extract(path, shape, 1), "file_ym": F.regexp_extract(path, shape, 2)})
+    by_header: dict[str, list[str]] = {}
+    for file, header in _headers(spark, files).items() if files else ():
+        by_header.setdefault(header, []).append(file)
+    tables = []
+    for same in by_header.values():
+        df = spark.read.option("header", True).csv(same)
+        typed = {
+            c: F.try_to_timestamp(c) if c in TIME_COLUMNS else F.col(c).try_cast("double")
+            for c in df.columns if c not in TEXT_COLUMNS
+        }
+        df = df.withColumns(typed | {"file_symbol": F.regexp_extract(path, shape, 1), "file_ym": F.regexp_extract(path, shape, 2)})
+        tables.append(df)
+    return concat_tables(tables) if tables else spark.createDataFrame([], "file_symbol string, file_ym string")
 
 
 def concat_tables(tables: list[DataFrame]) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.operators.reports import first_per_key, latest_per_key
+from barloom.session import written_table
 
 # fixed values: leading quote columns and trailing metadata columns of a feature file
 LEADING = ("bidPrice", "bidSize", "askPrice", "askSize", "lastPrice", "lastSize", "volume")
@@ -27,29 +31,85 @@ def save_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     out.format(fmt).save(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, from the file system's listing; none is an empty list."""
+    fs, p = _file_system(spark, pattern)
+    return [str(f.getPath().toString()) for f in (fs.globStatus(p) or [])]
+
+
+def partitions(spark: SparkSession, path: str, *names: str) -> list[tuple[str, ...]]:
+    """Values of the partition columns that a dataset holds, read from its folder names alone."""
+    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found = list_paths(spark, "/".join([path.rstrip("/"), *[f"{n}=*" for n in names]]))
+    return [tuple(plain(part.split("=", 1)[1]) for part in f.split("/")[-len(names):]) for f in found]
+
+
+def rename_parts(spark: SparkSession, path: str, column: str, folder: str, shape: str) -> None:
+    """Move the folders of a partitioned write to ``folder``, named by their value: legacy readers know file names only."""
+    for (value,) in partitions(spark, path, column):
+        fs, source = _file_system(spark, f"{path.rstrip('/')}/{column}={value}")
+        _, target = _file_system(spark, f"{folder.rstrip('/')}/{shape.format(value)}")
+        fs.mkdirs(target.getParent())
+        fs.rename(source, target)
+
+
+def save_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """Keep the union of all written schemas beside the data, where readers find it without opening files."""
+    known = load_schema(spark, path)
+    fields = list(known.fields) if known else []
+    names = {f.name: f.dataType for f in fields}
+    for f in schema.fields:
+        if f.name not in names:
+            fields.append(T.StructField(f.name, f.dataType, True))
+        elif names[f.name] != f.dataType:
+            raise ValueError(f"column {f.name} is stored as {names[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    merged = T.StructType(fields)
+    fs, p = _file_system(spark, f"{path.rstrip('/')}/_schema")
+    out = fs.create(p, True)
+    out.write(bytearray(merged.json().encode()))
+    out.close()
+    return merged
+
+
+def load_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    fs, p = _file_system(spark, f"{path.rstrip('/')}/_schema")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return T.StructType.fromJson(json.loads(text))
 
 
 def write_monthly(df: DataFrame, path: str, ts: str = "timestamp", overwrite: bool = False) -> None:
     """Write by (symbol, ym). Months already stored are skipped, or replaced when ``overwrite``.
 
-    Rows are spread by (symbol, day) before the write, so a symbol holding most rows of a month is
-    written by several tasks, each adding few files.
+    Stored months come from the folder listing. Rows are spread by (symbol, day) before the write, so a symbol
+    holding most rows of a month is written by several tasks, each adding few files.
     """
     spark = df.sparkSession
     rows = df.withColumn("ym", F.date_format(ts, "yyyy-MM"))
-    if path_exists(spark, path) and not overwrite:
-        stored = spark.read.parquet(path).select("symbol", "ym").distinct()
-        rows = rows.join(stored, ["symbol", "ym"], "left_anti")
-    rows = rows.repartition("symbol", F.to_date(ts))
+    stored = partitions(spark, path, "symbol", "ym") if not overwrite and path_exists(spark, path) else []
+    if stored:
+        rows = rows.join(spark.createDataFrame(stored, "symbol string, ym string"), ["symbol", "ym"], "left_anti")
+    rows = rows.select(*df.columns, "ym").repartition("symbol", F.to_date(ts))
     (
         rows.write.mode("overwrite" if overwrite else "append")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("symbol", "ym")
         .parquet(path)
     )
+    save_schema(spark, path, rows.schema)
 
 
 def merge_monthly(parts: list[DataFrame], path: str, order: str = "timestamp") -> DataFrame:
@@ -63,16 +123,51 @@ def merge_monthly(parts: list[DataFrame], path: str, order: str = "timestamp") -
 
 
 def load_history(new: DataFrame, path: str, source: str, order: str) -> DataFrame:
-    """Store the first record per (symbol, time) under ``data_source = source``, replacing that source."""
+    """Store the first record per (symbol, time) under ``data_source = source``, replacing that source.
+
+    Folders are (data_source, simulation_date): a date filter prunes, and a reload writes the source's dates anew
+    and removes those it no longer has.
+    """
+    spark = new.sparkSession
     rows = first_per_key(new, HISTORY_KEYS, order).drop(order)
-    rows = rows.withColumns({"simulation_date": F.to_date("ts_event_price"), "data_source": F.lit(source)})
+    rows = written_table(rows.withColumns({"simulation_date": F.to_date("ts_event_price"), "data_source": F.lit(source)}), "history")
     (
-        rows.write.mode("overwrite")
+        rows.repartition("simulation_date").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("data_source")
+        .partitionBy("data_source", "simulation_date")
         .parquet(path)
     )
-    return new.sparkSession.read.parquet(path)
+    now = {str(r[0]) for r in rows.select("simulation_date").distinct().collect()}  # days of the calendar
+    for found, day in partitions(spark, path, "data_source", "simulation_date"):
+        if found == source and day not in now:
+            fs, p = _file_system(spark, f"{path.rstrip('/')}/data_source={source}/simulation_date={day}")
+            fs.delete(p, True)
+    return spark.read.parquet(path)
+
+
+def store_keyed(changes: DataFrame, path: str, keys: list[str], order: str, ts: str, latest: bool = True) -> DataFrame:
+    """Merge rows into a dataset of one row per key, in folders by the date of ``ts``; returns the dataset.
+
+    The row with the largest ``order`` wins, stored or new; without ``latest`` a stored row stays, and of new ones
+    the first comes in. The keys hold ``ts``, so only the folders of the changes' dates are read and written.
+    """
+    spark = changes.sparkSession
+    rows = changes.withColumn("trade_date", F.to_date(ts))
+    if path_exists(spark, path):
+        days = [r[0] for r in rows.select("trade_date").distinct().collect()]  # days of the calendar
+        old = spark.read.schema(load_schema(spark, path)).parquet(path).filter(F.col("trade_date").isin(days))
+        if latest:
+            rows = upsert(old, rows, keys, order)
+        else:
+            rows = old.unionByName(insert_new(old, rows, keys, order), allowMissingColumns=True)
+    else:
+        rows = latest_per_key(rows, keys, order) if latest else first_per_key(rows, keys, order)
+    rows = written_table(rows, "keyed")
+    (
+        rows.repartition("trade_date").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path)
+    )
+    return spark.read.schema(save_schema(spark, path, rows.schema)).parquet(path)
 
 
 def upsert(target: DataFrame | None, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -108,6 +203,7 @@ def truncate_dataset(spark: SparkSession, path: str) -> int:
     return rows
 
 
+# fixed values: columns of the run log and of the model index
 RUN_LOG_SCHEMA = (
     "Run_Id long, Date_Start timestamp, Model_Description string, Training_File string, Test_File string, "
     "Fast_Mode boolean, Num_Features int, Num_Samples long, Duration_Seconds double, Status string, "
