@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.shingles import long_batch, rows, small_batches, with_ids
-from barloom.llm.text import small_side, written
+from barloom.llm.text import scratch, small_side, written
 
 #: Items of one pass over the texts, and of one latent space. Larger benchmarks are done in such blocks.
 PASS_ITEMS, SPACE_ITEMS = 4096, 256
@@ -358,5 +358,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; rows without doc_id stay."""
-    found = written(leaks(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct(), "leaking")
+    with scratch() as drop_all_but:
+        found = written(leaks(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct(), "leaking")
+        drop_all_but(found)
     return docs.join(small_side(found), "doc_id", "left_anti").select(docs.columns)

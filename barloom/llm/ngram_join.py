@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.components import components
 from barloom.llm.shingles import SIZE, long_batch, mixed, rows, set_id, shingle_set, with_ids
-from barloom.llm.text import small_side, written
+from barloom.llm.text import scratch, small_side, written
 
 THRESHOLD = 75
 #: Token orders: each puts frequent tokens last and scrambles the rest by its own seed. The first makes candidates.
@@ -296,7 +296,7 @@ class _Join:
         self.docs = with_ids(docs)
         run, schema = _sets(size)
         found = written(self.docs.mapInArrow(run, schema), "shingle-sets")
-        self.members = found.filter("n is not null").select("doc_id", "n", "node")
+        self.members = written(found.filter("n is not null").select("doc_id", "n", "node"), "members")
         many = (
             found.filter("token is not null").groupBy("token").agg(F.sum("count").alias("sets"))
             .filter(F.col("sets") >= FREQUENT).orderBy(F.desc("sets"), "token").limit(MOST_FREQUENT)
@@ -382,11 +382,13 @@ def near_copies(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -
     text of fewer words is one shingle. Equal sets are one set throughout, so copies cost nothing after the first step.
     Rows without a doc_id have a null component; rows repeated with one doc_id are all returned.
     """
-    join = _Join(docs, size, threshold)
-    labels = join.labels()
-    nodes = join.nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "rep", "label")
-    smallest = nodes.groupBy("label").agg(F.min("rep").alias("least"))
-    nodes = written(nodes.join(smallest, "label").select("node", "least"), "node-components")
+    with scratch() as drop_all_but:
+        join = _Join(docs, size, threshold)
+        labels = join.labels()
+        nodes = join.nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "rep", "label")
+        smallest = nodes.groupBy("label").agg(F.min("rep").alias("least"))
+        nodes = written(nodes.join(smallest, "label").select("node", "least"), "node-components")
+        drop_all_but(join.members, nodes)
     full = join.members.join(nodes, "node", "left")
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

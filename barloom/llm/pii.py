@@ -84,14 +84,17 @@ def _merged(kinds: tuple[str, ...]) -> Column:
     return F.array_sort(F.concat(*[of_kind(F.col(k), k, i) for i, k in enumerate(kinds)]))
 
 
-def found(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = None, all_texts: bool = False) -> DataFrame:
-    """One written row per document: rid, row, base (ordered spans), n_* and the text where a span was found."""
+def found(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = None, only_spans: bool = False) -> DataFrame:
+    """One written row per document (or per document with spans): rid, row, base (ordered spans), n_* and the text where
+    a span was found."""
     packed = pack(docs).withColumn("_t", whole(F.col("row")[text]))
     if carry is not None:
         packed = packed.withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in carry]))
     spans = base_spans(packed, "_t")
     spans = spans.withColumn("base", _merged(KINDS))
-    kept = F.col("_t") if all_texts else F.when(F.size("base") > 0, F.col("_t"))
+    if only_spans:
+        spans = spans.filter(F.size("base") > 0)
+    kept = F.when(F.size("base") > 0, F.col("_t"))
     return written(
         spans.select(
             F.monotonically_increasing_id().alias("rid"), "row", "base", kept.alias("_t"),
@@ -141,7 +144,7 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text: str = "text", rule:
     each = docs.select(F.explode(F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 4))).alias("term"))
     df = each.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")).join(small_side(terms), "term")
     entities = seen.groupBy("entity", "rid").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    total = F.lit(base.count()).cast("double")
+    total = F.lit(docs.count()).cast("double")
     scored = pairs.join(df, "term").join(entities, "entity")
     information = F.log2(total / F.col("entity_docs"))
     pmi = F.log2(total * F.col("together") / (F.col("term_docs") * F.col("entity_docs")))
@@ -177,13 +180,13 @@ def _with_terms(base: DataFrame, docs: DataFrame, text: str, rule: Disclosure) -
     return some.select(columns).unionByName(rest.select(columns))
 
 
-def private_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = None, rule: Disclosure = DISCLOSURE, all_texts: bool = False) -> DataFrame:
+def private_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = None, rule: Disclosure = DISCLOSURE) -> DataFrame:
     """Per row of ``docs``: row, base and spans (struct<start, k, end, kind, value>), n_email, n_ip, n_card, n_phone.
 
     Null texts are empty ones and have no spans; equal rows each keep their own; kinds may overlap. Terms never touch
     a base span.
     """
-    return _with_terms(found(docs, text, carry, all_texts), docs, text, rule)
+    return _with_terms(found(docs, text, carry), docs, text, rule)
 
 
 def sanitised(docs: DataFrame, text: str = "text", rule: Disclosure = DISCLOSURE) -> DataFrame:
@@ -192,7 +195,7 @@ def sanitised(docs: DataFrame, text: str = "text", rule: Disclosure = DISCLOSURE
     Overlapping spans are replaced once, by the label of the first. Null texts stay null; n_chars, where there is such
     a column, follows the new text.
     """
-    spans = private_spans(docs, text, None, rule, all_texts=True)
+    spans = _with_terms(found(docs, text, only_spans=True), docs, text, rule)
     cuts = F.col("cuts")
     # spans that begin inside an earlier one join it: keep the furthest end so far
     joined = F.aggregate(
@@ -227,4 +230,7 @@ def sanitised(docs: DataFrame, text: str = "text", rule: Disclosure = DISCLOSURE
             out.append(F.when(F.col("row")[text].isNull(), F.col("row")[name]).otherwise(F.length("_clean")).cast(docs.schema[name].dataType).alias(name))
         else:
             out.append(F.col("row")[name].alias(name))
-    return spans.select(*out)
+    # texts without a span go through as they are; finding them again costs less than a copy of all texts
+    plain = base_spans(pack(docs).withColumn("_t", whole(F.col("row")[text])), "_t")
+    plain = plain.filter(F.size(F.concat(*KINDS)) == 0).select("row.*")
+    return spans.select(*out).unionByName(plain)

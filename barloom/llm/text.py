@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.session import scratch_path
@@ -34,11 +35,40 @@ def words(text: Column) -> Column:
     return F.when(inner != "", F.split(inner, SPACE_RUN)).otherwise(F.array().cast("array<string>"))
 
 
+_scopes: list[dict[str, SparkSession]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Tables written within are noted; the function given deletes them, but for those handed to it.
+
+    For operators that end with a small table of their own: what led to it need not fill the shared folder.
+    """
+    noted: dict[str, SparkSession] = {}
+    _scopes.append(noted)
+
+    def drop_all_but(*kept: DataFrame) -> None:
+        stay = {t._scratch for t in kept}
+        for path, spark in noted.items():
+            if path not in stay:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    try:
+        yield drop_all_but
+    finally:
+        _scopes.remove(noted)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, without lineage, safe when executors are lost."""
     path = scratch_path(df.sparkSession, name)
+    for noted in _scopes:
+        noted[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table._scratch = path
+    return table
 
 
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
