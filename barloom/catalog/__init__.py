@@ -29,6 +29,7 @@ def load_all() -> None:
         datasets,
         evaluation,
         features,
+        grown,
         live,
         reports,
         scans,

@@ -16,7 +16,7 @@ from barloom.catalog.signals import (
     candidates,
     level_rows,
 )
-from barloom.catalog.sql_parts import BARS, DAILY, TICKS, WINDOWS, level, r6, to6
+from barloom.catalog.sql_parts import BARS, DAILY, SERIES, TICKS, WINDOWS, level, r6, to6
 from barloom.operators import labels
 from barloom.session import scratch_path
 from barloom.sources import driver_tables as D
@@ -145,32 +145,47 @@ def _score(df: DataFrame) -> DataFrame:
     return df.withColumns({"probability": p, "prediction": (p >= 0.5).cast("int")})
 
 
-@register("live_screen")
+_LIVE_LEVELS = ", ".join(level(f"v{i}", "live_s" if i == 0 else f"v{i - 1}", c) for i, c in enumerate([*R_LEVELS, LEVELS_SQL, {"why": SCREEN_SQL}]))
+_LIVE = f"""WITH {BARS}, live AS (SELECT * REPLACE (DATE '2000-01-01' AS session) FROM bars
+  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 60),
+{SERIES.replace("s AS (", "live_s AS (", 1).replace("FROM bars", "FROM live")}, {_LIVE_LEVELS},
+w AS (SELECT *, min(low) OVER hist AS lo, max(high) OVER hist AS hi, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS newest
+  FROM v{len(R_LEVELS) + 1} WINDOW {WINDOWS}),
+z AS (SELECT *, CASE WHEN why <> 'conditions_met' THEN 0 WHEN hi > lo THEN greatest(0, least(1, (close - lo) / (hi - lo))) ELSE 0.5 END AS p FROM w WHERE newest = 1)
+SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, why = 'conditions_met' AS screen_pass, why AS screen_reason,
+  CAST(p >= 0.5 AS INTEGER) AS prediction, {r6('p')} AS probability FROM z"""
+
+
+def _screened(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "symbol", F.unix_seconds("ts").alias("ts_s"), "screen_pass", "screen_reason", "prediction",
+        to6("probability").alias("probability"),
+    )
+
+
+@register("live_screen", _LIVE)
 def live_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest bar of every symbol: features from its last 60 bars, screened and scored."""
-    rows = L.latest_feature_rows(D.event_bars(spark, sf_dir), D.event_daily(spark, sf_dir))
-    out = L.assess(rows, _score)
-    return out.select("symbol", F.unix_seconds("ts").alias("ts_s"), "screen_pass", "screen_reason", "prediction", to6("probability").alias("probability"))
+    """Newest bar of every symbol: features from its last 60 bars over day boundaries, screened and scored."""
+    return _screened(L.assess(L.latest_feature_rows(D.event_bars(spark, sf_dir)), _score))
 
 
-@register("stream_screen")
+@register("stream_screen", _LIVE)
 def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live path as a stream: every micro-batch of new bars is screened and appended."""
+    """The live path as a stream: the micro-batch of new bars is screened against the store and written by its number;
+    a second run of the same batch changes nothing."""
     bars_path, out = scratch_path(spark, "bars"), scratch_path(spark, "screened")
     D.event_bars(spark, sf_dir).write.parquet(bars_path)
     schema = spark.read.parquet(bars_path).schema
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        # the history store holds earlier batches too, so each batch sees the symbol's last bars
-        touched = batch.select("symbol").distinct()
-        known = batch.sparkSession.read.parquet(bars_path).join(touched, "symbol", "left_semi")
-        rows = L.assess(L.latest_feature_rows(known), _score)
-        rows.select("symbol", "ts", "screen_pass", "screen_reason", "prediction", "probability").write.mode("append").parquet(out)
+        store = batch.sparkSession.read.schema(schema).parquet(bars_path)
+        for _ in range(2):  # as after a failure between the write and the commit
+            known = L.seen_by_batch(store, batch)
+            L.write_batch(L.assess(L.latest_feature_rows(known), _score), batch_id, out)
 
     q = L.run_live(Q.stream_table(spark, bars_path, schema), on_batch, scratch_path(spark, "progress"), availableNow=True)
     q.awaitTermination()
-    df = spark.read.parquet(out)
-    return df.select("symbol", F.unix_seconds("ts").alias("ts_s"), "screen_pass", "screen_reason", "prediction")
+    return _screened(spark.read.parquet(out))
 
 
 _GATE = ", ".join(

@@ -7,12 +7,30 @@ classification task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.sources.bars import daily_from_bars, ticks_to_bars, with_week_session
+from barloom.sources.bars import daily_from_bars, ticks_to_bars, with_day_session, with_week_session
 
 BAR_SECONDS = 1800
+#: Users that make one symbol of an event type where bars are to grow with the table.
+USERS_PER_SYMBOL = 75
+_fine: ContextVar[bool] = ContextVar("fine", default=False)
+
+
+@contextmanager
+def minute_bars() -> Iterator[None]:
+    """Within, bars are one-minute bars in day sessions, and symbols are (event type, group of users), so that symbols
+    and bars grow with the table."""
+    token = _fine.set(True)
+    try:
+        yield
+    finally:
+        _fine.reset(token)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbol = F.col("event_type")
+    if _fine.get():
+        symbol = F.concat_ws(".", symbol, F.floor(F.col("user_id") / USERS_PER_SYMBOL).cast("string"))
     return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("symbol"),
+        symbol.alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
         (F.lit(100.0) + F.col("value") * 0.02).alias("price"),
         ((F.col("user_id") + 1) * 10).cast("double").alias("size"),
@@ -31,8 +52,9 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_bars(spark: SparkSession, sf_dir: str, width_seconds: int = BAR_SECONDS) -> DataFrame:
-    """Bars with deterministic quotes around the close, in weekly sessions."""
+def event_bars(spark: SparkSession, sf_dir: str, width_seconds: int | None = None) -> DataFrame:
+    """Bars with deterministic quotes around the close, in weekly sessions (one-minute bars in days)."""
+    width_seconds = width_seconds or (60 if _fine.get() else BAR_SECONDS)
     bars = ticks_to_bars(
         event_ticks(spark, sf_dir),
         width_seconds,
@@ -48,7 +70,7 @@ def event_bars(spark: SparkSession, sf_dir: str, width_seconds: int = BAR_SECOND
             "trade_date": F.to_date("ts"),
         }
     ).drop("_last_id")
-    return with_week_session(bars)
+    return with_day_session(bars) if _fine.get() else with_week_session(bars)
 
 
 def event_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,31 +16,56 @@ from barloom.plans.features import feature_table
 LIVE_BARS = 60
 
 
-def latest_feature_rows(bars: DataFrame, daily: DataFrame | None = None, last: int = LIVE_BARS) -> DataFrame:
-    """Features of the newest bar per symbol, computed from its last ``last`` bars."""
-    recent = last_n_per_key(bars, ["symbol"], "ts", last)
-    rows = feature_table(recent, daily)
-    return last_n_per_key(rows, ["symbol"], "ts", 1)
+def latest_feature_rows(
+    bars: DataFrame, daily: DataFrame | None = None, last: int = LIVE_BARS, since: Column | None = None
+) -> DataFrame:
+    """Features of the newest bar per symbol, computed from its last ``last`` bars.
+
+    The bars of earlier days count: just after the open, history is the day before. ``since`` bounds the scan; give a
+    time that surely holds enough bars.
+    """
+    known = bars if since is None else bars.filter(F.col("ts") >= since)
+    recent = last_n_per_key(known, ["symbol"], "ts", last).withColumn("session", F.lit("live"))
+    return last_n_per_key(feature_table(recent, daily), ["symbol"], "ts", 1)
 
 
 def assess(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Screen rows and score those that pass; the others get probability 0 and prediction 0.
+    """Screen rows and score them; those that do not pass get probability 0 and prediction 0.
 
-    ``scorer`` adds prediction and probability. It runs on the passing rows only.
+    ``scorer`` adds prediction and probability. One projection serves both outcomes, so features are computed once.
     """
     screened = screen(rows)
-    zero = {"prediction": F.lit(0), "probability": F.lit(0.0)}
     if scorer is None:
-        return screened.withColumns(zero)
-    passed = scorer(optimize_features(screened.filter("screen_pass")))
+        return screened.withColumns({"prediction": F.lit(0), "probability": F.lit(0.0)})
+    scored = scorer(optimize_features(screened))
     keep = ["symbol", "ts", "close", "screen_pass", "screen_reason"]
     levels = [c for c in ("1R_Stop_Loss", "2R_Target") if c in screened.columns]
-    skipped = screened.filter(~F.col("screen_pass")).withColumns(zero)
-    return passed.select(*keep, *levels, "prediction", "probability").unionByName(
-        skipped.select(*keep, *levels, "prediction", "probability")
+    return scored.select(
+        *keep, *levels, F.when(F.col("screen_pass"), F.col("prediction")).otherwise(0).alias("prediction"),
+        F.when(F.col("screen_pass"), F.col("probability")).otherwise(0.0).alias("probability"),
+    )
+
+
+def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """Write a micro-batch's rows under its number: a batch that runs again replaces its own rows."""
+    (
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
     )
 
 
+def seen_by_batch(history: DataFrame, batch: DataFrame, days: int = 7) -> DataFrame:
+    """Stored bars of the batch's symbols up to the batch's last bar, and not older than ``days`` before its first.
+
+    The two times are read from the batch, so the store is pruned by date and later bars stay unseen.
+    """
+    first, final = batch.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return history.limit(0)
+    known = history.filter((F.col("ts") >= F.lit(first) - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col("ts") <= F.lit(final)))
+    return known.join(batch.select("symbol").distinct(), "symbol", "left_semi")
+
+
 def swing_gate(assessed: DataFrame, swing_minutes: DataFrame, tolerance_seconds: int = 60) -> DataFrame:
     """Pass only rows that pass the screen and lie within the tolerance of a swing-low minute."""
     near = nearest_minute(assessed.select("symbol", "ts"), swing_minutes, tolerance_seconds).select(

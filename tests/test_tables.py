@@ -187,3 +187,16 @@ def test_optimizer_removes_nan_and_bounds_infinities(spark):
     df = spark.createDataFrame([(nan, nan, nan, nan), (inf, inf, inf, inf)], "MACD_12_26_9 double, Volume_vs_SMA10 double, Volatility_Percentile_100 double, Other double")
     got = [tuple(r) for r in clean.optimize_base(df).collect()]
     assert got == [(None, None, None, None), (2.0, 50.0, 1.0, None)]
+
+
+def test_live_history_reaches_over_the_day(spark):
+    """80 bars yesterday and 5 today: the newest row stands on 59 earlier bars and passes the screen."""
+    day = dt.datetime(2024, 3, 7, 15, 0)
+    times = [day + dt.timedelta(minutes=i) for i in range(80)] + [day + dt.timedelta(days=1, minutes=i) for i in range(5)]
+    rows = [("a", t, t.date(), t.date(), 100.0, 101.0 + i % 3, 99.0 - i % 2, 100.0 + i % 5 / 10, 1000.0) for i, t in enumerate(times)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, session date, trade_date date, open double, high double, low double, close double, volume double")
+    names = live.latest_feature_rows(bars).columns
+    (r,) = live.latest_feature_rows(bars).collect()
+    assert r["n_hist"] == 59 and r["2R_Target"] is not None and "Current_Price" in names
+    (s,) = live.assess(live.latest_feature_rows(bars), lambda df: df.withColumns({"prediction": F.lit(1), "probability": F.lit(0.9)})).collect()
+    assert (s["screen_reason"], s["prediction"], s["probability"]) == ("conditions_met", 1, 0.9)
