@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.catalog import register
+from barloom.catalog import register, stated
 from barloom.catalog.sql_parts import r6, to6
 from barloom.operators import clean, evaluate, prepare
 from barloom.operators import patterns as P
@@ -60,15 +60,15 @@ def six(df: DataFrame, names, keys=KEYS) -> DataFrame:
 
 
 def _bounded(name: str) -> str:
-    lo, hi = clean.RANGES[name]
+    lo, hi = stated.RANGES[name]
     return (
         f'CASE WHEN "{name}" < {2 * lo} OR "{name}" > {2 * hi} THEN NULL '
         f'ELSE greatest({lo}, least({hi}, "{name}")) END'
     )
 
 
-_RANGED = [n for n in RAW if n in clean.RANGES]
-_PASSED = [n for n in RAW if n not in clean.RANGES]
+_RANGED = [n for n in RAW if n in stated.RANGES]
+_PASSED = [n for n in RAW if n not in stated.RANGES]
 
 
 @register(
@@ -82,8 +82,8 @@ def clean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CATS = {
-    c: " AND ".join(f"({_bounded(n) if n in clean.RANGES else n}) IS NULL" for n in names if n in RAW)
-    for c, names in clean.CATEGORIES.items()
+    c: " AND ".join(f"({_bounded(n) if n in stated.RANGES else n}) IS NULL" for n in names if n in RAW)
+    for c, names in stated.CATEGORIES.items()
 }
 
 
@@ -103,17 +103,17 @@ def _c(x: str, lo: float, hi: float) -> str:
 
 
 def _first_bound(n: str) -> str:
-    return _c(f'"{n}"', *clean.OUTLIER_BOUNDS[n]) if n in clean.OUTLIER_BOUNDS else f'"{n}"'
+    return _c(f'"{n}"', *stated.OUTLIER_BOUNDS[n]) if n in stated.OUTLIER_BOUNDS else f'"{n}"'
 
 
 def _scaled(n: str, x: str) -> str:
-    if n not in clean.PERCENT_COLUMNS:
+    if n not in stated.PERCENT_COLUMNS:
         return x
     return f"CASE WHEN ({x}) BETWEEN 0 AND 100 THEN ({x}) / 100.0 ELSE {_c(x, 0, 1)} END"
 
 
 def _last_bound(n: str, x: str) -> str:
-    return _c(x, *clean.FINAL_BOUNDS[n]) if n in clean.FINAL_BOUNDS else x
+    return _c(x, *stated.FINAL_BOUNDS[n]) if n in stated.FINAL_BOUNDS else x
 
 
 _PRODUCTS = {
@@ -516,8 +516,8 @@ def valid_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "training_features",
-    f"""WITH {RAW_SQL} SELECT {KEY_SQL}, {", ".join(f'{r6(f'"{n}"')} AS "{n}"' for n in RAW if n in prepare.TRAINING_FEATURES)},
-  CAST({sum(n not in RAW for n in prepare.TRAINING_FEATURES)} AS INTEGER) AS n_missing FROM raw""",
+    f"""WITH {RAW_SQL} SELECT {KEY_SQL}, {", ".join(f'{r6(f'"{n}"')} AS "{n}"' for n in RAW if n in stated.TRAINING_FEATURES)},
+  CAST({sum(n not in RAW for n in stated.TRAINING_FEATURES)} AS INTEGER) AS n_missing FROM raw""",
 )
 def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, chosen, missing = prepare.select_training_features(raw(spark, sf_dir), keep=KEYS)

@@ -11,6 +11,7 @@ from barloom.catalog.sql_parts import r6, to6
 from barloom.operators import evaluate as E
 from barloom.operators import models as M
 from barloom.operators import prepare
+from barloom.session import scratch_path, written_table
 from barloom.sources import driver_tables as D
 
 # Scores of two stand-in models over orders; two decimals, so many scores tie.
@@ -259,7 +260,7 @@ def small() -> GBTClassifier:
 
 
 def _scored_test(spark: SparkSession, sf_dir: str):
-    rows = split_rows(spark, sf_dir).persist()
+    rows = written_table(split_rows(spark, sf_dir), "split-rows")
     models = M.train_models(rows.filter("split <> 'test'"), FEATURES, "buy", M.model_families("small"))
     return models, M.score_all(models, rows.filter("split = 'test'"), FEATURES, ["doc_id"], "buy")
 
@@ -272,7 +273,7 @@ def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("score_threshold")
 def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split_rows(spark, sf_dir).persist()
+    rows = written_table(split_rows(spark, sf_dir), "split-rows")
     model = M.train_models(rows.filter("split <> 'test'"), FEATURES, "buy", {"m": small()})["m"]
     return M.score(model, rows, FEATURES, 0.6).select("doc_id", "split", "prediction", to6("probability").alias("probability"), "threshold")
 
@@ -285,36 +286,67 @@ def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cross_validation")
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.cross_validate(document_rows(spark, sf_dir), FEATURES, "buy", ["doc_id"], {"boosted": small()}, folds=3)
+    return M.cross_validate(document_rows(spark, sf_dir), FEATURES, "buy", ["doc_id"], M.model_families("small"), folds=5)
 
 
 @register("parameter_search")
 def parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     est = small()
     _, table = M.search(
-        document_rows(spark, sf_dir), FEATURES, "buy", ["doc_id"], est, M.depth_grid(est, (2, 4)), folds=3
+        document_rows(spark, sf_dir), FEATURES, "buy", ["doc_id"], est, M.depth_grid(est), folds=3
     )
     return table
 
 
-@register("train_per_symbol")
+_SPLIT = """k AS (SELECT doc_id, lang, quality = 1 AS buy, CAST('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
+  FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY buy ORDER BY h) AS r, count(*) OVER (PARTITION BY buy) AS n FROM k),
+split AS (SELECT doc_id, lang, buy, CASE WHEN r <= ceil(n * 0.15) THEN 'test' WHEN r <= ceil(n * 0.15) + ceil((n - ceil(n * 0.15)) * 0.15) THEN 'val' ELSE 'train' END AS split FROM r)"""
+
+
+@register(
+    "train_per_symbol",
+    f"""WITH {_SPLIT} SELECT lang AS symbol, count(*) AS rows, CASE WHEN count(DISTINCT buy) = 2 THEN 'Success' ELSE 'Error' END AS status,
+  true AS ranked FROM split WHERE split <> 'test' GROUP BY 1 UNION ALL SELECT 'absent', 0, 'Error', true""",
+)
 def train_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split_rows(spark, sf_dir).persist()
+    """A fit per language and one symbol without rows: rows and status are stated, the AUC only has to be one."""
+    rows = written_table(split_rows(spark, sf_dir), "split-rows")
     symbols = sorted(r["symbol"] for r in rows.select("symbol").distinct().collect())  # a handful of languages
-    return M.train_per_symbol(rows, symbols, FEATURES, "buy", small)
+    out = M.train_per_symbol(rows, [*symbols, "absent"], FEATURES, "buy", small)
+    return out.select("symbol", "rows", "status", F.coalesce(F.col("auc").between(0, 1), F.lit(True)).alias("ranked"))
+
+
+@register(
+    "stored_predictions",
+    f"""WITH {_SPLIT} SELECT doc_id, split, CAST(0.6 AS DOUBLE) AS threshold, true AS consistent, 'nightly' AS run FROM split""",
+)
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline saved, loaded, applied to all rows and its predictions stored twice under one run."""
+    rows = written_table(split_rows(spark, sf_dir), "split-rows")
+    fitted = M.train_models(rows.filter("split <> 'test'"), FEATURES, "buy", {"m": small()})["m"]
+    path = scratch_path(spark, "model")
+    M.save_model(fitted, path)
+    sink = scratch_path(spark, "predictions")
+    for _ in range(2):
+        M.write_predictions(M.score(M.load_model(path), rows, FEATURES, 0.6).select("doc_id", "split", "prediction", "probability", "threshold"), sink, "nightly")
+    return spark.read.parquet(sink).select(
+        "doc_id", "split", "threshold", ((F.col("probability") >= 0.6).cast("int") == F.col("prediction")).alias("consistent"),
+        F.col("run").cast("string").alias("run"),
+    )
 
 
 @register("sampling_benchmark")
 def sampling_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split_rows(spark, sf_dir).persist()
-    out = M.sampling_benchmark(rows, FEATURES, "buy", ["doc_id"], ["balanced", "stratified"], [200], small)
+    rows = split_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds("doc_id"))
+    out = M.sampling_benchmark(rows, FEATURES, "buy", ["doc_id"], ["balanced", "stratified", "recent", "diverse"], [200], small)
     return out.select("strategy", "size", to6("auc").alias("auc"))
 
 
 @register("ensemble_ranking")
 def ensemble_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variance ratio, mutual information over decile bins and tree importance, combined."""
-    rows = document_rows(spark, sf_dir).persist()
+    rows = written_table(document_rows(spark, sf_dir), "document-rows")
     from barloom.operators.order_stats import exact_ranks
 
     n = rows.count()

@@ -128,6 +128,20 @@ def swing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(candidates(spark, sf_dir).withColumnRenamed("minute", "ts"), ["methods", "close"])
 
 
+_OPEN_HOURS = "FROM raw_bars WHERE strftime(bar_ts - INTERVAL 5 HOURS, '%H:%M:%S') BETWEEN '09:30:00' AND '15:30:00')"
+
+
+@register(
+    "swing_candidates_market_hours",
+    f"WITH {CANDIDATES_SQL.replace('FROM raw_bars)', _OPEN_HOURS)} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, methods, "
+    "round(close, 6) AS close FROM candidates",
+)
+def swing_candidates_market_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swings among the bars of market hours; the events lie in January, five hours behind."""
+    found = swings.swing_candidates(D.event_bars(spark, sf_dir), max_gap_minutes=GAP, vwap_tolerance=TOLERANCE, market_hours=True)
+    return rounded(found.withColumnRenamed("minute", "ts"), ["methods", "close"])
+
+
 @register(
     "union_minutes",
     f"WITH {_STRICT}, {_ADAPTIVE} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s FROM strict_lows "

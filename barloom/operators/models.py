@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -162,26 +163,53 @@ def search(
 
 
 def train_per_symbol(
-    df: DataFrame, symbols: list[str], features: list[str], label: str, estimator_factory, test_col: str = "split"
+    df: DataFrame, symbols: list[str], features: list[str], label: str, estimator_factory, test_col: str = "split",
+    parallelism: int = 4,
 ) -> DataFrame:
-    """One distributed fit per named symbol: (symbol, rows, auc, status). The symbol list is a parameter."""
-    rows = []
-    for symbol in symbols:
-        part = df.filter(F.col("symbol") == symbol)
-        train = part.filter(F.col(test_col) != "test")
-        seen = train.agg(F.count("*").alias("n"), F.countDistinct(label).alias("k")).first()
-        if seen["k"] < 2:
-            rows.append(Row(symbol=symbol, rows=seen["n"], auc=None, status="Error"))
-            continue
-        model = train_models(train, features, label, {"m": estimator_factory()})["m"]
-        scored = score(model, part.filter(F.col(test_col) == "test"), features).select(
-            F.lit("m").alias("model"), "probability", F.col(label).cast("int").alias("label")
-        )
-        found = auc_by_model(scored).first()
-        rows.append(Row(symbol=symbol, rows=seen["n"], auc=found["auc"] if found else None, status="Success"))
+    """One distributed fit per named symbol: (symbol, rows, auc, status), ``parallelism`` fits at a time.
+
+    Rows are counted for all symbols in one pass. A symbol of one class, or whose fit fails, has status Error and does
+    not stop the others. The symbol list is a parameter.
+    """
+    train_rows = df.filter((F.col(test_col) != "test") & F.col("symbol").isin(symbols))
+    seen = {r["symbol"]: r for r in train_rows.groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct(label).alias("k")).collect()}
+
+    def run(symbol: str) -> Row:
+        rows = seen[symbol]["n"] if symbol in seen else 0
+        if not rows or seen[symbol]["k"] < 2:
+            return Row(symbol=symbol, rows=rows, auc=None, status="Error")
+        try:
+            part = df.filter(F.col("symbol") == symbol)
+            model = train_models(part.filter(F.col(test_col) != "test"), features, label, {"m": estimator_factory()})["m"]
+            scored = score(model, part.filter(F.col(test_col) == "test"), features).select(
+                F.lit("m").alias("model"), "probability", F.col(label).cast("int").alias("label")
+            )
+            found = auc_by_model(scored).first()
+            return Row(symbol=symbol, rows=rows, auc=found["auc"] if found else None, status="Success")
+        except Exception:  # noqa: BLE001  one symbol's failure is its status
+            return Row(symbol=symbol, rows=rows, auc=None, status="Error")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(run, symbols))
     return df.sparkSession.createDataFrame(rows, "symbol string, rows long, auc double, status string")
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def write_predictions(scored: DataFrame, path: str, run: str) -> None:
+    """Store predictions under the run's name; a run that is repeated replaces its own rows."""
+    (
+        scored.withColumn("run", F.lit(run)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+    )
+
+
 def sampling_benchmark(
     df: DataFrame, features: list[str], label: str, keys: list[str], strategies, sizes, estimator_factory
 ) -> DataFrame:

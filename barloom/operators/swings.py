@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import in_selection_hours
 from barloom.functions.frames import SESSION_KEYS, SessionFrames
 
 
@@ -129,11 +130,14 @@ def flag_adaptive_lows(
 
 
 def swing_candidates(bars: DataFrame, window: int = 4, max_gap_minutes: int = 40,
-                     vwap_tolerance: float | None = 5.0, keys=SESSION_KEYS) -> DataFrame:
+                     vwap_tolerance: float | None = 5.0, keys=SESSION_KEYS, market_hours: bool = False) -> DataFrame:
     """Distinct swing minutes of either method with tags such as 'adaptive+strict'.
 
-    Both methods flag rows of the same frame, so their union needs no second scan.
+    Both methods flag rows of the same frame, so their union needs no second scan. With ``market_hours`` only bars
+    from 09:30 to 15:30 of the market's clock take part, running values included.
     """
+    if market_hours:
+        bars = bars.filter(in_selection_hours("ts"))
     args = (window, max_gap_minutes, vwap_tolerance, keys)
     df = flag_adaptive_lows(flag_strict_lows(with_running_vwap(bars, keys), "close", *args), "close", *args)
     tags = F.array_compact(
