@@ -12,6 +12,7 @@ from barloom.llm.text import (
     SPACES,
     ascii_lower,
     find_spans,
+    keep_if,
     listed,
     of_kind,
     pack,
@@ -93,7 +94,7 @@ def found(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = N
     spans = base_spans(packed, "_t")
     spans = spans.withColumn("base", _merged(KINDS))
     if only_spans:
-        spans = spans.filter(F.size("base") > 0)
+        spans = keep_if(spans, F.size("base") > 0)
     kept = F.when(F.size("base") > 0, F.col("_t"))
     return written(
         spans.select(
@@ -232,5 +233,5 @@ def sanitised(docs: DataFrame, text: str = "text", rule: Disclosure = DISCLOSURE
             out.append(F.col("row")[name].alias(name))
     # texts without a span go through as they are; finding them again costs less than a copy of all texts
     plain = base_spans(pack(docs).withColumn("_t", whole(F.col("row")[text])), "_t")
-    plain = plain.filter(F.size(F.concat(*KINDS)) == 0).select("row.*")
+    plain = keep_if(plain, F.size(F.concat(*KINDS)) == 0).select("row.*")
     return spans.select(*out).unionByName(plain)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.text import SPACES, pack, small_side, whole, words, written
+from barloom.llm.text import SPACES, keep_if, pack, small_side, whole, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -124,5 +124,5 @@ def keep_documents(docs: DataFrame, text: str = "text", host: str = "source") ->
     """
     failed = failures(rule_counts(docs, text)).withColumn("host", F.col("row")[host])
     refused = host_verdicts(failed).filter("host_refused").select(F.col("host").alias("refused"))
-    kept = failed.filter(~F.col("base_failed")).select("row", "host")
+    kept = keep_if(failed, ~F.col("base_failed")).select("row", "host")
     return kept.join(small_side(refused), kept["host"].eqNullSafe(refused["refused"]), "left_anti").select("row.*")

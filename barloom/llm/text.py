@@ -71,6 +71,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def keep_if(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns as they are. Pushed below its projections, a condition would repeat their whole
+    expressions wherever it names them, inside lambdas for every element; an id on each row keeps it above."""
+    return df.withColumn("_stay", F.monotonically_increasing_id()).filter(condition & (F.col("_stay") >= 0)).drop("_stay")
+
+
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast if the (cheap to count) side has at most BROADCAST_ROWS rows; else leave the join to Spark."""
     rows = df.count() if rows is None else rows
