@@ -19,7 +19,7 @@ from barloom.sources.bars import daily_from_bars, with_day_session  # noqa: E402
 HEADLINE = [
     "minimum_slice", "feature_table", "macd", "rsi_regime", "atr_pct", "vol_percentile", "support_resistance",
     "max_drawdown_30", "impulse_vector", "r_levels", "swing_candidates", "label_own_series", "bracket_exits",
-    "clean_features", "optimize_base", "impute_median", "winsorize", "clip_3sigma", "anova_f", "balanced_sample",
+    "one_position_at_a_time", "clean_features", "optimize_base", "impute_median", "winsorize", "clip_3sigma", "anova_f", "balanced_sample",
     "stratified_split", "auc_rank", "threshold_sweep", "bars_dedupe", "run_kpis", "run_trends", "last_n_per_key",
 ]
 
@@ -40,6 +40,17 @@ def full_projection(spark, sf_dir: str) -> tuple[int, float]:
     return n, time.perf_counter() - began
 
 
+def minute_projection(spark, sf_dir: str) -> tuple[int, float]:
+    """Bars and seconds of all features over one-minute bars whose symbols grow with the table."""
+    with D.minute_bars():
+        bars = D.event_bars(spark, sf_dir)
+        daily = daily_from_bars(bars)
+        n = bars.count()
+        began = time.perf_counter()
+        timed(feature_table(bars, daily, day_sessions=True))
+    return n, time.perf_counter() - began
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -59,13 +70,21 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - began, 3)
     fine_bars, fine_seconds = full_projection(spark, sf_dir)
     seconds["feature_table_5min"] = round(fine_seconds, 3)
+    minute_bars, minute_seconds = minute_projection(spark, sf_dir)
+    seconds["feature_table_minute"] = round(minute_seconds, 3)
     total = round(sum(seconds.values()), 3)
+    rates = {Path(sf_dir).name: [minute_bars, round(minute_bars / minute_seconds, 1)]}
+    small = Path(sf_dir).parent / "sf0.01"
+    if small.is_dir() and small != Path(sf_dir):  # the same projection at another size, outside the total
+        n, took = minute_projection(spark, str(small))
+        rates[small.name] = [n, round(n / took, 1)]
     print(
         json.dumps(
             {
                 "metric": "headline queries, total wall time", "value": total, "unit": "sec", "queries": seconds,
                 "sf": Path(sf_dir).name.removeprefix("sf"), "cpus": cpus, "driver_memory": memory, "bars": bars,
                 "bars_5min": fine_bars, "full_projection_bars_per_sec": round(fine_bars / fine_seconds, 1),
+                "minute_bars_and_bars_per_sec": rates,
             }
         )
     )
