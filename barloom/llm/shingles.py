@@ -53,8 +53,8 @@ def set_id(tokens: np.ndarray) -> int:
 
 def small_batches(spark: SparkSession) -> None:
     """Whole texts can be long: few rows in an Arrow batch keep a worker's memory bounded."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 500:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 200:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
 
 
 def utf8(text: Column | str) -> Column:
