@@ -218,6 +218,17 @@ def replay_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.replay_asof(D.event_bars(spark, sf_dir), at).select("symbol", F.unix_seconds("ts").alias("ts_s"))
 
 
+@register(
+    "replay_offset",
+    f"""WITH {BARS} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s FROM bars
+WHERE trade_date = DATE '2024-01-09' AND ts <= TIMESTAMP '2024-01-09 12:30:00' - INTERVAL 1 MINUTE""",
+)
+def replay_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay three quarters of an hour behind a clock that stands at 13:15."""
+    now = F.lit("2024-01-09 13:15:00").cast("timestamp")
+    return L.replay_offset(D.event_bars(spark, sf_dir), 45, now).select("symbol", F.unix_seconds("ts").alias("ts_s"))
+
+
 @register(
     "entry_signals",
     f"""WITH {_GATE}, p AS (SELECT *, min(low) OVER hist AS lo, max(high) OVER hist AS hi FROM {_LAST_LEVEL} WINDOW {WINDOWS}),

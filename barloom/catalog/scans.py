@@ -56,6 +56,18 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("symbol", F.col("date").cast("string").alias("day"), *[to6(c).alias(c) for c in OHLCV])
 
 
+@register(
+    "read_daily_csv",
+    f"WITH {BARS}, {DAILY} SELECT symbol, CAST(date AS VARCHAR) AS day, {_OHLCV_SQL} FROM daily",
+)
+def read_daily_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars written as CSV and read back under the daily schema."""
+    path = scratch_path(spark, "daily") + ".csv"
+    D.event_daily(spark, sf_dir).select(*[f.name for f in B.DAILY_SCHEMA.fields]).write.option("header", True).csv(path)
+    d = B.read_daily(spark, path)
+    return d.select("symbol", F.col("date").cast("string").alias("day"), *[to6(c).alias(c) for c in OHLCV])
+
+
 @register("read_bars_csv", _BARS_OUT)
 def read_bars_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as CSV under vendor names, read back and normalised from text."""

@@ -205,6 +205,21 @@ def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(labels.screen(level_rows(spark, sf_dir)), "screen_pass", "screen_reason")
 
 
+@register(
+    "default_targets",
+    over_series(
+        [*R_LEVELS, LEVELS_SQL],
+        {"target_3r": r6("r2 + (r2 - r1)"), "target_4r": r6("CASE WHEN n % 2 = 0 THEN r4 ELSE r2 + 2 * (r2 - r1) END")},
+        where="atr_pct > 0",
+    ),
+)
+def default_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Third targets are missing everywhere and fourth targets on every other bar; both continue the step before."""
+    rows = features(spark, sf_dir, [*LEVEL_COLUMNS, "n_hist"]).filter(F.col("2R_Target").isNotNull()).drop("3R_Target")
+    rows = labels.with_default_targets(rows.withColumn("4R_Target", F.when(F.col("n_hist") % 2 == 0, F.col("4R_Target"))))
+    return _keys(rows, to6("3R_Target").alias("target_3r"), to6("4R_Target").alias("target_4r"))
+
+
 def _label_sql() -> str:
     ctes = [BARS, SERIES]
     source = "s"
