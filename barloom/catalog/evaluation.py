@@ -219,14 +219,23 @@ def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "readiness",
-    f"""WITH {_SWEEP} SELECT * FROM (VALUES ('model_performance', TRUE), ('generalization', FALSE), ('training_size', TRUE),
-  ('feature_count', TRUE)) v("check", passed)
+    f"""WITH {_SWEEP}, h AS (SELECT CAST(o_orderkey % 2 AS VARCHAR) AS half, {_B} AS p, o_orderstatus = 'F' AS y FROM orders),
+k AS (SELECT *, rank() OVER (PARTITION BY half ORDER BY p) + (count(*) OVER (PARTITION BY half, p) - 1) / 2.0 AS r FROM h),
+a AS (SELECT half, (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auc FROM k GROUP BY 1)
+SELECT 'model_performance' AS "check", max(auc) FILTER (half = '0') >= 0.75 AS passed FROM a
+UNION ALL SELECT 'generalization', abs(max(auc) FILTER (half = '0') - max(auc) FILTER (half = '1')) <= 0.05 FROM a
+UNION ALL SELECT 'training_size', count(*) >= 1000 FROM orders
+UNION ALL SELECT 'feature_count', count(DISTINCT l_linenumber) >= 10 FROM lineitem
 UNION ALL SELECT 'profitable_threshold', coalesce(bool_or(expected_value > 0), FALSE) FROM sweep""",
 )
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sweep = E.threshold_sweep(scored(spark, sf_dir))
-    n = D.table(spark, sf_dir, "orders").count()
-    return E.readiness(0.8, 0.06, n, 20, sweep)
+    """Even orders stand for the training half, odd ones for the test; line numbers for features."""
+    half = (F.col("o_orderkey") % 2).cast("string").alias("model")
+    label = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label")
+    orders = D.table(spark, sf_dir, "orders")
+    auc = {r["model"]: r["auc"] for r in E.auc_by_model(orders.select(half, F.expr(_B).alias("probability"), label)).collect()}
+    features = D.table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().count()
+    return E.readiness(auc["0"], abs(auc["0"] - auc["1"]), orders.count(), features, E.threshold_sweep(scored(spark, sf_dir)))
 
 
 # --- training -----------------------------------------------------------------------------------
