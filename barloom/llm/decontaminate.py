@@ -23,11 +23,9 @@ RANK, OVERSAMPLE = 256, 32
 WINDOW, STRIDE = 48, 24
 #: A term in more than this share of the items (and in more than three) says nothing about one of them.
 COMMON_SHARE, COMMON_ITEMS = 0.05, 3
-#: Of an item's terms, those in at most this share of the documents are searched for, and in any case those in at most
-#: twice as many documents as its rarest dozen: a passage copied into a third of all documents has no rare words.
-FREQUENT_SHARE, RAREST = 0.01, 12
 #: Terms that a passage must hold to be looked at; the cosine from which it is a candidate for an item, if it also covers
-#: so much of the item's length along its direction.
+#: so much of the item's length along its direction. It is one at any cosine if it holds as many of the item's terms as
+#: a copy or a paraphrase must (``least_shared``).
 LEAST_TERMS, COSINE, COVER = 3, 0.4, 0.2
 #: Share of an item's words found in order: a leak, or with the item's answer in place a paraphrase.
 COPY, PARAPHRASE, ANSWER = 0.5, 0.35, 0.8
@@ -64,13 +62,15 @@ class Item:
             self.masks[w] = self.masks.get(w, 0) | 1 << i
         self.sentences = [tokens(s) for s in re.split(rb"(?<=[.!?])\s+", text)]
         self.answer: set[bytes] = set()
+        self.answer_span = 0
 
     def know(self, telling) -> None:
-        """Take the answer from the words that tell items apart."""
+        """Take the answer from the words that tell items apart, and note over how many words it stands."""
         for sentence in reversed(self.sentences):
             if len(self.answer) >= LEAST_TERMS:
                 break
             self.answer.update(w for w in sentence if w in telling)
+            self.answer_span += len(sentence)
 
     def found(self, words: list[bytes]) -> tuple[int, str | None]:
         """Words in order, and what that makes of the passage."""
@@ -94,6 +94,25 @@ def vocabulary(items: list[Item]) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(sorted(keep))}
 
 
+def least_shared(item: Item, telling) -> tuple[int, int]:
+    """Distinct terms, and distinct answer words, of which some passage of a copy (or of a paraphrase) holds one or the
+    other number, whatever words were replaced: those words in order that cannot all be common ones.
+
+    A stretch of STRIDE words lies in one passage. A longer copy stands in two that overlap by STRIDE words: the better
+    one holds half of its terms, and lacks at most half of what exceeds STRIDE.
+    """
+    n = len(item.words)
+    lacking = max(math.ceil(COPY * n), min(n, SHORT)) - sum(w not in telling for w in item.words)
+    copy = 0
+    for times in sorted((m.bit_count() for w, m in item.masks.items() if w in telling), reverse=True):
+        if lacking <= 0:
+            break
+        lacking, copy = lacking - times, copy + 1
+    copy = max(math.ceil(copy / 2), copy - max(0, n - STRIDE) // 2)
+    answer = math.ceil(math.ceil(ANSWER * len(item.answer)) / max(1, math.ceil(item.answer_span / STRIDE)))
+    return max(LEAST_TERMS, copy), answer
+
+
 def _hits(terms):
     """doc_id, positions, terms: where a document holds terms, if one passage may hold enough of them; and with a null
     doc_id the number of documents of each term that this task saw."""
@@ -226,15 +245,19 @@ def latent_space(hits: DataFrame, of_block: np.ndarray, weights: np.ndarray, ite
     return left[:, : min(RANK, int((size > 0).sum()))]
 
 
-def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items: np.ndarray) -> DataFrame:
-    """doc_id, item (place in the block), start, cosine of passages near an item in the latent space."""
+def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items: np.ndarray, holds: np.ndarray, least: np.ndarray) -> DataFrame:
+    """doc_id, item (place in the block), start, cosine of passages near an item in the latent space, or with its terms.
+
+    ``holds`` (terms by items) has 1 for an item's term and 256 more for a word of its answer, ``least`` what is asked
+    of both: a passage has WINDOW terms at most, so that one sum of 16 bits counts them.
+    """
     z = items @ space[0]
     size = np.maximum(np.linalg.norm(z, axis=1), 1e-12)
     z = z / size[:, None]
-    shared = hits.sparkSession.sparkContext.broadcast((of_block, (space[0] * space[1][:, None]).astype(np.float32), z.astype(np.float32), size.astype(np.float32)))
+    shared = hits.sparkSession.sparkContext.broadcast((of_block, (space[0] * space[1][:, None]).astype(np.float32), z.astype(np.float32), size.astype(np.float32), holds, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, vectors, near, lengths = shared.value
+        block, vectors, near, lengths, held, (copy, answer) = shared.value
         for whole in batches:
             for i in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(i, AT_ONCE)
@@ -244,7 +267,9 @@ def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items:
                 x = _summed(vectors[term], bounds)
                 along = x @ near.T
                 cosine = along / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                p, item = np.nonzero((cosine >= COSINE) & (along >= COVER * lengths))
+                same = _summed(held[term], bounds)
+                told = ((same & 255) >= LEAST_TERMS) & (same >> 8 >= answer)
+                p, item = np.nonzero((cosine >= COSINE) & (along >= COVER * lengths) | ((same & 255) >= copy) | told)
                 ids = batch.column(0).to_numpy()
                 yield long_batch(["doc_id", "item", "start", "cosine"], ids[doc[p]], item.astype(np.int64), start[p], cosine[p, item].astype(np.float64))
 
@@ -291,14 +316,10 @@ def _one_pass(docs: DataFrame, found: list[tuple[int, bytes]], n_docs: int) -> D
         df[term] = n
     idf = np.log((n_docs + 1) / (df + 0.5)).clip(0.1)
     hits = hits.filter("doc_id is not null")
-    sought = set()
-    for item in items:
-        own = {t: df[t] for t in (terms[w] for w in item.masks if w in terms) if df[t]}
-        rare = 2 * sorted(own.values())[min(RAREST, len(own)) - 1] if own else 0
-        sought.update(t for t, n in own.items() if n <= max(rare, FREQUENT_SHARE * n_docs))
-    terms = {w: t for w, t in terms.items() if t in sought}
+    known = terms
     for item in items:
-        item.know(terms)
+        item.know(known)
+    terms = {w: t for w, t in known.items() if df[t]}
     near = None
     for at in range(0, len(items), SPACE_ITEMS):
         block = items[at : at + SPACE_ITEMS]
@@ -306,12 +327,15 @@ def _one_pass(docs: DataFrame, found: list[tuple[int, bytes]], n_docs: int) -> D
         of_block = np.full(len(df), -1, np.int32)
         of_block[mine] = np.arange(len(mine), dtype=np.int32)
         weights = idf[mine].astype(np.float32)
-        matrix = np.zeros((len(block), len(mine)))
+        matrix, holds = np.zeros((len(block), len(mine))), np.zeros((len(mine), len(block)), np.uint16)
         for i, item in enumerate(block):
             own = [of_block[terms[w]] for w in item.masks if w in terms]
             matrix[i, own] = weights[own]
+            holds[own, i] = 1
+            holds[[of_block[terms[w]] for w in item.answer if w in terms], i] += 256
+        least = np.array([least_shared(item, known) for item in block], np.uint16).T
         space = latent_space(hits, of_block, weights, matrix)
-        part = _candidates(hits, of_block, (space, weights), matrix).withColumn("item", F.col("item") + at)
+        part = _candidates(hits, of_block, (space, weights), matrix, holds, least).withColumn("item", F.col("item") + at)
         near = part if near is None else near.unionByName(part)
     near = written(near, "near-passages")
     spots = near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "start")).alias("spots"))

@@ -420,6 +420,25 @@ def test_blocks_of_items_give_the_same(spark, leaky, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in out.collect()} == {(i, x) for i in few for x in truth[i]}
 
 
+def test_altered_item_in_a_third_of_all_documents(spark):
+    """Its replaced words are rare, and those that the hot copies hold are frequent."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    items = {i: [word() for _ in range(50)] for i in range(30)}
+    altered = items[0][:]
+    for at in rng.sample(range(50), 12):
+        altered[at] = word()
+    docs = {i: [word() for _ in range(rng.randint(60, 300))] for i in range(300)}
+    for i in range(100):
+        at = rng.randrange(len(docs[i]))
+        docs[i][at:at] = altered
+    for i in range(100, 103):  # a few whole copies make the replaced words known
+        docs[i][9:9] = items[0]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(d, b).collect()} == {(i, 0, "copy") for i in range(103)}
+
+
 def test_latent_space_is_the_leading_one(spark):
     """On a small matrix the randomised space spans what the exact decomposition gives."""
     rng = np.random.default_rng(2)
