@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +16,17 @@ from pyspark.sql import functions as F
 from barloom.llm.shingles import long_batch, rows, small_batches, with_ids
 from barloom.llm.text import scratch, small_side, written
 
-#: Items of one pass over the texts, and of one latent space. Larger benchmarks are done in such blocks.
+#: Items of one pass over the texts, and their parts of one latent space. Larger benchmarks are done in such blocks.
 PASS_ITEMS, SPACE_ITEMS = 4096, 256
 #: Dimensions of a latent space, and random directions drawn beyond them.
 RANK, OVERSAMPLE = 256, 32
-#: Words of a passage and between the beginnings of two.
+#: Words of a passage and between the beginnings of two. Items of more words are searched for in parts.
 WINDOW, STRIDE = 48, 24
 #: A term in more than this share of the items (and in more than three) says nothing about one of them.
 COMMON_SHARE, COMMON_ITEMS = 0.05, 3
-#: Terms that a passage must hold to be looked at; the cosine from which it is a candidate for an item, if it also covers
-#: so much of the item's length along its direction. It is one at any cosine if it holds as many of the item's terms as
-#: a copy or a paraphrase must (``least_shared``).
+#: Terms that a passage must hold to be looked at; the cosine from which it is a candidate for a part of an item, if it
+#: also covers so much of the part's length along its direction. It is one at any cosine if it holds as many of the
+#: part's terms as a copy or a paraphrase must (``least_shared``).
 LEAST_TERMS, COSINE, COVER = 3, 0.4, 0.2
 #: Share of an item's words found in order: a leak, or with the item's answer in place a paraphrase.
 COPY, PARAPHRASE, ANSWER = 0.5, 0.35, 0.8
@@ -94,17 +95,24 @@ def vocabulary(items: list[Item]) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(sorted(keep))}
 
 
-def least_shared(item: Item, telling) -> tuple[int, int]:
-    """Distinct terms, and distinct answer words, of which some passage of a copy (or of a paraphrase) holds one or the
-    other number, whatever words were replaced: those words in order that cannot all be common ones.
+def parts(item: Item) -> list[list[bytes]]:
+    """The item's words in even parts of at most WINDOW words: one of them is copied in the share that the item is."""
+    n = len(item.words)
+    k = math.ceil(n / WINDOW)
+    return [item.words[n * i // k : n * (i + 1) // k] for i in range(k)]
+
+
+def least_shared(item: Item, part: list[bytes], telling) -> tuple[int, int]:
+    """Distinct terms of a part, and distinct answer words, of which some passage of a copy (or of a paraphrase) holds
+    one or the other number, whatever words were replaced: those words in order that cannot all be common ones.
 
     A stretch of STRIDE words lies in one passage. A longer copy stands in two that overlap by STRIDE words: the better
     one holds half of its terms, and lacks at most half of what exceeds STRIDE.
     """
-    n = len(item.words)
-    lacking = max(math.ceil(COPY * n), min(n, SHORT)) - sum(w not in telling for w in item.words)
+    n = len(part)
+    lacking = max(math.ceil(COPY * n), min(len(item.words), SHORT)) - sum(w not in telling for w in part)
     copy = 0
-    for times in sorted((m.bit_count() for w, m in item.masks.items() if w in telling), reverse=True):
+    for times in sorted(Counter(w for w in part if w in telling).values(), reverse=True):
         if lacking <= 0:
             break
         lacking, copy = lacking - times, copy + 1
@@ -245,19 +253,20 @@ def latent_space(hits: DataFrame, of_block: np.ndarray, weights: np.ndarray, ite
     return left[:, : min(RANK, int((size > 0).sum()))]
 
 
-def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items: np.ndarray, holds: np.ndarray, least: np.ndarray) -> DataFrame:
-    """doc_id, item (place in the block), start, cosine of passages near an item in the latent space, or with its terms.
+def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items: np.ndarray, holds: np.ndarray, least: np.ndarray, of_item: np.ndarray) -> DataFrame:
+    """doc_id, item, start, cosine of passages near a part of an item in the latent space, or with its terms.
 
-    ``holds`` (terms by items) has 1 for an item's term and 256 more for a word of its answer, ``least`` what is asked
-    of both: a passage has WINDOW terms at most, so that one sum of 16 bits counts them.
+    ``items`` has a row per part, ``of_item`` the item of each. ``holds`` (terms by parts) has 1 for a part's term and
+    256 more for a word of the answer, ``least`` what is asked of both: a passage has WINDOW terms at most, so that one
+    sum of 16 bits counts them.
     """
     z = items @ space[0]
     size = np.maximum(np.linalg.norm(z, axis=1), 1e-12)
     z = z / size[:, None]
-    shared = hits.sparkSession.sparkContext.broadcast((of_block, (space[0] * space[1][:, None]).astype(np.float32), z.astype(np.float32), size.astype(np.float32), holds, least))
+    shared = hits.sparkSession.sparkContext.broadcast((of_block, (space[0] * space[1][:, None]).astype(np.float32), z.astype(np.float32), size.astype(np.float32), holds, least, of_item))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, vectors, near, lengths, held, (copy, answer) = shared.value
+        block, vectors, near, lengths, held, (copy, answer), whose = shared.value
         for whole in batches:
             for i in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(i, AT_ONCE)
@@ -269,13 +278,28 @@ def _candidates(hits: DataFrame, of_block: np.ndarray, space: np.ndarray, items:
                 cosine = along / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 same = _summed(held[term], bounds)
                 told = ((same & 255) >= LEAST_TERMS) & (same >> 8 >= answer)
-                p, item = np.nonzero((cosine >= COSINE) & (along >= COVER * lengths) | ((same & 255) >= copy) | told)
+                p, part = np.nonzero((cosine >= COSINE) & (along >= COVER * lengths) | ((same & 255) >= copy) | told)
                 ids = batch.column(0).to_numpy()
-                yield long_batch(["doc_id", "item", "start", "cosine"], ids[doc[p]], item.astype(np.int64), start[p], cosine[p, item].astype(np.float64))
+                yield long_batch(["doc_id", "item", "start", "cosine"], ids[doc[p]], whose[part], start[p], cosine[p, part].astype(np.float64))
 
     return hits.mapInArrow(run, "doc_id long, item long, start long, cosine double")
 
 
+def _places(spots: list[dict], items: list[Item]) -> Iterator[tuple[int, int, int]]:
+    """item, first and last start of its candidates within a quarter of its length, which are looked at together: the
+    many passages of a long copy, not those of an item of up to four strides."""
+    at = None
+    for i, start in sorted({(spot["item"], spot["start"]) for spot in spots}):
+        if at and at[0] == i and start - at[1] < len(items[i].words) // 4:
+            at = i, at[1], start
+            continue
+        if at:
+            yield at
+        at = i, start, start
+    if at:
+        yield at
+
+
 def _checked(items: list[Item]):
     """doc_id, item, words_in_order, kind for candidates that the word order (and the answer) confirms."""
 
@@ -284,12 +308,11 @@ def _checked(items: list[Item]):
             out = []
             for doc_id, text, spots in rows([batch]):
                 words, best = tokens(text), {}
-                for spot in spots:
-                    item, start = items[spot["item"]], spot["start"]
-                    reach = len(item.words)
-                    both, kind = item.found(words[max(0, start - reach) : start + WINDOW + reach])
-                    if kind and both > best.get(spot["item"], (0,))[0]:
-                        best[spot["item"]] = both, kind
+                for i, first, last in _places(spots, items):
+                    item, reach = items[i], len(items[i].words)
+                    both, kind = item.found(words[max(0, first - reach) : last + WINDOW + reach])
+                    if kind and both > best.get(i, (0,))[0]:
+                        best[i] = both, kind
                 out += [(doc_id, i, both, kind) for i, (both, kind) in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc_id", "item", "words_in_order", "kind"])
@@ -321,21 +344,25 @@ def _one_pass(docs: DataFrame, found: list[tuple[int, bytes]], n_docs: int) -> D
         item.know(known)
     terms = {w: t for w, t in known.items() if df[t]}
     near = None
-    for at in range(0, len(items), SPACE_ITEMS):
-        block = items[at : at + SPACE_ITEMS]
-        mine = sorted({terms[w] for item in block for w in item.masks if w in terms})
+    pieces = [(i, part, k == 1) for i, item in enumerate(items) for k, part in zip(range(len(parts(item)), 0, -1), parts(item))]
+    for at in range(0, len(pieces), SPACE_ITEMS):
+        block = pieces[at : at + SPACE_ITEMS]
+        asked = [{terms[w] for w in items[i].answer if last and w in terms} for i, _, last in block]
+        own = [sorted({terms[w] for w in part if w in terms}) for _, part, _ in block]
+        mine = sorted(set().union(*own, *asked))
         of_block = np.full(len(df), -1, np.int32)
         of_block[mine] = np.arange(len(mine), dtype=np.int32)
         weights = idf[mine].astype(np.float32)
         matrix, holds = np.zeros((len(block), len(mine))), np.zeros((len(mine), len(block)), np.uint16)
-        for i, item in enumerate(block):
-            own = [of_block[terms[w]] for w in item.masks if w in terms]
-            matrix[i, own] = weights[own]
-            holds[own, i] = 1
-            holds[[of_block[terms[w]] for w in item.answer if w in terms], i] += 256
-        least = np.array([least_shared(item, known) for item in block], np.uint16).T
+        for k in range(len(block)):
+            matrix[k, of_block[own[k]]] = weights[of_block[own[k]]]
+            holds[of_block[own[k]], k] = 1
+            # the answer is looked for with the last part; its words before that count for both
+            holds[of_block[list(asked[k])], k] = 257
+        least = np.array([least_shared(items[i], part, known) for i, part, _ in block], np.uint16).T
+        least[1][[not last for *_, last in block]] = WINDOW + 1
         space = latent_space(hits, of_block, weights, matrix)
-        part = _candidates(hits, of_block, (space, weights), matrix, holds, least).withColumn("item", F.col("item") + at)
+        part = _candidates(hits, of_block, (space, weights), matrix, holds, least, np.array([i for i, *_ in block]))
         near = part if near is None else near.unionByName(part)
     near = written(near, "near-passages")
     spots = near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "start")).alias("spots"))

@@ -439,6 +439,25 @@ def test_altered_item_in_a_third_of_all_documents(spark):
     assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(d, b).collect()} == {(i, 0, "copy") for i in range(103)}
 
 
+def test_long_items_are_found(spark):
+    """Verbatim, with a third of the words replaced, and without the last third; a quarter of an item is no copy."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    word = lambda: rng.choice(vocabulary[:20] if rng.random() < 0.3 else vocabulary)
+    items = {n: [word() + "." * (k % 12 == 11) for k in range(n)] for n in (40, 60, 100, 200, 300, 400, 600, 1000, 2000)}
+    docs, truth = {i: [word() for _ in range(rng.randint(20, 400))] for i in range(100)}, set()
+    for i, n in enumerate(items):
+        docs[i][7:7] = items[n]
+        docs[20 + i][11:11] = [w if rng.random() > 0.33 else word() for w in items[n]]
+        docs[40 + i][13:13] = items[n][: n // 4]
+        docs[60 + i][15:15] = items[n][: n * 2 // 3]
+        truth |= {(i, n), (20 + i, n), (60 + i, n)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).filter("kind = 'copy'").collect()}
+    assert found == truth
+
+
 def test_latent_space_is_the_leading_one(spark):
     """On a small matrix the randomised space spans what the exact decomposition gives."""
     rng = np.random.default_rng(2)
