@@ -162,6 +162,34 @@ def test_rules_take_their_sentences_in_order(spark):
     assert dict(rows_of(licenses.find_licenses(df).select("row.doc_id", "licenses"))) == {1: "BSD-2-Clause", 2: ""}
 
 
+FREE = "{0} is free software{1} you can redistribute it and/or modify\n * it under the terms of the GNU {2}General Public License as published by\n * the Free Software Foundation{3} either version {4} of the License, or\n * (at your option) any later version.\n *\n * {0} is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:{0}Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.\n{1}Redistributions in binary form must reproduce the above\ncopyright notice, this list of conditions and the following disclaimer\nin the documentation and/or other materials provided with the\ndistribution.\n{2}Neither the name of {3} nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission."
+STANDARD = [
+    (FREE.format("This program", ":", "", ",", 3), "GPL-3.0-or-later"),
+    (FREE.format("Some.Tool v2", ":", "", ",", 3), "GPL-3.0-or-later"),
+    (FREE.format("This program", ";", "", ";", 2), "GPL-2.0-or-later"),
+    (FREE.format("This library", ";", "Lesser ", ";", 2.1), "LGPL-2.1-or-later"),
+    (FREE.format("This program", ":", "Lesser ", ",", 3), "LGPL-3.0-or-later"),
+    (FREE.format("This program", ":", "Affero ", ",", 3), "AGPL-3.0-or-later"),
+    (BSD.format("\n\n   * ", "   * ", "   * ", "Google Inc."), "BSD-3-Clause"),
+    (BSD.format("\n1. ", "2. ", "3. ", "the University of California, Berkeley"), "BSD-3-Clause"),
+    (BSD.format("\n\n1. ", "2. ", "3. ", "the copyright holder"), "BSD-3-Clause"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.", "0BSD"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "Unlicense"),
+    ("CC0 1.0 Universal", "CC0-1.0"),
+    ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright", "AGPL-3.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS", "Apache-2.0"),
+]
+
+
+def test_standard_notices(spark):
+    df = spark.createDataFrame([(i, f"Some prose.\n\n{t}\n\nMore prose.") for i, (t, _) in enumerate(STANDARD)], "doc_id long, text string")
+    assert dict(rows_of(licenses.find_licenses(df).select("row.doc_id", "licenses"))) == {i: name for i, (_, name) in enumerate(STANDARD)}
+
+
 def test_hidden_names_do_not_clash(spark):
     df = spark.createDataFrame([(1, "x a@b.co", "keep", "s")], "doc_id long, text string, _t string, source string").withColumn("rid", F.lit(1))
     assert pii.sanitised(df).first()["_t"] == "keep" and quality_rules.judged(df).first().row["_t"] == "keep"
