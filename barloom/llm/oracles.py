@@ -148,6 +148,44 @@ SELECT doc_id, CASE WHEN a = '' AND b = '' THEN '' ELSE a || '/' || b END AS sen
   coalesce(array_to_string(list_sort(list_distinct(list_concat({names('a')}, {names('b')}))), ','), '') AS licenses FROM i"""
 
 
+def _op11() -> str:
+    """Ten rounds written out: nearest centroid of each vector, then floors of the means."""
+    squares = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT)"
+    nearest = f"SELECT vec_id, any_value(v) AS v, min({{'d': {squares}, 'cluster': cluster}}) AS m FROM kept, k{{r}} GROUP BY vec_id"
+    rounds = []
+    for r in range(10):
+        rounds.append(f"""a{r} AS MATERIALIZED ({nearest.replace('{r}', str(r))}),
+s{r} AS (SELECT m.cluster AS cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, 65) AS x(i) GROUP BY 1, 2),
+m{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY cluster),
+k{r + 1} AS MATERIALIZED (SELECT k.cluster, coalesce(m.c, k.c) AS c FROM k{r} k LEFT JOIN m{r} m USING (cluster))""")
+    return f"""WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+k0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS cluster, v AS c FROM (SELECT v, sha256('3:' || vec_id) AS h FROM kept ORDER BY h LIMIT 8)),
+{','.join(rounds)},
+a AS ({nearest.replace('{r}', '10')})
+SELECT vec_id, m.cluster AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(k10.c, ',')) AS centroid_sha256 FROM a JOIN k10 ON k10.cluster = a.m.cluster"""
+
+
+# crc32 of the decimal digits, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, x: list_reduce(range(8), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), y >> 1) ELSE y >> 1 END, xor(c, x)), CAST(4294967295 AS BIGINT)))"""
+
+_OP12 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS lender, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.lender AND i <= h UNION ALL SELECT c.conv_id, i + 1000000, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, md5(length(role) || ':' || role || text) AS turn,
+  len(list_filter(string_split_regex(text, '[{_WS}]+'), lambda x: x <> '')) AS w FROM r),
+p AS (SELECT conv_id, d, w, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM o UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w FROM p GROUP BY path, d),
+k AS (SELECT left(path, 32 * (d - 1)) AS path, count(*) AS children FROM n WHERE d > 0 GROUP BY 1),
+e AS (SELECT p.path, string_agg(conv_id, ',' ORDER BY conv_id) AS ends FROM p JOIN (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id) USING (conv_id, d) GROUP BY p.path),
+x AS (SELECT n.path, n.d, n.conv_id, n.n, n.w, coalesce(k.children, 0) AS children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT left(path, 32 * a) AS path, sum((n - 1) * w) AS saved, count(*) FILTER (children = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM x) GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, m.conv_id AS parent_conv_id, x.n AS n_convs, x.children AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM x JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN n m ON x.d > 0 AND m.path = left(x.path, 32 * (x.d - 1))"""
+
+
 SQL: dict[str, str] = {
     "op1_pii": _OP1,
     "op2_warc": _OP2,
@@ -155,4 +193,6 @@ SQL: dict[str, str] = {
     "op5_ngram_join": _OP5,
     "op6_quality_rules": _OP6,
     "op8_license_scans": _op8(),
+    "op11_centroids": _op11(),
+    "op12_prefix_trie": _OP12,
 }

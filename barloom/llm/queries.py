@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, lattice, licenses, ngram_join, pieces, pii, quality_pu, quality_rules, secret_scan, warc
+from barloom.llm import (
+    centroids, decontaminate, lattice, licenses, mixing, ngram_join, pieces, pii, prefix_trie, quality_pu, quality_rules, secret_scan, warc,
+)
 from barloom.llm.text import listed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +98,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every vector after ten rounds."""
+    return centroids.clustered(_read(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mixed(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
@@ -107,4 +124,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scans": op8_license_scans,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
+    "op11_centroids": op11_centroids,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_mixing": op13_mixing,
 }
