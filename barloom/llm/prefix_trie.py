@@ -1,27 +1,34 @@
 """Prefix trie of conversations by truncation peeling, deepest level first.
 
-A conversation is its path: a hash pair and a word count for each turn. At every depth the paths that end there meet the
-surviving nodes of the level below, which have lost their last turn; grouping equal paths gives the nodes of the depth,
-with all that their subtrees add up to, and each node goes on to the next level as its own path without the last turn.
-Every level is one grouping with sums that are formed before the shuffle, so a node that most conversations share
-costs a row per task.
+A conversation is its path: a hash pair and a word count for each turn. Equal paths become one row; the rows, dealt in
+ranges of the paths' order, are peeled in tasks. From the deepest level up, paths that end at a level meet the nodes that
+have survived from the level below; equal ones are one node, which is settled with all that its subtree adds up to, loses
+its last turn and goes on as a part of its parent. Only prefixes of a range's first and last path can have members in
+another range, so these are left open: each task hands them on as two chains, which are peeled in the next round together
+with those of the neighbouring ranges, until one round settles all. The number of rounds grows with the logarithm of the
+table and not with the turns of a conversation, and a node that very many conversations share is open in many tasks, each of
+which adds up its own part.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.text import whole, words, written
-from barloom.session import scratch_path
 
 GROUP = 20
 MOST_SHARED = 4
+#: Turns of different paths that one task peels, and chains that it takes of others in a later round.
+TURNS_A_TASK = 20_000
+CHAINS_A_TASK = 128
+#: Bytes of open nodes' names that may be broadcast to name their children's parents.
+BROADCAST_BYTES = 64 << 20
 #: Characters of joined ids in one row, where the ids of a node go through several tasks.
 PIECE = 1 << 13
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -139,13 +146,123 @@ def _ends(paths: DataFrame) -> DataFrame:
     return done.select("a", "b", F.col("digest").alias("ends_sha256"))
 
 
-def _by_depth(paths: DataFrame) -> DataFrame:
-    """The paths in a folder for each depth, so that a level reads the conversations that end there and no others."""
-    spark = paths.sparkSession
-    place = scratch_path(spark, "paths")
-    deep = paths.withColumn("depth", F.size("path")).hint("rebalance", "depth")
-    deep.write.option("compression", "zstd").partitionBy("depth").parquet(place)
-    return spark.read.schema(deep.schema).parquet(place)
+_STATS = "array<struct<depth:int,n:bigint,conv:bigint,children:bigint,leaves:bigint,saved:bigint,ends:string>>"
+_VALUES = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+_PEELED = (
+    "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, "
+    f"node binary, parent binary, path array<struct<a:bigint,b:bigint,w:bigint>>, stats {_STATS}"
+)
+
+
+class _Node:
+    """What is known of a node: members and what its settled children add up to. ``via`` is a path that passes it."""
+
+    __slots__ = ("n", "conv", "children", "leaves", "saved", "ends", "via")
+
+    def __init__(self, via: int):
+        self.n = self.children = self.leaves = self.saved = 0
+        self.conv, self.ends, self.via = None, None, via
+
+    def add(self, n: int, conv: int, children: int, leaves: int, saved: int) -> None:
+        self.n += n
+        self.conv = conv if self.conv is None else min(conv, self.conv)
+        self.children += children
+        self.leaves += leaves
+        self.saved += saved
+
+
+def _keys(path: list[tuple]) -> list[bytes]:
+    """128 bits for every prefix of a path, from the root on."""
+    state = hashlib.blake2b(digest_size=16)
+    out = [state.digest()]
+    for a, b, _ in path:
+        state.update(a.to_bytes(8, "big", signed=True) + b.to_bytes(8, "big", signed=True))
+        out.append(state.copy().digest())
+    return out
+
+
+def _peel(last_round: bool):
+    """Peel the paths of a task; all but the last round leave the prefixes of the first and the last path open."""
+
+    def peeled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: list[list[tuple]] = []
+        keys: list[list[bytes]] = []
+        levels: list[dict[bytes, _Node]] = []
+        for batch in batches:
+            turns = batch.column("path")
+            flat = turns.flatten()
+            every = list(zip(*(flat.field(i).to_pylist() for i in range(3))))
+            offsets = turns.offsets.to_numpy()
+            for row, stats in enumerate(batch.column("stats").to_pylist()):
+                path = every[offsets[row] - offsets[0] : offsets[row + 1] - offsets[0]]
+                via = len(paths)
+                paths.append(path)
+                keys.append(_keys(path))
+                levels += [{} for _ in range(len(path) + 1 - len(levels))]
+                for s in stats:
+                    level, key = levels[s["depth"]], keys[via][s["depth"]]
+                    node = level.get(key) or level.setdefault(key, _Node(via))
+                    node.add(s["n"], s["conv"], s["children"], s["leaves"], s["saved"])
+                    node.ends = node.ends or s["ends"]
+        if not paths:
+            return
+        order = range(len(paths))
+        ends = [] if last_round else [min(order, key=paths.__getitem__), max(order, key=paths.__getitem__)]
+        open_ = {k for e in ends for k in keys[e]}
+        for depth in range(len(levels) - 1, -1, -1):
+            for key, node in levels[depth].items():
+                if key in open_:
+                    continue
+                node.leaves = node.leaves if node.children else 1
+                if depth:
+                    node.saved += (node.n - 1) * paths[node.via][depth - 1][2]
+                    above = keys[node.via][depth - 1]
+                    parent = levels[depth - 1].get(above) or levels[depth - 1].setdefault(above, _Node(node.via))
+                    parent.add(node.n, node.conv, 1, node.leaves, node.saved)
+        yield from _peeled_batches(_settled(levels, keys, open_))
+        yield from _peeled_batches(_chains(paths, keys, levels, ends))
+
+    return peeled
+
+
+def _settled(levels: list[dict], keys: list, open_: set) -> Iterator[tuple]:
+    for depth, level in enumerate(levels):
+        for key, x in level.items():
+            if key not in open_:
+                above = keys[x.via][depth - 1] if depth else None
+                known = levels[depth - 1][above].conv if depth and above not in open_ else None
+                yield (
+                    x.conv, depth, known, x.n, x.children, x.leaves, x.saved, x.ends or _NOTHING, key,
+                    above if above in open_ else None, None, None,
+                )
+
+
+def _chains(paths: list, keys: list, levels: list[dict], ends: list[int]) -> Iterator[tuple]:
+    """The open nodes as chains along the first and the last path, each node once."""
+    seen: set[bytes] = set()
+    for e in ends:
+        stats = []
+        for depth, key in enumerate(keys[e]):
+            if key not in seen and key in levels[depth]:
+                x = levels[depth][key]
+                stats.append({"depth": depth, "n": x.n, "conv": x.conv, "children": x.children, "leaves": x.leaves, "saved": x.saved, "ends": x.ends})
+            seen.add(key)
+        if stats:
+            path = [{"a": a, "b": b, "w": w} for a, b, w in paths[e]]
+            yield (*[None] * 10, path, stats)
+
+
+_TURN = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("w", pa.int64())])
+_STAT = pa.struct([("depth", pa.int32()), *[(c, pa.int64()) for c in ("n", "conv", "children", "leaves", "saved")], ("ends", pa.string())])
+_PEELED_ARROW = pa.schema([
+    *[(c, pa.int64()) for c in _VALUES[:-1]], ("ends_sha256", pa.string()), ("node", pa.binary()), ("parent", pa.binary()),
+    ("path", pa.list_(_TURN)), ("stats", pa.list_(_STAT)),
+])
+
+
+def _peeled_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, 4_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _PEELED_ARROW)], schema=_PEELED_ARROW)
 
 
 def trie(df: DataFrame) -> DataFrame:
@@ -154,60 +271,45 @@ def trie(df: DataFrame) -> DataFrame:
     Turns without a number come first; turns of one number are ordered by a hash of their content, so reruns agree, and
     repeated rows are turns of their own. A null role or text is empty. Rows without a conv_id belong to no conversation.
     The remainder of a negative conv_id has its sign, as in SQL. Conversations that keep no turn are members of the root;
-    an empty table has no root. Other columns are not read. A path takes 24 bytes a turn and must fit one row; there is
-    one grouping for each depth, so the number of jobs grows with the longest conversation.
+    an empty table has no root. Other columns are not read. A path takes 24 bytes a turn and must fit one row.
     """
-    paths = _by_depth(rebuilt(df))
-    deepest = paths.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return df.sparkSession.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
-    levels: list[DataFrame] = []
-    for depth in range(deepest, -1, -1):
-        zero = F.lit(0).cast("long")
-        members = paths.filter(F.col("depth") == depth).select(
-            "path", "conv_id", F.lit(1).cast("long").alias("n_convs"), zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved_tokens")
-        )
-        if levels:  # the nodes of the level below, without their last turn
-            members = members.unionByName(
-                levels[-1].select(
-                    F.slice("path", 1, depth).alias("path"), "conv_id", "n_convs", F.lit(1).cast("long").alias("n_children"), "n_leaves", "saved_tokens"
-                )
-            )
-        sums = [F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]
-        nodes = members.groupBy("path").agg(F.min("conv_id").alias("conv_id"), *sums)
-        last = F.element_at("path", -1)["w"] if depth else F.lit(0)
-        nodes = nodes.withColumns(
-            {
-                "n_leaves": F.when(F.col("n_children") == 0, F.lit(1)).otherwise(F.col("n_leaves")),
-                "saved_tokens": F.col("saved_tokens") + (F.col("n_convs") - 1) * last,
-            }
-        )
-        levels.append(written(nodes, f"nodes-{depth}"))
-    return _with_parents(levels[::-1], _ends(paths))
-
-
-def _with_parents(levels: list[DataFrame], ends: DataFrame) -> DataFrame:
-    """All levels from the root on, with the parent's name and the digest of the ends. Keys are those of single nodes on
-    the parents' side; a parent with very many children is a skewed join key, which adaptive execution splits. The
-    root, the parent that surely has many, is put in as a value."""
-    values = ["n_convs", "n_children", "n_leaves", "saved_tokens"]
+    paths = written(rebuilt(df), "paths")
     a, b = _key(F.col("path"))
-    tables = [t.select("path", "conv_id", *values, a.alias("a"), b.alias("b"), F.lit(d).cast("long").alias("depth")) for d, t in enumerate(levels)]
-    root = levels[0].first()["conv_id"]
-    top = tables[0].withColumn("parent_conv_id", F.lit(None).cast("long"))
-    if len(tables) > 1:
-        top = top.unionByName(tables[1].withColumn("parent_conv_id", F.lit(root)))
-    nodes = top.drop("path")
-    if len(tables) > 2:
-        above = tables[1]
-        below = tables[2]
-        for t in tables[2:-1]:
-            above = above.unionByName(t)
-        for t in tables[3:]:
-            below = below.unionByName(t)
-        pa_, pb_ = _key(F.slice("path", F.lit(1), F.size("path") - 1))
-        parents = above.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"))
-        nodes = nodes.unionByName(below.withColumns({"pa": pa_, "pb": pb_}).join(parents, ["pa", "pb"], "left").drop("pa", "pb", "path"))
-    return nodes.join(ends, ["a", "b"], "left").select(
-        "conv_id", "depth", "parent_conv_id", *values, F.coalesce("ends_sha256", F.lit(_NOTHING)).alias("ends_sha256")
+    different = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("conv")).withColumns({"a": a, "b": b})
+    zero = F.lit(0).cast("long")
+    stat = F.struct(
+        F.size("path").alias("depth"), "n", "conv", zero.alias("children"), zero.alias("leaves"), zero.alias("saved"), F.col("ends_sha256").alias("ends")
     )
+    rows = written(different.join(_ends(paths), ["a", "b"], "left").select("path", F.array(stat).alias("stats")), "different-paths")
+    turns = rows.agg(F.sum(F.size("path"))).first()[0] or 0
+    tasks = -(-turns // TURNS_A_TASK)
+    rounds: list[DataFrame] = []
+    chains = 2 * tasks
+    while tasks > 1:
+        peeled = written(rows.repartitionByRange(tasks, "path").mapInArrow(_peel(False), _PEELED), "peeled")
+        rounds.append(peeled.filter("path IS NULL"))
+        rows = peeled.filter("path IS NOT NULL").select("path", "stats")
+        before, chains = chains, rows.count()
+        # fewer tasks in every round; a cluster that deals out more than asked for ends with a few chains all the same
+        tasks = -(-chains // CHAINS_A_TASK) if chains > 2 * CHAINS_A_TASK and chains < before else 1
+    rounds.append(written(rows.select("path", "stats").coalesce(1).mapInArrow(_peel(True), _PEELED), "peeled"))
+    return _with_parents(rounds)
+
+
+def _with_parents(rounds: list[DataFrame]) -> DataFrame:
+    """All settled nodes. Those below a node that was open in their round get its name from the later rounds' nodes,
+    whose number depends on the tasks and the depth and not on the table's rows."""
+    nodes = rounds[0]
+    for r in rounds[1:]:
+        nodes = nodes.unionByName(r)
+    known = nodes.filter("parent IS NULL").select(*_VALUES)
+    if len(rounds) == 1:
+        return known
+    later = rounds[1]
+    for r in rounds[2:]:
+        later = later.unionByName(r)
+    names = later.select(F.col("node").alias("parent"), F.col("conv_id").alias("named"))
+    if names.count() * 64 <= BROADCAST_BYTES:
+        names = F.broadcast(names)
+    below = nodes.filter("parent IS NOT NULL").drop("node").join(names, "parent").withColumn("parent_conv_id", F.col("named"))
+    return known.unionByName(below.select(*_VALUES))

@@ -75,6 +75,22 @@ def test_random_conversations(spark):
     held(spark, random_rows(20, 2, 30))
 
 
+def test_many_ranges_and_rounds(spark, monkeypatch):
+    """Nodes that several tasks share are left open and settled in a later round, whatever the ranges."""
+    monkeypatch.setattr(prefix_trie, "TURNS_A_TASK", 25)
+    monkeypatch.setattr(prefix_trie, "CHAINS_A_TASK", 3)
+    held(spark, random_rows(120, 4))
+    held(spark, [(20 * c, t, "user", f"t{t}" if t < 12 else f"{c} {t}") for c in range(30) for t in range(14)])  # a long common beginning
+    held(spark, [(20 * c, t, "user", f"t{t}") for c in range(40) for t in range(c)])  # every prefix is a conversation
+
+
+def test_a_conversation_of_many_turns(spark):
+    rows = [(20, t, "user", f"turn {t}") for t in range(3_000)] + [(40, t, "user", f"turn {t}") for t in range(2_000)] + random_rows(20, 5)
+    found = trie(spark.createDataFrame([(*r, "x", 3, 1.0) for r in rows], SCHEMA)).filter("depth >= 30")
+    assert found.count() == 2_971
+    assert [tuple(r) for r in found.filter("depth IN (2000, 2001)").select("conv_id", "parent_conv_id", "n_convs", "saved_tokens").collect()] == [(20, 20, 2, 2), (20, 20, 1, 0)]
+
+
 def test_null_empty_long_and_repeated_turns(spark):
     rows = [
         (20, None, "user", "first of all"), (20, 0, None, None), (20, 5, "", ""), (21, 1, "user", "x " * 20_000), (22, 9, "user", "one\ttwo\n"),
