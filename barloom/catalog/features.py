@@ -464,6 +464,43 @@ def ema_long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("symbol", F.col("k").cast("long").alias("k"), *[F.bround(c, 6).alias(c) for c in ("ema12", "ema26", "wilder14")])
 
 
+_ORDERS = "t AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, o_totalprice / 1000 AS x, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS v FROM orders)"
+_WEIGHTS = {"w001": 0.001, "w050": 0.05, "w300": 0.3, "w700": 0.7, "w950": 0.95, "w1000": 1.0}
+
+
+def _order_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session of all orders: its length grows with the table."""
+    price = F.col("o_totalprice") / 1000
+    return D.table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("symbol"), F.lit("all").alias("session"), F.col("o_orderkey").alias("ts"), price.alias("close"), F.floor(price).cast("double").alias("volume"),
+    )
+
+
+@register(
+    "ema_weights",
+    f"""WITH RECURSIVE {_ORDERS}, e AS (SELECT k, {', '.join(f'x AS {n}' for n in _WEIGHTS)} FROM t WHERE k = 0
+  UNION ALL SELECT t.k, {', '.join(f'e.{n} + {w!r} * (t.x - e.{n})' for n, w in _WEIGHTS.items())} FROM e JOIN t ON t.k = e.k + 1)
+SELECT CAST(k AS BIGINT) AS k, {', '.join(f'round_even(CAST({n} AS DOUBLE), 6) AS {n}' for n in _WEIGHTS)} FROM e""",
+)
+def ema_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive averages of slow and fast weights over one long session."""
+    fr = FrameText()
+    kinds = {n: ("close", w) for n, w in _WEIGHTS.items()}
+    df = apply_levels(_order_session(spark, sf_dir), [{"k": fr.index()}, ema_sums(fr, kinds, "k"), {n: fr.ema_of(n, "k", w) for n, w in _WEIGHTS.items()}])
+    return df.select(F.col("k").cast("long").alias("k"), *[F.bround(n, 6).alias(n) for n in _WEIGHTS])
+
+
+@register(
+    "rank_long_sessions",
+    f"""WITH {_ORDERS} SELECT CAST(a.k AS BIGINT) AS k, count(b.k) AS earlier_at_most FROM t a LEFT JOIN t b ON b.k < a.k AND b.v <= a.v GROUP BY a.k""",
+)
+def rank_long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of each value among the earlier ones of one long session, without lists."""
+    fr = FrameText()
+    levels = [{"_n": fr.index()}, fr.rank_digits("_n"), fr.rank_sums("volume", "volume IS NOT NULL"), {"earlier_at_most": fr.rank_before("_n")}]
+    return apply_levels(_order_session(spark, sf_dir), levels).select(F.col("_n").cast("long").alias("k"), "earlier_at_most")
+
+
 _BAR_COLUMNS = ("open", "high", "low", "close", "volume", "bid_px", "ask_px", "bid_sz", "ask_sz")
 _BASE_SQL = over_series(
     _ATR,

@@ -16,8 +16,11 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SESSION_KEYS = ("symbol", "session")
-#: Values whose weights of a recursive average share one origin.
+#: Values whose weights of a recursive average share one origin, for weights that fade at a usual pace.
 BLOCK = 640
+#: Positions of a session are taken apart in base 16, up to 2^20 of them.
+RANK_DIGITS = 5
+_FIELD = 21  # bits of a counter; three share a number
 
 
 class SessionFrames:
@@ -81,28 +84,69 @@ class FrameText(SessionFrames):
         return f"row_number() {self.ordered} - 1"
 
     def ema_sums(self, x: str, k: str, alpha: float) -> tuple[str, str]:
-        """Weighted sums of a recursive average, over the current block of BLOCK values and over the block before.
+        """Weighted sums of a recursive average, over the current block of values and over the block before.
 
         ``k`` numbers the values from 0 within the session. Exponents count from the start of a block, so they stay
-        below BLOCK whatever the length of the session; what lies two blocks back has a weight below 1e-20.
+        below its length whatever the length of the session; what lies two blocks back has a weight below 1e-20.
         """
-        q = 1.0 - alpha
-        if BLOCK * math.log(q) > -46:
-            raise ValueError(f"alpha={alpha} fades too slowly for blocks of {BLOCK}")
+        block, q = ema_block(alpha), 1.0 - alpha
         weight = f"CASE WHEN {k} = 0 THEN 1D ELSE {alpha!r}D END"
-        term = f"{weight} * {x} * power({q!r}D, -pmod({k}, {BLOCK}))"
+        term = f"{weight} * {x} * power({q!r}D, -pmod({k}, {block}))"
         keys = ", ".join(self.keys)
         inside = (
-            f"sum({term}) OVER (PARTITION BY {keys}, ({k}) div {BLOCK} ORDER BY {self.order} "
+            f"sum({term}) OVER (PARTITION BY {keys}, ({k}) div {block} ORDER BY {self.order} "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         )
-        before = f"sum({term}) OVER (PARTITION BY {keys} ORDER BY ({k}) div {BLOCK} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+        before = f"sum({term}) OVER (PARTITION BY {keys} ORDER BY ({k}) div {block} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
         return inside, before
 
     def ema_of(self, sums: str, k: str, alpha: float) -> str:
         """The average e_k = alpha * x_k + (1 - alpha) * e_(k-1), e_0 = x_0, from columns <sums>_in and <sums>_old."""
-        q, at = 1.0 - alpha, f"pmod({k}, {BLOCK})"
-        return f"power({q!r}D, {at}) * ({sums}_in + power({q!r}D, {BLOCK}D) * coalesce({sums}_old, 0D))"
+        block, q = ema_block(alpha), 1.0 - alpha
+        return f"power({q!r}D, pmod({k}, {block})) * ({sums}_in + power({q!r}D, {block}D) * coalesce({sums}_old, 0D))"
+
+    def rank_digits(self, k: str) -> dict[str, str]:
+        """The digits of a row's position ``k`` in the session, and the segment of positions that share the higher ones."""
+        out = {}
+        for i in range(RANK_DIGITS):
+            out[f"_digit{i}"] = f"shiftright({k}, {4 * i}) & 15"
+            out[f"_segment{i}"] = f"shiftright({k}, {4 * (i + 1)})"
+        return out
+
+    def rank_sums(self, value: str, counted: str) -> dict[str, str]:
+        """For each digit: how many rows of the segment, by their digit, have at most the row's value.
+
+        Counters for the digits below 15 lie in five numbers. With `rank_before` they give the rank of a value among
+        the rows before it without any list of those rows: an earlier position differs from the row's first in one
+        digit, where it shares the row's segment and has a smaller digit.
+        """
+        out = {}
+        for i in range(RANK_DIGITS):
+            over = f"OVER (PARTITION BY {', '.join(self.keys)}, _segment{i} ORDER BY {value})"
+            for g in range(5):
+                field = f"CASE WHEN {counted} AND _digit{i} BETWEEN {3 * g} AND {3 * g + 2} THEN shiftleft(1L, {_FIELD} * (_digit{i} - {3 * g})) ELSE 0L END"
+                out[f"_below{i}_{g}"] = f"sum({field}) {over}"
+        return out
+
+    def rank_before(self, k: str) -> str:
+        """Number of counted earlier rows with at most the row's value, from the columns of `rank_sums`."""
+        mask = (1 << _FIELD) - 1
+        terms = []
+        for i in range(RANK_DIGITS):
+            for g in range(5):
+                n, x = f"(_digit{i} - {3 * g})", f"_below{i}_{g}"
+                one, two, three = f"{x} & {mask}", f"shiftright({x}, {_FIELD}) & {mask}", f"shiftright({x}, {2 * _FIELD})"
+                terms.append(f"CASE WHEN {n} <= 0 THEN 0L WHEN {n} = 1 THEN ({one}) WHEN {n} = 2 THEN ({one}) + ({two}) ELSE ({one}) + ({two}) + {three} END")
+        most = 16**RANK_DIGITS
+        return f"CASE WHEN {k} >= {most} THEN CAST(raise_error('more than {most} rows in a session') AS BIGINT) ELSE {' + '.join(terms)} END"
+
+
+def ema_block(alpha: float) -> int:
+    """Values in a block, such that weights fade by 1e-20 to 1e-260 within it: none overflows, and two blocks suffice."""
+    if not 0 < alpha <= 1:
+        raise ValueError(f"alpha={alpha} is not in (0, 1]")
+    fade = -math.log(1.0 - alpha) if alpha < 1 else math.inf
+    return BLOCK if 46 <= BLOCK * fade <= 600 else max(math.ceil(46 / fade), 1)
 
 
 def span_alpha(span: int) -> float:

@@ -78,8 +78,7 @@ def volume_features(columns) -> Level:
             "_vpos_hist > 0 AND _value_hist > 0 AND close > 0", bound("close / (_value_hist / _vpos_hist)", 0.5, 2), "1D"
         ),
         "Volume_Percentile_Intraday": gated(
-            "size(_vols_hist) > 0",
-            "(size(filter(_vols_hist, x -> x <= coalesce(volume, 0D))) + 1) / (size(_vols_hist) + 1)", "0.5D",
+            "_vol_count_hist > 0", "(_vol_rank + 1) / (_vol_count_hist + 1)", "0.5D",
         ),
         "Volume_Zscore_Intraday": gated("_n > 2 AND _vol_sd_hist > 0", "(volume - _vol_mean_hist) / _vol_sd_hist", "0D"),
         "Order_Book_Stability": gated("_n >= 3 AND _imb_count10 >= 2 AND _imb_abs10 > 0.01", stable, "0.5D"),

@@ -21,9 +21,9 @@ def has_sizes(columns) -> bool:
     return {"bid_sz", "ask_sz"} <= set(columns)
 
 
-def row_values(columns) -> Level:
-    """Values that need only the bar itself."""
-    out = {"_hl": "high - low", "_hl2": "(high + low) / 2"}
+def row_values(fr: FrameText, columns) -> Level:
+    """Values that need only the bar itself, and its position in the session."""
+    out = {"_n": fr.index(), "_hl": "high - low", "_hl2": "(high + low) / 2", "_volume": "coalesce(volume, 0D)"}
     if has_quotes(columns):
         out["_mid"] = "(bid_px + ask_px) / 2"
         mid = out["_mid"]
@@ -43,7 +43,7 @@ def row_values(columns) -> Level:
 
 def bar_windows(fr: FrameText, columns) -> Level:
     """Windows over bar columns."""
-    out = {"_n": fr.index()}
+    out = {"_vol_rank": fr.rank_before("_n")}
     if "trade_count" in columns:
         out["_trade_count1"] = fr.lag("trade_count")
     out |= {
@@ -69,7 +69,7 @@ def bar_windows(fr: FrameText, columns) -> Level:
         "_lows50": f"collect_list(low) {fr.past(50)}",
         "_top50": f"max(high) {fr.past(50)}",
         "_bottom50": f"min(low) {fr.past(50)}",
-        "_vols_hist": f"collect_list(volume) {fr.hist}",
+        "_vol_count_hist": f"count(volume) {fr.hist}",
         "_vol_mean_hist": f"avg(volume) {fr.hist}",
         "_vol_sd_hist": f"stddev_samp(volume) {fr.hist}",
         "_imb_sd10": f"stddev_pop(_imb) {fr.past(10)}",
@@ -179,6 +179,6 @@ def signal_line(fr: FrameText) -> Level:
 
 def series_levels(fr: FrameText, columns) -> list[Level]:
     return [
-        row_values(columns), bar_windows(fr, columns), single_bars(), changes(), change_windows(fr), averages_now(fr),
+        row_values(fr, columns), fr.rank_digits("_n"), fr.rank_sums("_volume", "volume IS NOT NULL"), bar_windows(fr, columns), single_bars(), changes(), change_windows(fr), averages_now(fr),
         averages_before(fr), signal_windows(fr), signal_line(fr),
     ]

@@ -1,4 +1,7 @@
+import bisect
 import datetime as dt
+import math
+import random
 import warnings
 
 import numpy as np
@@ -7,10 +10,10 @@ from bars_fixture import fixture_frames, session_frame, to_spark
 from loop_features import features as loop_features
 from pyspark.sql import functions as F
 
-from barloom.functions.frames import BLOCK, FrameText
+from barloom.functions.frames import BLOCK, FrameText, ema_block
 from barloom.functions.text import apply_levels
 from barloom.operators.daily_context import daily_context
-from barloom.operators.session_series import ema_sums
+from barloom.operators.session_series import ema_sums, series_levels
 from barloom.plans.features import feature_names, feature_table
 
 DAILY = "symbol string, date date, open double, high double, low double, close double, volume double"
@@ -93,22 +96,56 @@ def test_daily_context_falls_back_to_earlier_days(spark):
     assert got == {("a", 0): (10.0, None), ("a", 1): (10.0, 11.0), ("a", 2): (20.0, 11.0), ("a", 3): (20.0, 16.0), ("b", 0): (None, None)}
 
 
-def test_averages_of_long_sessions(spark):
-    """Sessions of several blocks: recursive averages equal a loop, however long the session."""
-    n = 3 * BLOCK + 17
+@pytest.mark.parametrize("alpha", [0.001, 2 / 31, 0.05, 1 / 14, 0.3, 0.6, 0.7, 0.95, 0.999, 1.0])
+def test_averages_of_long_sessions(spark, alpha):
+    """Sessions of several blocks: recursive averages of any weight equal a loop, however long the session."""
+    n = 3 * BLOCK + 17 if alpha > 0.01 else 2 * ema_block(alpha) + 100
     rows = [("a", "s", i, 100 + (i * 37 % 101) / 7) for i in range(n)]
     fr = FrameText()
     df = apply_levels(
         spark.createDataFrame(rows, "symbol string, session string, ts long, close double"),
-        [{"k": fr.index()}, ema_sums(fr, {"e": ("close", 1 / 14)}, "k"), {"e": fr.ema_of("e", "k", 1 / 14)}],
+        [{"k": fr.index()}, ema_sums(fr, {"e": ("close", alpha)}, "k"), {"e": fr.ema_of("e", "k", alpha)}],
     )
     got = {r.ts: r.e for r in df.collect()}
     e = rows[0][3]
     for i, (_, _, _, x) in enumerate(rows):
-        e = e if i == 0 else e + (x - e) / 14
+        e = e if i == 0 else e + (x - e) * alpha
         assert got[i] == pytest.approx(e, rel=1e-12)
+
+
+@pytest.mark.parametrize("alpha", [0.0, -0.1, 1.5])
+def test_weights_outside_their_range_are_refused(alpha):
     with pytest.raises(ValueError):
-        fr.ema_sums("close", "k", 0.001)
+        FrameText().ema_sums("close", "k", alpha)
+
+
+def test_rank_among_earlier_values_of_a_long_session(spark):
+    """20,000 bars: the rank equals a sorted list that grows bar by bar; NULL is compared as 0 and never counted."""
+    rng = random.Random(3)
+    values = [None if i % 97 == 5 else float("nan") if i % 1013 == 7 else float(rng.randint(0, 3_000)) for i in range(20_000)]
+    fr = FrameText()
+    df = spark.createDataFrame([("a", "s", i, v) for i, v in enumerate(values)], "symbol string, session string, ts long, volume double")
+    df = apply_levels(df, [
+        {"_n": fr.index(), "_volume": "coalesce(volume, 0D)"}, fr.rank_digits("_n"), fr.rank_sums("_volume", "volume IS NOT NULL"), {"r": fr.rank_before("_n")},
+    ])
+    got = [r["r"] for r in df.orderBy("ts").collect()]
+    seen: list[float] = []
+    for v, r in zip(values, got):
+        now = 0.0 if v is None else math.inf if math.isnan(v) else v
+        assert r == bisect.bisect_right(seen, now)
+        if v is not None:
+            bisect.insort(seen, now)
+
+
+def test_projection_holds_no_long_lists(spark):
+    """A session of many bars: no column of any level is a list of more than 100 values."""
+    n = 3_000
+    rows = [("a", "s", i, 10.0, 11.0 + i % 7, 9.0 - i % 5, 10.0 + i % 3, float(i % 50)) for i in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, session string, ts long, open double, high double, low double, close double, volume double")
+    levels = series_levels(FrameText(), bars.columns)
+    df = apply_levels(bars, levels)
+    lists = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
+    assert lists and all(v <= 100 for v in df.selectExpr(*[f"max(size({c}))" for c in lists]).first())
 
 
 def test_day_sessions_share_one_exchange(spark, daily_rows):
