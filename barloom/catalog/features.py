@@ -497,7 +497,11 @@ def ema_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each value among the earlier ones of one long session, without lists."""
     fr = FrameText()
-    levels = [{"_n": fr.index()}, fr.rank_digits("_n"), fr.rank_sums("volume", "volume IS NOT NULL"), {"earlier_at_most": fr.rank_before("_n")}]
+    bars = 1 << 21
+    levels = [
+        {"_n": fr.index(), "_near": fr.rank_near("volume")}, fr.rank_digits("_n", bars), fr.rank_sums("volume", "volume IS NOT NULL", bars),
+        {"earlier_at_most": fr.rank_before("_n", "volume", "_near", bars)},
+    ]
     return apply_levels(_order_session(spark, sf_dir), levels).select(F.col("_n").cast("long").alias("k"), "earlier_at_most")
 
 

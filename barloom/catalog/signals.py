@@ -14,7 +14,6 @@ from barloom.sources import driver_tables as D
 GAP = 3000  # minutes between candidates, for half-hour bars
 TOLERANCE = 1.0
 HORIZON, OUTER = 1200, 7200  # 40 and 240 bars
-BLOCK = 6 * 3600
 BUDGET = 10_000.0
 LEVEL_COLUMNS = [
     "Current_Price", "1R_Stop_Loss", "ATR_Distance", "1R_Target", "2R_Target", "3R_Target", "4R_Target",
@@ -313,7 +312,7 @@ def entry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exits.bracket_exits(entry_rows(spark, sf_dir), D.event_bars(spark, sf_dir), BLOCK)
+    return exits.bracket_exits(entry_rows(spark, sf_dir), D.event_bars(spark, sf_dir))
 
 
 @register(

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 SESSION_KEYS = ("symbol", "session")
 #: Values whose weights of a recursive average share one origin, for weights that fade at a usual pace.
 BLOCK = 640
-#: Positions of a session are taken apart in base 16, up to 2^20 of them.
-RANK_DIGITS = 5
+#: Bars of a session that ranks among earlier values are planned for, unless a caller asks for more.
+SESSION_BARS = 65_536
+_NEAR = 64  # positions whose values are compared one by one
+_BASE = 32  # of the digits of the position before them
 _FIELD = 21  # bits of a counter; three share a number
 
 
@@ -105,40 +107,55 @@ class FrameText(SessionFrames):
         block, q = ema_block(alpha), 1.0 - alpha
         return f"power({q!r}D, pmod({k}, {block})) * ({sums}_in + power({q!r}D, {block}D) * coalesce({sums}_old, 0D))"
 
-    def rank_digits(self, k: str) -> dict[str, str]:
-        """The digits of a row's position ``k`` in the session, and the segment of positions that share the higher ones."""
+    def rank_digits(self, k: str, bars: int = SESSION_BARS) -> dict[str, str]:
+        """The digits of a row's position ``k`` in the session, and the segment of positions that share the higher ones.
+        The last 64 positions are no digit: see `rank_before`."""
         out = {}
-        for i in range(RANK_DIGITS):
-            out[f"_digit{i}"] = f"shiftright({k}, {4 * i}) & 15"
-            out[f"_segment{i}"] = f"shiftright({k}, {4 * (i + 1)})"
+        for i in range(_digits(bars)):
+            out[f"_digit{i}"] = f"shiftright({k}, {6 + 5 * i}) & {_BASE - 1}"
+            out[f"_segment{i}"] = f"shiftright({k}, {6 + 5 * (i + 1)})"
         return out
 
-    def rank_sums(self, value: str, counted: str) -> dict[str, str]:
+    def rank_sums(self, value: str, counted: str, bars: int = SESSION_BARS) -> dict[str, str]:
         """For each digit: how many rows of the segment, by their digit, have at most the row's value.
 
-        Counters for the digits below 15 lie in five numbers. With `rank_before` they give the rank of a value among
-        the rows before it without any list of those rows: an earlier position differs from the row's first in one
-        digit, where it shares the row's segment and has a smaller digit.
+        Counters for the digits below 31 lie in eleven numbers. With `rank_before` they give the rank of a value among
+        the rows before it without a list of those rows: an earlier position, but for the nearest, differs from the
+        row's first in one digit, where it shares the row's segment and has a smaller digit.
         """
         out = {}
-        for i in range(RANK_DIGITS):
+        for i in range(_digits(bars)):
             over = f"OVER (PARTITION BY {', '.join(self.keys)}, _segment{i} ORDER BY {value})"
-            for g in range(5):
-                field = f"CASE WHEN {counted} AND _digit{i} BETWEEN {3 * g} AND {3 * g + 2} THEN shiftleft(1L, {_FIELD} * (_digit{i} - {3 * g})) ELSE 0L END"
+            for g in range(0, _BASE - 1, 3):
+                field = f"CASE WHEN {counted} AND _digit{i} BETWEEN {g} AND {g + 2} THEN shiftleft(1L, {_FIELD} * (_digit{i} - {g})) ELSE 0L END"
                 out[f"_below{i}_{g}"] = f"sum({field}) {over}"
         return out
 
-    def rank_before(self, k: str) -> str:
-        """Number of counted earlier rows with at most the row's value, from the columns of `rank_sums`."""
-        mask = (1 << _FIELD) - 1
-        terms = []
-        for i in range(RANK_DIGITS):
-            for g in range(5):
-                n, x = f"(_digit{i} - {3 * g})", f"_below{i}_{g}"
-                one, two, three = f"{x} & {mask}", f"shiftright({x}, {_FIELD}) & {mask}", f"shiftright({x}, {2 * _FIELD})"
-                terms.append(f"CASE WHEN {n} <= 0 THEN 0L WHEN {n} = 1 THEN ({one}) WHEN {n} = 2 THEN ({one}) + ({two}) ELSE ({one}) + ({two}) + {three} END")
-        most = 16**RANK_DIGITS
-        return f"CASE WHEN {k} >= {most} THEN CAST(raise_error('more than {most} rows in a session') AS BIGINT) ELSE {' + '.join(terms)} END"
+    def rank_near(self, value: str) -> str:
+        """The values of the nearest earlier rows; those of the row's own 64 positions are its last ``k`` mod 64."""
+        return f"collect_list(named_struct('x', {value})) {self.past(_NEAR - 1)}"
+
+    def rank_before(self, k: str, value: str, near: str, bars: int = SESSION_BARS) -> str:
+        """Number of counted earlier rows with at most the row's value, from the columns of `rank_sums` and `rank_near`."""
+        mask, last = (1 << _FIELD) - 1, f"({k} & {_NEAR - 1})"
+        parts = []
+        near_ones = f"size(filter(slice({near}, greatest(size({near}) - {last} + 1, 1), {last}), v -> v.x <= {value}))"
+        for i in range(_digits(bars)):
+            # a digit of 3 or more counts the first number whole, one of 6 or more the second as well, and so on
+            for g in range(0, _BASE - 1, 3):
+                n, x = f"_digit{i} - {g}", f"_below{i}_{g}"
+                parts.append(f"CASE WHEN {n} <= 0 THEN 0L WHEN {n} >= 3 THEN {x} ELSE {x} & (shiftleft(1L, {_FIELD} * ({n})) - 1) END")
+        added = f"a + (p & {mask}) + (shiftright(p, {_FIELD}) & {mask}) + shiftright(p, {2 * _FIELD})"
+        count = f"aggregate(array({', '.join(parts)}), CAST({near_ones} AS BIGINT), (a, p) -> {added})" if parts else f"CAST({near_ones} AS BIGINT)"
+        most = _NEAR * _BASE ** _digits(bars)
+        return f"CASE WHEN {k} >= {most} THEN CAST(raise_error('a session of more than {most} rows: state its session_bars') AS BIGINT) ELSE {count} END"
+
+
+def _digits(bars: int) -> int:
+    n = 0
+    while _NEAR * _BASE**n < bars:
+        n += 1
+    return n
 
 
 def ema_block(alpha: float) -> int:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import bisect
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import is_near_close
@@ -38,86 +43,122 @@ def open_positions(entries: DataFrame, slippage: float = SLIPPAGE, commission: f
     return df.withColumn("total_cost", F.col("quantity") * F.col("buy_price") + commission)
 
 
-_DAY = ["symbol", "day"]
-
-
-def _days(bars: DataFrame, block_seconds: int) -> DataFrame:
-    """One row per symbol and day: its blocks in order, each with its bars and what they can end.
-
-    Bars are dealt by (symbol, day) once; the blocks and the days are summed where they lie. A day is bounded by the
-    calendar and the bar width.
-    """
-    series = bars.select(
-        "symbol", F.to_date("ts").alias("day"), F.floor(F.unix_seconds("ts") / block_seconds).alias("block"),
-        F.unix_micros("ts").alias("at"), F.col("close").alias("price"), F.coalesce(is_near_close("ts"), F.lit(False)).alias("closing"),
-    ).repartition(*_DAY)
-    blocks = series.groupBy(*_DAY, "block").agg(
-        F.min("price").alias("lo"), F.max("price").alias("hi"), F.bool_or("closing").alias("closing"),
-        F.array_sort(F.collect_list(F.struct("at", "price", "closing"))).alias("bars"),
-    )
-    return blocks.groupBy(*_DAY).agg(
-        F.array_sort(F.collect_list(F.struct("block", "lo", "hi", "closing", "bars"))).alias("blocks"),
-        F.bool_or("closing").alias("closing"),
-    )
-
-
-def _ends(x: Column, price: str = "price") -> Column:
-    """Why a bar ends the position: 1 stop, 2 target, 3 close buffer, else NULL."""
-    return F.when(x[price] <= F.col("stop_loss_price"), 1).when(x[price] >= F.col("take_profit_price"), 2).when(x["closing"], 3)
-
-
-def _with_exit(df: DataFrame) -> DataFrame:
-    """Add exit, the first bar of the day's blocks at or after ``after`` (micros) that ends the position, or NULL.
-
-    Blocks that cannot end it are passed over, so beside the block of ``after`` only one block's bars are read.
+#: Probes of one group that are looked up together; more are dealt into parts, each with the group's series.
+PROBES_TOGETHER = 50_000
+
+
+class ExtremeTree:
+    """Minima and maxima of a series over all aligned blocks of 1, 2, 4, ... values, as one heap."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, always: np.ndarray):
+        """``always`` marks values that end any search. NaN never does."""
+        self.size = 1 << max(len(low) - 1, 0).bit_length()
+        self.low = np.full(2 * self.size, np.inf)
+        self.high = np.full(2 * self.size, -np.inf)
+        leaves = slice(self.size, self.size + len(low))
+        self.low[leaves] = np.where(always, -np.inf, np.where(np.isnan(low), np.inf, low))
+        self.high[leaves] = np.where(always, np.inf, np.where(np.isnan(high), -np.inf, high))
+        at = self.size
+        while at > 1:
+            self.low[at // 2 : at] = np.minimum(self.low[at : 2 * at : 2], self.low[at + 1 : 2 * at : 2])
+            self.high[at // 2 : at] = np.maximum(self.high[at : 2 * at : 2], self.high[at + 1 : 2 * at : 2])
+            at //= 2
+
+    def first(self, start: np.ndarray, stop: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """For each search the first position from ``start`` on with low <= stop or high >= target, or -1.
+
+        All searches climb and descend together, so there are as many steps as the tree has levels, twice.
+        """
+        found = np.full(len(start), -1, np.int64)
+        who = np.flatnonzero(start < self.size)
+        node = start[who].astype(np.int64) + self.size
+        node //= node & -node  # the largest block that begins here
+        while len(who):
+            hit = (self.low[node] <= stop[who]) | (self.high[node] >= target[who])
+            found[who[hit]] = node[hit]
+            node, who = node[~hit] + 1, who[~hit]
+            inside = node & (node - 1) != 0  # past the last block of a level the number is a power of two
+            node, who = node[inside], who[inside]
+            node //= node & -node
+        who = np.flatnonzero((found > 0) & (found < self.size))
+        while len(who):
+            node = 2 * found[who]
+            left = (self.low[node] <= stop[who]) | (self.high[node] >= target[who])
+            found[who] = np.where(left, node, node + 1)
+            who = who[found[who] < self.size]
+        return np.where(found > 0, found - self.size, -1)
+
+
+def _doubles(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).cast(pa.float64()).to_numpy()
+
+
+_FOUND = "entry_id string, at long, price double, closing boolean"
+
+
+def _look_up(_key: tuple, probes: pa.Table, series: pa.Table) -> pa.Table:
+    series = series.sort_by([("at", "ascending"), ("low", "ascending"), ("closing", "ascending")])
+    at, closing = series.column("at").to_numpy(), series.column("closing").to_numpy(zero_copy_only=False)
+    tree = ExtremeTree(_doubles(series, "low"), _doubles(series, "high"), closing)
+    start = np.searchsorted(at, probes.column("after").to_numpy(), side="left")
+    found = tree.first(start, _doubles(probes, "stop"), _doubles(probes, "target"))
+    hit = found >= 0
+    rows = found[hit]
+    return pa.table({
+        "entry_id": probes.column("entry_id").filter(pa.array(hit)), "at": pa.array(at[rows]),
+        "price": series.column("low").take(pa.array(rows)), "closing": pa.array(closing[rows], pa.bool_()),
+    })
+
+
+def first_in_series(probes: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of its key's series, at or after ``after``, that ends each probe; probes without one have no row.
+
+    probes: keys, entry_id, after, stop, target. series: keys, at, low, high, closing (ends every probe). Only series
+    of keys that are probed leave the JVM, once for every PROBES_TOGETHER probes of the key, so a key that most
+    probes share is dealt to many tasks. A probe reads the blocks on its way through a tree, not the rows between.
     """
-    after, stop, target = F.col("after"), F.col("stop_loss_price"), F.col("take_profit_price")
-    may = F.filter(
-        "blocks",
-        lambda b: (F.element_at(b["bars"], -1)["at"] >= after) & ((b["lo"] <= stop) | (b["hi"] >= target) | b["closing"]),
-    )
-    near = F.flatten(F.transform(F.slice(may, 1, 2), lambda b: b["bars"]))
-    df = df.withColumn("_near", near).drop("blocks")
-    hits = F.filter("_near", lambda x: (x["at"] >= after) & ((x["price"] <= stop) | (x["price"] >= target) | x["closing"]))
-    return df.withColumn("exit", F.get(hits, 0)).drop("_near")
+    counts = probes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PROBES_TOGETHER).cast("int").alias("parts"))
+    dealt = probes.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("entry_id"), F.col("parts")).cast("int")).drop("parts")
+    copies = series.join(counts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    groups = [*keys, "part"]
+    return dealt.groupBy(*groups).cogroup(copies.groupBy(*groups)).applyInArrow(_look_up, _FOUND)
 
 
-def first_exits(entries: DataFrame, bars: DataFrame, block_seconds: int = 1800) -> DataFrame:
+def first_exits(entries: DataFrame, bars: DataFrame) -> DataFrame:
     """Entries with exit_ts, exit_price and exit_reason, all NULL where no exit is found.
 
-    Entries meet the bars of their own (symbol, day). Only those that find no exit there go on, to the later days up
-    to the first one whose close buffer ends every position: one or two rows each, again by (symbol, day).
+    Entries look for an exit among the bars of their own (symbol, day). Those that find none there look among the later
+    days of their symbol, each one row of its lowest and highest price and whether it has a close buffer, and then among
+    the bars of the day they found. Bars of other days are never met.
     """
-    days = _days(bars, block_seconds)
-    own = entries.withColumns({"day": F.to_date("ts"), "after": F.unix_micros("ts")})
-    looked = _with_exit(own.join(days.select(*_DAY, "blocks"), _DAY, "left"))
-    names = [c for c in looked.columns if c not in ("exit", "day", "after")]
-    done = looked.filter("exit IS NOT NULL").select(*names, "exit")
-
-    # the last day on which a position held overnight can end: the next one with a close buffer, or the last stored
-    marks = days.select(*_DAY, "closing").unionByName(own.select(*_DAY, F.lit(False).alias("closing")))
-    marks = marks.groupBy(*_DAY).agg(F.bool_or("closing").alias("closing"))
-    later = Window.partitionBy("symbol").orderBy("day").rowsBetween(1, Window.unboundedFollowing)  # days of the calendar
-    until = F.coalesce(F.min(F.when(F.col("closing"), F.col("day"))).over(later), F.max("day").over(later))
-    left = looked.filter("exit IS NULL").drop("exit").join(marks.select(*_DAY, until.alias("until")), _DAY)
-    next_days = F.when(F.col("until") > F.col("day"), F.sequence(F.date_add("day", 1), F.col("until")))
-    left = _with_exit(left.withColumn("day", F.explode_outer(next_days)).join(days.select(*_DAY, "blocks"), _DAY, "left"))
-    found = left.groupBy("entry_id").agg(
-        F.any_value(F.struct(*[c for c in names if c != "entry_id"])).alias("entry"), F.min("exit").alias("exit")
+    entries = written_table(entries, "entries")
+    close = F.col("close").cast("double")
+    closing = F.coalesce(is_near_close("ts"), F.lit(False))
+    series = bars.select("symbol", F.to_date("ts").alias("day"), F.unix_micros("ts").alias("at"), close.alias("low"), close.alias("high"), closing.alias("closing"))
+    series = series.filter("at IS NOT NULL")
+    name = F.col("entry_id").cast("string").alias("entry_id")
+    probes = entries.select(
+        "symbol", F.to_date("ts").alias("day"), name, F.unix_micros("ts").alias("after"),
+        F.col("stop_loss_price").alias("stop"), F.col("take_profit_price").alias("target"),
     )
-    overnight = found.select("entry_id", "entry.*", "exit").select(*names, "exit")
+    own = written_table(first_in_series(probes, series, ["symbol", "day"]), "exits-of-the-day")
 
-    df = done.unionByName(overnight)
-    why = _ends(F.col("exit"))
-    reason = F.when(why == 1, "STOP_LOSS").when(why == 2, "TAKE_PROFIT").when(why == 3, "MARKET_CLOSE")
-    return df.withColumns(
-        {"exit_ts": F.timestamp_micros("exit.at"), "exit_price": F.col("exit.price"), "exit_reason": reason}
-    ).drop("exit")
+    days = series.groupBy("symbol", "day").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("closing").alias("closing"))
+    days = days.withColumn("at", F.unix_date("day").cast("long")).drop("day")
+    left = probes.join(own.select("entry_id"), "entry_id", "left_anti").withColumn("after", F.unix_date("day").cast("long") + 1)
+    day_found = first_in_series(left, days, ["symbol"]).select("entry_id", F.date_from_unix_date(F.col("at").cast("int")).alias("found"))
+    left = left.drop("day").join(day_found, "entry_id").withColumnRenamed("found", "day").withColumn("after", F.lit(-(2**63)))
+    later = first_in_series(left, series, ["symbol", "day"])
+
+    exits = own.unionByName(later).select(F.col("entry_id").alias("_entry"), F.timestamp_micros("at").alias("exit_ts"), F.col("price").alias("exit_price"), "closing")
+    stop, target = F.col("exit_price") <= F.col("stop_loss_price"), F.col("exit_price") >= F.col("take_profit_price")
+    reason = F.when(stop, "STOP_LOSS").when(target, "TAKE_PROFIT").when(F.col("closing"), "MARKET_CLOSE")
+    found = entries.join(exits, F.col("entry_id").cast("string") == F.col("_entry"), "left")
+    return found.withColumn("exit_reason", reason).drop("_entry", "closing")
 
 
 def bracket_exits(
-    entries: DataFrame, bars: DataFrame, block_seconds: int = 1800,
-    slippage: float = SLIPPAGE, commission: float = COMMISSION,
+    entries: DataFrame, bars: DataFrame, slippage: float = SLIPPAGE, commission: float = COMMISSION,
 ) -> DataFrame:
     """Trades table: positions opened by ``entries`` with their exits, costs and result.
 
@@ -125,7 +166,7 @@ def bracket_exits(
     take_profit_price. Positions that meet no exit stay OPEN.
     """
     held = open_positions(entries, slippage, commission)
-    df = first_exits(held, bars, block_seconds)
+    df = first_exits(held, bars)
     sell = F.col("exit_price") * (1 - slippage)
     df = df.withColumns(
         {
@@ -145,14 +186,46 @@ def bracket_exits(
 _OPEN = 2**62
 
 
-def _step_back(chains: Column, x: Column) -> Column:
-    """Prepend an entry to the chains of the later ones of its day: (last start, when the chain's last trade ends)."""
-    later = F.get(F.filter(chains, lambda c: c["last"] >= x["end"]), 0)
-    out = F.coalesce(later["out"], x["end"])
-    same = F.get(chains, 0)["out"] == out
-    return F.when(F.coalesce(same, F.lit(False)), chains).otherwise(
-        F.concat(F.array(F.struct(x["start"].alias("last"), out.alias("out"))), chains)
-    )
+def kept_trades(starts: list[int], ends: list[int], until: int) -> tuple[list[bool], int]:
+    """Which trades, in order of their start, begin when no kept one is open; and until when the last kept one is."""
+    keep = []
+    for start, end in zip(starts, ends):
+        keep.append(start >= until)
+        until = end if keep[-1] else until
+    return keep, until
+
+
+def _chains(table: pa.Table) -> pa.Table:
+    """For each start of a day, when the chain of trades kept from there on ends; equal ends meet in the latest start."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("start", "entry_id", "end"))))
+    starts = [r[0] for r in rows]
+    out: list[int] = [0] * len(rows)
+    for i in range(len(rows) - 1, -1, -1):
+        following = max(bisect.bisect_left(starts, rows[i][2]), i + 1)
+        out[i] = out[following] if following < len(rows) else rows[i][2]
+    last = [i for i in range(len(rows)) if i + 1 == len(rows) or out[i + 1] != out[i]]
+    return pa.table({
+        "symbol": table.column("symbol").slice(0, 1).take([0] * len(last)), "day": table.column("day").slice(0, 1).take([0] * len(last)),
+        "start": pa.array([starts[i] for i in last], pa.int64()), "out": pa.array([out[i] for i in last], pa.int64()),
+    })
+
+
+def _carried(table: pa.Table) -> pa.Table:
+    """Along the days of a symbol: until when a position is held as each day begins."""
+    table = table.sort_by([("day", "ascending"), ("start", "ascending")])
+    days, until, now = [], [], -_OPEN
+    for day, chains in groupby(zip(*(table.column(c).to_pylist() for c in ("day", "start", "out"))), key=lambda r: r[0]):
+        days.append(day)
+        until.append(now)
+        now = next((out for _, start, out in chains if start >= now), now)
+    return pa.table({"symbol": table.column("symbol").slice(0, 1).take([0] * len(days)), "day": pa.array(days, pa.date32()), "until": pa.array(until, pa.int64())})
+
+
+def _kept_of_day(_key: tuple, trades: pa.Table, held: pa.Table) -> pa.Table:
+    order = sorted(range(trades.num_rows), key=lambda i: (trades.column("start")[i].as_py(), trades.column("entry_id")[i].as_py()))
+    trades = trades.take(pa.array(order, pa.int64()))
+    keep, _ = kept_trades(trades.column("start").to_pylist(), trades.column("end").to_pylist(), held.column("until")[0].as_py())
+    return trades.select(["entry_id"]).filter(pa.array(keep, pa.bool_()))
 
 
 def one_position_at_a_time(trades: DataFrame) -> DataFrame:
@@ -161,36 +234,16 @@ def one_position_at_a_time(trades: DataFrame) -> DataFrame:
     Per (symbol, day) the trades are reduced to chains: for each start, when the chain of trades kept from there on
     ends. Chains meet soon, so a day leaves few. Along the days of a symbol only the time until which a position is
     held is carried; with it every day keeps its own trades. Entries of a day are bounded by its bars, days by the
-    calendar. With equal times the smaller entry_id comes first.
+    calendar. With equal times the smaller entry_id comes first. Work is linear but for sorting.
     """
-    item = F.struct(
-        F.unix_micros("ts").alias("start"), F.col("entry_id").alias("id"),
-        F.coalesce(F.unix_micros("exit_ts"), F.lit(_OPEN)).alias("end"), F.struct(*trades.columns).alias("row"),
+    trades = written_table(trades, "trades")
+    narrow = trades.select(
+        "symbol", F.to_date("ts").alias("day"), F.col("entry_id"), F.unix_micros("ts").alias("start"),
+        F.coalesce(F.unix_micros("exit_ts"), F.lit(_OPEN)).alias("end"),
     )
-    day = F.to_date("ts").alias("day")
-    per_day = trades.groupBy("symbol", day).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    per_day = written_table(per_day, "trades-by-day")  # read twice below
-    chains = F.aggregate(F.reverse("items"), F.array().cast("array<struct<last:bigint,out:bigint>>"), _step_back)
-    days = per_day.select("symbol", F.struct("day", chains.alias("chains")).alias("d"))
-    days = days.groupBy("symbol").agg(F.array_sort(F.collect_list("d")).alias("days"))
-
-    def carry(acc: Column, d: Column) -> Column:
-        out = F.get(F.filter(d["chains"], lambda c: c["last"] >= acc["until"]), 0)["out"]
-        return F.struct(
-            F.coalesce(out, acc["until"]).alias("until"),
-            F.concat(acc["held"], F.array(F.struct(d["day"].alias("day"), acc["until"].alias("until")))).alias("held"),
-        )
-
-    begin = F.struct(F.lit(-_OPEN).alias("until"), F.array().cast("array<struct<day:date,until:bigint>>").alias("held"))
-    held = days.select("symbol", F.inline(F.aggregate("days", begin, carry, lambda a: a["held"])))
-
-    def keep(acc: Column, x: Column) -> Column:
-        free = x["start"] >= acc["until"]
-        return F.when(
-            free, F.struct(x["end"].alias("until"), F.concat(acc["rows"], F.array(x["row"])).alias("rows"))
-        ).otherwise(acc)
-
-    kept = per_day.join(held, ["symbol", "day"])
-    none = F.slice(F.transform("items", lambda x: x["row"]), 1, 0)
-    rows = F.aggregate("items", F.struct(F.col("until").alias("until"), none.alias("rows")), keep, lambda a: a["rows"])
-    return kept.select(F.inline(rows))
+    days = ["symbol", "day"]
+    chains = narrow.groupBy(*days).applyInArrow(_chains, "symbol string, day date, start long, out long")
+    held = chains.groupBy("symbol").applyInArrow(_carried, "symbol string, day date, until long")
+    kind = trades.schema["entry_id"].dataType.simpleString()
+    kept = narrow.groupBy(*days).cogroup(held.groupBy(*days)).applyInArrow(_kept_of_day, f"entry_id {kind}")
+    return trades.join(kept, "entry_id", "left_semi")

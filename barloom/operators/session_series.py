@@ -6,7 +6,7 @@ one Window operator per level over a single exchange and sort.
 
 from __future__ import annotations
 
-from barloom.functions.frames import FrameText, span_alpha
+from barloom.functions.frames import SESSION_BARS, FrameText, span_alpha
 
 WILDER = 1.0 / 14.0
 
@@ -43,7 +43,7 @@ def row_values(fr: FrameText, columns) -> Level:
 
 def bar_windows(fr: FrameText, columns) -> Level:
     """Windows over bar columns."""
-    out = {"_vol_rank": fr.rank_before("_n")}
+    out = {"_vols_near": fr.rank_near("volume")}
     if "trade_count" in columns:
         out["_trade_count1"] = fr.lag("trade_count")
     out |= {
@@ -91,9 +91,10 @@ def bar_windows(fr: FrameText, columns) -> Level:
     return out
 
 
-def single_bars() -> Level:
-    """Values of single earlier bars, read from the lists: a lag would be one more frame each."""
-    out = {f"_c{i}": f"try_element_at(_closes30, -{i})" for i in (*range(1, 7), 10)}
+def single_bars(fr: FrameText, session_bars: int) -> Level:
+    """Values of single earlier bars, read from the lists: a lag would be one more frame each; and the volume's rank."""
+    out = {"_vol_rank": fr.rank_before("_n", "_volume", "_vols_near", session_bars)}
+    out |= {f"_c{i}": f"try_element_at(_closes30, -{i})" for i in (*range(1, 7), 10)}
     out |= {f"_v{i}": f"try_element_at(_vols10, -{i})" for i in (1, 2)}
     out |= {f"_mid{i}": f"try_element_at(_mids5, -{i})" for i in (1, 5)}
     out |= {f"_hl2_{i}": f"try_element_at(_hl2s30, -{i})" for i in (1, 2, 3, 4, 27, 28, 29, 30)}
@@ -177,8 +178,9 @@ def signal_line(fr: FrameText) -> Level:
     return {name: fr.ema_of(name, "(_n - 1)", alpha) for name, (_, alpha) in SIGNAL.items()}
 
 
-def series_levels(fr: FrameText, columns) -> list[Level]:
+def series_levels(fr: FrameText, columns, session_bars: int = SESSION_BARS) -> list[Level]:
     return [
-        row_values(fr, columns), fr.rank_digits("_n"), fr.rank_sums("_volume", "volume IS NOT NULL"), bar_windows(fr, columns), single_bars(), changes(), change_windows(fr), averages_now(fr),
+        row_values(fr, columns), fr.rank_digits("_n", session_bars), fr.rank_sums("_volume", "volume IS NOT NULL", session_bars),
+        bar_windows(fr, columns), single_bars(fr, session_bars), changes(), change_windows(fr), averages_now(fr),
         averages_before(fr), signal_windows(fr), signal_line(fr),
     ]

@@ -6,7 +6,7 @@ from itertools import zip_longest
 
 from pyspark.sql import DataFrame
 
-from barloom.functions.frames import FrameText
+from barloom.functions.frames import SESSION_BARS, FrameText
 from barloom.functions.text import apply_levels, needed_levels
 from barloom.operators import microstructure as M
 from barloom.operators import patterns as P
@@ -23,7 +23,9 @@ def _merge(*series: list[Level]) -> list[Level]:
     return [{k: v for part in parts for k, v in part.items()} for parts in zip_longest(*series, fillvalue={})]
 
 
-def feature_levels(fr: FrameText, columns, multiplier: float = 1.0, max_risk_pct: float | None = None) -> list[Level]:
+def feature_levels(
+    fr: FrameText, columns, multiplier: float = 1.0, max_risk_pct: float | None = None, session_bars: int = SESSION_BARS
+) -> list[Level]:
     """All projections in order; a level reads only columns of the levels before it."""
     main = (
         {"n_hist": "_n"} | M.quote_features(columns) | M.volume_features(columns) | T.bollinger_bands()
@@ -31,7 +33,7 @@ def feature_levels(fr: FrameText, columns, multiplier: float = 1.0, max_risk_pct
         | P.impulse_vector()
     )
     return [
-        *series_levels(fr, columns),
+        *series_levels(fr, columns, session_bars),
         *_merge([T.atr() | P.level_marks(), P.nearest_levels()], T.range_levels(), P.swing_levels()),
         main,
         *_merge(
@@ -62,7 +64,7 @@ def spread_sessions(bars: DataFrame) -> DataFrame:
 def feature_table(
     bars: DataFrame, daily: DataFrame | None = None, min_history: int | None = None,
     columns: list[str] | None = None, atr_multiplier: float = 1.0, max_risk_pct: float | None = None,
-    day_sessions: bool = False,
+    day_sessions: bool = False, session_bars: int = SESSION_BARS,
 ) -> DataFrame:
     """Features for every bar.
 
@@ -70,12 +72,12 @@ def feature_table(
     optionally bid_px, ask_px, bid_sz, ask_sz, trade_count. ``columns`` names the wanted features, optional
     ones included; by default all but the optional ones. Only what they depend on is planned.
     With ``day_sessions`` the session is the trade date, so the daily join uses the partitioning of the
-    windows and the bars are exchanged once instead of twice.
+    windows and the bars are exchanged once instead of twice. ``session_bars`` is the most bars a session may have.
     """
     fr = FrameText()
     names = columns if columns is not None else feature_names(bars.columns)
     wanted = list(names) + ([] if min_history is None or "n_hist" in names else ["n_hist"])
-    levels = needed_levels(feature_levels(fr, bars.columns, atr_multiplier, max_risk_pct), wanted)
+    levels = needed_levels(feature_levels(fr, bars.columns, atr_multiplier, max_risk_pct, session_bars), wanted)
     reads_daily = any(c in text for level in levels for text in level.values() for c in DAILY_COLUMNS)
     if not reads_daily:
         spread = spread_sessions(bars)

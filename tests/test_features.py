@@ -126,7 +126,8 @@ def test_rank_among_earlier_values_of_a_long_session(spark):
     fr = FrameText()
     df = spark.createDataFrame([("a", "s", i, v) for i, v in enumerate(values)], "symbol string, session string, ts long, volume double")
     df = apply_levels(df, [
-        {"_n": fr.index(), "_volume": "coalesce(volume, 0D)"}, fr.rank_digits("_n"), fr.rank_sums("_volume", "volume IS NOT NULL"), {"r": fr.rank_before("_n")},
+        {"_n": fr.index(), "_volume": "coalesce(volume, 0D)", "_near": fr.rank_near("volume")}, fr.rank_digits("_n"), fr.rank_sums("_volume", "volume IS NOT NULL"),
+        {"r": fr.rank_before("_n", "_volume", "_near")},
     ])
     got = [r["r"] for r in df.orderBy("ts").collect()]
     seen: list[float] = []
@@ -137,6 +138,15 @@ def test_rank_among_earlier_values_of_a_long_session(spark):
             bisect.insort(seen, now)
 
 
+def test_sessions_longer_than_stated_are_refused(spark):
+    n = 64 * 32 + 1
+    bars = spark.createDataFrame([("a", "s", i, 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(n)], "symbol string, session string, ts long, open double, high double, low double, close double, volume double")
+    name = ["Volume_Percentile_Intraday"]
+    assert feature_table(bars, columns=name).count() == n
+    with pytest.raises(Exception, match="session_bars"):
+        feature_table(bars, columns=name, session_bars=n - 1).collect()
+
+
 def test_projection_holds_no_long_lists(spark):
     """A session of many bars: no column of any level is a list of more than 100 values."""
     n = 3_000

@@ -164,7 +164,24 @@ def loop_exit(entry, bars):
     return None, None
 
 
-def test_exits_equal_loops_over_days_and_weekends(spark):
+def test_first_position_of_a_tree_equals_a_scan():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 8, 100, 1000):
+        price = np.round(100 + rng.normal(0, 1, n).cumsum(), 1)
+        price[rng.random(n) < 0.05] = np.nan
+        always = rng.random(n) < 0.01
+        start = rng.integers(0, n + 1, 300)
+        stop, target = 100 - rng.exponential(3, 300), 100 + rng.exponential(3, 300)
+        found = exits.ExtremeTree(price, price, always).first(start, stop, target)
+        for i in range(300):
+            ends = [j for j in range(start[i], n) if price[j] <= stop[i] or price[j] >= target[i] or always[j]]
+            assert found[i] == (ends[0] if ends else -1)
+
+
+@pytest.mark.parametrize("together", [50_000, 7])
+def test_exits_equal_loops_over_days_and_weekends(spark, monkeypatch, together):
+    """Also with a key whose probes are dealt into parts, each of which meets the whole series."""
+    monkeypatch.setattr(exits, "PROBES_TOGETHER", together)
     rnd = random.Random(5)
     start = dt.datetime(2024, 1, 4, 15, 0)  # a Thursday
     bars, price = [], 100.0
@@ -182,7 +199,7 @@ def test_exits_equal_loops_over_days_and_weekends(spark):
         "entry_id long, symbol string, ts timestamp, current_price double, budget double, stop_loss_price double, take_profit_price double",
     )
     bdf = spark.createDataFrame([("a", t, c) for t, c in bars], "symbol string, ts timestamp, close double")
-    got = {r["entry_id"]: r for r in exits.bracket_exits(edf, bdf, 3600).collect()}
+    got = {r["entry_id"]: r for r in exits.bracket_exits(edf, bdf).collect()}
     assert len(got) == len(entries)
     reasons = set()
     for e in entries:
@@ -210,6 +227,7 @@ def test_one_position_at_a_time(spark):
     assert sorted(r["entry_id"] for r in exits.one_position_at_a_time(df).collect()) == [1, 3, 5]
     assert df.filter(F.col("entry_id").isNull()).count() == 0
 
+
 def test_positions_across_days_equal_a_loop(spark):
     rnd = random.Random(8)
     rows, i = [], 0
