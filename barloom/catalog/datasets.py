@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import register, stated
 from barloom.catalog.sql_parts import r6, to6
-from barloom.operators import clean, evaluate, prepare
+from barloom.operators import clean, evaluate, neighbours, prepare
 from barloom.operators import patterns as P
 from barloom.operators.order_stats import exact_medians
 from barloom.sources import driver_tables as D
@@ -497,6 +497,35 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("mi_score", to6("mi_score"))
 
 
+_NEAR = {"quantity": "CAST(l_quantity AS BIGINT)", "cents": "CAST(round(l_extendedprice * 100) AS BIGINT)", "partkey": "l_partkey", "days": "datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE))"}
+
+
+def _digamma_sql(m: str) -> str:
+    """Ten steps of the recurrence, then the series."""
+    z = f"({m} + 10.0)"
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) - list_sum(list_transform(range(0, 10), lambda i: 1.0 / ({m} + i))))"
+
+
+# whole numbers, so nearer than r is within r - 0.5
+_NEAR_SQL = f"""WITH v AS ({' UNION ALL '.join(f"SELECT '{n}' AS feature, l_returnflag AS y, {x} AS x FROM lineitem" for n, x in _NEAR.items())}),
+d AS (SELECT feature, y, x, {', '.join(f"abs({f}(x, {i}) OVER c - x) AS {f}{i}" for f in ('lag', 'lead') for i in (1, 2, 3))},
+  count(*) OVER (PARTITION BY feature, y) AS ny, count(*) OVER (PARTITION BY feature) AS n FROM v WINDOW c AS (PARTITION BY feature, y ORDER BY x)),
+r AS (SELECT *, CAST(list_sort(list_filter([lag1, lag2, lag3, lead1, lead2, lead3], lambda t: t IS NOT NULL))[3] AS DOUBLE) AS r FROM d),
+m AS (SELECT *, count(*) OVER (PARTITION BY feature ORDER BY CAST(x AS DOUBLE) RANGE BETWEEN greatest(r - 0.5, 0.0) PRECEDING AND greatest(r - 0.5, 0.0) FOLLOWING) AS m FROM r)
+SELECT feature, round(greatest(0, any_value({_digamma_sql('n')}) + {_digamma_sql('3')} - avg({_digamma_sql('ny')}) - avg({_digamma_sql('m')})), 6) AS mi_score FROM m GROUP BY feature"""
+
+
+@register("neighbour_information", _NEAR_SQL)
+def neighbour_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-neighbour mutual information of numeric columns with a class."""
+    days = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date"))
+    rows = D.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("y"), F.col("l_quantity").alias("quantity"), F.round(F.col("l_extendedprice") * 100).alias("cents"),
+        F.col("l_partkey").alias("partkey"), days.alias("days"),
+    )
+    return neighbours.neighbour_information(rows, "y", list(_NEAR)).withColumn("mi_score", F.round("mi_score", 6))
+
+
 @register(
     "valid_reasons",
     """SELECT o_orderkey, reason FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'reached_2r_success'

@@ -257,8 +257,8 @@ def anova_f(df: DataFrame, target: str, features: list[str]) -> DataFrame:
 def mutual_information(df: DataFrame, target: str, features: list[str], cuts: dict[str, list[float]]) -> DataFrame:
     """Mutual information (nats) of each binned feature with the target, from a contingency table.
 
-    ``cuts`` are inner bin edges; a value equal to an edge falls into the bin above it. This replaces a
-    nearest-neighbour estimate, which needs all pairs.
+    ``cuts`` are inner bin edges; a value equal to an edge falls into the bin above it. For the estimate by nearest
+    neighbours see `neighbours.neighbour_information`.
     """
     def bin_of(c: str) -> Column:
         b = F.lit(0)
