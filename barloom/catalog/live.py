@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from barloom.catalog import register
+from barloom.catalog import SQL, register
 from barloom.catalog.features import R_LEVELS, features
 from barloom.catalog.signals import (
     CANDIDATES_SQL,
@@ -14,14 +14,17 @@ from barloom.catalog.signals import (
     SCREEN_SQL,
     LEVEL_COLUMNS,
     candidates,
+    entry_rows,
     level_rows,
 )
 from barloom.catalog.sql_parts import BARS, DAILY, SERIES, TICKS, WINDOWS, level, r6, to6
 from barloom.operators import labels
-from barloom.session import scratch_path
+from barloom.session import scratch_path, written_table
 from barloom.sources import driver_tables as D
 from barloom.streaming import live as L
 from barloom.streaming import quotes as Q
+from barloom.streaming import stateful
+from barloom.streaming.progress import ProgressTable
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,15 +96,19 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "stream_dedupe",
-    "SELECT user_id, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS minute_s, count(*) > 0 AS seen FROM events GROUP BY 1, 2",
+    """SELECT user_id, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS minute_s,
+  max(value) + CASE WHEN floor(epoch(ts) / 60) % 3 = 0 THEN 1000 ELSE 0 END AS value FROM events GROUP BY 1, 2, floor(epoch(ts) / 60)""",
 )
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every bar arrives twice; the first per key survives."""
-    e = event_stream(spark, sf_dir).select(
-        F.col("user_id").alias("symbol"), F.date_trunc("minute", "ts").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("poll")
-    )
-    df = spark.read.parquet(drain(Q.first_bars(e, "31 days").writeStream, spark))
-    return df.select(F.col("symbol").alias("user_id"), F.unix_seconds("ts").alias("minute_s"), F.lit(True).alias("seen"))
+    """Two polls that overlap and differ: the second has other values and every third minute that the first had not."""
+    e = D.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("symbol"), F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("ts"))
+    once = e.agg(F.max("value").alias("value"))
+    path = scratch_path(spark, "polls")
+    once.filter(F.unix_seconds("ts") / 60 % 3 != 0).coalesce(1).write.mode("append").parquet(path)
+    once.withColumn("value", F.col("value") + 1000).coalesce(1).write.mode("append").parquet(path)
+    polls = Q.stream_table(spark, path, spark.read.parquet(path).schema, max_files=1)
+    df = spark.read.parquet(drain(Q.first_bars(polls, "31 days").writeStream, spark))
+    return df.select(F.col("symbol").alias("user_id"), F.unix_seconds("ts").alias("minute_s"), "value")
 
 
 @register(
@@ -169,10 +176,30 @@ def live_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _screened(L.assess(L.latest_feature_rows(D.event_bars(spark, sf_dir)), _score))
 
 
+def _in_files(df: DataFrame, name: str, part: Column, files: int) -> tuple[str, DataFrame]:
+    """The rows in files by ``part``, written one after the other, and the stream that takes a file a trigger."""
+    spark = df.sparkSession
+    path, dealt = scratch_path(spark, name), written_table(df.withColumn("_part", part), name)
+    for i in range(files):
+        dealt.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path, Q.stream_table(spark, path, spark.read.parquet(path).schema, max_files=1)
+
+
 @register("stream_screen", _LIVE)
 def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live path as a stream: the micro-batch of new bars is screened against the store and written by its number;
-    a second run of the same batch changes nothing."""
+    """The live path as a stream of several triggers whose bars come in no order, with the last bars in the state."""
+    _, bars = _in_files(D.event_bars(spark, sf_dir), "bars", F.pmod(F.xxhash64("symbol", "ts"), F.lit(4)), 4)
+    out = scratch_path(spark, "screened")
+    stateful.run_screen(bars, _score, out, scratch_path(spark, "progress"), availableNow=True).awaitTermination()
+    done = spark.read.parquet(out)
+    last = done.groupBy("symbol").agg(F.max("batch_id").alias("batch_id"))
+    return _screened(done.join(last, ["symbol", "batch_id"]))
+
+
+@register("stream_screen_store", _LIVE)
+def stream_screen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live path against a store: the micro-batch of new bars is screened with the stored ones and written by its
+    number; a second run of the same batch changes nothing."""
     bars_path, out = scratch_path(spark, "bars"), scratch_path(spark, "screened")
     D.event_bars(spark, sf_dir).write.parquet(bars_path)
     schema = spark.read.parquet(bars_path).schema
@@ -188,6 +215,45 @@ def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _screened(spark.read.parquet(out))
 
 
+@register(
+    "stream_positions",
+    f"{SQL['one_position_at_a_time'].split('SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts_s, exit_reason,')[0]}"
+    "SELECT k.symbol, CAST(epoch(k.ts) AS BIGINT) AS ts_s, CAST(epoch(t.bts) AS BIGINT) AS exit_s, k.exit_reason FROM kept k JOIN trades t USING (symbol, ts) WHERE t.bts IS NOT NULL",
+)
+def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions opened and closed on the stream, held over triggers: as the position rule over all trades, but for open ones."""
+    events = stateful.position_events(D.event_bars(spark, sf_dir), entry_rows(spark, sf_dir))
+    # four triggers of a week or so each
+    part = F.least(F.floor((F.col("at") / 1e6 - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / (8 * 86_400)), F.lit(3)).cast("int")
+    _, stream = _in_files(events, "position-events", F.greatest(part, F.lit(0)), 4)
+    with stateful.state_store(spark):
+        closed = spark.read.parquet(drain(stateful.closed_positions(stream).writeStream, spark))
+    return closed.select("symbol", F.unix_seconds("ts").alias("ts_s"), F.unix_seconds("exit_ts").alias("exit_s"), "exit_reason")
+
+
+@register(
+    "stream_progress",
+    "SELECT 'ticks' AS name, CAST(4 AS BIGINT) AS batches, count(*) AS input_rows, epoch_us(max(ts)) // 1000 AS newest_ms, CAST(120 AS DOUBLE) AS final_lag_seconds FROM events",
+)
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress rows of a drained query: its triggers, their rows, the newest event, and how far the last watermark is behind it."""
+    rows = D.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    _, stream = _in_files(rows, "ticks", F.pmod(F.xxhash64("ts", "user_id"), F.lit(4)), 4)
+    table = ProgressTable(spark, scratch_path(spark, "query-progress"), every=3)
+    spark.streams.addListener(table)
+    try:
+        counted = stream.withWatermark("ts", "2 minutes").groupBy(F.window("ts", "1 minute")).count()
+        drain(counted.select("window.start", "count").writeStream.queryName("ticks"), spark)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(table)
+    rows = F.col("input_rows") > 0  # a last trigger without rows reports the final watermark
+    lag = (F.unix_millis(F.max("newest_event")) - F.unix_millis(F.max("watermark"))) / 1000
+    return table.table().groupBy("name").agg(
+        F.count_if(rows).alias("batches"), F.sum("input_rows").alias("input_rows"), F.unix_millis(F.max("newest_event")).alias("newest_ms"), lag.alias("final_lag_seconds"),
+    )
+
+
 _GATE = ", ".join(
     [CANDIDATES_SQL] + [level(f"q{i}", "s" if i == 0 else f"q{i - 1}", c) for i, c in enumerate([*R_LEVELS, LEVELS_SQL, {"why": SCREEN_SQL}])]
 )
@@ -229,6 +295,25 @@ def replay_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.replay_offset(D.event_bars(spark, sf_dir), 45, now).select("symbol", F.unix_seconds("ts").alias("ts_s"))
 
 
+_REPLAYS = "SELECT DISTINCT o_orderkey, TIMESTAMP '2024-01-02 00:00:00' + INTERVAL 37 MINUTE * (o_orderkey % 1000) AS replay_at FROM orders"
+
+
+@register(
+    "replay_many",
+    f"""WITH {BARS}, times AS (SELECT DISTINCT replay_at FROM ({_REPLAYS}))
+SELECT CAST(epoch(replay_at) AS BIGINT) AS replay_s, count(*) AS bars, CAST(epoch(max(ts)) AS BIGINT) AS newest_s, {r6('sum(volume)')} AS volume
+FROM times JOIN bars ON trade_date = CAST(replay_at AS DATE) AND ts <= replay_at - INTERVAL 1 MINUTE GROUP BY replay_at""",
+)
+def replay_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of a thousand replay times sees."""
+    start = F.unix_seconds(F.lit("2024-01-02").cast("timestamp"))
+    times = D.table(spark, sf_dir, "orders").select(F.timestamp_seconds(start + 37 * 60 * (F.col("o_orderkey") % 1000)).alias("replay_at"))
+    seen = L.replay_many(D.event_bars(spark, sf_dir), times)
+    return seen.groupBy(F.unix_seconds("replay_at").alias("replay_s")).agg(
+        F.count(F.lit(1)).alias("bars"), F.unix_seconds(F.max("ts")).alias("newest_s"), to6(F.sum("volume")).alias("volume")
+    )
+
+
 @register(
     "entry_signals",
     f"""WITH {_GATE}, p AS (SELECT *, min(low) OVER hist AS lo, max(high) OVER hist AS hi FROM {_LAST_LEVEL} WINDOW {WINDOWS}),

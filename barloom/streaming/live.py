@@ -54,15 +54,18 @@ def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
     )
 
 
-def seen_by_batch(history: DataFrame, batch: DataFrame, days: int = 7) -> DataFrame:
-    """Stored bars of the batch's symbols up to the batch's last bar, and not older than ``days`` before its first.
+def seen_by_batch(history: DataFrame, batch: DataFrame, days: int | None = None) -> DataFrame:
+    """Stored bars of the batch's symbols up to the batch's last bar, of any age.
 
-    The two times are read from the batch, so the store is pruned by date and later bars stay unseen.
+    ``days`` is for callers who know that so many days before the batch's first bar hold all they need: the store is
+    then pruned by date. A symbol that trades seldom loses bars by it; `stateful.last_bars` needs no store at all.
     """
     first, final = batch.agg(F.min("ts"), F.max("ts")).first()
     if first is None:
         return history.limit(0)
-    known = history.filter((F.col("ts") >= F.lit(first) - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col("ts") <= F.lit(final)))
+    known = history.filter(F.col("ts") <= F.lit(final))
+    if days is not None:
+        known = known.filter(F.col("ts") >= F.lit(first) - F.expr(f"INTERVAL {int(days)} DAYS"))
     return known.join(batch.select("symbol").distinct(), "symbol", "left_semi")
 
 
@@ -93,6 +96,28 @@ def replay_asof(bars: DataFrame, at: Column) -> DataFrame:
     )
 
 
+def replay_many(bars: DataFrame, times: DataFrame, minutes: int = 60) -> DataFrame:
+    """``replay_at`` and the bars that a replay at it may see, for every row of ``times`` (replay_at): one equi-join.
+
+    A day is cut into buckets of ``minutes``. A replay time meets all buckets of its date up to its own, and only in that
+    one are times compared; so a day that holds most bars, or most replay times, is dealt to as many keys as it has
+    buckets. Equal replay times are one; a NULL time sees nothing.
+    """
+    width = minutes * 60
+    seen = F.col("replay_at") - F.expr("INTERVAL 1 MINUTE")
+
+    def bucket(at: Column) -> Column:
+        return F.floor((F.unix_seconds(at) - F.unix_seconds(F.date_trunc("day", at))) / width)
+
+    upto = F.when(F.to_date(seen) == F.to_date("replay_at"), F.sequence(F.lit(0).cast("long"), bucket(seen)))
+    wanted = times.select("replay_at").distinct().withColumns({"_until": seen, "_last": bucket(seen)})
+    wanted = wanted.select("replay_at", "_until", "_last", F.to_date("replay_at").alias("_date"), F.explode(upto).alias("_bucket"))
+    # a bar's own date decides, and its time within it
+    dealt = bars.withColumns({"_date": F.col("trade_date"), "_bucket": F.when(F.to_date("ts") == F.col("trade_date"), bucket(F.col("ts")))})
+    met = dealt.join(wanted, ["_date", "_bucket"]).filter((F.col("_bucket") < F.col("_last")) | (F.col("ts") <= F.col("_until")))
+    return met.select("replay_at", *bars.columns)
+
+
 def replay_offset(bars: DataFrame, minutes: int, now: Column | None = None) -> DataFrame:
     """Replay at a fixed distance behind the clock."""
     clock = now if now is not None else F.current_timestamp()
