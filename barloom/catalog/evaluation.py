@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import register
 from barloom.catalog.sql_parts import r6, to6
+from barloom.operators import boosting
 from barloom.operators import evaluate as E
 from barloom.operators import models as M
 from barloom.operators import prepare
@@ -316,14 +317,57 @@ split AS (SELECT doc_id, lang, buy, CASE WHEN r <= ceil(n * 0.15) THEN 'test' WH
 @register(
     "train_per_symbol",
     f"""WITH {_SPLIT} SELECT lang AS symbol, count(*) AS rows, CASE WHEN count(DISTINCT buy) = 2 THEN 'Success' ELSE 'Error' END AS status,
-  true AS ranked FROM split WHERE split <> 'test' GROUP BY 1 UNION ALL SELECT 'absent', 0, 'Error', true""",
+  CASE WHEN count(DISTINCT buy) < 2 THEN 'one class' END AS error, true AS ranked FROM split WHERE split <> 'test' GROUP BY 1 UNION ALL SELECT 'absent', 0, 'Error', 'no rows', true""",
 )
 def train_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit per language and one symbol without rows: rows and status are stated, the AUC only has to be one."""
     rows = written_table(split_rows(spark, sf_dir), "split-rows")
     symbols = sorted(r["symbol"] for r in rows.select("symbol").distinct().collect())  # a handful of languages
     out = M.train_per_symbol(rows, [*symbols, "absent"], FEATURES, "buy", small)
-    return out.select("symbol", "rows", "status", F.coalesce(F.col("auc").between(0, 1), F.lit(True)).alias("ranked"))
+    return out.select("symbol", "rows", "status", "error", F.coalesce(F.col("auc").between(0, 1), F.lit(True)).alias("ranked"))
+
+
+_STUMP_CUTS = {"l_quantity": [10.0, 20.0, 30.0, 40.0], "l_discount": [0.02, 0.05, 0.08], "l_tax": [0.02, 0.04, 0.06]}
+_STUMP_CODES = ", ".join(f"[{i}, {' + '.join(f'CAST({c} > {e} AS INT)' for e in cuts)} + 1]" for i, (c, cuts) in enumerate(_STUMP_CUTS.items()))
+
+
+@register(
+    "boosted_stumps",
+    f"""WITH r AS (SELECT CAST(l_linenumber AS VARCHAR) AS symbol, CAST(l_returnflag = 'R' AS INT) AS y, [{_STUMP_CODES}] AS codes FROM lineitem),
+b AS (SELECT symbol, count(*) AS n, ln(sum(y) / (count(*) - sum(y))) AS base, avg(y) AS q FROM r GROUP BY 1),
+c AS (SELECT symbol, q - y AS g, q * (1 - q) AS h, unnest(codes) AS code FROM r JOIN b USING (symbol)),
+k AS (SELECT symbol, code[1] AS feature, code[2] AS bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM c GROUP BY 1, 2, 3),
+s AS (SELECT *, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(n) OVER u AS nl, sum(g) OVER a AS gt, sum(h) OVER a AS ht, sum(n) OVER a AS nt FROM k
+  WINDOW a AS (PARTITION BY symbol, feature), u AS (PARTITION BY symbol, feature ORDER BY bin)),
+w AS (SELECT *, round(gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1), 9) AS gain FROM s WHERE nl >= 5 AND nt - nl >= 5),
+t AS (SELECT * FROM w WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY gain DESC, feature, bin) = 1)
+SELECT symbol, b.n AS rows, round(base, 6) AS base, CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(gain, 6) AS gain,
+  round(-0.3 * gl / (hl + 1), 6) AS low_leaf, round(-0.3 * (gt - gl) / (ht - hl + 1), 6) AS high_leaf FROM t JOIN b USING (symbol)""",
+)
+def boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of one split for every line number: base, best split and leaves."""
+    rows = D.table(spark, sf_dir, "lineitem").withColumns({"symbol": F.col("l_linenumber").cast("string"), "returned": (F.col("l_returnflag") == "R").cast("int")})
+    models = boosting.fit_all(rows, list(_STUMP_CUTS), "returned", boosting.Boosting(rounds=1, depth=1), cuts=_STUMP_CUTS)
+    t = models.withColumn("t", F.get("trees", F.lit(0))).withColumn("s", F.get("t.tree", F.lit(0))).filter("s IS NOT NULL")
+    return t.select(
+        "symbol", "rows", F.round("base", 6).alias("base"), "s.feature", "s.bin", F.round("s.gain", 6).alias("gain"),
+        F.round(F.get("t.leaves", F.lit(1)), 6).alias("low_leaf"), F.round(F.get("t.leaves", F.lit(2)), 6).alias("high_leaf"),
+    )
+
+
+@register("boosted_per_symbol")
+def boosted_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees of every supplier's line items in one fit: status, rows and test AUC; a third of the items is held out."""
+    items = D.table(spark, sf_dir, "lineitem").withColumns(
+        {"symbol": F.col("l_suppkey").cast("string"), "returned": (F.col("l_returnflag") == "R").cast("int"),
+         "day": F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("double"), "held_out": F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(3)) == 0}
+    )
+    names = ["day", "l_quantity", "l_extendedprice", "l_discount"]
+    p = boosting.Boosting(rounds=5, depth=2, bins=16)
+    models = written_table(boosting.fit_all(items.filter("NOT held_out"), names, "returned", p), "boosted-models")
+    tested = boosting.score_all(items.filter("held_out").select("symbol", "returned", *names), models, names, p.depth)
+    auc = E.auc_by_model(tested.filter("probability IS NOT NULL").select("symbol", "probability", F.col("returned").alias("label")), "symbol")
+    return models.select("symbol", "status", "rows").join(auc.select("symbol", to6("auc").alias("auc")), "symbol", "left")
 
 
 @register(

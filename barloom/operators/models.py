@@ -166,10 +166,10 @@ def train_per_symbol(
     df: DataFrame, symbols: list[str], features: list[str], label: str, estimator_factory, test_col: str = "split",
     parallelism: int = 4,
 ) -> DataFrame:
-    """One distributed fit per named symbol: (symbol, rows, auc, status), ``parallelism`` fits at a time.
+    """One distributed fit per named symbol: (symbol, rows, auc, status, error), ``parallelism`` fits at a time.
 
-    Rows are counted for all symbols in one pass. A symbol of one class, or whose fit fails, has status Error and does
-    not stop the others. The symbol list is a parameter.
+    Rows are counted for all symbols in one pass. A symbol of one class, or whose fit fails, has status Error and says
+    why; it does not stop the others. The symbol list is a parameter. For very many symbols see `boosting.fit_all`.
     """
     train_rows = df.filter((F.col(test_col) != "test") & F.col("symbol").isin(symbols))
     seen = {r["symbol"]: r for r in train_rows.groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct(label).alias("k")).collect()}
@@ -177,7 +177,7 @@ def train_per_symbol(
     def run(symbol: str) -> Row:
         rows = seen[symbol]["n"] if symbol in seen else 0
         if not rows or seen[symbol]["k"] < 2:
-            return Row(symbol=symbol, rows=rows, auc=None, status="Error")
+            return Row(symbol=symbol, rows=rows, auc=None, status="Error", error="one class" if rows else "no rows")
         try:
             part = df.filter(F.col("symbol") == symbol)
             model = train_models(part.filter(F.col(test_col) != "test"), features, label, {"m": estimator_factory()})["m"]
@@ -185,13 +185,13 @@ def train_per_symbol(
                 F.lit("m").alias("model"), "probability", F.col(label).cast("int").alias("label")
             )
             found = auc_by_model(scored).first()
-            return Row(symbol=symbol, rows=rows, auc=found["auc"] if found else None, status="Success")
-        except Exception:  # noqa: BLE001  one symbol's failure is its status
-            return Row(symbol=symbol, rows=rows, auc=None, status="Error")
+            return Row(symbol=symbol, rows=rows, auc=found["auc"] if found else None, status="Success", error=None)
+        except Exception as failure:  # noqa: BLE001  one symbol's failure is its status
+            return Row(symbol=symbol, rows=rows, auc=None, status="Error", error=f"{type(failure).__name__}: {failure}")
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = list(pool.map(run, symbols))
-    return df.sparkSession.createDataFrame(rows, "symbol string, rows long, auc double, status string")
+    return df.sparkSession.createDataFrame(rows, "symbol string, rows long, auc double, status string, error string")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
