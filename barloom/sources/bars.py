@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,14 +136,39 @@ TEXT_COLUMNS = ("symbol", "RSI_Regime", "Market_Regime", "reason")
 TIME_COLUMNS = ("timestamp", "ts", "ts_event", "ts_event_clean")
 
 
+#: Files whose first lines are fetched one by one; more are read by a pass over all of them.
+FETCHED_HEADERS = 20_000
+
+
 def _headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """The first line of every file: one pass over the files as text, one row per file to the driver."""
-    lines = spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
-        F.monotonically_increasing_id().alias("i"),
-    )
-    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "i").alias("header"))
-    return {r["path"]: r["header"] for r in first.collect()}
+    """The first line of every file, by path; an empty file has none.
+
+    Only the beginning of a file is read, through the file system that the path names, many at a time. The list of files
+    is on the driver already.
+    """
+    if len(files) > FETCHED_HEADERS:
+        lines = spark.read.text(files).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
+            F.monotonically_increasing_id().alias("i"),
+        )
+        first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "i").alias("header"))
+        return {r["path"]: r["header"] for r in first.collect()}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first_line(file: str) -> str | None:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs.getCodec(path)
+            plain = codec.createInputStream(stream) if codec is not None else stream
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(32) as pool:
+        found = zip(files, pool.map(first_line, files))
+        return {f: h for f, h in found if h is not None}
 
 
 def read_monthly_csv(

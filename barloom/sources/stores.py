@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,31 +65,44 @@ def rename_parts(spark: SparkSession, path: str, column: str, folder: str, shape
 
 
 def save_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
-    """Keep the union of all written schemas beside the data, where readers find it without opening files."""
+    """Keep the union of all written schemas beside the data, where readers find it without opening files.
+
+    A writer adds a file with the schema it has written and changes no other, so writers at the same time lose nothing;
+    the file gets its name when it is complete.
+    """
     known = load_schema(spark, path)
-    fields = list(known.fields) if known else []
-    names = {f.name: f.dataType for f in fields}
-    for f in schema.fields:
-        if f.name not in names:
-            fields.append(T.StructField(f.name, f.dataType, True))
-        elif names[f.name] != f.dataType:
-            raise ValueError(f"column {f.name} is stored as {names[f.name].simpleString()}, not {f.dataType.simpleString()}")
-    merged = T.StructType(fields)
-    fs, p = _file_system(spark, f"{path.rstrip('/')}/_schema")
-    out = fs.create(p, True)
-    out.write(bytearray(merged.json().encode()))
-    out.close()
+    merged = _united([known, schema] if known else [schema])
+    if known is None or len(merged.fields) > len(known.fields):
+        name = uuid.uuid4().hex
+        fs, part = _file_system(spark, f"{path.rstrip('/')}/_being-written-{name}")
+        out = fs.create(part, True)
+        out.write(bytearray(schema.json().encode()))
+        out.close()
+        _, done = _file_system(spark, f"{path.rstrip('/')}/_schema-{name}")
+        if not fs.rename(part, done):
+            raise OSError(f"{part} could not be renamed to {done}")
     return merged
 
 
+def _united(schemas: list[T.StructType]) -> T.StructType:
+    fields: dict[str, T.StructField] = {}
+    for f in (f for s in schemas for f in s.fields):
+        known = fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
+        if known.dataType != f.dataType:
+            raise ValueError(f"column {f.name} is stored as {known.dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return T.StructType(list(fields.values()))
+
+
 def load_schema(spark: SparkSession, path: str) -> T.StructType | None:
-    fs, p = _file_system(spark, f"{path.rstrip('/')}/_schema")
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
-    return T.StructType.fromJson(json.loads(text))
+    """The union of the schemas beside the data, oldest first; None where there are none."""
+    fs, p = _file_system(spark, f"{path.rstrip('/')}/_schema*")
+    files = sorted(fs.globStatus(p) or [], key=lambda f: (f.getModificationTime(), f.getPath().toString()))
+    schemas = []
+    for f in files:
+        stream = fs.open(f.getPath())
+        schemas.append(T.StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))))
+        stream.close()
+    return _united(schemas) if schemas else None
 
 
 def write_monthly(df: DataFrame, path: str, ts: str = "timestamp", overwrite: bool = False) -> None:

@@ -1,9 +1,11 @@
 import datetime as dt
+import gzip
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.operators import clean, evaluate, order_stats, prepare, reports
 from barloom.sources import bars as B
@@ -200,3 +202,31 @@ def test_live_history_reaches_over_the_day(spark):
     assert r["n_hist"] == 59 and r["2R_Target"] is not None and "Current_Price" in names
     (s,) = live.assess(live.latest_feature_rows(bars), lambda df: df.withColumns({"prediction": F.lit(1), "probability": F.lit(0.9)})).collect()
     assert (s["screen_reason"], s["prediction"], s["probability"]) == ("conditions_met", 1, 0.9)
+
+
+def test_schemas_of_writers_at_the_same_time_are_united(spark, tmp_path):
+    path = str(tmp_path / "data")
+    fields = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
+    stores.save_schema(spark, path, fields("a", "b"))
+    seen = stores.load_schema
+    first = stores.load_schema(spark, path)
+    stores.load_schema = lambda *_: first  # both have read the schema before either writes
+    try:
+        stores.save_schema(spark, path, fields("a", "c"))
+        stores.save_schema(spark, path, fields("b", "d"))
+    finally:
+        stores.load_schema = seen
+    assert sorted(stores.load_schema(spark, path).fieldNames()) == ["a", "b", "c", "d"]
+    files = len(list((tmp_path / "data").glob("_schema-*")))
+    stores.save_schema(spark, path, fields("d", "a"))
+    assert len(list((tmp_path / "data").glob("_schema-*"))) == files
+    with pytest.raises(ValueError):
+        stores.save_schema(spark, path, T.StructType([T.StructField("a", T.StringType())]))
+
+
+def test_headers_are_first_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n" + "1,2\n" * 1000)
+    (tmp_path / "b.csv").write_text("")
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"p,q\n3,4\n"))
+    files = [f"file:{tmp_path}/{n}" for n in ("a.csv", "b.csv", "c.csv.gz")]
+    assert list(B._headers(spark, files).values()) == ["x,y", "p,q"]
