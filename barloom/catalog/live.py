@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -10,15 +11,19 @@ from barloom.catalog import SQL, register
 from barloom.catalog.features import R_LEVELS, features
 from barloom.catalog.signals import (
     CANDIDATES_SQL,
+    HORIZON,
     LEVELS_SQL,
     SCREEN_SQL,
     LEVEL_COLUMNS,
+    OUTER,
     candidates,
     entry_rows,
     level_rows,
 )
 from barloom.catalog.sql_parts import BARS, DAILY, SERIES, TICKS, WINDOWS, level, r6, to6
-from barloom.operators import labels
+from barloom.operators import labels, models
+from barloom.operators.clean import optimize_features
+from barloom.plans.features import feature_table
 from barloom.session import scratch_path, written_table
 from barloom.sources import driver_tables as D
 from barloom.streaming import live as L
@@ -196,6 +201,33 @@ def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _screened(done.join(last, ["symbol", "batch_id"]))
 
 
+_MODEL_FEATURES = ["RSI_14", "Return_5min", "Position_In_Day_Range", "Volume_Percentile_Intraday"]
+
+
+def fitted_scorer(spark: SparkSession, sf_dir: str):
+    """A pipeline fitted on labelled bars, saved and loaded again, as a live process would find it."""
+    bars = D.event_bars(spark, sf_dir)
+    labelled = written_table(labels.label_own_series(feature_table(bars, columns=[*LEVEL_COLUMNS, *_MODEL_FEATURES]), "close", HORIZON, OUTER), "labelled")
+    rows = labelled.withColumn("buy", F.col("buy").cast("int"))
+    path = scratch_path(spark, "live-model")
+    models.save_model(models.train_models(optimize_features(rows), _MODEL_FEATURES, "buy", {"m": GBTClassifier(maxIter=3, maxDepth=3, seed=42)})["m"], path)
+    return models.scorer(models.load_model(path), _MODEL_FEATURES)
+
+
+@register("stream_screen_model")
+def stream_screen_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful live path scored by a fitted pipeline, and the same rows scored by the batch path: no difference."""
+    score = fitted_scorer(spark, sf_dir)
+    bars = D.event_bars(spark, sf_dir)
+    _, stream = _in_files(bars, "bars", F.pmod(F.xxhash64("symbol", "ts"), F.lit(3)), 3)
+    out = scratch_path(spark, "screened")
+    stateful.run_screen(stream, score, out, scratch_path(spark, "progress"), availableNow=True).awaitTermination()
+    done = spark.read.parquet(out)
+    last = done.groupBy("symbol").agg(F.max("batch_id").alias("batch_id"))
+    batch = _screened(L.assess(L.latest_feature_rows(bars), score)).withColumnRenamed("probability", "batch_probability")
+    return _screened(done.join(last, ["symbol", "batch_id"])).join(batch.select("symbol", "batch_probability"), "symbol", "left")
+
+
 @register("stream_screen_store", _LIVE)
 def stream_screen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live path against a store: the micro-batch of new bars is screened with the stored ones and written by its

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -75,6 +76,14 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], threshold: f
     )
 
 
+def scorer(model: PipelineModel, features: list[str], threshold: float = 0.5) -> Callable[[DataFrame], DataFrame]:
+    """A fitted pipeline as the scorer of the live screen: adds prediction and probability to rows of features.
+
+    Features that a row's table lacks are aligned as in training, and rows keep their other columns.
+    """
+    return lambda rows: score(model, rows, features, threshold)
+
+
 def score_all(models: dict[str, PipelineModel], df: DataFrame, features: list[str], keys: list[str], label: str) -> DataFrame:
     """Long table (keys, model, probability, label) over all models."""
     out = None

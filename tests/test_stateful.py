@@ -3,9 +3,12 @@
 import datetime as dt
 import random
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from barloom.operators import exits
+from barloom.operators import exits, models
+from barloom.operators.clean import optimize_features
+from barloom.plans.features import feature_table
 from barloom.streaming import live, quotes, stateful
 
 T0 = dt.datetime(2024, 3, 6, 14, 30)
@@ -54,6 +57,26 @@ def test_screen_over_batches_equals_the_batch_screen(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != stateful._ROCKSDB
 
 
+def test_a_fitted_pipeline_scores_the_stream_as_the_batch(spark, tmp_path):
+    """Saved and loaded; rows that do not pass the screen have probability 0."""
+    rng = random.Random(9)
+    rows = bars_of(rng, ["a", "b", "c"], 120)
+    names = ["RSI_14", "Return_5min", "Position_In_Day_Range"]
+    bars = spark.createDataFrame(rows, BARS)
+    known = optimize_features(feature_table(bars)).withColumn("buy", (F.col("close") > F.col("open") * (1 + F.rand(3) / 500 - 0.001)).cast("int"))
+    models.save_model(models.train_models(known, names, "buy", {"m": GBTClassifier(maxIter=2, maxDepth=2, seed=1)})["m"], str(tmp_path / "model"))
+    scorer = models.scorer(models.load_model(str(tmp_path / "model")), names)
+    rng.shuffle(rows)
+    _, stream = fed(spark, tmp_path, [rows[:200], rows[200:]], BARS)
+    out = str(tmp_path / "out")
+    stateful.run_screen(stream(), scorer, out, str(tmp_path / "at"), availableNow=True).awaitTermination()
+    columns = ["symbol", "ts", "screen_pass", "prediction", "probability"]
+    got = spark.read.parquet(out).filter("batch_id = 1").select(columns).collect()
+    want = live.assess(live.latest_feature_rows(bars), scorer).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
+    assert all((r["probability"] > 0) == r["screen_pass"] for r in got)
+
+
 def test_positions_over_batches_equal_the_batch_rule(spark, tmp_path):
     rng = random.Random(6)
     bars = [(r[0], r[3], r[7]) for r in bars_of(rng, ["a", "b"], 300)]
