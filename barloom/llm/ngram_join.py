@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,14 +55,23 @@ def sketch(tokens: np.ndarray) -> bytes:
     never below the overlap of their sets. Empty where a count does not fit a byte: then nothing is known."""
     bits = max(4, math.ceil(math.log2(max(1, len(tokens) / 2))))
     counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+    if counts.max(initial=0) >= 256:
+        return b""
+    # the counts are nearly all 0 to 4: codes of few bits each, which the codec of a shuffle would not find
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    return deflate.compress(counts.astype(np.uint8).tobytes()) + deflate.flush()
+
+
+def _counts(s: bytes | None) -> np.ndarray:
+    """The counts of a sketch, none where nothing is known."""
+    return np.frombuffer(zlib.decompress(s, -15) if s else b"", np.uint8)
 
 
 def most_shared(s: bytes, t: bytes, n: int) -> int:
     """Bound of the overlap of two sets from their sketches, ``n`` where there is none."""
     if not s or not t:
         return n
-    a, b = np.frombuffer(s, np.uint8).astype(np.int64), np.frombuffer(t, np.uint8).astype(np.int64)
+    a, b = _counts(s).astype(np.int64), _counts(t).astype(np.int64)
     if len(a) > len(b):
         a = a.reshape(len(b), -1).sum(axis=1)
     elif len(b) > len(a):
@@ -134,7 +144,8 @@ def _posts(size: int, threshold: int, frequent, groups: int):
         for i in range(0, len(t), 50_000):
             cut = slice(i, i + 50_000)
             part, low = part_of(t[cut])
-            yield int(part[0]), 1, _named(part, low).tobytes(), n[cut].tobytes(), lead[cut].tobytes()
+            # these need no group of their token: dealt by a set, so that many copies of one text do not meet
+            yield -1 - int(n[i] % groups), 1, _named(part, low).tobytes(), n[cut].tobytes(), lead[cut].tobytes()
         t, n, r = tokens[first], nodes[first], ranks[first]
         part, t = part_of(t)
         order = np.argsort(part, kind="stable")
@@ -176,7 +187,8 @@ def _named(part: np.ndarray | int, low: np.ndarray) -> np.ndarray:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one reducing group: token, node, leader for tokens that more than one set has."""
+    """Of one reducing group: token, node, leader for tokens that more than one set has. Links made in a chunk come in
+    groups of their own and pass."""
     out = [[], [], []]
     tokens, nodes, ranks, part = [], [], [], table.column("part")[0].as_py()
     for kind, t, n, other in rows(table.select(["kind", "tokens", "nodes", "others"]).to_batches()):
@@ -224,10 +236,10 @@ def _block_pairs(threshold: int):
 
     def run(table: pa.Table) -> pa.Table:
         node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
-        sketches = table.column("sketch").to_pylist()
+        sketches = [_counts(x) for x in table.column("sketch").to_pylist()]
         smaller = [set(x) for x in table.column("smaller").to_pylist()]
-        lengths = np.array([len(x or b"") for x in sketches])
-        classes = {w: (at := np.flatnonzero(lengths == w), np.array([np.frombuffer(sketches[i], np.uint8) for i in at]) if w else None) for w in np.unique(lengths).tolist()}
+        lengths = np.array([len(x) for x in sketches])
+        classes = {w: (at := np.flatnonzero(lengths == w), np.array([sketches[i] for i in at]) if w else None) for w in np.unique(lengths).tolist()}
         labels, counts = np.unique(label, return_counts=True)
         few = label != labels[counts.argmax()]
         two = block.min() != block.max()
@@ -237,7 +249,7 @@ def _block_pairs(threshold: int):
                 own = lengths[i]
                 if width and own:
                     w = int(min(width, own))
-                    mine = _folded(np.frombuffer(sketches[i], np.uint8)[None], w)[0]
+                    mine = _folded(sketches[i][None], w)[0]
                     most = np.minimum(mine, matrix if width == w else _folded(matrix, w)).sum(axis=1, dtype=np.int64)
                 else:
                     most = np.minimum(n[i], n[at])
@@ -316,14 +328,19 @@ class _Join:
         return written(spread.groupBy("part").applyInArrow(_shared, "token long, node long, leader long"), "posts")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough. Sizes and sketches leave few others for the exact overlap,
-        for which the texts of those documents alone are read again."""
+        """The pairs (a, b, checked) whose sets are similar enough. Sizes and then sketches (where ``checked`` does not
+        say that they were held against each other) leave few others for the exact overlap, for which the texts of those
+        documents alone are read again."""
         for side in ("a", "b"):
-            own = self.nodes.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in self.nodes.columns])
-            pairs = pairs.join(own, side)
+            pairs = pairs.join(self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("rep").alias(f"rep_{side}")), side)
         near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.threshold
-        pairs = pairs.filter(near).select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b")
-        pairs = written(pairs.mapInArrow(*_possible(self.threshold)), "pairs")
+        sized = written(pairs.filter(near), "sized-pairs")
+        unseen = sized.filter("not checked")
+        for side in ("a", "b"):
+            unseen = unseen.join(self.nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+        unseen = unseen.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b")
+        passed = unseen.mapInArrow(*_possible(self.threshold)).union(sized.filter("checked").select("a", "b", "rep_a", "rep_b"))
+        pairs = written(passed, "pairs")
         used = written(pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select(F.col("rep_b").alias("doc_id"))).distinct(), "pair-docs")
         n = used.count()
         texts = self.docs.join(small_side(used, n), "doc_id", "left_semi")
@@ -335,7 +352,8 @@ class _Join:
         return written(pairs.mapInArrow(*_verified(self.threshold, self.frequent)), "links")
 
     def across(self, posts: DataFrame) -> DataFrame:
-        """a, b: different sets of different labels that share a token of ``posts`` (token, node, label, sets)."""
+        """a, b, checked: different sets of different labels that share a token of ``posts`` (token, node, label, sets);
+        checked where their sketches were compared."""
         near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.threshold
         few = posts.filter(F.col("sets") <= MANY).join(self.nodes.select("node", "n"), "node")
         x = few.select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
@@ -349,15 +367,15 @@ class _Join:
         many = many.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         many = many.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         found = many.select("token", "lo", "hi", "node", "label", "n", "sketch", "smaller", "block").groupBy("token", "lo", "hi").applyInArrow(_block_pairs(self.threshold), "a long, b long")
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(found).distinct()
+        pairs = pairs.withColumn("checked", F.lit(False)).union(found.withColumn("checked", F.lit(True)))
+        return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("checked").alias("checked"))
 
     def labels(self) -> DataFrame:
         """node, label. First every set is compared with the leading set that shares a token; then, where a token still
         joins sets of different labels, those sets with each other. Sets already joined need no further look."""
         posts = self.posts()
         stars = posts.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        links = self.links(stars)
+        links = self.links(stars.withColumn("checked", F.lit(False)))
         first = components(links)
         named = posts.select("token", "node").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = written(named, "named-posts")
