@@ -18,7 +18,7 @@ from barloom.llm.shingles import long_batch, rows, with_ids
 from barloom.llm.text import written
 
 LN10 = math.log(10)
-SUMS = ("base", "score", "subword")  # what is summed over a text's tokens
+SUMS = ("base", "score", "whole_word")  # what is summed over a text's tokens
 END = b""  # the token after the last word; no word is empty
 #: Documents whose crc32 of the id leaves this remainder are held out.
 FOLDS, HELD_OUT = 10, 0
@@ -230,11 +230,11 @@ def hot_count(table: DataFrame) -> int:
 
 
 def scored(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, subword_score for every row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, whole_word_score for every row of ``docs``.
 
-    subword_score is the log10 probability of the text's words and its end, each word summed over all segmentations
-    into pieces. score adds one edge to a counted word's lattice, the whole word: (c - DISCOUNT) / N, and the mass so
-    freed weighs the segmentations, so a word never seen still has its subword probability. base_score is that of
+    score is the log10 probability of the text's words and its end, each word summed over all segmentations into
+    pieces. whole_word_score adds one edge to a counted word's lattice, the whole word: (c - DISCOUNT) / N, and the mass
+    so freed weighs the segmentations, so a word never seen still has its subword probability. base_score is that of
     the smoothed word counts. Only rows that are not held out teach either model. Null and empty
     texts have the end alone; rows without an id teach; equal rows are scored each. Frequent words are looked up in a
     table of bounded size inside the task and leave one sum per document; the others meet the full word table by a
@@ -256,13 +256,13 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
         for batch in batches:
             c = batch.column(1).to_numpy()
             base = np.log10(c + SMOOTH) - below
-            subword = np.array([lattice.forward(w) if w else log_end for w in batch.column(0).to_pylist()], np.float64)
+            score = np.array([lattice.forward(w) if w else log_end for w in batch.column(0).to_pylist()], np.float64)
             with np.errstate(divide="ignore"):
                 edge = np.log(np.maximum(c - DISCOUNT, 0) / max(total, 1))
-            score = np.logaddexp(edge, left + subword)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(score / LN10), pa.array(subword / LN10)], names=["word", "c", *SUMS])
+            whole_word = np.logaddexp(edge, left + score)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(score / LN10), pa.array(whole_word / LN10)], names=["word", "c", *SUMS])
 
-    table = written(counts.mapInArrow(word_scores, "word binary, c long, base double, score double, subword double"), "word-scores")
+    table = written(counts.mapInArrow(word_scores, "word binary, c long, base double, score double, whole_word double"), "word-scores")
     top = table.filter((F.octet_length("word") <= HOT_BYTES) & (F.col("c") >= hot_count(table))).collect()
     hot = spark.sparkContext.broadcast({bytes(r[0]): (int(r[1] > 0), r[2], r[3], r[4]) for r in top})
     kinds = [("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), *[(c, pa.float64()) for c in SUMS], ("word", pa.binary()), ("times", pa.int64())]
@@ -277,7 +277,7 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
             for doc_id, text in rows([batch]):
                 words = Counter(text.lower().split())
                 words[END] += 1
-                known, base, score, subword = 0, 0.0, 0.0, 0.0
+                known, base, score, whole_word = 0, 0.0, 0.0, 0.0
                 for word, n in words.items():
                     hit = table_.get(word)
                     if hit is None:
@@ -287,8 +287,8 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
                         known += n * hit[0]
                         base += n * hit[1]
                         score += n * hit[2]
-                        subword += n * hit[3]
-                found.append((rid, doc_id, words.total(), known, base, score, subword))
+                        whole_word += n * hit[3]
+                found.append((rid, doc_id, words.total(), known, base, score, whole_word))
                 rid += 1
             n, m = len(found), len(rare[0])
             columns = list(zip(*found, strict=True)) if n else [()] * own
@@ -297,7 +297,7 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
             full += [pa.concat_arrays([pa.nulls(n, k), pa.array(c, k)]) for c, (_, k) in zip(rare[1:], kinds[own:])]
             yield pa.RecordBatch.from_arrays(full, schema=schema)
 
-    both = written(docs.mapInArrow(looked_up, "rid long, doc_id long, n_tokens long, known long, base double, score double, subword double, word binary, times long"), "text-scores")
+    both = written(docs.mapInArrow(looked_up, "rid long, doc_id long, n_tokens long, known long, base double, score double, whole_word double, word binary, times long"), "text-scores")
     rare = both.filter("word is not null").select("rid", "word", "times").join(table.select("word", "c", *[F.col(x).alias(f"{x}_w") for x in SUMS]), "word")
     rare = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_r"),
