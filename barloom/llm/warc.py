@@ -58,16 +58,15 @@ def header(head: bytes) -> dict[str, str]:
 
 
 def inflated(content: bytes) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members, each byte inflated once, a step at a time."""
+    """The bytes of a gzip file of any number of members, each byte inflated once, at most a step at a time."""
     unpack = zlib.decompressobj(GZIP)
     for i in range(0, len(content), STEP):
         data = content[i : i + STEP]
         while data:
-            yield unpack.decompress(data)
-            data = unpack.unused_data
-            if not unpack.eof:
-                break
-            unpack = zlib.decompressobj(GZIP)
+            yield unpack.decompress(data, STEP)
+            data = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+            if unpack.eof:
+                unpack = zlib.decompressobj(GZIP)
     yield unpack.flush()
 
 
@@ -165,7 +164,6 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def normalise(archives: DataFrame) -> DataFrame:
     """archive, content, index: every record its own gzip member, and a line of JSON per record with its offset and
     length, in order. The input may have one member, one per record or anything between; an empty one gives no lines."""
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are archives
     return written(archives.select("archive", "content").mapInArrow(_normalise, "archive string, content binary, index string"), "warc-members")
 
 
@@ -209,7 +207,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_members(members: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for a revisit) of every
     record, each member found by the index and inflated alone; the digest of a stored payload is proved."""
-    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return members.select("content", "index").mapInArrow(
         _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
     )

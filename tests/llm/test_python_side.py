@@ -51,6 +51,26 @@ def test_small_payloads_are_kept_and_ties_share(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_inflating_goes_in_bounded_steps():
+    data = bytes(5 * warc.STEP) + b"end"
+    for packed in (warc.member(data), warc.member(data) + warc.member(b"") + warc.member(data)):
+        pieces = list(warc.inflated(packed))
+        assert b"".join(pieces) == data * (2 if len(packed) > len(warc.member(data)) else 1)
+        assert max(map(len, pieces)) <= warc.STEP
+
+
+def test_archives_leave_the_session_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "150")
+    try:
+        assert warc.archived(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")).count() == 1
+        assert spark.conf.get(key) == "150"
+    finally:
+        spark.conf.set(key, before)
+
+
+
 def test_any_gzip_layout_is_normalised(spark, pages):
     records = [warc.record(i, "u", f"page {i}".encode() * i, None, False) for i in range(1, 30)]
     layouts = {"one": gzip.compress(b"".join(records)), "each": b"".join(map(gzip.compress, records)), "mixed": gzip.compress(b"".join(records[:7])) + gzip.compress(b"".join(records[7:])), "none": gzip.compress(b"")}
@@ -131,7 +151,14 @@ def test_scores(spark, awkward, nothing, prose_docs, monkeypatch):
         words = [*t.encode().lower().split(), b""]
         assert (out[i].held_out, out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (fold[i], len(words), sum(c[w] > 0 for w in words), n)
         assert out[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
-        assert out[i].score <= 0 and out[i].subword_score < 0
+        assert out[i].whole_word_score <= 0
+    # the score is the sum over segmentations under the fitted pieces, word by word, and nothing else
+    pieces = lattice.load_pieces(piece_model())
+    *log_p, log_end = lattice.fitted(lattice.word_counts(lattice.with_ids(prose_docs)), pieces)
+    grid = lattice.Lattice(pieces, log_p)
+    for i, t in texts.items():
+        alone = sum(grid.forward(w) for w in t.encode().lower().split()) + log_end
+        assert out[i].score == pytest.approx(alone / math.log(10))
     odd = lattice.scored(awkward, piece_model())
     assert odd.count() == awkward.count()
     assert {r.doc_id: r.n_tokens for r in odd.collect() if r.doc_id in (1, 2, 3, 4)} == {1: 1, 2: 1, 3: 1, 4: 3}
