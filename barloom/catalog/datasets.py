@@ -439,6 +439,19 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.stratified_split(orders_with_class(spark, sf_dir), "buy", ["o_orderkey"]).select("o_orderkey", "buy", "split")
 
 
+@register(
+    "stratified_folds",
+    f"""WITH {_RANKED}
+SELECT o_orderkey, buy, CASE WHEN r <= n * 1 // 5 THEN 0 WHEN r <= n * 2 // 5 THEN 1 WHEN r <= n * 3 // 5 THEN 2
+  WHEN r <= n * 4 // 5 THEN 3 ELSE 4 END AS fold FROM k""",
+)
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold of every row: each class in five parts of equal size."""
+    from barloom.operators.models import with_folds
+
+    return with_folds(orders_with_class(spark, sf_dir), "buy", ["o_orderkey"], 5).select("o_orderkey", "buy", "fold")
+
+
 @register(
     "size_recommendation",
     """WITH c AS (SELECT o_orderstatus = 'F' AS b, count(*) AS n FROM orders GROUP BY 1)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.clean import align_features
 from barloom.operators.evaluate import auc_by_model
-from barloom.operators.order_stats import hash_rank_key
+from barloom.operators.order_stats import hash_cuts, hash_rank_key, within_thresholds
 from barloom.operators.prepare import take_sample
 
 
@@ -106,10 +106,14 @@ def importances(models: dict[str, PipelineModel], spark: SparkSession, features:
 
 
 def with_folds(df: DataFrame, label: str, keys: list[str], folds: int, seed: int = 42) -> DataFrame:
-    """Adds fold by hash of the key and class, so folds repeat and keep the class shares on average."""
-    return df.withColumn(
-        "fold", (hash_rank_key([label, *keys], seed) % folds).cast("int")
-    )
+    """Adds fold, 0 to folds - 1: the hashes of a class's keys cut it into parts whose sizes differ by one row at most.
+    Rows of one key stay together."""
+    key = hash_rank_key(keys, seed)
+    cuts = hash_cuts(df, label, lambda g, n: [n * i // folds for i in range(1, folds)], key)
+    fold = F.lit(folds - 1)
+    for j in reversed(range(folds - 1)):
+        fold = F.when(within_thresholds(label, {g: c[j] for g, c in cuts.items()}, key), j).otherwise(fold)
+    return df.withColumn("fold", fold)
 
 
 def cross_validate(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.operators import clean, evaluate, order_stats, prepare, reports
+from barloom.operators import clean, evaluate, models, order_stats, prepare, reports
 from barloom.sources import bars as B
 from barloom.sources import stores
 from barloom.streaming import live, quotes
@@ -37,6 +37,16 @@ def test_empty_column_has_no_median(spark):
     assert prepare.impute(df).filter("x IS NULL").count() == 2
 
 
+def test_folds_are_equal_in_every_class(spark):
+    df = spark.range(1003).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 1 WHEN id = 7 THEN NULL ELSE 0 END AS buy")
+    sizes = {}
+    for r in models.with_folds(df, "buy", ["id"], 5).groupBy("buy", "fold").count().collect():
+        sizes.setdefault(r.buy, []).append(r["count"])
+    assert sorted(sizes[1]) == [20, 20, 20, 20, 21] and sorted(sizes[0]) == [180, 180, 180, 180, 181]
+    assert sizes[None] == [1]  # fewer rows than folds
+    assert models.with_folds(df.limit(0), "buy", ["id"], 5).count() == 0
+
+
 def test_samples_are_exact_under_skew(spark):
     df = spark.range(30_000).select("id", (F.col("id") % 50 == 0).alias("buy"))
     got = prepare.balanced_sample(df, "buy", 1000, ["id"]).groupBy("buy").count().collect()
