@@ -117,10 +117,11 @@ v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, range(8) AS x(k) GROUP B
 q AS (SELECT doc_id, source, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM w LEFT JOIN v USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM q),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY source),
-mv AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 0 THEN least(1e6, greatest(2.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM mv),
-verdict AS (SELECT source, (bad + m * s) / (n + s) >= 0.8 AS refused FROM hosts, prior)
+bad AS (SELECT source, r, count(*) AS n, count(*) FILTER (failed) AS bad
+  FROM (SELECT source, unnest([1, 2, 3]) AS r, unnest([base_failed, n_symbols * 10 > n_words, n_dup_lines * 10 > n_words]) AS failed FROM f) GROUP BY source, r),
+mv AS (SELECT r, avg(bad / n) AS m, var_pop(bad / n) AS v FROM bad GROUP BY r),
+prior AS (SELECT r, m, CASE WHEN v > 0 THEN least(1e6, greatest(2.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM mv),
+verdict AS (SELECT source, max((bad + m * s) / (n + s)) >= 0.8 AS refused FROM bad JOIN prior USING (r) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT refused AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source"""
 

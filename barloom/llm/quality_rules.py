@@ -11,11 +11,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A host is refused when its shrunk share of failing documents reaches this.
+#: A host is refused when its shrunk share of documents that fail one rule, or the base rules together, reaches this.
 HOST_LIMIT = 0.8
 #: Bounds of the prior's weight in documents; equal rates at all hosts would make it infinite.
 PRIOR_WEIGHT = (2.0, 1e6)
 RULES = ("short", "repeats", "symbols", "dup_lines")
+#: What hosts are judged by; short and repeats are counted together, as either of them fails a document.
+JUDGED = ("base_failed", "symbols", "dup_lines")
 
 
 def _repeat_words(n: Column, grams: Column) -> Column:
@@ -81,25 +83,32 @@ def failures(counts: DataFrame) -> DataFrame:
     )
 
 
+def _prior(mean: float | None, variance: float | None) -> tuple[float, float]:
+    """Mean m and weight s of Beta(m*s, (1-m)*s) by the method of moments; no host at all gives a mean of 0."""
+    mean = mean or 0.0
+    weight = mean * (1 - mean) / variance - 1 if variance else PRIOR_WEIGHT[1]
+    return mean, min(PRIOR_WEIGHT[1], max(PRIOR_WEIGHT[0], weight))
+
+
 def host_verdicts(failed: DataFrame, host: str = "host") -> DataFrame:
-    """Per host: documents, failures of every rule, base failures, shrunk rate, refused.
+    """Per host: docs, failed_<rule> of every rule, rate_<judged> (shrunk), host_rate, host_refused.
 
-    The prior is Beta(m*s, (1-m)*s): m the mean of the hosts' rates, s from their variance (method of moments). Rows
-    without a host form one host of their own (null). One host alone is shrunk towards itself.
+    Each of JUDGED has a prior of its own: Beta(m*s, (1-m)*s), m the mean of the hosts' rates, s from their variance
+    (method of moments). ``host_rate`` is the largest of the shrunk rates; the host is refused where it reaches
+    HOST_LIMIT. Rows without a host form one host of their own (null). One host alone is shrunk towards itself.
     """
+    counted = dict.fromkeys((*JUDGED, *RULES))
     hosts = failed.groupBy(host).agg(
-        F.count(F.lit(1)).alias("docs"),
-        F.sum(F.col("base_failed").cast("long")).alias("failed"),
-        *[F.sum(F.col(r).cast("long")).alias(f"failed_{r}") for r in RULES],
+        F.count(F.lit(1)).alias("docs"), *[F.sum(F.col(r).cast("long")).alias(f"failed_{r}") for r in counted]
     )
     hosts = written(hosts, "hosts")
-    rate = F.col("failed") / F.col("docs")
-    mean, variance = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    mean = mean or 0.0
-    weight = mean * (1 - mean) / variance - 1 if variance else PRIOR_WEIGHT[1]
-    weight = min(PRIOR_WEIGHT[1], max(PRIOR_WEIGHT[0], weight))
-    shrunk = (F.col("failed") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_refused", shrunk >= HOST_LIMIT)
+    rates = {r: F.col(f"failed_{r}") / F.col("docs") for r in JUDGED}
+    moments = hosts.agg(*[f(rate).alias(f"{r}_{f.__name__}") for r, rate in rates.items() for f in (F.avg, F.var_pop)]).first()
+    for r in JUDGED:
+        mean, weight = _prior(moments[f"{r}_avg"], moments[f"{r}_var_pop"])
+        hosts = hosts.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight)))
+    hosts = hosts.withColumn("host_rate", F.greatest(*[f"rate_{r}" for r in JUDGED]))
+    return hosts.withColumn("host_refused", F.col("host_rate") >= HOST_LIMIT)
 
 
 def judged(docs: DataFrame, text: str = "text", host: str = "source", carry: tuple[str, ...] | None = None) -> DataFrame:

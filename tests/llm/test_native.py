@@ -126,6 +126,30 @@ def test_host_verdicts_shrink(spark):
     assert 0 < kept[1000].host_rate < 0.05
 
 
+def test_every_judged_rule_can_refuse_a_host(spark):
+    """A host of symbols and one of repeated lines are refused as a whole, each by the prior of its own rule."""
+    good = "a good text of more than twenty words " + " ".join(f"w{i}" for i in range(30))
+    signs = " ".join(f"w{i} | #" for i in range(30))
+    lines = "\n".join(f"line{i // 2} of{i // 2}" for i in range(40))
+    rows = [(i, signs, "signs") for i in range(60)] + [(60, good, "signs")]
+    rows += [(100 + i, lines, "lines") for i in range(60)] + [(160, good, "lines")]
+    rows += [(200 + i, signs, "mixed") for i in range(30)] + [(230 + i, good, "mixed") for i in range(30)]
+    rows += [(1000 + i, good, f"h{i % 10}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.row.doc_id: r for r in quality_rules.judged(df).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert all(r.kept == (r.row.source not in ("signs", "lines")) for r in found.values())
+    assert {r.doc_id for r in quality_rules.keep_documents(df).collect()} == {i for i, r in found.items() if r.kept}
+    failed = quality_rules.failures(quality_rules.rule_counts(df)).withColumn("host", F.col("row.source"))
+    hosts = {r.host: r for r in quality_rules.host_verdicts(failed).collect()}
+    rate = [hosts[h].failed_symbols / hosts[h].docs for h in hosts]
+    m = sum(rate) / len(rate)
+    s = max(2.0, m * (1 - m) / (sum((x - m) ** 2 for x in rate) / len(rate)) - 1)
+    for h in hosts.values():
+        assert h.rate_symbols == pytest.approx((h.failed_symbols + m * s) / (h.docs + s))
+        assert h.host_rate == max(h.rate_base_failed, h.rate_symbols, h.rate_dup_lines)
+
+
 def test_quality_awkward(awkward, nothing):
     out = quality_rules.judged(awkward)
     assert out.count() == awkward.count()
