@@ -136,6 +136,12 @@ def merge_monthly(parts: list[DataFrame], path: str, order: str = "timestamp") -
     return stored.groupBy("symbol").agg(F.count("*").alias("records"))
 
 
+def by_day(rows: DataFrame, day: str) -> DataFrame:
+    """The rows dealt for a write in folders by ``day``: small days share a task, a day beyond the session's advisory
+    partition size is split over several tasks, each with a file of its own."""
+    return rows.hint("rebalance", F.col(day))
+
+
 def load_history(new: DataFrame, path: str, source: str, order: str) -> DataFrame:
     """Store the first record per (symbol, time) under ``data_source = source``, replacing that source.
 
@@ -146,7 +152,7 @@ def load_history(new: DataFrame, path: str, source: str, order: str) -> DataFram
     rows = first_per_key(new, HISTORY_KEYS, order).drop(order)
     rows = written_table(rows.withColumns({"simulation_date": F.to_date("ts_event_price"), "data_source": F.lit(source)}), "history")
     (
-        rows.repartition("simulation_date").write.mode("overwrite")
+        by_day(rows, "simulation_date").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("data_source", "simulation_date")
         .parquet(path)
@@ -178,7 +184,7 @@ def store_keyed(changes: DataFrame, path: str, keys: list[str], order: str, ts:
         rows = latest_per_key(rows, keys, order) if latest else first_per_key(rows, keys, order)
     rows = written_table(rows, "keyed")
     (
-        rows.repartition("trade_date").write.mode("overwrite")
+        by_day(rows, "trade_date").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path)
     )
     return spark.read.schema(save_schema(spark, path, rows.schema)).parquet(path)
