@@ -17,6 +17,8 @@ LEADING = ("bidPrice", "bidSize", "askPrice", "askSize", "lastPrice", "lastSize"
 TRAILING = ("symbol", "timestamp", "date")
 
 HISTORY_KEYS = ["symbol_price", "ts_event_price"]
+#: Rows of one day that a task writes into one file; a larger day is dealt to several tasks.
+FILE_ROWS = 2_000_000
 
 
 def ordered_columns(columns: list[str]) -> list[str]:
@@ -136,10 +138,22 @@ def merge_monthly(parts: list[DataFrame], path: str, order: str = "timestamp") -
     return stored.groupBy("symbol").agg(F.count("*").alias("records"))
 
 
-def by_day(rows: DataFrame, day: str) -> DataFrame:
-    """The rows dealt for a write in folders by ``day``: small days share a task, a day beyond the session's advisory
-    partition size is split over several tasks, each with a file of its own."""
-    return rows.hint("rebalance", F.col(day))
+def by_day(rows: DataFrame, day: str, keys: list[str], file_rows: int | None = None) -> DataFrame:
+    """The rows dealt for a write in folders by ``day``: a day gets a part, so a task and a file, per ``file_rows`` rows.
+
+    ``rows`` should be a written table, as its days are counted first. The hash of the keys tells the part, so a symbol
+    that holds most rows of a day is spread too. Rows without a day are a day of their own.
+    """
+    name = F.coalesce(F.col(day).cast("string"), F.lit(""))
+    counted = rows.groupBy(name.alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()  # days of the calendar
+    parts = {r["day"]: -(-r["n"] // (file_rows or FILE_ROWS)) for r in counted}
+    large = {d: n for d, n in parts.items() if n > 1}
+    if not large:
+        return rows.repartition(day)
+    known = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
+    part = F.pmod(F.xxhash64(*keys), F.coalesce(known[name], F.lit(1)))
+    tasks = max(sum(parts.values()), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.withColumn("_part", part).repartition(tasks, day, "_part").drop("_part")
 
 
 def load_history(new: DataFrame, path: str, source: str, order: str) -> DataFrame:
@@ -152,12 +166,13 @@ def load_history(new: DataFrame, path: str, source: str, order: str) -> DataFram
     rows = first_per_key(new, HISTORY_KEYS, order).drop(order)
     rows = written_table(rows.withColumns({"simulation_date": F.to_date("ts_event_price"), "data_source": F.lit(source)}), "history")
     (
-        by_day(rows, "simulation_date").write.mode("overwrite")
+        by_day(rows, "simulation_date", HISTORY_KEYS).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("data_source", "simulation_date")
         .parquet(path)
     )
-    now = {str(r[0]) for r in rows.select("simulation_date").distinct().collect()}  # days of the calendar
+    no_day = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows without a time
+    now = {str(r[0] or no_day) for r in rows.select("simulation_date").distinct().collect()}  # days of the calendar
     for found, day in partitions(spark, path, "data_source", "simulation_date"):
         if found == source and day not in now:
             fs, p = _file_system(spark, f"{path.rstrip('/')}/data_source={source}/simulation_date={day}")
@@ -184,7 +199,7 @@ def store_keyed(changes: DataFrame, path: str, keys: list[str], order: str, ts:
         rows = latest_per_key(rows, keys, order) if latest else first_per_key(rows, keys, order)
     rows = written_table(rows, "keyed")
     (
-        by_day(rows, "trade_date").write.mode("overwrite")
+        by_day(rows, "trade_date", keys).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path)
     )
     return spark.read.schema(save_schema(spark, path, rows.schema)).parquet(path)
