@@ -33,6 +33,9 @@ COPY, PARAPHRASE, ANSWER = 0.5, 0.35, 0.8
 #: Items of fewer words must be found whole.
 SHORT = 8
 _PARTS = 64
+#: Candidate passages (two numbers each) up to which the table of them is sent to all executors; beyond, texts are
+#: shuffled to them.
+SENT_SPOTS = 400_000
 AT_ONCE = 20  # documents whose passages are dense vectors in a task at one time
 _PLAIN = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(), (string.ascii_lowercase + " " * len(string.punctuation)).encode())
 
@@ -369,7 +372,7 @@ def _one_pass(docs: DataFrame, found: list[tuple[int, bytes]], n_docs: int) -> D
     best = near.groupBy("doc_id", "item").agg(F.max("cosine").alias("cosine"))
     spots = written(spots, "near-documents")
     # only documents with a candidate are read again; a document's candidates are bounded by its own passages
-    again = docs.join(small_side(spots), "doc_id").select("doc_id", "t", "spots")
+    again = docs.join(F.broadcast(spots) if near.count() <= SENT_SPOTS else spots, "doc_id").select("doc_id", "t", "spots")
     leaks = again.mapInArrow(*_checked(items)).groupBy("doc_id", "item").agg(F.max("words_in_order").alias("words_in_order"), F.min("kind").alias("kind"))
     names = spark.createDataFrame([(i, item_id, len(items[i].words)) for i, (item_id, _) in enumerate(found)], "item long, item_id long, item_words long")
     return leaks.join(best, ["doc_id", "item"]).join(F.broadcast(names), "item").select("doc_id", "item_id", "kind", "words_in_order", "item_words", "cosine")  # names: PASS_ITEMS rows at most

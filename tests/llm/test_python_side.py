@@ -442,6 +442,7 @@ def test_blocks_of_items_give_the_same(spark, leaky, monkeypatch):
     docs, items, truth = leaky
     monkeypatch.setattr(decontaminate, "PASS_ITEMS", 13)
     monkeypatch.setattr(decontaminate, "SPACE_ITEMS", 5)
+    monkeypatch.setattr(decontaminate, "SENT_SPOTS", 0)
     few = {i: t for i, t in docs.items() if i < 70}
     out = decontaminate.leaks(spark.createDataFrame(list(few.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in out.collect()} == {(i, x) for i in few for x in truth[i]}
